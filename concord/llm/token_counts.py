@@ -47,26 +47,26 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
 
 
-class PieceCache(dict):
+class PieceCache:
     """What `make` gives for each distinct piece, for many pieces at once; emptied when it holds `room` pieces."""
 
     def __init__(self, make: Callable[[list[str]], list], room: int = 1_000_000, longest: int = 48):
-        super().__init__()
-        self.make, self.room, self.longest = make, room, longest
+        self.make, self.room, self.longest, self.held = make, room, longest, {}
 
     def all(self, pieces: list[str]) -> list:
-        new = list(set(pieces).difference(self))
-        if len(self) + len(new) > self.room:
-            self.clear()
-            new = list(set(pieces))
+        new = set(pieces).difference(self.held)  # a plain dict: only the pieces are looked up
+        if len(self.held) + len(new) > self.room:
+            self.held.clear()
+            new = set(pieces)
         if not new:
-            return list(map(self.__getitem__, pieces))
+            return list(map(self.held.__getitem__, pieces))
+        new = list(new)
         got = dict(zip(new, self.make(new)))
         short = {p: v for p, v in got.items() if len(p) <= self.longest}
-        self.update(short)
+        self.held.update(short)
         if len(short) == len(got):
-            return list(map(self.__getitem__, pieces))
-        return [got[p] if p in got else self[p] for p in pieces]
+            return list(map(self.held.__getitem__, pieces))
+        return [got[p] if p in got else self.held[p] for p in pieces]
 
 
 class Counter:
