@@ -5,15 +5,21 @@ from __future__ import annotations
 from concord.llm.fingerprints import op2_fingerprints
 from concord.llm.mixing import op10_mixing
 from concord.llm.packing import op3_packing
+from concord.llm.quality import op1_quality
 from concord.llm.simhash import op7_simhash
 from concord.llm.token_counts import op4_token_counts
+from concord.llm.topk import OP5_SQL, op5_topk
+from concord.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_topk": op5_topk,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL}
