@@ -142,6 +142,113 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(tasks, "tile", "part").mapInArrow(compare, "a long, b long")
 
 
+def packed_tiles(fps: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """fps (fp), distinct, as tiles (tile, pop, fps: little-endian bytes) of one population count each, and splits (pop, splits)."""
+    own = fps.select("fp", F.bit_count("fp").alias("pop"))
+    # 65 population counts at most, whatever the input.
+    splits = checkpoint(own.groupBy("pop").agg(F.ceil(F.count("*") / size).cast("int").alias("splits")))
+    tile = F.col("pop").cast("long") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("splits"))
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.sort(np.concatenate([b.column("fp").to_numpy() for b in batches]))
+        yield pa.record_batch({"tile": pa.array([key[0].as_py()]), "pop": pa.array([key[1].as_py()], pa.int32()), "fps": pa.array([held.astype("<i8").tobytes()], pa.binary())})
+
+    tiles = own.join(F.broadcast(splits), "pop").withColumn("tile", tile).select("tile", "pop", "fp")
+    return checkpoint(tiles.groupBy("tile", "pop").applyInArrow(pack, "tile long, pop int, fps binary")), splits
+
+
+def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64) -> DataFrame:
+    """As `links`, for radii at which almost all tiles are near each other: pairs (a, b, distance).
+
+    Tiles hold one population count each, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
+    input so that each is read by about `across` others at most. A pair of tiles returns its spanning forest, nearest
+    pairs first.
+    """
+    size = max(tile, -(-fps.count() // across))
+    tiles, splits = packed_tiles(fps, size)
+    near = tiles.select("tile", "pop", F.explode(F.sequence(F.col("pop"), F.least(F.col("pop") + radius, F.lit(64)))).alias("other_pop"))
+    near = near.join(F.broadcast(splits.select(F.col("pop").alias("other_pop"), "splits")), "other_pop")
+    near = near.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    near = near.withColumn("other", F.col("split") + F.col("other_pop").cast("long") * (1 << 32)).filter("other >= tile").select("tile", "other")
+    count = near.count()
+    both = near.join(tiles.select("tile", F.col("fps").alias("left")), "tile").join(tiles.select(F.col("tile").alias("other"), F.col("fps").alias("right")), "other")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("left", "right"))
+                same = batch.column("tile")[i].as_py() == batch.column("other")[i].as_py()
+                pairs = [(int(left[a] ^ right[b]).bit_count(), int(left[a]), int(right[b])) for a, b in near_pairs(left, right, radius, same, 1 << 17)]
+                distance = {(a, b): d for d, a, b in pairs}
+                found = forest((a, b) for _, a, b in sorted(pairs))
+                if found:
+                    yield pa.record_batch({"a": np.array([a for a, _ in found], np.uint64).view(np.int64), "b": np.array([b for _, b in found], np.uint64).view(np.int64), "distance": pa.array([distance[p] for p in found], pa.int32())})
+
+    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long, distance int")
+
+
+def shingles(text: str, width: int) -> set[int]:
+    import xxhash
+
+    words = text.encode().lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similarity(a: str, b: str, width: int = 5) -> float:
+    """Jaccard similarity of the texts' sets of word shingles; of two texts without words it is 1."""
+    x, y = shingles(a, width), shingles(b, width)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id: classes of documents that links join; a link is a SimHash distance of at most `radius` and an
+    exact Jaccard similarity of at least `least` on word shingles. Null ids are left out.
+
+    Equal texts are one; each tile pair's candidates form a spanning forest, nearest first, and its links are verified
+    on the whole texts. So no group's pairs are all emitted; a link is lost only if a nearer candidate that fails the
+    verification joined the same two parts of a tile pair.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "fp": pa.array(fps.view(np.int64))})
+
+    prints = checkpoint(rows.withColumn("digest", F.xxhash64("text")).mapInArrow(compute, f"id {kind}, digest long, fp long"))
+    units = checkpoint(prints.groupBy("fp", "digest").agg(F.min("id").alias("unit")))
+    heads = checkpoint(units.groupBy("fp").agg(F.min("unit").alias("head")))
+    wide = wide_links(heads.select("fp"), radius)
+    named = lambda c, n: heads.select(F.col("fp").alias(c), F.col("head").alias(n))
+    across = wide.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
+    within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"))
+    candidates = checkpoint(across.unionByName(within).distinct())
+    needed = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"id": batch.column("id"), "shingles": pa.array(sets, pa.binary())})
+
+    sets = checkpoint(rows.join(needed, "id", "left_semi").mapInArrow(shrink, f"id {kind}, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep)).select(["u", "v"])
+
+    pairs = candidates.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
+    true = checkpoint(pairs.select("u", "v", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}"))
+    roots = components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("unit"), "root")
+    named = units.join(roots, "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
+    return prints.join(named, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b) as node, root: the least node of each component.
 

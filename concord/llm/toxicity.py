@@ -83,29 +83,36 @@ def vocabulary(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[st
     return sorted(r["term"] for r in kept.select("term").collect())
 
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """docs (id, text) as id, terms (numbers, ascending), counts."""
+def extractor(terms: list[str]):
+    """A function from a text to its terms' numbers, ascending, and counts."""
     number = {t: i for i, t in enumerate(terms)}
     heads = {t[:-1] for t in number if t.endswith("~")}
+    known: dict[str, tuple[int, ...]] = {}
+
+    def extract(text: str) -> tuple[list[int], list[int]]:
+        own: Counter = Counter()
+        for word, n in Counter(LETTERS.findall(text.lower())).items():
+            if word in number or word[:4] in heads or word[:5] in heads:
+                if word not in known:
+                    if len(known) > ROOM:
+                        known.clear()
+                    known[word] = tuple(number[t] for t in terms_of(word) if t in number)
+                for t in known[word]:
+                    own[t] += n
+        order = sorted(own)
+        return order, [own[t] for t in order]
+
+    return extract
+
+
+def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """docs (id, text) as id, terms (numbers, ascending), counts."""
+    one = extractor(terms)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
         for batch in byte_batches(batches, "text"):
-            names, counts = [], []
-            for text in batch.column("text").to_pylist():
-                own: Counter = Counter()
-                for word, n in Counter(LETTERS.findall(text.lower())).items():
-                    if word in number or word[:4] in heads or word[:5] in heads:
-                        if word not in known:
-                            if len(known) > ROOM:
-                                known.clear()
-                            known[word] = tuple(number[t] for t in terms_of(word) if t in number)
-                        for t in known[word]:
-                            own[t] += n
-                order = sorted(own)
-                names.append(order)
-                counts.append([own[t] for t in order])
-            yield pa.record_batch({"id": batch.column("id"), "terms": pa.array(names, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.int32()))})
+            got = [one(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"id": batch.column("id"), "terms": pa.array([t for t, _ in got], pa.list_(pa.int32())), "counts": pa.array([c for _, c in got], pa.list_(pa.int32()))})
 
     return docs.mapInArrow(extract, f"id {docs.schema['id'].dataType.simpleString()}, terms array<int>, counts array<int>")
 
@@ -206,8 +213,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([(p[1] * p[2] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
-    """Per row: the id, score, predicted, and evidence, ids of nearest examples. learn: which rows of labels may be learned from."""
+def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, examples: int = EXAMPLES, terms: int = TERMS, keep: list[str] | None = None) -> DataFrame:
+    """Per row: the id (or the columns `keep`), score, predicted, and evidence, ids of nearest examples.
+
+    learn: which rows of labels may be learned from. With `keep`, the texts are read once more instead of kept.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = checkpoint(sampled(labels, label_col, id_col, learn, examples))
     words = vocabulary(rows, sample, terms)
@@ -221,21 +231,44 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     base = float(np.mean([r["label"] for r in known])) if known else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
+    def judged(pairs: Iterator[tuple[list, list]]) -> list[tuple[float, list[int]]]:
+        own, out = shared.value, []
+        for t, c in pairs:
+            key = (tuple(t), tuple(c))
+            if key not in JUDGED:
+                if len(JUDGED) > ROOM:
+                    JUDGED.clear()
+                JUDGED[key] = own.score(*key) if own is not None else (base, [])
+            out.append(JUDGED[key])
+        return out
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value, {}
+        JUDGED.clear()
         for batch in batches:
-            out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(t), tuple(c))
-                if key not in seen:
-                    if len(seen) > ROOM:
-                        seen.clear()
-                    seen[key] = own.score(*key) if own is not None else (base, [])
-                out.append(seen[key])
+            out = judged(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()))
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
 
-    out = found.mapInArrow(judge, f"id {found.schema['id'].dataType.simpleString()}, score double, evidence array<long>")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    if keep is None:
+        out = found.mapInArrow(judge, f"id {found.schema['id'].dataType.simpleString()}, score double, evidence array<long>")
+        return out.select(F.col("id").alias(id_col), "score", predicted, "evidence")
+    extract = extractor(words)
+
+    def judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        JUDGED.clear()
+        for batch in byte_batches(batches, "text"):
+            out = judged(extract(t) for t in batch.column("text").to_pylist())
+            yield pa.record_batch({"row": batch.column("row"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
+
+    fields = docs.select(*keep).schema
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+    whole = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = whole.mapInArrow(judge_rows, f"row struct<{kind}>, score double, evidence array<long>")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "score", predicted, "evidence")
+
+
+#: Scores of vectors that a worker has judged, for one model at a time.
+JUDGED: dict[tuple, tuple[float, list[int]]] = {}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
