@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from concord.plans import resolution
+
+QUERIES: dict = dict(resolution.QUERIES)
+ORACLES: dict[str, str] = dict(resolution.ORACLES)
