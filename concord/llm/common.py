@@ -44,6 +44,15 @@ def row_key(*cols: str):
     return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
 
 
+#: A side of a join is broadcast only if its rows, counted first, are this many bytes at most.
+BROADCAST_BYTES = 4 << 20
+
+
+def if_small(small: DataFrame, row_bytes: int) -> DataFrame:
+    """small (already computed), marked for broadcast if its counted rows are few bytes; else as it is, for a shuffled join."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `most` bytes of `column` each, and one row at least."""
     for batch in batches:

@@ -2,7 +2,7 @@
 
 Writing: each page gives a request, a response (or a revisit, when an equal payload of at least `revisit_bytes` bytes is
 stored with a larger id) and a metadata record, joined by WARC-Concurrent-To. Archives are gzip files of whole records
-in the shared folder, dealt by page so that each holds about `file_bytes` of payload. Spark's text writer makes them,
+in the shared folder, of `file_records` records at most. Spark's text writer makes them,
 with the two line ends that close a WARC record as its separator, so a lost task's file is written again whole.
 
 Reading: a file's records are parsed by their Content-Length; a payload's digest and size are computed from its bytes.
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import checkpoint, shared_dir, table
+from concord.llm.common import checkpoint, if_small, shared_dir, table
 
 END = "\r\n"
 REVISIT_BYTES = 1000
-FILE_BYTES = 8 << 20
+FILE_RECORDS = 3000
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
 MAIN = ("response", "revisit", "resource")
 
@@ -46,20 +46,19 @@ def record(kind: Column, headers: list[tuple[str, Column]], content_type: Column
     return F.concat(F.lit(f"WARC/1.1{END}WARC-Type: "), kind, F.lit(END), *named, F.lit("Content-Type: "), content_type, F.lit(END), length, block)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, file_records: int = FILE_RECORDS, date: str = "2024-01-01T00:00:00Z") -> None:
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]+", "%20").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
     keys = checkpoint(rows.select("id", "url", "digest", "bytes"))
-    total = keys.agg(F.sum("bytes")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
     largest = keys.filter(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"))
     own = keys.select("id", "digest").distinct().join(largest, "digest")
-    own = own.filter(~F.col("id").eqNullSafe(F.col("first.id"))).select(F.col("id").alias("k"), F.col("digest").alias("d"), "first")
-    # Partitioned by the id for the archives; the window and the join use that partitioning.
-    rows = rows.repartition(int(files), "id")
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "url", "digest").orderBy(F.lit(0))))
-    rows = rows.join(own, F.col("id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
+    own = checkpoint(own.filter(~F.col("id").eqNullSafe(F.col("first.id"))).select(F.col("id").alias("k"), F.col("digest").alias("d"), "first"))
+    if keys.groupBy("id", "url", "digest").count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("copy", F.lit(1))
+    else:
+        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id", "url", "digest").orderBy(F.lit(0))))
+    rows = rows.join(if_small(own, 250), F.col("id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
     uri = F.col("url")
     name = lambda kind: urn(F.lit(kind), F.col("id"), uri, F.col("digest"), F.col("copy"))
     main, digest, when = name("response"), F.concat(F.lit("sha1:"), F.col("digest")), F.lit(date)
@@ -73,7 +72,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     note = F.concat(F.coalesce(F.concat(F.lit("page_id: "), F.col("id").cast("string"), F.lit(END)), F.lit("")), F.lit("payload_bytes: "), F.col("bytes").cast("string"), F.lit(END))
     metadata = record(F.lit("metadata"), [("WARC-Record-ID", name("metadata")), *common, ("WARC-Concurrent-To", main)], F.lit("application/warc-fields"), note)
     lines = rows.select(F.explode(F.array(request, F.when(F.col("first").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:
@@ -133,11 +132,21 @@ def read(spark: SparkSession, path: str, payloads: bool = True, batch_bytes: int
     return files.select("content").mapInArrow(parse, RECORD)
 
 
-def assemble(found: DataFrame) -> DataFrame:
-    """One row per capture: capture_id, request, response (both structs or null), metadata and others (arrays of structs)."""
+def assemble(found: DataFrame, named_by_main: bool = True) -> DataFrame:
+    """One row per capture: capture_id, request, response (both structs or null), metadata and others (arrays of structs).
+
+    named_by_main: whether responses may name the others as concurrent; where all others name their response, False
+    saves reading the records for that once more.
+    """
     named = F.col("concurrent_to")
+    if not named_by_main:
+        return grouped_records(found.withColumn("owner", F.lit(None).cast("string")))
     links = found.filter(F.col("type").isin(*MAIN)).select(F.explode(named).alias("member"), F.col("record_id").alias("owner")).groupBy("member").agg(F.min("owner").alias("owner"))
-    linked = found.join(links, found["record_id"] == links["member"], "left").drop("member")
+    return grouped_records(found.join(links, found["record_id"] == links["member"], "left").drop("member"))
+
+
+def grouped_records(linked: DataFrame) -> DataFrame:
+    named = F.col("concurrent_to")
     own = F.when(F.col("type").isin(*MAIN), F.col("record_id")).otherwise(F.coalesce("owner", F.try_element_at(named, F.lit(1)), F.col("record_id")))
     body = F.struct("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "payload_bytes", "payload", F.map_entries("fields").alias("fields"))
     rows = linked.select(own.alias("capture_id"), "type", body.alias("r"))
@@ -157,7 +166,7 @@ def field(records: str, name: str) -> Column:
 def captures(pages: DataFrame, path: str, **columns: str) -> DataFrame:
     """Writes the pages as archives below path, reads these back and assembles them, without the payloads' bytes."""
     write(pages, path, **columns)
-    return assemble(read(pages.sparkSession, path, payloads=False))
+    return assemble(read(pages.sparkSession, path, payloads=False), named_by_main=False)
 
 
 OP8_SQL = """
