@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import WORD, checkpoint, row_key, table
+from concord.llm.common import WORD, checkpoint, if_small, row_key, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -77,7 +77,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     offsets = offsets.join(parts, F.col("source").eqNullSafe(F.col("ps")) & (F.col("part") == F.col("pp")))
     offsets = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("offset") + F.col("ahead")).alias("offset"))
     # The sources' rows are few beside their buckets, which are few beside the keys: each join leaves the larger side in place if Spark finds the other small.
-    within = offsets.join(goal.select(F.col("source").alias("g"), "rest"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
+    within = offsets.join(if_small(goal, 100).select(F.col("source").alias("g"), "rest"), F.col("s").eqNullSafe(F.col("g"))).drop("g")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key")
     placed = keys.withColumn("within", F.sum("size").over(in_bucket)).join(within, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.withColumn("end", F.col("offset") + F.col("within")).withColumn("first", F.col("end") <= F.col("rest"))
@@ -85,9 +85,10 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     cut = placed.filter("first").groupBy("source").agg(F.max(order).alias("cut"), F.max("end").alias("cut_end"))
     cut = goal.join(cut.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
     cut = cut.withColumn("gap", F.col("rest") - F.coalesce("cut_end", F.lit(0)))
-    gap = cut.select(F.col("source").alias("g"), "gap").filter("gap >= 1")
+    cut = checkpoint(cut)
+    gap = checkpoint(cut.select(F.col("source").alias("g"), "gap").filter("gap >= 1"))
     off = F.abs(F.col("size") - F.col("gap"))
-    more = placed.filter(~F.col("first")).select("source", "key", "size").join(gap, F.col("source").eqNullSafe(F.col("g"))).filter(off < F.col("gap"))
+    more = placed.filter(~F.col("first")).select("source", "key", "size").join(if_small(gap, 100), F.col("source").eqNullSafe(F.col("g"))).filter(off < F.col("gap"))
     more = more.groupBy(F.col("source").alias("m")).agg(F.min_by("key", F.struct(off, "key")).alias("extra_key"))
     out = cut.join(more, F.col("source").eqNullSafe(F.col("m")), "left")
     return checkpoint(out.select("source", "source_size", "target", "epochs", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.key").alias("cut_key"), "extra_key", F.lit(buckets).alias("buckets")))
@@ -104,7 +105,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     """One row per document: id, size, source_size, target, taken (words)."""
     rows = checkpoint(sized(docs, id_col, text_col, source_col))
     chosen = plan(rows, weights, most).withColumnRenamed("source", "p")
-    both = rows.join(chosen, F.col("source").eqNullSafe(F.col("p")))
+    both = rows.join(if_small(chosen, 200), F.col("source").eqNullSafe(F.col("p")))
     return both.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times()).cast("long").alias("taken"))
 
 
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     """The documents' own rows, each as often as the mix takes it."""
     rows = checkpoint(sized(docs, id_col, text_col, source_col))
     chosen = plan(rows, weights, most).select(F.col("source").alias("_p"), *[F.col(c).alias(c) for c in ("epochs", "cut_bucket", "cut_key", "extra_key", "buckets")])
-    often = chosen.select("_p", F.struct("epochs", "cut_bucket", "cut_key", "extra_key", "buckets").alias("_plan"))
+    often = if_small(chosen, 200).select("_p", F.struct("epochs", "cut_bucket", "cut_key", "extra_key", "buckets").alias("_plan"))
     both = docs.withColumn("_key", row_key(id_col, text_col)).join(often, F.col(source_col).eqNullSafe(F.col("_p")))
     names = {c: F.col(f"_plan.{c}") for c in ("epochs", "cut_bucket", "cut_key", "extra_key", "buckets")}
     inner = both.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "_key", *[v.alias(k) for k, v in names.items()])
