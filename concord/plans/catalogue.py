@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.plans import resolution
+from concord.plans import feeds, resolution, scalars
 
-QUERIES: dict = dict(resolution.QUERIES)
-ORACLES: dict[str, str] = dict(resolution.ORACLES)
+QUERIES: dict = resolution.QUERIES | scalars.QUERIES | feeds.QUERIES
+ORACLES: dict[str, str] = resolution.ORACLES | scalars.ORACLES | feeds.ORACLES

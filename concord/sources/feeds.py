@@ -62,7 +62,7 @@ def vision_events(responses: DataFrame, today: str, file_col: str = "file", text
     raw = strip(or_empty(text_col))
     body = F.when(raw.startswith("```"), F.regexp_extract(raw, r"(?s)^```(?:json)?(.*?)(?:```|$)", 1)).otherwise(raw)
     rows = responses.select(file_col, F.from_json(strip(body), VISION_ROWS).alias("all"))
-    weeks = F.filter(F.transform("all", lambda e: F.try_to_date(F.concat(F.lit(today[:4] + "/"), F.regexp_extract(or_empty(e["week_of"]), r"^\s*(\d{1,2}/\d{1,2})", 1)), F.lit("yyyy/M/d"))), lambda d: d.isNotNull())
+    weeks = F.filter(F.transform("all", lambda e: F.try_to_date(F.concat(F.lit(today[:4] + "/"), F.regexp_extract(or_empty(e["week_of"]), r"^\s*(\d{1,2}/\d{1,2})", 1)), "yyyy/M/d")), lambda d: d.isNotNull())
     rows = rows.withColumn("anchor", F.try_element_at(weeks, F.lit(1))).select(file_col, "anchor", F.posexplode("all").alias("row", "e"))
     text = lambda c: none_if_blank(strip(F.col(f"e.{c}")))
     day = F.initcap(strip("e.day_of_week"))
@@ -83,7 +83,7 @@ def two_column_events(items: DataFrame, year: int, file_col: str = "file", artis
     day = r"(?:MON|TUE|WED|THU|FRI|SAT|SUN)\w*\s+(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\w*\s+(\d{1,2})"
     clock_time = r"\b(\d{1,2}(?::\d{2})?\s*(?:AM|PM))\b"
     kind = F.when(F.col("u").rlike(day), "date").when(F.col("u").rlike(clock_time), "time").when(match_venue("u").isNotNull(), "venue")
-    date = F.try_to_date(F.concat(F.initcap(F.regexp_extract("u", day, 1)), F.lit(" "), F.regexp_extract("u", day, 2), F.lit(f" {year}")), F.lit("MMM d yyyy"))
+    date = F.try_to_date(F.concat(F.initcap(F.regexp_extract("u", day, 1)), F.lit(" "), F.regexp_extract("u", day, 2), F.lit(f" {year}")), "MMM d yyyy")
     rows = rows.withColumn("kind", kind).withColumn("date", F.when(F.col("kind") == "date", date)).withColumn("venue", F.when(F.col("kind") == "venue", match_venue("u"))).withColumn("time_start", F.when(F.col("kind") == "time", strip(F.regexp_extract("u", clock_time, 1))))
     column = Window.partitionBy(file_col, "side").orderBy(F.desc("y"), "ord")
     before = column.rowsBetween(Window.unboundedPreceding, -1)
