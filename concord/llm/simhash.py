@@ -73,33 +73,63 @@ def tile_number(counts: list[Column]) -> Column:
     return number
 
 
-def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join two parts as they come."""
-    parent: dict[int, int] = {}
+class Forests:
+    """`layers` spanning forests over n nodes, filled greedily: each edge goes to the first in which it joins two trees.
 
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = parent[x]
-        return x
+    Together they hold, of any set of edges between two parts, all if there are at most `layers`, else that many. So
+    connections survive the loss of fewer edges than that, and of none with one layer.
+    """
 
-    out = []
-    for a, b in pairs:
-        if (ra := root(a)) != (rb := root(b)):
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-    return out
+    def __init__(self, n: int, layers: int):
+        self.parents = [list(range(n)) for _ in range(layers)]
+        self.edges: list[tuple[int, int, int]] = []
+        self.joined = np.arange(n)
+        self.stale = 0
 
+    def root(self, layer: int, x: int) -> int:
+        parent = self.parents[layer]
+        while (up := parent[x]) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
 
-def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool, step: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Positions of pairs within the radius; of one array with itself, each once."""
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Edges that the last layer joined already are passed over at once."""
+        fresh = self.joined[a] != self.joined[b]
+        last = len(self.parents) - 1
+        for x, y in zip(a[fresh].tolist(), b[fresh].tolist()):
+            for layer in range(last + 1):
+                u, v = self.root(layer, x), self.root(layer, y)
+                if u != v:
+                    self.parents[layer][max(u, v)] = min(u, v)
+                    self.edges.append((x, y, layer))
+                    self.stale += layer == last
+                    break
+        if self.stale > len(self.joined) // 64:
+            self.joined = np.array([self.root(last, x) for x in range(len(self.joined))])
+            self.stale = 0
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs within the radius, block by block; of one array with itself, each once."""
     rows = max(1, step // max(1, len(right)))
     for i in range(0, len(left), rows):
         start = i + 1 if same else 0
         near = np.bitwise_count(left[i : i + rows, None] ^ right[None, start:]) <= radius
-        for a, b in zip(*(x.tolist() for x in np.nonzero(near))):
-            if not same or b + start > a + i:
-                yield a + i, b + start
+        a, b = np.nonzero(near)
+        a, b = a + i, b + start
+        if same:
+            a, b = a[b > a], b[b > a]
+        if len(a):
+            yield a, b
+
+
+def linked(left: np.ndarray, right: np.ndarray, radius: int, same: bool, layers: int = 1, forests: Forests | None = None) -> Forests:
+    """Forests over the positions of left and then right (of left alone if they are the same)."""
+    forests = forests or Forests(len(left) + (0 if same else len(right)), layers)
+    for a, b in near_pairs(left, right, radius, same):
+        forests.add(a, b if same else b + len(left))
+    return forests
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
@@ -133,11 +163,14 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         for a, b in zip(edges, edges[1:]):
             k = a + int(np.searchsorted(role[a:b], 1))
             mine, others = fp[a:k].view(np.uint64), fp[k:b].view(np.uint64)
-            everything = np.concatenate([mine, others])
-            pairs = [*near_pairs(mine, mine, radius, True), *((i, j + len(mine)) for i, j in near_pairs(mine, others, radius, False))]
-            if pairs:
-                found = np.array(forest(pairs))
-                yield pa.record_batch({"a": everything[found[:, 0]].view(np.int64), "b": everything[found[:, 1]].view(np.int64)})
+            found = Forests(b - a, 1)
+            for x, y in near_pairs(mine, mine, radius, True):
+                found.add(x, y)
+            for x, y in near_pairs(mine, others, radius, False):
+                found.add(x, y + len(mine))
+            if found.edges:
+                ends = np.array(found.edges)
+                yield pa.record_batch({"a": fp[a:b][ends[:, 0]], "b": fp[a:b][ends[:, 1]]})
 
     return rows.repartition(tasks, "tile", "part").mapInArrow(compare, "a long, b long")
 
@@ -157,12 +190,11 @@ def packed_tiles(fps: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return checkpoint(tiles.groupBy("tile", "pop").applyInArrow(pack, "tile long, pop int, fps binary")), splits
 
 
-def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64) -> DataFrame:
-    """As `links`, for radii at which almost all tiles are near each other: pairs (a, b, distance).
+def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64, layers: int = 1) -> DataFrame:
+    """As `links`, for radii at which almost all tiles are near each other: pairs (a, b, layer).
 
     Tiles hold one population count each, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
-    input so that each is read by about `across` others at most. A pair of tiles returns its spanning forest, nearest
-    pairs first.
+    input so that each is read by about `across` others at most. A pair of tiles returns `layers` spanning forests.
     """
     size = max(tile, -(-fps.count() // across))
     tiles, splits = packed_tiles(fps, size)
@@ -178,13 +210,12 @@ def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64)
             for i in range(batch.num_rows):
                 left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("left", "right"))
                 same = batch.column("tile")[i].as_py() == batch.column("other")[i].as_py()
-                pairs = [(int(left[a] ^ right[b]).bit_count(), int(left[a]), int(right[b])) for a, b in near_pairs(left, right, radius, same, 1 << 17)]
-                distance = {(a, b): d for d, a, b in pairs}
-                found = forest((a, b) for _, a, b in sorted(pairs))
-                if found:
-                    yield pa.record_batch({"a": np.array([a for a, _ in found], np.uint64).view(np.int64), "b": np.array([b for _, b in found], np.uint64).view(np.int64), "distance": pa.array([distance[p] for p in found], pa.int32())})
+                found = linked(left, right, radius, same, layers)
+                if found.edges:
+                    every, ends = (left if same else np.concatenate([left, right])).view(np.int64), np.array(found.edges)
+                    yield pa.record_batch({"a": every[ends[:, 0]], "b": every[ends[:, 1]], "layer": pa.array(ends[:, 2], pa.int32())})
 
-    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long, distance int")
+    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long, layer int")
 
 
 def shingles(text: str, width: int) -> set[int]:
@@ -200,13 +231,18 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+#: Spanning forests of candidates; the layers of each round of verification.
+LAYERS, TRIED = 6, ((0, 1), (1, 3), (3, 6))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id: classes of documents that links join; a link is a SimHash distance of at most `radius` and an
     exact Jaccard similarity of at least `least` on word shingles. Null ids are left out.
 
-    Equal texts are one; each tile pair's candidates form a spanning forest, nearest first, and its links are verified
-    on the whole texts. So no group's pairs are all emitted; a link is lost only if a nearer candidate that fails the
-    verification joined the same two parts of a tile pair.
+    Equal texts are one. Candidates come as spanning forests of the tile pairs, so no group's pairs are all emitted.
+    They are verified on the whole texts, the first forest first; of later ones only candidates between classes that
+    are still apart. A link is lost only if six other candidates, at least, between the same two parts of a tile pair
+    all fail.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -219,18 +255,17 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     prints = checkpoint(rows.withColumn("digest", F.xxhash64("text")).mapInArrow(compute, f"id {kind}, digest long, fp long"))
     units = checkpoint(prints.groupBy("fp", "digest").agg(F.min("id").alias("unit")))
     heads = checkpoint(units.groupBy("fp").agg(F.min("unit").alias("head")))
-    wide = wide_links(heads.select("fp"), radius)
     named = lambda c, n: heads.select(F.col("fp").alias(c), F.col("head").alias(n))
-    across = wide.join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
-    within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"))
-    candidates = checkpoint(across.unionByName(within).distinct())
-    needed = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
+    across = wide_links(heads.select("fp"), radius, layers=LAYERS).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v", "layer")
+    within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"), F.lit(0).alias("layer"))
+    candidates = checkpoint(across.unionByName(within).groupBy("u", "v").agg(F.min("layer").alias("layer")))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
             sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"id": batch.column("id"), "shingles": pa.array(sets, pa.binary())})
 
+    needed = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = checkpoint(rows.join(needed, "id", "left_semi").mapInArrow(shrink, f"id {kind}, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,11 +277,23 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
                 keep.append(common >= least * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep)).select(["u", "v"])
 
-    pairs = candidates.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
-    true = checkpoint(pairs.select("u", "v", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}"))
-    roots = components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("unit"), "root")
-    named = units.join(roots, "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
-    return prints.join(named, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
+    true, roots = None, None
+    for first, end in TRIED:
+        tried = candidates.filter((F.col("layer") >= first) & (F.col("layer") < end)).select("u", "v")
+        if roots is not None:
+            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            tried = tried.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+            tried = checkpoint(tried)
+            if tried.isEmpty():
+                continue
+        pairs = tried.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
+        good = checkpoint(pairs.select("u", "v", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}"))
+        if true is not None and good.isEmpty():
+            continue
+        true = good if true is None else checkpoint(true.unionByName(good))
+        roots = checkpoint(components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    whole = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
+    return prints.join(whole, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
