@@ -20,7 +20,7 @@ from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import byte_batches, checkpoint, table
@@ -231,8 +231,8 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Spanning forests of candidates; the layers of each round of verification.
-LAYERS, TRIED = 6, ((0, 1), (1, 3), (3, 6))
+#: Spanning forests of candidates from each pair of tiles; candidates of a text that a round tries, before all are.
+LAYERS, MOST_TRIED = 4, 32
 
 
 def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,9 +240,9 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     exact Jaccard similarity of at least `least` on word shingles. Null ids are left out.
 
     Equal texts are one. Candidates come as spanning forests of the tile pairs, so no group's pairs are all emitted.
-    They are verified on the whole texts, the first forest first; of later ones only candidates between classes that
-    are still apart. A link is lost only if six other candidates, at least, between the same two parts of a tile pair
-    all fail.
+    They are verified on the whole texts in rounds: of each text one candidate, then twice as many as before, and only
+    between classes that are still apart, until none is left. So a large group costs about a pair a text. A link is
+    lost only if LAYERS other candidates, at least, between the same two parts of a tile pair all fail.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     named = lambda c, n: heads.select(F.col("fp").alias(c), F.col("head").alias(n))
     across = wide_links(heads.select("fp"), radius, layers=LAYERS).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v", "layer")
     within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"), F.lit(0).alias("layer"))
-    candidates = checkpoint(across.unionByName(within).groupBy("u", "v").agg(F.min("layer").alias("layer")))
+    both = across.unionByName(within).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "layer")
+    candidates = checkpoint(both.groupBy("u", "v").agg(F.min("layer").alias("layer")))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
@@ -277,21 +278,23 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
                 keep.append(common >= least * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep)).select(["u", "v"])
 
-    true, roots = None, None
-    for first, end in TRIED:
-        tried = candidates.filter((F.col("layer") >= first) & (F.col("layer") < end)).select("u", "v")
-        if roots is not None:
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            tried = tried.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-            tried = checkpoint(tried)
-            if tried.isEmpty():
-                continue
+    true, roots, most = None, None, 1
+    while not candidates.isEmpty():
+        ends = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v"), "layer"))
+        place = F.row_number().over(Window.partitionBy("u").orderBy("layer", "v"))
+        chosen = ends.withColumn("place", place).filter(F.col("place") <= most) if most <= MOST_TRIED else ends
+        tried = checkpoint(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         pairs = tried.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
         good = checkpoint(pairs.select("u", "v", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}"))
-        if true is not None and good.isEmpty():
-            continue
-        true = good if true is None else checkpoint(true.unionByName(good))
-        roots = checkpoint(components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        if true is None or not good.isEmpty():
+            true = good if true is None else checkpoint(true.unionByName(good))
+            roots = checkpoint(components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        left = candidates.join(tried, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        candidates = checkpoint(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v", "layer"))
+        most *= 2
+    if roots is None:
+        return prints.join(units.select("fp", "digest", F.col("unit").alias("component_id")), ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
     whole = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
     return prints.join(whole, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
 
