@@ -9,6 +9,7 @@ from concord.functions.names import canonicalize, identity_key
 from concord.functions.text import or_empty, strip
 from concord.functions.times import format_time_range, split_time_range, apply_venue_default_time
 from concord.functions.titles import detect_non_music
+from concord.session import checkpoint
 
 
 def not_past(events: DataFrame, cutoff: str | Column) -> DataFrame:
@@ -140,22 +141,26 @@ def irregular_recurrences(events: DataFrame) -> DataFrame:
 
 
 def finalize(events: DataFrame, obs: DataFrame, cutoff: str, aggregator: str = "aggregator") -> tuple[DataFrame, DataFrame]:
-    """The whole chain in its order, as one plan: conflicts, relistings, spellings, slots, times, non-music, dates."""
+    """The whole chain in its order: conflicts, relistings, spellings, slots, times, non-music, dates.
+
+    What a rule has left is written before the next reads it, so no rule's work is repeated in another's plan.
+    """
     from concord.operators.aggregate import canonical_events
 
     def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-        keys = gone.select("identity_key").distinct()
-        return events.join(keys, "identity_key", "left_anti"), obs.join(keys, "identity_key", "left_anti")
+        keys = checkpoint(gone.select("identity_key").distinct())
+        return events.join(keys, "identity_key", "left_anti"), checkpoint(obs.join(keys, "identity_key", "left_anti"))
 
-    events, obs = without(site_over_aggregator(events, obs, aggregator).filter("drop"))
-    events, obs = without(stale_url_relistings(events, obs))
-    events, obs = without(stale_image_relistings(events, obs))
+    obs = checkpoint(obs)
+    events, obs = without(site_over_aggregator(checkpoint(events), obs, aggregator).filter("drop"))
+    events, obs = without(stale_url_relistings(checkpoint(events), obs))
+    events, obs = without(stale_image_relistings(checkpoint(events), obs))
     for field in ("venue", "performer"):
         moved = renamed(events.withColumn("_old", F.col("identity_key")), field)
         names = moved.select(F.col("_old"), F.col("identity_key").alias("_new"), F.col("venue").alias("_venue"), F.col("performer").alias("_performer"))
         obs = obs.join(names, obs["identity_key"] == names["_old"]).withColumn("identity_key", F.col("_new")).withColumn("venue", F.col("_venue")).withColumn("performer", F.col("_performer")).drop("_old", "_new", "_venue", "_performer")
-        obs = distinct_observations(obs)
-        events = canonical_events(obs)
+        obs = checkpoint(distinct_observations(obs))
+        events = checkpoint(canonical_events(obs))
     events = normalize_stored_times(backfill_default_times(events).drop("changed")).drop("changed")
-    events = not_past(dated(only_music(events)), cutoff)
+    events = checkpoint(not_past(dated(only_music(events)), cutoff))
     return events, obs.join(events.select("identity_key"), "identity_key", "left_semi")
