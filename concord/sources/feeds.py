@@ -109,7 +109,7 @@ def roster(spark: SparkSession, path: str, column: str = "performer") -> DataFra
 
     The file is small and has one writer; it is read as one text so that places don't depend on splits.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
     head = lines.filter("ord = 0").select(F.split("line", ",").alias("names"))
     rows = lines.filter("ord > 0").join(F.broadcast(head))  # one row
     at = F.array_position("names", column).cast("int")
