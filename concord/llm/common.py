@@ -33,6 +33,24 @@ def if_small(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+#: What a worker process keeps between tasks, for one operator at a time: (owner, key) -> value.
+HELD: dict[tuple, object] = {}
+
+
+def held(owner: str, key, make):
+    """make(), kept in this worker until another operator keeps something."""
+    if any(o != owner for o, _ in HELD):
+        HELD.clear()
+    if (owner, key) not in HELD:
+        HELD[owner, key] = make()
+    return HELD[owner, key]
+
+
+def release() -> None:
+    """Frees what this worker keeps; a function of this module, so that it reaches the worker's own HELD."""
+    HELD.clear()
+
+
 def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `most` bytes of `column` each, and one row at least."""
     for batch in batches:

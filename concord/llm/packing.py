@@ -21,11 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, row_key, table, tokenizer_file
+from concord.llm.common import byte_batches, held, row_key, table, tokenizer_file
 from concord.llm.token_counts import PieceCache, by_letters, load_tokenizer, segments, words
 
-ENCODERS: dict[str, "Encoder"] = {}
-
 
 class Encoder:
     """Token ids, as little-endian bytes, for tokenizers that drop white space and encode words apart; others encode whole texts."""
@@ -61,9 +59,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    return held("packing", path, lambda: Encoder(path))
 
 
 def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:

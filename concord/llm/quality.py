@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, table
+from concord.llm.common import byte_batches, held, table
 
 BITS = 18
 SAMPLE = 6000
@@ -75,11 +75,8 @@ class Features:
         return index, np.concatenate([weight, share, np.full(len(fixed), 0.5)])
 
 
-FEATURES: dict[int, Features] = {}
-
-
 def features(bits: int) -> Features:
-    return FEATURES.setdefault(bits, Features(bits))
+    return held("quality", bits, lambda: Features(bits))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, checkpoint, table
+from concord.llm.common import byte_batches, checkpoint, release, table
 
 QUARTERS, MOST = 4, 16
 TILE = 4096
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in byte_batches(batches, "text"):
             fps = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch({"id": batch.column("id"), "fp": pa.array(fps.view(np.int64))})
@@ -206,6 +207,7 @@ def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64,
     both = near.join(tiles.select("tile", F.col("fps").alias("left")), "tile").join(tiles.select(F.col("tile").alias("other"), F.col("fps").alias("right")), "other")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("left", "right"))
@@ -232,7 +234,7 @@ def similarity(a: str, b: str, width: int = 5) -> float:
 
 
 #: Spanning forests of candidates from each pair of tiles; candidates of a text that a round tries, before all are.
-LAYERS, MOST_TRIED = 4, 32
+LAYERS, MOST_TRIED = 2, 32
 
 
 def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,6 +250,7 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     kind = rows.schema["id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in byte_batches(batches, "text"):
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "fp": pa.array(fps.view(np.int64))})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, table, tokenizer_file
+from concord.llm.common import byte_batches, held, table, tokenizer_file
 
 #: Unicode white space as the tokenizers' patterns take it; str.isspace() has four control characters more.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -149,14 +149,9 @@ def by_letters(pieces: list[str], space: bool, whole: Callable[[list[str]], list
     return [other[p] if m is None else core[m[1]] + other[m[2]] if m[2] else core[m[1]] for p, m in zip(pieces, found)]
 
 
-COUNTERS: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """One for each worker process, kept between batches and tasks."""
-    if path not in COUNTERS:
-        COUNTERS[path] = Counter(path)
-    return COUNTERS[path]
+    return held("token_counts", path, lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, checkpoint, table
+from concord.llm.common import byte_batches, checkpoint, held, release, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 EXAMPLES = 20_000
@@ -233,17 +233,18 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
     def judged(pairs: Iterator[tuple[list, list]]) -> list[tuple[float, list[int]]]:
         own, out = shared.value, []
+        seen = held("toxicity", id(own), dict)
         for t, c in pairs:
             key = (tuple(t), tuple(c))
-            if key not in JUDGED:
-                if len(JUDGED) > ROOM:
-                    JUDGED.clear()
-                JUDGED[key] = own.score(*key) if own is not None else (base, [])
-            out.append(JUDGED[key])
+            if key not in seen:
+                if len(seen) > ROOM:
+                    seen.clear()
+                seen[key] = own.score(*key) if own is not None else (base, [])
+            out.append(seen[key])
         return out
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        JUDGED.clear()
+        release()
         for batch in batches:
             out = judged(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()))
             yield pa.record_batch({"id": batch.column("id"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
@@ -255,7 +256,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     extract = extractor(words)
 
     def judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        JUDGED.clear()
+        release()
         for batch in byte_batches(batches, "text"):
             out = judged(extract(t) for t in batch.column("text").to_pylist())
             yield pa.record_batch({"row": batch.column("row"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
@@ -267,10 +268,6 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "score", predicted, "evidence")
 
 
-#: Scores of vectors that a worker has judged, for one model at a time.
-JUDGED: dict[tuple, tuple[float, list[int]]] = {}
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
