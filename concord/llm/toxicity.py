@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case words and their first four and five letters. Of a bounded sample of labelled documents, the terms
+Terms are lower-case words and their first four to seven letters. Of a bounded sample of labelled documents, the terms
 that go with the label beyond chance (lower bound of the log odds ratio) are the vocabulary; the inverse document
 frequencies of these terms come from all documents. A document's vector holds its terms' (1 + log tf) * idf, at unit
 length. The sampled examples with equal vectors are one group with its counts of labels.
@@ -32,14 +32,15 @@ from concord.llm.common import byte_batches, checkpoint, held, release, table
 LETTERS = re.compile(r"[^\W\d_]+")
 EXAMPLES = 20_000
 TERMS = 2048
+STEMS = (4, 5, 6, 7)
 NEIGHBOURS = 16
 BLOCK = 64
 EVIDENCE = 3
-ROOM = 400_000
+ROOM = 200_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(word[:n] + "~" for n in (4, 5) if len(word) > n))
+    return (word, *(word[:n] + "~" for n in STEMS if len(word) > n))
 
 
 def document_terms(text: str) -> Counter:
@@ -86,19 +87,18 @@ def vocabulary(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[st
 def extractor(terms: list[str]):
     """A function from a text to its terms' numbers, ascending, and counts."""
     number = {t: i for i, t in enumerate(terms)}
-    heads = {t[:-1] for t in number if t.endswith("~")}
     known: dict[str, tuple[int, ...]] = {}
 
     def extract(text: str) -> tuple[list[int], list[int]]:
         own: Counter = Counter()
         for word, n in Counter(LETTERS.findall(text.lower())).items():
-            if word in number or word[:4] in heads or word[:5] in heads:
-                if word not in known:
-                    if len(known) > ROOM:
-                        known.clear()
-                    known[word] = tuple(number[t] for t in terms_of(word) if t in number)
-                for t in known[word]:
-                    own[t] += n
+            found = known.get(word)
+            if found is None:
+                if len(known) > ROOM:
+                    known.clear()
+                found = known[word] = tuple(number[t] for t in terms_of(word) if t in number)
+            for t in found:
+                own[t] += n
         order = sorted(own)
         return order, [own[t] for t in order]
 

@@ -107,6 +107,6 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), none, ~toxicity.held_out()).collect() == []
 
 
-@pytest.mark.parametrize("word,terms", [("idiot", {"idiot", "idio~"}), ("idiots", {"idiots", "idio~", "idiot~"}), ("bad", {"bad"})])
+@pytest.mark.parametrize("word,terms", [("idiot", {"idiot", "idio~"}), ("idiots", {"idiots", "idio~", "idiot~"}), ("abcdefgh", {"abcdefgh", "abcd~", "abcde~", "abcdef~", "abcdefg~"}), ("bad", {"bad"})])
 def test_terms(word, terms):
     assert set(toxicity.terms_of(word)) == terms
