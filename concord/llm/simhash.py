@@ -302,14 +302,40 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     return prints.join(whole, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: So many distinct edges, some megabytes, are joined in one task; more go through rounds of stars.
+ONE_TASK_EDGES = 200_000
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """edges (a, b) as node, root: the least node of each component.
 
-    Large star: each node's larger neighbours move to its least neighbour. Small star: so do its smaller ones. Both
+    Edges are counted first. Up to `one_task` of them are joined by one union-find. Beyond that: Large star: each node's larger neighbours move to its least neighbour. Small star: so do its smaller ones. Both
     keep the components; when nothing changes, every node hangs from its root.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = checkpoint(edges.filter("a != b").select(low.alias("a"), high.alias("b")).distinct())
+    if now.count() <= one_task:
+        kind = now.schema["a"].dataType.simpleString()
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = parent[up]
+                    x = parent[x]
+                return x
+
+            for batch in batches:
+                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                    a, b = root(a), root(b)
+                    parent[max(a, b)] = min(a, b)
+            nodes = [x for x in parent if root(x) != x]
+            for i in range(0, len(nodes), 50_000):
+                part = nodes[i : i + 50_000]
+                yield pa.record_batch({"node": pa.array(part, batch.schema.field("a").type), "root": pa.array([root(x) for x in part], batch.schema.field("a").type)})
+
+        return now.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
     state = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -97,9 +97,10 @@ def test_split_tiles(spark, monkeypatch):
     assert roots(values, [(x.a, x.b) for x in simhash.links(fps, 2).collect()]) == roots(values, linked)
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_chain_and_a_star(spark, one_task):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 160)}
 
 
