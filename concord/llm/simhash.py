@@ -233,18 +233,151 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+#: Texts whose shingles are counted to tell common ones; members of a shingle's group that are compared at once.
+COUNTED, MEMBERS = 5000, 4096
+
+
+def ordered_prefix(found: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a text's shingles, rare ones first: texts of Jaccard similarity `least` have one of these in common.
+
+    A text shares least * n of its n shingles with any such text, so it can't be without all but these. Any one order of
+    shingles is right; `common` (sorted) and `counts` only keep the groups of equal shingles small.
+    """
+    times = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        times = np.where(common[at] == found, counts[at], 0)
+    keep = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
+    return found[np.lexsort((found, times))[:keep]] if len(found) else np.zeros(1, np.uint64)
+
+
+def group_links(sets: list[np.ndarray], known: list, sides: list[int], least: float) -> Iterator[tuple[int, int]]:
+    """Positions of verified links that join the known classes of a group as all its links do; with two sides, across them."""
+    parent = {c: c for c in known}
+
+    def root(x):
+        while (up := parent[x]) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    size = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    values, starts = np.unique(every[order], return_index=True)
+    ends = np.append(starts[1:], len(every))
+    side = np.array(sides)
+    label = np.array([root(c) for c in known])
+    for x in range(len(sets)):
+        may = (side > side[x]) if side.any() else (np.arange(len(sets)) > x)
+        may &= label != label[x]
+        may &= (size >= least * size[x] - 1e-6) & (size[x] >= least * size - 1e-6)
+        if not may.any():
+            continue
+        at = np.searchsorted(values, sets[x])
+        held = [owner[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist())]
+        both = np.bincount(np.concatenate(held), minlength=len(sets)) if held else np.zeros(len(sets), np.int64)
+        joined = False
+        for y in np.flatnonzero(may & (both >= least * (size[x] + size - both))).tolist():
+            u, v = root(known[x]), root(known[y])
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                joined = True
+                yield x, y
+        if joined:
+            label = np.array([root(c) for c in known])
+
+
+def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, members: int = MEMBERS) -> DataFrame:
+    """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
+
+    texts (id, digest, text); known (unit, digest, class). Two such texts have a shingle of their prefixes in common.
+    Groups of equal prefix shingles that hold several classes are compared on the whole sets, in blocks of about
+    `members`, and return verified links only.
+    """
+    kind = known.schema["unit"].dataType.simpleString()
+
+    def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                yield pa.record_batch({"shingle": pa.array(np.fromiter(shingles(t, width), np.uint64).view(np.int64))})
+
+    chance = F.shiftrightunsigned(F.xxhash64("digest", F.lit(5)), 12) / float(1 << 52)
+    sampled = texts.filter(chance * F.lit(max(1, known.count())) < COUNTED).select("text")
+    # At most half as many numbers as the counted texts have shingles.
+    counted = sampled.mapInArrow(all_shingles, "shingle long").groupBy("shingle").count().filter("count > 1").toArrow()
+    tokens, counts = counted.column("shingle").to_numpy().view(np.uint64), counted.column("count").to_numpy()
+    order = np.argsort(tokens)
+    tokens, counts = tokens[order], counts[order]
+
+    def sorted_set(t: str) -> np.ndarray:
+        return np.sort(np.fromiter(shingles(t, width), np.uint64))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            sets = [sorted_set(t) for t in batch.column("text").to_pylist()]
+            kept = [ordered_prefix(x, least, tokens, counts).view(np.int64) for x in sets]
+            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
+
+    prefixes = texts.mapInArrow(first, f"id {kind}, digest long, n int, kept array<long>").withColumnRenamed("id", "unit")
+    prefixes = checkpoint(prefixes.join(known, ["unit", "digest"]))
+    # The largest text that can still share enough with one of n shingles, the first `at` of which it hasn't.
+    reach = (F.col("n") - F.col("at")) * ((1 + least) / least) - F.col("n") + 1e-6
+    rows = prefixes.select("unit", "digest", "class", "n", F.posexplode("kept").alias("at", "shingle")).select("unit", "digest", "class", "shingle", "n", reach.alias("reach"))
+    live = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.count("*").alias("rows"))
+    live = checkpoint(live.filter("low != high").select("shingle", "shortest", "longest", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
+    rows = rows.join(live, "shingle").filter((F.col("reach") >= F.col("shortest")) & (F.col("longest") >= F.col("n") * least - 1e-6))
+    rows = checkpoint(rows.select("unit", "digest", "class", "shingle", "blocks"))
+    needed = rows.select(F.col("unit").alias("id"), "digest").distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            sets = [sorted_set(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"unit": batch.column("id"), "digest": batch.column("digest"), "whole": pa.array(sets, pa.binary())})
+
+    sets = texts.join(needed, ["id", "digest"], "left_semi").select("id", "digest", "text").mapInArrow(whole, f"unit {kind}, digest long, whole binary")
+    block = F.pmod(F.xxhash64("unit", "digest"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("unit", "digest", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rows = rows.join(sets, ["unit", "digest"]).repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len({c for _, c, _, _ in held}) > 1:
+                names, known_classes, sides, found = zip(*held)
+                pairs = list(group_links(list(found), list(known_classes), list(sides), least))
+                if pairs:
+                    yield pa.record_batch({"u": pa.array([names[a] for a, _ in pairs], unit_type), "v": pa.array([names[b] for _, b in pairs], unit_type)})
+
+        for batch in batches:
+            unit_type = batch.schema.field("unit").type
+            columns = [batch.column(c).to_pylist() for c in ("shingle", "i", "j", "unit", "class", "side")]
+            stored = batch.column("whole")
+            for row, (shingle, i, j, unit, known_class, side) in enumerate(zip(*columns)):
+                if (shingle, i, j) != now:
+                    yield from done()
+                    now, held = (shingle, i, j), []
+                held.append((unit, known_class, side, np.frombuffer(stored[row].as_py(), np.uint64)))
+        yield from done()
+
+    return checkpoint(rows.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, f"u {kind}, v {kind}")).distinct()
+
+
 #: Spanning forests of candidates from each pair of tiles; candidates of a text that a round tries, before all are.
-LAYERS, MOST_TRIED = 2, 32
+LAYERS, MOST_TRIED = 1, 32
 
 
 def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id: classes of documents that links join; a link is a SimHash distance of at most `radius` and an
-    exact Jaccard similarity of at least `least` on word shingles. Null ids are left out.
+    """id, component_id: classes of documents that links join; a link is an exact Jaccard similarity of at least `least`
+    on word shingles. Null ids are left out.
 
-    Equal texts are one. Candidates come as spanning forests of the tile pairs, so no group's pairs are all emitted.
-    They are verified on the whole texts in rounds: of each text one candidate, then twice as many as before, and only
-    between classes that are still apart, until none is left. So a large group costs about a pair a text. A link is
-    lost only if LAYERS other candidates, at least, between the same two parts of a tile pair all fail.
+    Equal texts are one. First, candidates within the SimHash `radius` come as spanning forests of the tile pairs, so no
+    group's pairs are all emitted. They are verified on the whole texts in rounds: of each text one candidate, then twice
+    as many as before, and only between classes that are still apart, until none is left. So a large group costs about
+    a pair a text. Then `exact_links` finds every link between the classes that these leave apart, whatever its distance.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -297,7 +430,11 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
         candidates = checkpoint(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v", "layer"))
         most *= 2
     if roots is None:
-        return prints.join(units.select("fp", "digest", F.col("unit").alias("component_id")), ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
+        true, roots = units.select(F.col("unit").alias("u"), F.col("unit").alias("v")).limit(0), units.select(F.col("unit").alias("node"), F.col("unit").alias("root")).limit(0)
+    known = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "digest", F.coalesce("root", "unit").alias("class"))
+    more = exact_links(rows.select("id", F.xxhash64("text").alias("digest"), "text"), checkpoint(known), least, width)
+    if not more.isEmpty():
+        roots = checkpoint(components(true.unionByName(more).select(F.col("u").alias("a"), F.col("v").alias("b"))))
     whole = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
     return prints.join(whole, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
 

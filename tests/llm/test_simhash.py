@@ -135,3 +135,26 @@ def test_forests_keep_small_cuts():
         mine = {e for e in edges if node in e}
         assert len(kept & mine) >= min(3, len(mine))
     assert max(layer for *_, layer in f.edges) == 2 and len(kept) <= 3 * 39
+
+
+def words_of(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def near_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_every_copy_in_a_dense_family_is_joined(spark):
+    r = random.Random(5)
+    shared, texts = words_of(r, 225), []
+    for _ in range(150):
+        own = shared + words_of(r, 75)
+        copy = list(own)
+        for i in r.sample(range(300), 3):
+            copy[i] = words_of(r, 1)[0]
+        texts += [" ".join(own), " ".join(copy)]
+    linked = [(a, b) for a, b in itertools.combinations(range(300), 2) if simhash.similarity(texts[a], texts[b]) >= 0.8]
+    assert len(linked) >= 140
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(near_rows(spark, texts)).collect()}
+    assert got == roots(range(300), linked)
