@@ -233,8 +233,8 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Texts whose shingles are counted to tell common ones; members of a shingle's group that are compared at once.
-COUNTED, MEMBERS = 5000, 4096
+#: Texts whose shingles are counted to tell common ones; members of a shingle's group that are paired at once, or compared.
+COUNTED, FEW, MEMBERS = 20_000, 32, 4096
 
 
 def ordered_prefix(found: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -289,12 +289,24 @@ def group_links(sets: list[np.ndarray], known: list, sides: list[int], least: fl
             label = np.array([root(c) for c in known])
 
 
-def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, members: int = MEMBERS) -> DataFrame:
+def few_pairs(start: int, unit: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
+    """Pairs of one shingle's rows of different classes whose sizes allow a link: positions, and whether their places do
+    if this is the first shingle that they have in common."""
+    a, b = np.triu_indices(len(unit), 1)
+    near = (label[a] != label[b]) & (n[a] >= least * n[b] - 1e-6) & (n[b] >= least * n[a] - 1e-6)
+    a, b = a[near], b[near]
+    swap = unit[a] > unit[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return a + start, b + start, np.minimum(n[a] - at[a], n[b] - at[b]) >= least / (1 + least) * (n[a] + n[b]) - 1e-6
+
+
+def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
     """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
 
-    texts (id, digest, text); known (unit, digest, class). Two such texts have a shingle of their prefixes in common.
-    Groups of equal prefix shingles that hold several classes are compared on the whole sets, in blocks of about
-    `members`, and return verified links only.
+    texts (id, digest, text); known (unit, digest, class), ids are whole numbers. Two such texts have a shingle of their
+    prefixes in common. Of `few` rows or less with an equal shingle, the pairs of different classes are listed, and
+    compared on the whole sets if their places and their number of common prefix shingles allow it. Larger groups are
+    compared on the whole sets in blocks of about `members`, and return verified links only.
     """
     kind = known.schema["unit"].dataType.simpleString()
 
@@ -321,26 +333,87 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, me
             yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
 
     prefixes = texts.mapInArrow(first, f"id {kind}, digest long, n int, kept array<long>").withColumnRenamed("id", "unit")
-    prefixes = checkpoint(prefixes.join(known, ["unit", "digest"]))
-    # The largest text that can still share enough with one of n shingles, the first `at` of which it hasn't.
-    reach = (F.col("n") - F.col("at")) * ((1 + least) / least) - F.col("n") + 1e-6
-    rows = prefixes.select("unit", "digest", "class", "n", F.posexplode("kept").alias("at", "shingle")).select("unit", "digest", "class", "shingle", "n", reach.alias("reach"))
-    live = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.count("*").alias("rows"))
-    live = checkpoint(live.filter("low != high").select("shingle", "shortest", "longest", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
-    rows = rows.join(live, "shingle").filter((F.col("reach") >= F.col("shortest")) & (F.col("longest") >= F.col("n") * least - 1e-6))
-    rows = checkpoint(rows.select("unit", "digest", "class", "shingle", "blocks"))
-    needed = rows.select(F.col("unit").alias("id"), "digest").distinct()
+    prefixes = prefixes.join(known, ["unit", "digest"]).select(F.col("unit").cast("long"), F.col("class").cast("long"), "n", F.posexplode("kept").alias("at", "shingle"))
+    kinds = {"shingle": pa.int64(), "unit": pa.int64(), "class": pa.int64(), "n": pa.int32(), "reach": pa.float64(), "shortest": pa.int32(), "rows": pa.int64(), "u": pa.int64(), "v": pa.int64(), "nu": pa.int32(), "nv": pa.int32(), "ok": pa.bool_()}
+    ddl = "shingle long, unit long, class long, n int, reach double, shortest int, rows long, u long, v long, nu int, nv int, ok boolean"
+
+    def given(columns: dict) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.record_batch({k: pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+
+        def groups(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            shingle, unit, label, n, at = t
+            edges = np.flatnonzero(np.diff(shingle)) + 1
+            starts, ends = np.append(0, edges), np.append(edges, len(shingle))
+            found, count = [], 0
+            for i, j in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                if (label[i:j] == label[i]).all():
+                    continue
+                if j - i <= few:
+                    found.append(few_pairs(i, unit[i:j], label[i:j], n[i:j], at[i:j], least))
+                    count += len(found[-1][0])
+                    if count > 50_000 or j == ends[-1]:
+                        a, b, ok = map(np.concatenate, zip(*found))
+                        yield given({"u": unit[a], "v": unit[b], "nu": n[a], "nv": n[b], "ok": ok})
+                        found, count = [], 0
+                else:
+                    # The largest text that can still share enough with one of n shingles, the first `at` of which it hasn't.
+                    reach = (n[i:j] - at[i:j]) * ((1 + least) / least) - n[i:j] + 1e-6
+                    yield given({"shingle": shingle[i:j], "unit": unit[i:j], "class": label[i:j], "n": n[i:j], "reach": reach, "shortest": np.full(j - i, n[i:j].min()), "rows": np.full(j - i, j - i)})
+            if found:
+                a, b, ok = map(np.concatenate, zip(*found))
+                yield given({"u": unit[a], "v": unit[b], "nu": n[a], "nv": n[b], "ok": ok})
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("shingle", "unit", "class", "n", "at")]
+            now = now if carry is None else [np.concatenate(x) for x in zip(carry, now)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            carry = [x[cut:] for x in now]
+            if cut:
+                yield from groups([x[:cut] for x in now])
+        if carry is not None and len(carry[0]):
+            yield from groups(carry)
+
+    grouped = prefixes.repartition("shingle").sortWithinPartitions("shingle").select("shingle", "unit", "class", "n", "at")
+    grouped = checkpoint(grouped.mapInArrow(gather, ddl))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
             sets = [sorted_set(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"unit": batch.column("id"), "digest": batch.column("digest"), "whole": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"unit": batch.column("id"), "whole": pa.array(sets, pa.binary())})
 
-    sets = texts.join(needed, ["id", "digest"], "left_semi").select("id", "digest", "text").mapInArrow(whole, f"unit {kind}, digest long, whole binary")
-    block = F.pmod(F.xxhash64("unit", "digest"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("unit", "digest", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = rows.join(sets, ["unit", "digest"]).repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    many = grouped.filter("rows IS NOT NULL")
+    hot = many.groupBy(F.col("unit").alias("u")).agg(F.count("*").alias("hot"))
+    rest = lambda n: F.greatest(F.ceil(F.col(n) * least - 1e-9) - 1, F.lit(0))
+    pairs = grouped.filter("u IS NOT NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("both"), F.max("ok").alias("ok")).filter("ok").join(hot, "u", "left")
+    # What prefixes share, and at most the rest of one of both texts: of that whose prefix ends first.
+    pairs = pairs.filter(F.col("both") + F.coalesce("hot", F.lit(0)) + F.greatest(rest("nu"), rest("nv")) >= least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6)
+    pairs = checkpoint(pairs.select("u", "v").distinct())
+    many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(many.select(F.col("unit").alias("id"))).distinct()
+    wanted = texts.join(known.select(F.col("unit").alias("id"), "digest").join(needed, "id", "left_semi"), ["id", "digest"], "left_semi")
+    sets = checkpoint(wanted.select("id", "text").mapInArrow(whole, f"unit {kind}, whole binary").withColumn("unit", F.col("unit").cast("long")))
+    both = pairs.join(sets.select(F.col("unit").alias("u"), F.col("whole").alias("x")), "u").join(sets.select(F.col("unit").alias("v"), F.col("whole").alias("y")), "v")
+    true = checkpoint(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+
+    block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
+    rows = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("unit", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    rows = rows.join(sets, "unit").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -363,7 +436,7 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, me
                 held.append((unit, known_class, side, np.frombuffer(stored[row].as_py(), np.uint64)))
         yield from done()
 
-    return checkpoint(rows.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, f"u {kind}, v {kind}")).distinct()
+    return checkpoint(rows.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, "u long, v long")).unionByName(true).select(F.col("u").cast(kind), F.col("v").cast(kind)).distinct()
 
 
 #: Spanning forests of candidates from each pair of tiles; candidates of a text that a round tries, before all are.

@@ -158,3 +158,35 @@ def test_every_copy_in_a_dense_family_is_joined(spark):
     assert len(linked) >= 140
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(near_rows(spark, texts)).collect()}
     assert got == roots(range(300), linked)
+
+
+def test_edited_passages_beyond_the_radius(spark):
+    r = random.Random(8)
+    texts, far = [], 0
+    for k in range(200):
+        own = words_of(r, r.randint(100, 400))
+        n = len(own)
+        if k % 3 == 0:
+            copy = own + words_of(r, int(n * 0.2))
+        elif k % 3 == 1:
+            copy = own[: n // 3] + words_of(r, int(n * 0.08)) + own[n // 3 + int(n * 0.08) :]
+        else:
+            copy = own + own[:6] * n  # one line repeated
+        pair = " ".join(own), " ".join(copy)
+        texts += pair
+        far += simhash.similarity(*pair) >= 0.8 and (simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])).bit_count() > 11
+    assert far >= 20
+    linked = [(2 * k, 2 * k + 1) for k in range(200) if simhash.similarity(texts[2 * k], texts[2 * k + 1]) >= 0.8]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(near_rows(spark, texts)).collect()}
+    assert got == roots(range(400), linked)
+
+
+@pytest.mark.parametrize("few, members", [(1, 3), (1, 1000), (2, 4), (32, 1000)])
+def test_exact_links_alone(docs, few, members):
+    rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
+    texts = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id AS id", "coalesce(text, '') AS text").selectExpr("id", "xxhash64(text) AS digest", "text")
+    known = texts.selectExpr("id AS unit", "digest", "id AS class").distinct()
+    found = [(x.u, x.v) for x in simhash.exact_links(texts, known, 0.8, 5, few=few, members=members).collect()]
+    assert all(simhash.similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
+    linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
+    assert roots(rows, found) == roots(rows, linked)
