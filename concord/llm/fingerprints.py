@@ -6,9 +6,9 @@ three tables of cells; an element goes to one cell of each, where its sign, its
 differ, peeling cells that hold one element recovers every differing digest with its side. One table is peeled at a
 time, so no element is taken twice. Pairs that don't come out empty are tried again with larger tables.
 
-`diff` works on all elements. A fingerprint holds a sample of them whose size doesn't depend on the text's length:
-those whose digests end in `level` zero bits, for the least level that leaves about KEEP. It is the level, the number
-of distinct pieces and the cells, as hexadecimal text. Two fingerprints are compared at the higher of their levels.
+`diff` and the likeness of two texts work on all elements. The fingerprint that is shown holds a sample of them whose
+size doesn't depend on the text's length: those whose digests end in `level` zero bits, for the least level that leaves
+about KEEP. It is the level, the number of distinct pieces and the cells, as hexadecimal text.
 Likeness is the share of common elements in all of both texts' elements; of two texts without any it is 1.
 
 Nulls are empty texts; an empty text's fingerprint has no cells. Rows with equal ids are documents of their own, in
@@ -144,37 +144,36 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     both = both.select("id", *KEY, "n_chars", "text", "next_text", edited.alias("edited"))
     both = both.select("id", *KEY, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), elements(F.col("text")).alias("all"), elements(F.col("edited")).alias("edited_all"), elements(F.col("next_text")).alias("next_all"))
-    kept = [f(c).alias(f"{n}_{k}") for n, c in (("own", "all"), ("edited", "edited_all"), ("next", "next_all")) for k, f in (("n", F.size), ("kept", lambda c: at_level(F.col(c), level_of(F.size(c)))))]
-    rows = checkpoint(both.select("id", *KEY, "n_chars", "edited_sha256", *kept)).repartition(*KEY)
+    counts = [F.size(c).alias(f"{n}_n") for n, c in (("own", "all"), ("edited", "edited_all"), ("next", "next_all"))]
+    rows = checkpoint(both.select("*", *counts)).repartition(*KEY)
+    kept = lambda n, c: at_level(F.col(c), level_of(F.col(n))).alias("kept")
 
-    prints = rows.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("own_kept").alias("kept")), F.struct(F.lit(1).alias("which"), F.col("edited_kept").alias("kept")))).alias("p"))
+    prints = rows.select(*KEY, F.explode(F.array(F.struct(F.lit(0).alias("which"), kept("own_n", "all")), F.struct(F.lit(1).alias("which"), kept("edited_n", "edited_all")))).alias("p"))
     cells = sketch(prints.select(*KEY, "p.which", F.explode("p.kept").alias("digest"), F.lit(1).alias("sign")), [*KEY, "which"], SIZES[0])
     text_cell = F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("n"), 2, "0"), F.lpad(F.hex("digests"), 16, "0"), F.lpad(F.hex("checks"), 8, "0"))
     joined = lambda w: F.concat_ws("", F.array_sort(F.collect_list(F.when(F.col("which") == w, text_cell))))
     prints = cells.groupBy(*KEY).agg(F.lower(joined(0)).alias("own_cells"), F.lower(joined(1)).alias("edited_cells"))
 
-    def pair(which: int, n: str, kept: str) -> Column:
-        level = level_of(F.greatest("own_n", n))
-        return F.struct(F.lit(which).alias("which"), at_level(F.col("own_kept"), level).alias("a"), at_level(F.col(kept), level).alias("b"))
-
-    pairs = rows.select(*KEY, F.explode(F.array(pair(0, "edited_n", "edited_kept"), pair(1, "next_n", "next_kept"))).alias("p")).select(*KEY, "p.*")
-    found = differences(pairs, [*KEY, "which"], "a", "b")
-    apart = found.select(*KEY, "which", (F.size("only_left") + F.size("only_right")).alias("apart"))
+    pair = lambda which, c: F.struct(F.lit(which).alias("which"), F.col("all").alias("a"), F.col(c).alias("b"))
+    pairs = rows.select(*KEY, F.explode(F.array(pair(0, "edited_all"), pair(1, "next_all"))).alias("p")).select(*KEY, "p.*")
+    # The last table has cells for all elements of the largest pair.
+    most = rows.agg(F.max(F.col("own_n") + F.greatest("edited_n", "next_n"))).first()[0] or 0
+    found = differences(pairs, [*KEY, "which"], "a", "b", SIZES + ((most,) if most > SIZES[-1] else ()))
+    apart = found.select(*KEY, "which", F.when(F.col("recovered"), F.size("only_left") + F.size("only_right")).otherwise(-1).alias("apart"))
     apart = apart.groupBy(*KEY).agg(F.max(F.when(F.col("which") == 0, F.col("apart"))).alias("edited_apart"), F.max(F.when(F.col("which") == 1, F.col("apart"))).alias("next_apart"))
 
-    def likeness(n: str, kept: str, different: str) -> Column:
-        level = level_of(F.greatest("own_n", n))
-        total = F.size(at_level(F.col("own_kept"), level)) + F.size(at_level(F.col(kept), level))
-        off = F.coalesce(different, F.lit(0))
-        empty = F.when(F.col("own_n") + F.col(n) == 0, 1.0).otherwise(0.0)
-        return F.when(total + off > 0, F.greatest(F.lit(0.0), (total - off) / (total + off))).otherwise(empty)
+    def likeness(n: str, other: str, different: str) -> Column:
+        total = F.col("own_n") + F.col(n)
+        # Of a pair that no table recovered, the digests themselves are compared.
+        off = F.when(F.col(different) < 0, total - 2 * F.size(F.array_intersect("all", other))).otherwise(F.coalesce(different, F.lit(0)))
+        return F.when(total > 0, (total - off) / (total + off)).otherwise(1.0)
 
     def shown(n: str, cells: str) -> Column:
         return F.concat(F.lpad(F.lower(F.hex(level_of(F.col(n)))), 2, "0"), F.lpad(F.lower(F.hex(n)), 8, "0"), F.coalesce(cells, F.lit("")))
 
     out = rows.join(prints, KEY, "left").join(apart, KEY, "left").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", shown("own_n", "own_cells").alias("fingerprint"), shown("edited_n", "edited_cells").alias("edited_fingerprint"),
-        likeness("edited_n", "edited_kept", "edited_apart").alias("near_edited"), likeness("next_n", "next_kept", "next_apart").alias("near_next"),
+        likeness("edited_n", "edited_all", "edited_apart").alias("near_edited"), likeness("next_n", "next_all", "next_apart").alias("near_next"),
     )
     return out
 

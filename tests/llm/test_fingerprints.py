@@ -60,3 +60,15 @@ def test_larger_tables_are_tried(spark):
     versions = spark.createDataFrame([(1, text, "")], "id long, old string, new string")
     got = fp.diff(versions, "id", "old", "new", sizes=(8, 16, 512)).first()
     assert got.recovered and len(got.only_left) == 200
+
+
+def test_likeness_of_long_texts_is_exact(spark):
+    base = [f"paragraph {i}" for i in range(1500)]
+    texts = ["\n".join(base), "\n".join([*base[:700], "changed", *base[701:]]), "\n".join(f"other {i}" for i in range(900)), "\n".join(base[:400])]
+    got = {r.doc_id: r for r in fp.compare(frame(spark, [(i, t, "x", 1, "y") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        nxt = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        for name, other in (("near_edited", text[: len(text) - half] + nxt[:half]), ("near_next", nxt)):
+            a, b = pieces(text), pieces(other)
+            assert abs(got[i][name] - len(a & b) / len(a | b)) < 1e-9, (i, name)
