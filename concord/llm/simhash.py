@@ -5,11 +5,11 @@ within the radius differ by at most the radius in the sum of those counts' dista
 compared, exactly, with numpy exclusive-or and bit counts; all other pairs are skipped. Full tiles are split. Each tile
 returns a spanning forest of its links, which has the same components as all of them.
 
-Classes: components of the links by alternating large and small stars, one written table a round. Copies share a
-fingerprint and are never paired.
+Classes: components of the links by union-find within tasks and large and small stars between them, in written tables.
+Copies share a fingerprint and are never paired.
 
-Nulls are empty texts; texts without words have fingerprint 0, which is linked like any other; a null id is never a
-class's id unless all are null; repeated rows are linked by their equal fingerprints; an empty table gives an empty
+Nulls are empty texts; texts without words have fingerprint 0, which is linked like any other; a null id is a document
+of its own and never a class's id unless all are null; repeated rows are linked by their equal fingerprints; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, checkpoint, release, table
+from concord.llm.common import byte_batches, checkpoint, if_small, release, table
 
 QUARTERS, MOST = 4, 16
 TILE = 4096
@@ -74,40 +74,33 @@ def tile_number(counts: list[Column]) -> Column:
     return number
 
 
-class Forests:
-    """`layers` spanning forests over n nodes, filled greedily: each edge goes to the first in which it joins two trees.
+class Forest:
+    """A spanning forest of n nodes: of the edges that are added, those that join two trees are kept."""
 
-    Together they hold, of any set of edges between two parts, all if there are at most `layers`, else that many. So
-    connections survive the loss of fewer edges than that, and of none with one layer.
-    """
-
-    def __init__(self, n: int, layers: int):
-        self.parents = [list(range(n)) for _ in range(layers)]
-        self.edges: list[tuple[int, int, int]] = []
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.edges: list[tuple[int, int]] = []
         self.joined = np.arange(n)
         self.stale = 0
 
-    def root(self, layer: int, x: int) -> int:
-        parent = self.parents[layer]
+    def root(self, x: int) -> int:
+        parent = self.parent
         while (up := parent[x]) != x:
             parent[x] = parent[up]
             x = parent[x]
         return x
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Edges that the last layer joined already are passed over at once."""
+        """Edges within a tree known before are passed over at once."""
         fresh = self.joined[a] != self.joined[b]
-        last = len(self.parents) - 1
         for x, y in zip(a[fresh].tolist(), b[fresh].tolist()):
-            for layer in range(last + 1):
-                u, v = self.root(layer, x), self.root(layer, y)
-                if u != v:
-                    self.parents[layer][max(u, v)] = min(u, v)
-                    self.edges.append((x, y, layer))
-                    self.stale += layer == last
-                    break
+            u, v = self.root(x), self.root(y)
+            if u != v:
+                self.parent[max(u, v)] = min(u, v)
+                self.edges.append((x, y))
+                self.stale += 1
         if self.stale > len(self.joined) // 64:
-            self.joined = np.array([self.root(last, x) for x in range(len(self.joined))])
+            self.joined = np.array([self.root(x) for x in range(len(self.joined))])
             self.stale = 0
 
 
@@ -125,55 +118,67 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int, same: bool, ste
             yield a, b
 
 
-def linked(left: np.ndarray, right: np.ndarray, radius: int, same: bool, layers: int = 1, forests: Forests | None = None) -> Forests:
-    """Forests over the positions of left and then right (of left alone if they are the same)."""
-    forests = forests or Forests(len(left) + (0 if same else len(right)), layers)
+def linked(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Forest:
+    """A forest over the positions of left and then right (of left alone if they are the same)."""
+    forest = Forest(len(left) + (0 if same else len(right)))
     for a, b in near_pairs(left, right, radius, same):
-        forests.add(a, b if same else b + len(left))
-    return forests
+        forest.add(a, b if same else b + len(left))
+    return forest
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """fps (fp), distinct, as pairs (a, b) that connect the same fingerprints as all pairs within the radius."""
+    """fps (fp), distinct, as pairs (a, b) that connect the same fingerprints as all pairs within the radius.
+
+    A tile's own rows are split into parts of about TILE, and so are the rows of its neighbours (guests). Each pair of a
+    part with a later one or with a part of the guests is one piece of work, so none is larger than that.
+    """
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"c{k}") for k in range(QUARTERS)]
     cells = [F.col(f"c{k}") for k in range(QUARTERS)]
     own = checkpoint(fps.select("fp", *counts).withColumn("tile", tile_number(cells)))
-    # At most 17**4 tiles, whatever the input.
-    splits = F.broadcast(own.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("splits")))
-    part = F.pmod(F.xxhash64("fp"), F.col("splits")).cast("int")
-    homes = own.join(splits, "tile").withColumn("part", part)
-    lead = homes.select("tile", "part", F.lit(0).alias("role"), "fp")
-    later = homes.filter("part > 0").select("tile", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part"), F.lit(1).alias("role"), "fp")
     near = F.array(*[F.struct(*[F.lit(x).alias(f"o{k}") for k, x in enumerate(o)]) for o in offsets(radius)])
     moved = own.select("fp", *cells, F.explode(near).alias("o")).select("fp", *[(F.col(f"c{k}") - F.col(f"o.o{k}")).alias(f"c{k}") for k in range(QUARTERS)])
-    moved = moved.filter(" AND ".join(f"c{k} BETWEEN 0 AND {MOST}" for k in range(QUARTERS))).select("fp", tile_number(cells).alias("tile")).join(splits, "tile")
-    guests = moved.select("tile", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"), F.lit(1).alias("role"), "fp")
-    rows = lead.unionByName(later).unionByName(guests)
-    tasks = max(1, own.count() * (len(offsets(radius)) + 1) // ROWS_A_TASK)
+    moved = moved.filter(" AND ".join(f"c{k} BETWEEN 0 AND {MOST}" for k in range(QUARTERS))).select("fp", tile_number(cells).alias("tile"))
+    # At most 17**4 tiles, whatever the input.
+    sizes = own.groupBy("tile").agg(F.count("*").alias("n")).join(moved.groupBy("tile").agg(F.count("*").alias("g")), "tile", "left")
+    sizes = sizes.select("tile", "n", F.coalesce("g", F.lit(0)).alias("g"))
+    sizes = checkpoint(sizes.select("*", F.ceil(F.col("n") / TILE).cast("int").alias("splits"), F.greatest(F.ceil(F.col("g") / TILE), F.lit(1)).cast("int").alias("sides")))
+    work = sizes.agg(F.sum(F.col("n") * (F.col("splits") + F.col("sides")) + F.col("g") * F.col("splits"))).first()[0] or 0
+    splits = F.broadcast(sizes.select("tile", "splits", "sides"))
+    spread = lambda name, first, last: F.explode(F.sequence(first, last)).alias(name)
+    homes = own.join(splits, "tile").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("splits")).cast("int"))
+    # Work is named by tile, part and other: a later part (below 0) or a part of the guests.
+    lead = homes.select("tile", "part", spread("other", F.lit(0), F.col("sides") - 1), F.lit(0).alias("role"), "fp")
+    ahead = homes.filter("part < splits - 1").select("tile", "part", spread("other", -F.col("splits") + 1, -F.col("part") - 1), F.lit(0).alias("role"), "fp")
+    later = homes.filter("part > 0").select("tile", (-F.col("part")).alias("other"), "fp", "part").select("tile", spread("part", F.lit(0), F.col("part") - 1), "other", F.lit(1).alias("role"), "fp")
+    guests = moved.join(splits, "tile").withColumn("other", F.pmod(F.xxhash64("fp"), F.col("sides")).cast("int"))
+    guests = guests.select("tile", spread("part", F.lit(0), F.col("splits") - 1), "other", F.lit(1).alias("role"), "fp")
+    rows = lead.unionByName(ahead).unionByName(later).unionByName(guests)
+    tasks = max(1, work // ROWS_A_TASK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        where = t.column("tile").to_numpy().astype(np.int64) << 32 | t.column("part").to_numpy()
-        role, fp = t.column("role").to_numpy(), t.column("fp").to_numpy()
-        order = np.lexsort((fp, role, where))
-        where, role, fp = where[order], role[order], fp[order]
-        edges = np.flatnonzero(np.diff(where, prepend=where[0] - 1, append=where[-1] + 1))
+        tile, part, other, role, fp = (t.column(c).to_numpy() for c in ("tile", "part", "other", "role", "fp"))
+        order = np.lexsort((fp, role, other, part, tile))
+        tile, part, other, role, fp = (x[order] for x in (tile, part, other, role, fp))
+        new = (np.diff(tile) != 0) | (np.diff(part) != 0) | (np.diff(other) != 0)
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]]).tolist()
         for a, b in zip(edges, edges[1:]):
             k = a + int(np.searchsorted(role[a:b], 1))
             mine, others = fp[a:k].view(np.uint64), fp[k:b].view(np.uint64)
-            found = Forests(b - a, 1)
-            for x, y in near_pairs(mine, mine, radius, True):
-                found.add(x, y)
+            found = Forest(b - a)
+            if other[a] == 0:
+                for x, y in near_pairs(mine, mine, radius, True):
+                    found.add(x, y)
             for x, y in near_pairs(mine, others, radius, False):
                 found.add(x, y + len(mine))
             if found.edges:
                 ends = np.array(found.edges)
                 yield pa.record_batch({"a": fp[a:b][ends[:, 0]], "b": fp[a:b][ends[:, 1]]})
 
-    return rows.repartition(tasks, "tile", "part").mapInArrow(compare, "a long, b long")
+    return rows.repartition(tasks, "tile", "part", "other").mapInArrow(compare, "a long, b long")
 
 
 def packed_tiles(fps: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -191,11 +196,11 @@ def packed_tiles(fps: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return checkpoint(tiles.groupBy("tile", "pop").applyInArrow(pack, "tile long, pop int, fps binary")), splits
 
 
-def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64, layers: int = 1) -> DataFrame:
-    """As `links`, for radii at which almost all tiles are near each other: pairs (a, b, layer).
+def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64) -> DataFrame:
+    """As `links`, for radii at which almost all tiles are near each other: pairs (a, b).
 
     Tiles hold one population count each, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
-    input so that each is read by about `across` others at most. A pair of tiles returns `layers` spanning forests.
+    input so that each is read by about `across` others at most. A pair of tiles returns a spanning forest.
     """
     size = max(tile, -(-fps.count() // across))
     tiles, splits = packed_tiles(fps, size)
@@ -212,12 +217,12 @@ def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64,
             for i in range(batch.num_rows):
                 left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("left", "right"))
                 same = batch.column("tile")[i].as_py() == batch.column("other")[i].as_py()
-                found = linked(left, right, radius, same, layers)
+                found = linked(left, right, radius, same)
                 if found.edges:
                     every, ends = (left if same else np.concatenate([left, right])).view(np.int64), np.array(found.edges)
-                    yield pa.record_batch({"a": every[ends[:, 0]], "b": every[ends[:, 1]], "layer": pa.array(ends[:, 2], pa.int32())})
+                    yield pa.record_batch({"a": every[ends[:, 0]], "b": every[ends[:, 1]]})
 
-    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long, layer int")
+    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long")
 
 
 def shingles(text: str, width: int) -> set[int]:
@@ -300,15 +305,52 @@ def few_pairs(start: int, unit: np.ndarray, label: np.ndarray, n: np.ndarray, at
     return a + start, b + start, np.minimum(n[a] - at[a], n[b] - at[b]) >= least / (1 + least) * (n[a] + n[b]) - 1e-6
 
 
-def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
+def texts_of(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """rows (id, digest, tag, ...) of the units' first documents, with unit; units (unit, first, digest, tag, ...)."""
+    named = units.select(F.col("digest").alias("_d"), F.col("tag").alias("_t"), "first", *[c for c in units.columns if c not in ("digest", "tag", "first")])
+    return rows.join(named, (F.col("digest") == F.col("_d")) & (F.col("tag") == F.col("_t")) & F.col("id").eqNullSafe(F.col("first"))).drop("_d", "_t", "first")
+
+
+def unit_sets(rows: DataFrame, units: DataFrame, width: int) -> DataFrame:
+    """unit, whole: the sorted set of shingles, as bytes, of each of the units' texts. Few units are broadcast once counted."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches, "text"):
+            sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"unit": batch.column("unit"), "whole": pa.array(sets, pa.binary())})
+
+    found = texts_of(rows, if_small(checkpoint(units.select("unit", "first", "digest", "tag")), 40)).select("unit", "text")
+    return checkpoint(found.mapInArrow(shrink, "unit long, whole binary").groupBy("unit").agg(F.min("whole").alias("whole")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the (checkpointed) pairs (u, v) whose sets have a Jaccard similarity of at least `least`."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    # Few pairs leave the sets that they don't need in place.
+    few = if_small(pairs, 24)
+    second = sets.select(F.col("unit").alias("v"), F.col("whole").alias("y")).join(few.select("v"), "v", "left_semi")
+    both = few.join(sets.select(F.col("unit").alias("u"), F.col("whole").alias("x")), "u").join(second, "v")
+    return checkpoint(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+
+
+def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
     """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
 
-    texts (id, digest, text); known (unit, digest, class), ids are whole numbers. Two such texts have a shingle of their
+    rows (id, digest, tag, text); known (unit, first, digest, tag, class): the units' first documents. Two such texts have a shingle of their
     prefixes in common. Of `few` rows or less with an equal shingle, the pairs of different classes are listed, and
     compared on the whole sets if their places and their number of common prefix shingles allow it. Larger groups are
     compared on the whole sets in blocks of about `members`, and return verified links only.
     """
-    kind = known.schema["unit"].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
@@ -316,7 +358,7 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, fe
                 yield pa.record_batch({"shingle": pa.array(np.fromiter(shingles(t, width), np.uint64).view(np.int64))})
 
     chance = F.shiftrightunsigned(F.xxhash64("digest", F.lit(5)), 12) / float(1 << 52)
-    sampled = texts.filter(chance * F.lit(max(1, known.count())) < COUNTED).select("text")
+    sampled = rows.filter(chance * F.lit(max(1, known.count())) < COUNTED).select("text")
     # At most half as many numbers as the counted texts have shingles.
     counted = sampled.mapInArrow(all_shingles, "shingle long").groupBy("shingle").count().filter("count > 1").toArrow()
     tokens, counts = counted.column("shingle").to_numpy().view(np.uint64), counted.column("count").to_numpy()
@@ -330,10 +372,12 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, fe
         for batch in byte_batches(batches, "text"):
             sets = [sorted_set(t) for t in batch.column("text").to_pylist()]
             kept = [ordered_prefix(x, least, tokens, counts).view(np.int64) for x in sets]
-            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
+            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "tag": batch.column("tag"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
 
-    prefixes = texts.mapInArrow(first, f"id {kind}, digest long, n int, kept array<long>").withColumnRenamed("id", "unit")
-    prefixes = prefixes.join(known, ["unit", "digest"]).select(F.col("unit").cast("long"), F.col("class").cast("long"), "n", F.posexplode("kept").alias("at", "shingle"))
+    prefixes = texts_of(rows.mapInArrow(first, f"id {kind}, digest long, tag int, n int, kept array<long>"), known)
+    # Repeated rows of a unit's first document give the same prefix again.
+    prefixes = prefixes.groupBy("unit").agg(F.min("class").alias("class"), F.min("n").alias("n"), F.min("kept").alias("kept"))
+    prefixes = prefixes.select("unit", "class", "n", F.posexplode("kept").alias("at", "shingle"))
     kinds = {"shingle": pa.int64(), "unit": pa.int64(), "class": pa.int64(), "n": pa.int32(), "reach": pa.float64(), "shortest": pa.int32(), "rows": pa.int64(), "u": pa.int64(), "v": pa.int64(), "nu": pa.int32(), "nv": pa.int32(), "ok": pa.bool_()}
     ddl = "shingle long, unit long, class long, n int, reach double, shortest int, rows long, u long, v long, nu int, nv int, ok boolean"
 
@@ -382,20 +426,6 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, fe
     grouped = prefixes.repartition("shingle").sortWithinPartitions("shingle").select("shingle", "unit", "class", "n", "at")
     grouped = checkpoint(grouped.mapInArrow(gather, ddl))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text"):
-            sets = [sorted_set(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"unit": batch.column("id"), "whole": pa.array(sets, pa.binary())})
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
-
     many = grouped.filter("rows IS NOT NULL")
     hot = many.groupBy(F.col("unit").alias("u")).agg(F.count("*").alias("hot"))
     rest = lambda n: F.greatest(F.ceil(F.col(n) * least - 1e-9) - 1, F.lit(0))
@@ -404,16 +434,14 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, fe
     pairs = pairs.filter(F.col("both") + F.coalesce("hot", F.lit(0)) + F.greatest(rest("nu"), rest("nv")) >= least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6)
     pairs = checkpoint(pairs.select("u", "v").distinct())
     many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(many.select(F.col("unit").alias("id"))).distinct()
-    wanted = texts.join(known.select(F.col("unit").alias("id"), "digest").join(needed, "id", "left_semi"), ["id", "digest"], "left_semi")
-    sets = checkpoint(wanted.select("id", "text").mapInArrow(whole, f"unit {kind}, whole binary").withColumn("unit", F.col("unit").cast("long")))
-    both = pairs.join(sets.select(F.col("unit").alias("u"), F.col("whole").alias("x")), "u").join(sets.select(F.col("unit").alias("v"), F.col("whole").alias("y")), "v")
-    true = checkpoint(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).unionByName(many.select("unit")).distinct()
+    sets = unit_sets(rows, known.join(needed, "unit", "left_semi"), width)
+    true = verified(pairs, sets, least)
 
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
-    rows = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("unit", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rows = rows.join(sets, "unit").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    blocked = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = blocked.select("unit", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    blocked = blocked.join(sets, "unit").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -436,131 +464,123 @@ def exact_links(texts: DataFrame, known: DataFrame, least: float, width: int, fe
                 held.append((unit, known_class, side, np.frombuffer(stored[row].as_py(), np.uint64)))
         yield from done()
 
-    return checkpoint(rows.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, "u long, v long")).unionByName(true).select(F.col("u").cast(kind), F.col("v").cast(kind)).distinct()
+    return checkpoint(blocked.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, "u long, v long")).unionByName(true).distinct()
 
 
-#: Spanning forests of candidates from each pair of tiles; candidates of a text that a round tries, before all are.
-LAYERS, MOST_TRIED = 1, 32
+#: Candidates of a text that a round tries, before all are.
+MOST_TRIED = 32
 
 
 def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, component_id: classes of documents that links join; a link is an exact Jaccard similarity of at least `least`
-    on word shingles. Null ids are left out.
+    """id, digest (of the text), tag (a second digest), component, component_id (its least id, null if all are), one row
+    per document: classes of documents that links join; a link is an exact Jaccard similarity of at least `least` on
+    word shingles. A null id or one that several texts have is a document like any other.
 
-    Equal texts are one. First, candidates within the SimHash `radius` come as spanning forests of the tile pairs, so no
+    Equal texts are one unit. First, candidates within the SimHash `radius` come as a spanning forest of each pair of tiles, so no
     group's pairs are all emitted. They are verified on the whole texts in rounds: of each text one candidate, then twice
     as many as before, and only between classes that are still apart, until none is left. So a large group costs about
     a pair a text. Then `exact_links` finds every link between the classes that these leave apart, whatever its distance.
     """
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.hash(text).alias("tag"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in byte_batches(batches, "text"):
             fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "fp": pa.array(fps.view(np.int64))})
+            yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "tag": batch.column("tag"), "fp": pa.array(fps.view(np.int64))})
 
-    prints = checkpoint(rows.withColumn("digest", F.xxhash64("text")).mapInArrow(compute, f"id {kind}, digest long, fp long"))
-    units = checkpoint(prints.groupBy("fp", "digest").agg(F.min("id").alias("unit")))
+    prints = checkpoint(rows.mapInArrow(compute, f"id {kind}, digest long, tag int, fp long"))
+    units = checkpoint(prints.groupBy("digest", "tag").agg(F.min("fp").alias("fp"), F.min("id").alias("first")))
+    # Numbers by place in a written table stay the same when a lost part is computed again.
+    units = checkpoint(units.withColumn("unit", F.monotonically_increasing_id()))
     heads = checkpoint(units.groupBy("fp").agg(F.min("unit").alias("head")))
     named = lambda c, n: heads.select(F.col("fp").alias(c), F.col("head").alias(n))
-    across = wide_links(heads.select("fp"), radius, layers=LAYERS).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v", "layer")
-    within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"), F.lit(0).alias("layer"))
-    both = across.unionByName(within).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "layer")
-    candidates = checkpoint(both.groupBy("u", "v").agg(F.min("layer").alias("layer")))
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "text"):
-            sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"id": batch.column("id"), "shingles": pa.array(sets, pa.binary())})
-
-    needed = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = checkpoint(rows.join(needed, "id", "left_semi").mapInArrow(shrink, f"id {kind}, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("x", "y"))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep)).select(["u", "v"])
-
-    true, roots, most = None, None, 1
+    across = wide_links(heads.select("fp"), radius).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
+    within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"))
+    both = across.unionByName(within).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    candidates = checkpoint(both.distinct())
+    needed = candidates.select(F.explode(F.array("u", "v")).alias("unit")).distinct()
+    sets = unit_sets(rows, units.join(needed, "unit", "left_semi"), width)
+
+    nothing = units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).limit(0)
+    true, roots, most = nothing, nothing.toDF("node", "root"), 1
     while not candidates.isEmpty():
-        ends = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v"), "layer"))
-        place = F.row_number().over(Window.partitionBy("u").orderBy("layer", "v"))
+        ends = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        place = F.row_number().over(Window.partitionBy("u").orderBy("v"))
         chosen = ends.withColumn("place", place).filter(F.col("place") <= most) if most <= MOST_TRIED else ends
         tried = checkpoint(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        pairs = tried.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v")
-        good = checkpoint(pairs.select("u", "v", "x", "y").mapInArrow(verify, f"u {kind}, v {kind}"))
-        if true is None or not good.isEmpty():
-            true = good if true is None else checkpoint(true.unionByName(good))
-            roots = checkpoint(components(true.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+        good = verified(tried, sets, least)
+        if not good.isEmpty():
+            true = checkpoint(true.unionByName(good.toDF("a", "b")))
+            roots = components(true)
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         left = candidates.join(tried, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
-        candidates = checkpoint(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v", "layer"))
+        candidates = checkpoint(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
         most *= 2
-    if roots is None:
-        true, roots = units.select(F.col("unit").alias("u"), F.col("unit").alias("v")).limit(0), units.select(F.col("unit").alias("node"), F.col("unit").alias("root")).limit(0)
-    known = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "digest", F.coalesce("root", "unit").alias("class"))
-    more = exact_links(rows.select("id", F.xxhash64("text").alias("digest"), "text"), checkpoint(known), least, width)
+    with_class = lambda: units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("root", "unit")).drop("root")
+    more = exact_links(rows, checkpoint(with_class().select("unit", "first", "digest", "tag", "class")), least, width)
     if not more.isEmpty():
-        roots = checkpoint(components(true.unionByName(more).select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    whole = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("fp", "digest", F.coalesce("root", "unit").alias("component_id"))
-    return prints.join(whole, ["fp", "digest"]).select(F.col("id").alias(id_col), "component_id")
+        roots = components(true.unionByName(more.toDF("a", "b")))
+    whole = checkpoint(with_class().select("digest", "tag", "first", F.col("class").alias("component")))
+    least_id = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = whole.drop("first").join(least_id, "component")
+    return prints.select("id", "digest", "tag").join(whole, ["digest", "tag"]).select(F.col("id").alias(id_col), "digest", "tag", "component", "component_id")
 
 
-#: So many distinct edges, some megabytes, are joined in one task; more go through rounds of stars.
-ONE_TASK_EDGES = 200_000
+#: So many edges are contracted in one task.
+EDGES_A_TASK = 200_000
 
 
-def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100, a_task: int = EDGES_A_TASK) -> DataFrame:
     """edges (a, b) as node, root: the least node of each component.
 
-    Edges are counted first. Up to `one_task` of them are joined by one union-find. Beyond that: Large star: each node's larger neighbours move to its least neighbour. Small star: so do its smaller ones. Both
-    keep the components; when nothing changes, every node hangs from its root.
+    Each round contracts the edges of every task to stars by union-find, `a_task` edges to a task. Then, by a large star,
+    each node's larger neighbours move to its least neighbour, and by a small star so do its smaller ones. All three keep
+    the components, and when nothing changes every node hangs from its root. It is an error if that takes over `rounds`.
     """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = checkpoint(edges.filter("a != b").select(low.alias("a"), high.alias("b")).distinct())
-    if now.count() <= one_task:
-        kind = now.schema["a"].dataType.simpleString()
-
-        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.setdefault(x, x)) != x:
-                    parent[x] = parent[up]
-                    x = parent[x]
-                return x
-
-            for batch in batches:
-                for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                    a, b = root(a), root(b)
-                    parent[max(a, b)] = min(a, b)
-            nodes = [x for x in parent if root(x) != x]
-            for i in range(0, len(nodes), 50_000):
-                part = nodes[i : i + 50_000]
-                yield pa.record_batch({"node": pa.array(part, batch.schema.field("a").type), "root": pa.array([root(x) for x in part], batch.schema.field("a").type)})
-
-        return now.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
-    state = None
+    now = checkpoint(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    kind = now.schema["a"].dataType.simpleString()
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        nodes = [x for x in parent if root(x) != x]
+        for i in range(0, len(nodes), 50_000):
+            part, of = nodes[i : i + 50_000], batch.schema.field("a").type
+            yield pa.record_batch({"a": pa.array([root(x) for x in part], of), "b": pa.array(part, of)})
+
+    one, state = ["a", "b"], None
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     for _ in range(rounds):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a != b").distinct()
+        parts = -(-now.count() // a_task)
+        # One task holds all of few edges, so that no star of theirs is shuffled.
+        now = now.coalesce(1) if parts <= 1 else now.repartition(parts)
+        now = checkpoint(now.mapInArrow(contract, f"a {kind}, b {kind}"))
+        both = now.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         large = checkpoint(large)
-        smallest = large.groupBy("b").agg(F.min("a").alias("m"))
-        moved = large.join(smallest, "b").select(F.col("m"), F.col("a"), F.col("b"))
-        small = moved.select(F.col("m").alias("a"), F.col("b")).unionByName(moved.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
-        now = checkpoint(small.distinct())
+        smallest = large.groupBy(F.col("b").alias("w")).agg(F.min("a").alias("m"))
+        moved = large.join(smallest, F.col("b") == F.col("w"))
+        small = moved.select(F.explode(F.array(pair("m", "b"), F.when(F.col("a") != F.col("m"), pair("m", "a")))).alias("e")).filter("e IS NOT NULL").select("e.*")
+        now = checkpoint(small.distinct().select(one))
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == seen:
-            break
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = seen
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    raise RuntimeError(f"components that {rounds} rounds don't join")
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:

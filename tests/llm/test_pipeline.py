@@ -31,10 +31,27 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(kept["mixing"])
 
 
-def test_repeated_rows_and_null_ids(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", None, None, None)] * 2 + [(None, "a b c d e f", None, None, None), (2, "g h i j k l", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    out = sorted(str(x.doc_id) for x in cp.distinct_documents(spark, docs, "").collect())
-    assert out == ["1", "2", "None"]
+def test_repeated_rows_ids_and_null_ids(spark):
+    same, other = "a b c d e f", "g h i j k l"
+    rows = [(1, same, "x", None, None), (1, same, "a", None, None), (1, other, None, None, None), (None, same, None, None, None), (None, "m n o p q r", None, None, None), (2, other, None, None, None), (None, None, None, None, None), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((x.doc_id, x.text, x.lang) for x in cp.distinct_documents(spark, docs, "").collect()), key=repr)
+    assert out == sorted([(1, same, "a"), (1, other, None), (None, "m n o p q r", None), (3, "", None)], key=repr)
+    assert cp.distinct_documents(spark, docs.limit(0), "").collect() == []
+
+
+def test_empty_tables_long_texts_and_other_columns(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, component long, digest string, _key int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path)).collect() == []
+    long = " ".join(f"word{i % 7919}" for i in range(150_000))
+    rows = [(i, t, None, None, None, 1, "x", 2) for i, t in enumerate([long, long + " end", None, "", "a b"])]
+    other = tmp_path / "other"
+    spark.createDataFrame(rows, docs.schema).write.parquet(str(other / "documents.parquet"))
+    spark.createDataFrame([(None, None, None), (0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(other / "labels.parquet"))
+    pieces = cp.run(spark, str(other)).collect()
+    assert {p.doc_id for p in pieces} == {0, 2, 4} and sum(p.length for p in pieces if p.doc_id == 0) % [p.doc_tokens for p in pieces if p.doc_id == 0][0] == 0
 
 
 def test_names():

@@ -97,19 +97,29 @@ def test_split_tiles(spark, monkeypatch):
     assert roots(values, [(x.a, x.b) for x in simhash.links(fps, 2).collect()]) == roots(values, linked)
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components_of_a_chain_and_a_star(spark, one_task):
+@pytest.mark.parametrize("a_task", [20, 1000])
+def test_components_of_a_chain_and_a_star(spark, a_task):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), a_task=a_task).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 160)}
 
 
 def test_near_duplicates_against_all_pairs(docs):
-    rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
-    linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
-    want = roots(rows, linked)
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=20).collect()}
-    assert got == want
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if simhash.similarity(rows[a][1], rows[b][1]) >= 0.8]
+    root, least = roots(range(len(rows)), linked), {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root[i]] = min(least.get(root[i], d), d)
+    want = sorted(((d, least.get(root[i])) for i, (d, _) in enumerate(rows)), key=repr)
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr) == want
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, "alone in here")], "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == 5 and len({r.component for r in got}) == 3
 
 
 def test_empty_table(docs):
@@ -124,17 +134,13 @@ def test_near_pairs_in_steps():
     assert flat(simhash.near_pairs(x[:2], x[2:], 1, False, step=2)) == [(1, 0)]
 
 
-def test_forests_keep_small_cuts():
+def test_forest_spans():
     r = random.Random(9)
-    edges = [(a, b) for a, b in itertools.combinations(range(40), 2) if r.random() < 0.3]
-    f = simhash.Forests(40, 3)
+    edges = [(a, b) for a, b in itertools.combinations(range(40), 2) if r.random() < 0.06]
+    f = simhash.Forest(40)
     for a, b in edges:
         f.add(np.array([a]), np.array([b]))
-    kept = {(a, b) for a, b, _ in f.edges}
-    for node in range(40):
-        mine = {e for e in edges if node in e}
-        assert len(kept & mine) >= min(3, len(mine))
-    assert max(layer for *_, layer in f.edges) == 2 and len(kept) <= 3 * 39
+    assert roots(range(40), f.edges) == roots(range(40), edges) and len(f.edges) == 40 - len(set(roots(range(40), edges).values()))
 
 
 def words_of(r, n):
@@ -184,8 +190,8 @@ def test_edited_passages_beyond_the_radius(spark):
 @pytest.mark.parametrize("few, members", [(1, 3), (1, 1000), (2, 4), (32, 1000)])
 def test_exact_links_alone(docs, few, members):
     rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
-    texts = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id AS id", "coalesce(text, '') AS text").selectExpr("id", "xxhash64(text) AS digest", "text")
-    known = texts.selectExpr("id AS unit", "digest", "id AS class").distinct()
+    texts = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id AS id", "coalesce(text, '') AS text").selectExpr("id", "xxhash64(text) AS digest", "hash(text) AS tag", "text")
+    known = texts.selectExpr("id AS unit", "id AS first", "digest", "tag", "id AS class").distinct()
     found = [(x.u, x.v) for x in simhash.exact_links(texts, known, 0.8, 5, few=few, members=members).collect()]
     assert all(simhash.similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
     linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
