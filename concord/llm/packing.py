@@ -1,9 +1,10 @@
 """Cost-balanced packing of tokenised documents into sequences of a fixed length.
 
 Attention over a piece of n tokens costs about linear * n + quadratic * n * n, and pieces in one sequence do not attend
-to each other. Documents are dealt by hash to blocks of about `block_rows`. In a block, a document longer than a
-sequence first gives whole sequences; the rest and the shorter documents go, longest first, each to the lowest-cost
-sequence with room for it. As many sequences as the block's tokens need are opened at once, so a piece may find room in
+to each other. A document longer than a sequence is first cut into whole sequences and a rest. These pieces are dealt by
+hash to blocks of about `block_rows`, repeated rows each by their own hash, so a block's size has a bound. In a block,
+whole sequences are done; the rests and the shorter documents go, longest first, each to the lowest-cost sequence with
+room for it. As many sequences as the block's tokens need are opened at once, so a piece may find room in
 none: then the one with most room takes the beginning and what is left is placed again. A block's padding is therefore
 less than one sequence.
 
@@ -14,10 +15,12 @@ columns are ignored. Ties are broken by id and content, so reruns agree.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,22 +97,36 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     path = tokenizer_file(tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-rows.count() // block_rows))
-    rows = rows.withColumn("block", F.pmod(row_key("id", "text"), F.lit(blocks)))
+    many, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-many // block_rows))
+    # Whole sequences have blocks of their own, as many as their texts' bytes call for.
+    more = 1 + (size or 0) // (4 * capacity * block_rows)
+    rows = rows.withColumn("key", row_key("id", "text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = np.array([end_id], own.type).tobytes()
+        seen: Counter = Counter()
         for batch in byte_batches(batches, "text"):
-            ids = [own.encode(t) + end for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"id": batch.column("id"), "block": batch.column("block"), "width": pa.array([own.type.itemsize] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+            out: list[tuple] = []
+            for i, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())):
+                ids, copy = own.encode(text) + end, seen[key]
+                seen[key] += 1
+                total, step = len(ids) // own.type.itemsize, capacity * own.type.itemsize
+                for n, at in enumerate(range(0, len(ids), step)):
+                    spread = xxhash.xxh64_intdigest(f"{key}:{copy}:{n}")
+                    out.append((i, spread % blocks if len(ids) - at < step else blocks + spread % more, n * capacity, total, ids[at : at + step]))
+            place, block, start, total, ids = zip(*out)
+            size = pa.array([own.type.itemsize] * len(out), pa.int32())
+            yield pa.record_batch({"id": batch.column("id").take(pa.array(place)), "block": pa.array(block, pa.int64()), "start": pa.array(start, pa.int64()), "doc_tokens": pa.array(total, pa.int64()), "width": size, "ids": pa.array(ids, pa.binary())})
 
     def place(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.Table.from_batches(batches)
         if not block.num_rows:
             return
         names, ids, width = block.column("id").to_pylist(), block.column("ids").to_pylist(), block.column("width")[0].as_py()
-        order = sorted(range(len(ids)), key=lambda i: (-len(ids[i]), names[i] is None, names[i] if names[i] is not None else 0, ids[i]))
+        starts, totals = block.column("start").to_pylist(), block.column("doc_tokens").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (-len(ids[i]), names[i] is None, names[i] if names[i] is not None else 0, starts[i], ids[i]))
         lengths = np.array([len(ids[i]) // width for i in order], np.int64)
         base = key[0].as_py() << 31
         pieces = pack_block(lengths, capacity, linear, quadratic)
@@ -118,16 +135,16 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
             yield pa.record_batch(
                 {
                     "id": pa.array([names[order[d]] for d, *_ in part], block.schema.field("id").type),
-                    "start": pa.array([p[1] for p in part], pa.int64()),
+                    "start": pa.array([starts[order[p[0]]] + p[1] for p in part], pa.int64()),
                     "length": pa.array([p[2] for p in part], pa.int64()),
                     "ids": pa.array([np.frombuffer(ids[order[d]], f"<u{width}", n, start * width).astype("<u4").tobytes() for d, start, n, _, _ in part], pa.binary()),
-                    "doc_tokens": pa.array([int(lengths[d]) for d, *_ in part], pa.int64()),
+                    "doc_tokens": pa.array([totals[order[d]] for d, *_ in part], pa.int64()),
                     "sequence_id": pa.array([base + p[3] for p in part], pa.int64()),
                     "offset": pa.array([p[4] for p in part], pa.int64()),
                 }
             )
 
-    encoded = rows.mapInArrow(encode, f"id {kind}, block long, width int, ids binary")
+    encoded = rows.mapInArrow(encode, f"id {kind}, block long, start long, doc_tokens long, width int, ids binary")
     placed = encoded.groupBy("block").applyInArrow(place, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return placed.withColumnRenamed("id", id_col)
 

@@ -3,7 +3,7 @@
 P(grade > g) = sigmoid(w . x - threshold_g): one weight vector over hashed text features, shared by all grades, and
 ordered thresholds. The expected grade is the lowest grade plus the sum over the grades' steps; the tail probability
 P(grade >= cut) selects. It is fitted on at most `sample` rated documents, those with the least hashes of their ids,
-by full-batch Adam on the driver; features of a document, whatever its length, are at most 2**bits numbers.
+by full-batch Adam on the driver, to which a document's features go summed by bucket, so at most 2**bits numbers.
 
 Features: lower-case words (sub-linear frequency, unit length), word shapes (share of words), and bands of the shares of
 upper case, symbols, distinct words and repeated lines. The whole text counts.
@@ -74,6 +74,12 @@ class Features:
         index = np.concatenate([both >> 32, both & 0xFFFFFFFF, np.array(fixed, np.int64)])
         return index, np.concatenate([weight, share, np.full(len(fixed), 0.5)])
 
+    def summed(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As `of`, with one entry for each bucket: 2**bits at most, however long the text is."""
+        index, value = self.of(text)
+        index, at = np.unique(index, return_inverse=True)
+        return index, np.bincount(at, value, len(index))
+
 
 def features(bits: int) -> Features:
     return held("quality", bits, lambda: Features(bits))
@@ -138,7 +144,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", id_col:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = features(bits)
         for batch in byte_batches(batches, "text"):
-            got = [own.of(t) for t in batch.column("text").to_pylist()]
+            got = [own.summed(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"grade": batch.column("grade"), "order": batch.column("order"), "i": pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), "v": pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32()))})
 
     rows = rated(docs, ratings, grade_col, id_col, text_col, sample)

@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case words and their first four to seven letters. Of a bounded sample of labelled documents, the terms
-that go with the label beyond chance (lower bound of the log odds ratio) are the vocabulary; the inverse document
-frequencies of these terms come from all documents. A document's vector holds its terms' (1 + log tf) * idf, at unit
-length. The sampled examples with equal vectors are one group with its counts of labels.
-
-Search: each term's postings lie in blocks of groups, with the highest weight in each block. The blocks' bounds for a
-query order them; they are scored exactly until no block that is left can reach the k-th best cosine. The k nearest
-groups vote with weight count / (0.05 + distance), with the base rate as a prior; documents without any term get the
-rate of such examples. Scores are then calibrated by isotonic regression over the examples' own leave-one-out votes.
+Terms are lower-case words. The examples are a bounded sample of labelled documents, and all their words are the
+vocabulary; document frequencies come from all documents. A document's vector holds its terms' (1 + log tf) * idf, at
+unit length, where the idf of a term that goes with label 1 among the examples beyond chance is raised by one plus the
+lower bound of its log odds ratio. Words that no example has are left out. Examples with equal vectors are one group
+with its counts of labels.
+
+Search: a term's postings lie in blocks of groups, with the highest weight in each block; the blocks of a term that fills
+over an eighth of them are stored as one dense row. The dense rows are added first; the k-th best sum so far is a bound
+from below, and blocks that cannot reach it by their highest weights are skipped. The others are scored exactly. The k
+nearest groups vote with weight count / (0.05 + distance), with the base rate as a prior; documents without any term get
+the rate of such examples. Scores are then calibrated by isotonic regression over the examples' own leave-one-out votes.
 
 Nulls are empty texts and, like empty texts, are scored as documents without terms. Labels are those of the rows that
-`learn` admits; null labels and labels without a document don't count; without labels all scores are 0. Ties between
-groups go to the one with the smaller vector. Repeated rows get equal scores. An empty table gives an empty result;
-extra columns are ignored.
+`learn` admits; null labels and labels without a document don't count, of several labels of an id the highest does, and
+of several texts of an id that with the least digest; without labels all scores are 0. Ties between groups go to the one
+with the smaller vector. Repeated rows get equal scores. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,28 +29,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, checkpoint, held, release, table
+from concord.llm.common import byte_batches, checkpoint, release, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-EXAMPLES = 20_000
-TERMS = 2048
-STEMS = (4, 5, 6, 7)
+#: Labelled documents that are learned from, those with the least hashes of their ids.
+EXAMPLES = 4000
 NEIGHBOURS = 16
 BLOCK = 64
 EVIDENCE = 3
-ROOM = 200_000
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(word[:n] + "~" for n in STEMS if len(word) > n))
+def word_counts(text: str) -> Counter:
+    return Counter(LETTERS.findall(text.lower()))
 
 
-def document_terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
-        for term in terms_of(word):
-            out[term] += n
-    return out
+def vector(words: Counter, number: dict[str, int]) -> tuple[list[int], list[int]]:
+    """The numbers of the known words, ascending, and their counts."""
+    found = sorted((number[w], n) for w, n in words.items() if w in number)
+    return [t for t, _ in found], [n for _, n in found]
 
 
 def sampled(labels: DataFrame, label_col: str, id_col: str, learn: Column, most: int) -> DataFrame:
@@ -57,70 +55,63 @@ def sampled(labels: DataFrame, label_col: str, id_col: str, learn: Column, most:
     return own.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def vocabulary(docs: DataFrame, sample: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms that go with label 1, by documents of the sample (docs: id, text)."""
+def examples_of(rows: DataFrame, sample: DataFrame) -> list[tuple[int, Counter, int]]:
+    """(id, words, label) of the sampled documents, in order of id; as many as the sample has at most."""
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                own = found[1 if label else 0]
-                own.update(document_terms(text).keys())
-                own[""] += 1
-        both = list(found[0].keys() | found[1].keys())
-        for i in range(0, len(both), 50_000):
-            part = both[i : i + 50_000]
-            yield pa.record_batch({"term": pa.array(part, pa.string()), "no": pa.array([found[0][t] for t in part], pa.int64()), "yes": pa.array([found[1][t] for t in part], pa.int64())})
-
-    rows = docs.join(F.broadcast(sample), "id")  # EXAMPLES rows at most
-    by_term = rows.select("text", "label").mapInArrow(counts, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-    total = by_term.filter("term = ''").first()
-    if total is None or not total["yes"]:
-        return []
-    yes, no = F.col("yes") + 0.5, F.col("no") + 0.5
-    rest_yes, rest_no = F.lit(total["yes"]) - F.col("yes") + 0.5, F.lit(total["no"]) - F.col("no") + 0.5
-    low = F.log(yes * rest_no / (rest_yes * no)) - 2.6 * F.sqrt(1 / yes + 1 / no + 1 / rest_yes + 1 / rest_no)
-    kept = by_term.filter("term != '' AND yes >= 4").withColumn("low", low).filter("low > 0.5").orderBy(F.desc("low"), "term").limit(most)
-    return sorted(r["term"] for r in kept.select("term").collect())
-
-
-def extractor(terms: list[str]):
-    """A function from a text to its terms' numbers, ascending, and counts."""
-    number = {t: i for i, t in enumerate(terms)}
-    known: dict[str, tuple[int, ...]] = {}
-
-    def extract(text: str) -> tuple[list[int], list[int]]:
-        own: Counter = Counter()
-        for word, n in Counter(LETTERS.findall(text.lower())).items():
-            found = known.get(word)
-            if found is None:
-                if len(known) > ROOM:
-                    known.clear()
-                found = known[word] = tuple(number[t] for t in terms_of(word) if t in number)
-            for t in found:
-                own[t] += n
-        order = sorted(own)
-        return order, [own[t] for t in order]
-
-    return extract
-
-
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """docs (id, text) as id, terms (numbers, ascending), counts."""
-    one = extractor(terms)
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [word_counts(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch({"id": batch.column("id"), "label": batch.column("label"), "words": pa.array([list(c) for c in got], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))})
+
+    both = rows.join(F.broadcast(sample), "id")  # EXAMPLES rows at most
+    one = both.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "label", F.col("t.text").alias("text"))
+    found = one.mapInArrow(split, f"id {rows.schema['id'].dataType.simpleString()}, label int, words array<string>, counts array<long>").collect()
+    return sorted(((r["id"], Counter(dict(zip(r["words"], r["counts"]))), r["label"]) for r in found), key=lambda e: e[0])
+
+
+def document_frequencies(rows: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that have each of the words."""
+    known = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        number, held, total = known.value, np.zeros(len(words), np.int64), 0
         for batch in byte_batches(batches, "text"):
-            got = [one(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"id": batch.column("id"), "terms": pa.array([t for t, _ in got], pa.list_(pa.int32())), "counts": pa.array([c for _, c in got], pa.list_(pa.int32()))})
+            for text in batch.column("text").to_pylist():
+                total += 1
+                held[[number[w] for w in set(LETTERS.findall(text.lower())) if w in number]] += 1
+        terms = np.flatnonzero(held)
+        yield pa.record_batch({"term": pa.array(np.append(terms, -1), pa.int32()), "n": pa.array(np.append(held[terms], total), pa.int64())})
+
+    found = rows.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    out = np.zeros(len(words), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
+def association(examples: list[tuple[int, list[int], list[int], int]], size: int) -> np.ndarray:
+    """By term, how much its examples go with label 1: the lower bound of the log odds ratio, or 0."""
+    yes, no = np.zeros(size), np.zeros(size)
+    for _, terms, _, label in examples:
+        (yes if label else no)[terms] += 1
+    all_yes = sum(1 for e in examples if e[3])
+    all_no = len(examples) - all_yes
+    a, b, c, d = yes + 0.5, no + 0.5, all_yes - yes + 0.5, all_no - no + 0.5
+    return np.maximum(0.0, np.log(a * d / (b * c)) - 2.6 * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
-    return docs.mapInArrow(extract, f"id {docs.schema['id'].dataType.simpleString()}, terms array<int>, counts array<int>")
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one after the other, and the range that each is from."""
+    size = ends - starts
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[which], which
 
 
 class Index:
     """Groups of equal example vectors with postings in blocks and each block's highest weight, by term."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int = NEIGHBOURS):
+    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int = NEIGHBOURS, dense: float = 0.125):
         self.idf, self.k = idf, k
         groups: dict[tuple, list[tuple[int, int]]] = {}
         for name, terms, counts, label in examples:
@@ -134,67 +125,97 @@ class Index:
         n, pos = self.total.sum() + len(empty), self.positive.sum() + sum(label for label, _ in empty)
         self.base = float(pos / n) if n else 0.0
         self.silent = float((sum(label for label, _ in empty) + self.base) / (len(empty) + 1))
-        self.blocks = -(-len(order) // BLOCK) if order else 0
-        self.bound = np.zeros((len(idf), self.blocks))
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for g, (terms, counts) in enumerate(order):
-            for t, w in zip(terms, self.weights(terms, counts)):
-                lists.setdefault(t, []).append((g, w))
-                self.bound[t, g // BLOCK] = max(self.bound[t, g // BLOCK], w)
-        self.post = {t: (np.array([g for g, _ in own]), np.array([w for _, w in own])) for t, own in lists.items()}
-        self.from_block = {t: np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for t, (ids, _) in self.post.items()}
+        self.blocks = -(-len(order) // BLOCK)
+        self.lists(order, dense)
         self.curve: tuple[np.ndarray, np.ndarray] | None = None
         votes = [(self.vote(key, own=True, label=label), label) for key in order for label, _ in groups[key]]
         if votes:
             self.curve = isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes], np.float64))
 
+    def lists(self, order: list[tuple], dense: float) -> None:
+        places = self.blocks * BLOCK
+        term = np.concatenate([np.array(t, np.int64) for t, _ in order]) if order else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(order)), [len(t) for t, _ in order])
+        weight = np.concatenate([self.weights(t, c) for t, c in order]) if order else np.zeros(0)
+        often = np.bincount(term, minlength=len(self.idf)) > max(1, dense * len(order))
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), places))
+        full = often[term]
+        self.rows[self.row[term[full]], group[full]] = weight[full]
+        term, group, weight = term[~full], group[~full], weight[~full]
+        at = np.lexsort((group, term))
+        self.group, self.weight = group[at], weight[at]
+        # One entry for each block of a term: where its postings start, and the highest weight.
+        key = term[at] * max(1, self.blocks) + self.group // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.start, self.end = first, np.append(first[1:], len(key))[: len(first)]
+        self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.block = key[first] % max(1, self.blocks)
+        self.entries = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(self.idf) + 1))
+
     def weights(self, terms, counts) -> np.ndarray:
         w = (1 + np.log(np.array(counts, np.float64))) * self.idf[list(terms)]
         return w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
-    def nearest(self, terms, counts, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def dense_sums(self, queries: list[tuple]) -> np.ndarray:
+        """What the dense rows add to all groups, by query (terms, counts): one product for all queries."""
+        held = np.zeros((len(queries), len(self.rows)))
+        for i, (terms, counts) in enumerate(queries):
+            if len(terms):
+                row = self.row[list(terms)]
+                held[i, row[row >= 0]] = self.weights(terms, counts)[row >= 0]
+        return held @ self.rows
+
+    def nearest(self, terms, counts, without: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest groups and their cosines, in order; all that have a term in common, if fewer."""
-        q = self.weights(terms, counts)
-        lists = [(t, w) for t, w in zip(terms, q) if t in self.post]
-        if not lists:
+        if not self.blocks or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = q @ self.bound[list(terms)]
-        order = np.argsort(-bound, kind="stable")
-        ids, cosines, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-12:
-            step = order[at : at + 4]
-            at += 4
-            for b in step:
-                acc = np.zeros(BLOCK)
-                for t, w in lists:
-                    a, z = self.from_block[t][b], self.from_block[t][b + 1]
-                    if z > a:
-                        acc[self.post[t][0][a:z] - b * BLOCK] += w * self.post[t][1][a:z]
-                hit = np.flatnonzero(acc)
-                hit = hit[hit + b * BLOCK != without] if without >= 0 else hit
-                ids, cosines = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([cosines, acc[hit]])
-            if len(ids) > self.k:
-                keep = np.lexsort((ids, -np.round(cosines, 12)))[: self.k]
-                ids, cosines = ids[keep], cosines[keep]
-                least = float(cosines.min())
-        keep = np.lexsort((ids, -np.round(cosines, 12)))
-        return ids[keep], cosines[keep]
+        sums = self.dense_sums([(terms, counts)])[0] if sums is None else sums.copy()
+        q, t = self.weights(terms, counts), np.array(terms)
+        often = self.row[t] >= 0
+        entry, which = ranges(self.entries[t[~often]], self.entries[t[~often] + 1])
+        rare = q[~often][which]
+        bound = sums.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.block[entry], rare * self.highest[entry], self.blocks)
+        # One place more, for the group that is left out.
+        least = float(np.partition(sums, len(sums) - self.k - 1)[len(sums) - self.k - 1]) if len(sums) > self.k + 1 else 0.0
+        alive = (bound >= least - 1e-12) & (bound > 0)
+        entry, rare = entry[alive[self.block[entry]]], rare[alive[self.block[entry]]]
+        post, which = ranges(self.start[entry], self.end[entry])
+        sums += np.bincount(self.group[post], rare[which] * self.weight[post], len(sums))
+        sums *= np.repeat(alive, BLOCK)
+        if without >= 0:
+            sums[without] = 0
+        ids = np.flatnonzero(sums)
+        if len(ids) > self.k:
+            cut = np.partition(sums[ids], len(ids) - self.k)[len(ids) - self.k]
+            ids = ids[sums[ids] >= cut - 1e-9]
+        ids = ids[np.lexsort((ids, -np.round(sums[ids], 12)))[: self.k]]
+        return ids, sums[ids]
+
+    def shares(self, ids: np.ndarray, cosines: np.ndarray, n: np.ndarray, positive: np.ndarray) -> float:
+        w = 1 / (0.05 + np.maximum(0.0, 1 - cosines))
+        return float(((w * positive).sum() + self.base) / ((w * n).sum() + 1))
 
     def vote(self, key: tuple, own: bool = False, label: int = 0) -> float:
         """The share of label 1 among the nearest, before calibration; `own`: without one example of this vector and label."""
         ids, cosines = self.nearest(*key)
-        n, pos = self.total[ids].copy(), self.positive[ids].copy()
+        n, positive = self.total[ids].copy(), self.positive[ids].copy()
         if own:
             here = ids == self.groups[key]
             n[here] -= 1
-            pos[here] -= label
-        w = 1 / (0.05 + np.maximum(0.0, 1 - cosines))
-        return float(((w * pos).sum() + self.base) / ((w * n).sum() + 1))
+            positive[here] -= label
+        return self.shares(ids, cosines, n, positive)
 
-    def score(self, terms: tuple, counts: tuple) -> tuple[float, list[int]]:
+    def scores(self, queries: list[tuple], step: int = 128) -> Iterator[tuple[float, list[int]]]:
+        for i in range(0, len(queries), step):
+            part = queries[i : i + step]
+            yield from (self.score(*q, sums) for q, sums in zip(part, self.dense_sums(part)))
+
+    def score(self, terms: list, counts: list, sums: np.ndarray) -> tuple[float, list[int]]:
         if not terms:
             return self.silent, []
-        value, (ids, _) = self.vote((terms, counts)), self.nearest(terms, counts)
+        ids, cosines = self.nearest(terms, counts, sums=sums)
+        value = self.shares(ids, cosines, self.total[ids], self.positive[ids])
         if self.curve is not None:
             value = float(np.interp(value, *self.curve))
         return min(1.0, max(0.0, value)), [n for g in ids[:EVIDENCE] for n in self.names[g]][:EVIDENCE]
@@ -213,59 +234,36 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([(p[1] * p[2] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, examples: int = EXAMPLES, terms: int = TERMS, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, examples: int = EXAMPLES, keep: list[str] | None = None) -> DataFrame:
     """Per row: the id (or the columns `keep`), score, predicted, and evidence, ids of nearest examples.
 
-    learn: which rows of labels may be learned from. With `keep`, the texts are read once more instead of kept.
+    learn: which rows of labels may be learned from.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = checkpoint(sampled(labels, label_col, id_col, learn, examples))
-    words = vocabulary(rows, sample, terms)
-    found = checkpoint(vectors(rows, words))
-    total = found.count()
-    idf = np.zeros(max(1, len(words)))
-    for term, n in found.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the vocabulary
-        idf[term] = np.log((1 + total) / (1 + n)) + 0.1
-    known = found.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "terms", "counts", "label").collect()  # EXAMPLES rows at most
-    index = Index(idf, sorted((r["id"], r["terms"], r["counts"], r["label"]) for r in known)) if words else None
-    base = float(np.mean([r["label"] for r in known])) if known else 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def judged(pairs: Iterator[tuple[list, list]]) -> list[tuple[float, list[int]]]:
-        own, out = shared.value, []
-        seen = held("toxicity", id(own), dict)
-        for t, c in pairs:
-            key = (tuple(t), tuple(c))
-            if key not in seen:
-                if len(seen) > ROOM:
-                    seen.clear()
-                seen[key] = own.score(*key) if own is not None else (base, [])
-            out.append(seen[key])
-        return out
+    columns = keep or [id_col]
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).alias("id"), text)
+    known = examples_of(rows, checkpoint(sampled(labels, label_col, id_col, learn, examples)))
+    words = sorted({w for _, own, _ in known for w in own})
+    number, index = {w: i for i, w in enumerate(words)}, None
+    if words:
+        total, often = document_frequencies(rows, words)
+        own = [(name, *vector(counts, number), label) for name, counts, label in known]
+        index = Index((np.log((1 + total) / (1 + often)) + 0.1) * (1 + association(own, len(words))), own)
+        index.groups = {}
+    base = float(np.mean([label for *_, label in known])) if known else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast((number, index))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            out = judged(zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()))
-            yield pa.record_batch({"id": batch.column("id"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
-
-    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    if keep is None:
-        out = found.mapInArrow(judge, f"id {found.schema['id'].dataType.simpleString()}, score double, evidence array<long>")
-        return out.select(F.col("id").alias(id_col), "score", predicted, "evidence")
-    extract = extractor(words)
-
-    def judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        number, index = shared.value
         for batch in byte_batches(batches, "text"):
-            out = judged(extract(t) for t in batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            out = list(index.scores([vector(word_counts(t), number) for t in texts])) if index is not None else [(base, [])] * len(texts)
             yield pa.record_batch({"row": batch.column("row"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
 
-    fields = docs.select(*keep).schema
-    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    whole = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = whole.mapInArrow(judge_rows, f"row struct<{kind}>, score double, evidence array<long>")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "score", predicted, "evidence")
+    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    out = docs.select(F.struct(*columns).alias("row"), text).mapInArrow(judge, f"row struct<{kind}>, score double, evidence array<long>")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

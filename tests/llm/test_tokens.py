@@ -100,3 +100,14 @@ def test_packing_balances_cost():
     assert len(used) == -(-lengths.sum() // 1024) and max(used.values()) <= 1024
     assert packing.pack_block(lengths, 1024, 1.0, 1 / 1024) == pieces
     assert packing.pack_block(np.array([1]), 8, 1.0, 0.0) == [(0, 0, 1, 0, 0)]
+
+
+def test_repeated_and_long_rows_are_spread(spark):
+    rows = [(1, "same words in each row")] * 300 + [(2, "long " * 40_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64, block_rows=50).collect()
+    blocks = {}
+    for r in got:
+        blocks[r.sequence_id >> 31] = blocks.get(r.sequence_id >> 31, 0) + 1
+    assert len(blocks) > 5 and max(blocks.values()) < len(got) / 4
+    assert sum(r.length for r in got if r.doc_id == 2) == next(r.doc_tokens for r in got if r.doc_id == 2)
+    assert sum(r.start == 0 for r in got) == 301
