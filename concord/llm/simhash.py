@@ -225,6 +225,12 @@ def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64)
     return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long")
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Narrow rows, written, and read in as many tasks as their number calls for: few rows are then not shuffled again."""
+    written = checkpoint(rows)
+    return written.coalesce(max(1, -(-written.count() // ROWS_A_TASK)))
+
+
 def shingles(text: str, width: int) -> set[int]:
     import xxhash
 
@@ -339,7 +345,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     few = if_small(pairs, 24)
     second = sets.select(F.col("unit").alias("v"), F.col("whole").alias("y")).join(few.select("v"), "v", "left_semi")
     both = few.join(sets.select(F.col("unit").alias("u"), F.col("whole").alias("x")), "u").join(second, "v")
-    return checkpoint(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    return sized(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
 
 
 def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
@@ -432,7 +438,7 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
     pairs = grouped.filter("u IS NOT NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("both"), F.max("ok").alias("ok")).filter("ok").join(hot, "u", "left")
     # What prefixes share, and at most the rest of one of both texts: of that whose prefix ends first.
     pairs = pairs.filter(F.col("both") + F.coalesce("hot", F.lit(0)) + F.greatest(rest("nu"), rest("nv")) >= least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6)
-    pairs = checkpoint(pairs.select("u", "v").distinct())
+    pairs = sized(pairs.select("u", "v").distinct())
     many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).unionByName(many.select("unit")).distinct()
     sets = unit_sets(rows, known.join(needed, "unit", "left_semi"), width)
@@ -500,24 +506,24 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     across = wide_links(heads.select("fp"), radius).join(named("a", "u"), "a").join(named("b", "v"), "b").select("u", "v")
     within = units.join(heads, "fp").filter("unit != head").select(F.col("head").alias("u"), F.col("unit").alias("v"))
     both = across.unionByName(within).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    candidates = checkpoint(both.distinct())
+    candidates = sized(both.distinct())
     needed = candidates.select(F.explode(F.array("u", "v")).alias("unit")).distinct()
     sets = unit_sets(rows, units.join(needed, "unit", "left_semi"), width)
 
     nothing = units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).limit(0)
     true, roots, most = nothing, nothing.toDF("node", "root"), 1
     while not candidates.isEmpty():
-        ends = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = candidates.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         place = F.row_number().over(Window.partitionBy("u").orderBy("v"))
         chosen = ends.withColumn("place", place).filter(F.col("place") <= most) if most <= MOST_TRIED else ends
-        tried = checkpoint(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        tried = sized(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         good = verified(tried, sets, least)
         if not good.isEmpty():
-            true = checkpoint(true.unionByName(good.toDF("a", "b")))
+            true = sized(true.unionByName(good.toDF("a", "b")))
             roots = components(true)
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         left = candidates.join(tried, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
-        candidates = checkpoint(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
+        candidates = sized(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
         most *= 2
     with_class = lambda: units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("root", "unit")).drop("root")
     more = exact_links(rows, checkpoint(with_class().select("unit", "first", "digest", "tag", "class")), least, width)
@@ -540,7 +546,8 @@ def components(edges: DataFrame, rounds: int = 100, a_task: int = EDGES_A_TASK)
     each node's larger neighbours move to its least neighbour, and by a small star so do its smaller ones. All three keep
     the components, and when nothing changes every node hangs from its root. It is an error if that takes over `rounds`.
     """
-    now = checkpoint(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Repeated edges are dropped by the first contraction.
+    now = checkpoint(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     kind = now.schema["a"].dataType.simpleString()
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,21 +568,21 @@ def components(edges: DataFrame, rounds: int = 100, a_task: int = EDGES_A_TASK)
             part, of = nodes[i : i + 50_000], batch.schema.field("a").type
             yield pa.record_batch({"a": pa.array([root(x) for x in part], of), "b": pa.array(part, of)})
 
-    one, state = ["a", "b"], None
+    state = None
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     for _ in range(rounds):
-        parts = -(-now.count() // a_task)
-        # One task holds all of few edges, so that no star of theirs is shuffled.
-        now = now.coalesce(1) if parts <= 1 else now.repartition(parts)
-        now = checkpoint(now.mapInArrow(contract, f"a {kind}, b {kind}"))
+        # As many tasks as the edges call for; one task holds all of few edges, so no star of theirs is shuffled.
+        parts = max(1, -(-now.count() // a_task))
+        placed = lambda edges: edges.coalesce(1) if parts == 1 else edges
+        now = placed(checkpoint((placed(now) if parts == 1 else now.repartition(parts)).mapInArrow(contract, f"a {kind}, b {kind}")))
         both = now.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
-        large = checkpoint(large)
+        large = placed(checkpoint(large))
         smallest = large.groupBy(F.col("b").alias("w")).agg(F.min("a").alias("m"))
         moved = large.join(smallest, F.col("b") == F.col("w"))
         small = moved.select(F.explode(F.array(pair("m", "b"), F.when(F.col("a") != F.col("m"), pair("m", "a")))).alias("e")).filter("e IS NOT NULL").select("e.*")
-        now = checkpoint(small.distinct().select(one))
+        now = placed(checkpoint(small.distinct()))
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
