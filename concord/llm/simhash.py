@@ -181,33 +181,41 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(tasks, "tile", "part", "other").mapInArrow(compare, "a long, b long")
 
 
-def packed_tiles(fps: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """fps (fp), distinct, as tiles (tile, pop, fps: little-endian bytes) of one population count each, and splits (pop, splits)."""
-    own = fps.select("fp", F.bit_count("fp").alias("pop"))
-    # 65 population counts at most, whatever the input.
-    splits = checkpoint(own.groupBy("pop").agg(F.ceil(F.count("*") / size).cast("int").alias("splits")))
-    tile = F.col("pop").cast("long") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("splits"))
-
-    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.sort(np.concatenate([b.column("fp").to_numpy() for b in batches]))
-        yield pa.record_batch({"tile": pa.array([key[0].as_py()]), "pop": pa.array([key[1].as_py()], pa.int32()), "fps": pa.array([held.astype("<i8").tobytes()], pa.binary())})
-
-    tiles = own.join(F.broadcast(splits), "pop").withColumn("tile", tile).select("tile", "pop", "fp")
-    return checkpoint(tiles.groupBy("tile", "pop").applyInArrow(pack, "tile long, pop int, fps binary")), splits
+def bands(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
+    """(lowest, highest population count, splits) of tiles: neighbouring counts together while they have `size` rows at most."""
+    out: list[tuple[int, int, int]] = []
+    held = 0
+    for pop, n in sorted(counts.items()):
+        if out and held + n <= size:
+            out[-1], held = (out[-1][0], pop, 1), held + n
+        else:
+            out, held = [*out, (pop, pop, -(-n // size))], n
+    return out
 
 
 def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64) -> DataFrame:
     """As `links`, for radii at which almost all tiles are near each other: pairs (a, b).
 
-    Tiles hold one population count each, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
+    Tiles hold neighbouring population counts, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
     input so that each is read by about `across` others at most. A pair of tiles returns a spanning forest.
     """
-    size = max(tile, -(-fps.count() // across))
-    tiles, splits = packed_tiles(fps, size)
-    near = tiles.select("tile", "pop", F.explode(F.sequence(F.col("pop"), F.least(F.col("pop") + radius, F.lit(64)))).alias("other_pop"))
-    near = near.join(F.broadcast(splits.select(F.col("pop").alias("other_pop"), "splits")), "other_pop")
-    near = near.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    near = near.withColumn("other", F.col("split") + F.col("other_pop").cast("long") * (1 << 32)).filter("other >= tile").select("tile", "other")
+    own = checkpoint(fps.select("fp", F.bit_count("fp").alias("pop")))
+    counts = {r["pop"]: r["count"] for r in own.groupBy("pop").count().collect()}  # 65 population counts at most
+    found = bands(counts, max(tile, -(-sum(counts.values()) // across))) or [(0, 64, 1)]
+    at = F.element_at(F.array(*[F.lit(next((i for i, (low, high, _) in enumerate(found) if low <= pop <= high), 0)) for pop in range(65)]), F.col("pop") + 1)
+    splits = F.array(*[F.lit(n) for _, _, n in found])
+    number = lambda band, split: F.col(band).cast("long") * (1 << 32) + split
+    rows = own.withColumn("band", at).withColumn("tile", number("band", F.pmod(F.xxhash64("fp"), F.element_at(splits, F.col("band") + 1))))
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.sort(np.concatenate([b.column("fp").to_numpy() for b in batches]))
+        yield pa.record_batch({"tile": pa.array([key[0].as_py()]), "band": pa.array([key[1].as_py()], pa.int32()), "fps": pa.array([held.astype("<i8").tobytes()], pa.binary())})
+
+    tiles = checkpoint(rows.select("tile", "band", "fp").groupBy("tile", "band").applyInArrow(pack, "tile long, band int, fps binary"))
+    reached = [[j for j, (low, _, _) in enumerate(found) if j >= i and low - high <= radius] for i, (_, high, _) in enumerate(found)]
+    near = tiles.select("tile", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in reached]), F.col("band") + 1)).alias("other_band"))
+    near = near.withColumn("split", F.explode(F.sequence(F.lit(0), F.element_at(splits, F.col("other_band") + 1) - 1)))
+    near = near.withColumn("other", number("other_band", F.col("split"))).filter("other >= tile").select("tile", "other")
     count = near.count()
     both = near.join(tiles.select("tile", F.col("fps").alias("left")), "tile").join(tiles.select(F.col("tile").alias("other"), F.col("fps").alias("right")), "other")
 
@@ -513,10 +521,9 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
     nothing = units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).limit(0)
     true, roots, most = nothing, nothing.toDF("node", "root"), 1
     while not candidates.isEmpty():
-        ends = candidates.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
-        place = F.row_number().over(Window.partitionBy("u").orderBy("v"))
-        chosen = ends.withColumn("place", place).filter(F.col("place") <= most) if most <= MOST_TRIED else ends
-        tried = sized(chosen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        place = F.row_number().over(Window.partitionBy("v").orderBy("u"))
+        chosen = candidates.withColumn("place", place).filter(F.col("place") <= most) if most <= MOST_TRIED else candidates
+        tried = sized(chosen.select("u", "v"))
         good = verified(tried, sets, least)
         if not good.isEmpty():
             true = sized(true.unionByName(good.toDF("a", "b")))

@@ -196,3 +196,8 @@ def test_exact_links_alone(docs, few, members):
     assert all(simhash.similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
     linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
     assert roots(rows, found) == roots(rows, linked)
+
+
+def test_bands_of_population_counts():
+    assert simhash.bands({30: 5, 31: 4, 32: 25, 33: 1, 40: 9}, 10) == [(30, 31, 1), (32, 32, 3), (33, 40, 1)]
+    assert simhash.bands({}, 10) == []
