@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of every kind, as Java's and RE2's patterns both write it.
+SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ENDS = f"^{SPACE}+|{SPACE}+$"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -19,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end, of every kind."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(c), ENDS, "")
 
 
 def blank(c: Column | str) -> Column:
@@ -41,4 +46,4 @@ def group(c: Column | str, pattern: str, n: int = 1) -> Column:
 
 
 def sql_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '{ENDS}', '', 'g')"

@@ -80,12 +80,39 @@ def distinct_observations(obs: DataFrame, key: str = "identity_key") -> DataFram
     return latest_in(obs, [key, "source", "checksum"], [F.asc("id")]).filter("rank = 1").drop("rank")
 
 
+#: What follows from an event's observations alone; the rest of an event is kept as it is stored.
+DERIVED = ["time_start", "time_end", "stage", "confidence", "confidence_reason", "source_count", "verification_count", "conflict_flag", "conflict_reason", "observation_count"]
+
+
+def recomputed(events: DataFrame, obs: DataFrame, key: str = "identity_key") -> DataFrame:
+    """events with their derived columns as their observations now give them; those without observations unchanged."""
+    from concord.operators.aggregate import canonical_events
+
+    derived = [c for c in DERIVED if c in events.columns]
+    new = canonical_events(obs, key).select(F.col(key).alias("_key"), F.struct(*derived).alias("_new"))
+    both = events.join(new, F.col(key) == F.col("_key"), "left")
+    return both.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in derived else F.col(c) for c in events.columns])
+
+
+def orphaned_by(obs: DataFrame, source: str, key: str = "identity_key") -> DataFrame:
+    """The identities that have observations of this source alone."""
+    only = obs.groupBy(key).agg(F.max(F.col("source").eqNullSafe(source)).alias("has"), F.max(~F.col("source").eqNullSafe(source)).alias("others"))
+    return only.filter("has AND NOT others").select(key)
+
+
 def purge_source(events: DataFrame, obs: DataFrame, source: str, key: str = "identity_key") -> tuple[DataFrame, DataFrame]:
-    """(events, observations) without a source's observations and without the events that had no others."""
+    """(events, observations) without a source's observations and without the events that had no others; what is derived
+    from observations is computed again for the events that stay."""
     kept = obs.filter(~F.col("source").eqNullSafe(source))
-    touched = obs.filter(F.col("source") == source).select(key).distinct()
-    orphans = touched.join(kept.select(key).distinct(), key, "left_anti")
-    return events.join(orphans, key, "left_anti"), kept
+    return recomputed(events.join(orphaned_by(obs, source, key), key, "left_anti"), kept, key), kept
+
+
+def purge_counts(events: DataFrame, obs: DataFrame, source: str, key: str = "identity_key") -> DataFrame:
+    """One row: observations_deleted, events_deleted and events_recomputed (none, if no observation goes) of `purge_source`."""
+    by_event = obs.groupBy(key).agg(F.count_if(F.col("source").eqNullSafe(source)).alias("gone"), F.count_if(~F.col("source").eqNullSafe(source)).alias("kept"))
+    both = by_event.join(events.select(key, F.lit(1).alias("event")), key, "left")
+    count = both.agg(F.coalesce(F.sum("gone"), F.lit(0)).alias("observations_deleted"), F.expr("count_if(event = 1 AND gone > 0 AND kept = 0) AS events_deleted"), F.expr("count_if(event = 1 AND kept > 0) AS _stay"))
+    return count.select("observations_deleted", "events_deleted", F.when(F.col("observations_deleted") > 0, F.col("_stay")).otherwise(0).alias("events_recomputed"))
 
 
 def renamed(events: DataFrame, field: str) -> DataFrame:

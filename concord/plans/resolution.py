@@ -111,16 +111,22 @@ def irregular_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.irregular_recurrences(events_of(spark, sf_dir)[0]).select("venue", "performer", "dates")
 
 
-@query(f"{EVENTS} SELECT identity_key, source FROM ev WHERE identity_key IN (SELECT identity_key FROM obs WHERE source <> 'aggregator')")
+@query(f"""{EVENTS}, kept AS (SELECT * FROM obs WHERE source <> 'aggregator'), {sql_events("kept", "k_")}
+SELECT {", ".join(("k." if c in rules.DERIVED else "e.") + c for c in CANONICAL.split(", "))} FROM ev e JOIN k_ev k USING (identity_key)""")
 def source_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.purge_source(*events_of(spark, sf_dir), "aggregator")[0].select("identity_key", "source")
+    return rules.purge_source(*events_of(spark, sf_dir), "aggregator")[0].select(*CANONICAL.split(", "))
+
+
+@query(f"""{SEEN}, n AS (SELECT identity_key, count(*) FILTER (WHERE source = 'aggregator') AS gone, count(*) FILTER (WHERE source <> 'aggregator') AS kept FROM obs GROUP BY ALL)
+SELECT CAST(sum(gone) AS BIGINT) AS observations_deleted, count(*) FILTER (WHERE gone > 0 AND kept = 0) AS events_deleted, count(*) FILTER (WHERE kept > 0) AS events_recomputed FROM n""")
+def source_purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.purge_counts(*events_of(spark, sf_dir), "aggregator")
 
 
 @query(f"{SEEN} SELECT identity_key FROM obs WHERE source = 'aggregator' EXCEPT SELECT identity_key FROM obs WHERE source <> 'aggregator'")
 def orphan_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observed(spark, sf_dir)
-    touched = obs.filter("source = 'aggregator'").select("identity_key").distinct()
-    return touched.join(obs.filter("source != 'aggregator'").select("identity_key").distinct(), "identity_key", "left_anti")
+    return rules.orphaned_by(obs, "aggregator")
 
 
 @query(f"{SEEN} SELECT min(id) AS id, identity_key, source, checksum FROM obs GROUP BY identity_key, source, checksum")

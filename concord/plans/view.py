@@ -25,7 +25,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     return e.select(
         F.col("event_id").alias("id"), F.concat(F.lit("Act "), text(user)).alias("performer"), F.concat(F.lit("Venue "), text(user % 20)).alias("venue"), F.date_format("ts", "yyyy-MM-dd").alias("date"),
-        F.date_format("ts", "HH:00").alias("time_start"), F.when(k % 3 == 0, "Main").when(k % 3 == 1, "Patio ").alias("stage"),
+        F.date_format("ts", "HH:00").alias("time_start"), F.when(k % 3 == 0, "Main").when(k % 3 == 1, "Patio \u00a0").alias("stage"),
         F.when(k % 4 != 0, F.concat(F.lit("https://example.org/"), text(user % 20), F.lit("/"), text(k % 3))).alias("url"),
         F.when(kind == "click", "aggregator").when(kind == "view", "venue").when(kind == "purchase", "image:flyer.png").when(kind == "signup", "seed").otherwise("ocr:scan").alias("source"),
         F.least(F.lit(1.0), F.col("value") / 100).alias("model_confidence"), F.when(user % 4 == 0, "title").when(user % 4 == 1, "description").when(user % 4 == 2, "lineup").alias("extraction_method"),
@@ -50,7 +50,7 @@ raw AS (
          least(1.0, value / 100) AS m, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS observed_at
   FROM events
 ), scored AS (
-  SELECT *, CASE k % 3 WHEN 0 THEN 'Main' WHEN 1 THEN 'Patio ' END AS stage, CASE WHEN k % 4 <> 0 THEN 'https://example.org/' || (user_id % 20) || '/' || (k % 3) END AS url,
+  SELECT *, CASE k % 3 WHEN 0 THEN 'Main' WHEN 1 THEN 'Patio ' || chr(160) END AS stage, CASE WHEN k % 4 <> 0 THEN 'https://example.org/' || (user_id % 20) || '/' || (k % 3) END AS url,
          (CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END) || ':00 ' || (CASE WHEN h < 12 THEN 'AM' ELSE 'PM' END) AS time_start, CAST(NULL AS VARCHAR) AS time_end, h * 60 AS minutes,
          performer || ' at ' || venue AS name, lower(performer) || '|' || lower(venue) || '|' || date AS identity_key,
          {sql_rounded("(CASE WHEN m IS NULL THEN 1.0 ELSE 0.5 * 1.0 + 0.5 * greatest(0.0, least(1.0, m)) END) * (CASE user_id % 4 WHEN 1 THEN 0.8 WHEN 2 THEN 0.85 ELSE 1.0 END)")} AS extraction_confidence

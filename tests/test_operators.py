@@ -164,3 +164,25 @@ def test_empty_tables(spark, empty):
     none = raw(spark, {}).limit(0)
     obs = observations(none)
     assert canonical_events(obs).collect() == [] and rules.same_night_collisions(canonical_events(obs)).collect() == []
+
+
+def test_purge_computes_what_is_left_again(spark):
+    obs = observations(raw(spark, {"performer": "A", "source": "seed"}, {"performer": "A", "source": "venue"}, {"performer": "B", "source": "seed"}, {"performer": "C", "source": None}))
+    events = canonical_events(obs)
+    left, kept = rules.purge_source(events, obs, "seed")
+    alone = canonical_events(kept)
+    derived = ["performer", *rules.DERIVED]
+    assert sorted(map(str, left.select(derived).collect())) == sorted(map(str, alone.select(derived).collect()))
+    assert {r.performer: r.source_count for r in left.collect()} == {"A": 1, "C": 1}
+    assert tuple(rules.purge_counts(events, obs, "seed").first()) == (2, 1, 2)
+    assert tuple(rules.purge_counts(events, obs, "nobody").first()) == (0, 0, 0)
+
+
+def test_strip_takes_every_white_space(spark):
+    from concord.functions.text import strip
+
+    every = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    rows = [(f"{c}a b{c}{c}",) for c in every] + [("\u200bz\u200b",), ("",), (None,)]
+    frame = spark.createDataFrame(rows, "x string")
+    for r in frame.select("x", strip("x").alias("y")).collect():
+        assert r.y == (r.x.strip() if r.x is not None else None), repr(r.x)
