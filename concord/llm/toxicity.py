@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,9 @@ def sampled(labels: DataFrame, label_col: str, id_col: str, learn: Column, most:
     return own.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def examples_of(rows: DataFrame, sample: DataFrame) -> list[tuple[int, Counter, int]]:
-    """(id, words, label) of the sampled documents, in order of id; as many as the sample has at most."""
+def examples_of(rows: DataFrame, sample: DataFrame) -> tuple[list[str], list[tuple]]:
+    """All words of the sampled documents, and (id, terms, counts, label) of each in order of id; as many as the sample
+    has at most. Terms are the words' places, ascending. Words reach the driver in Arrow columns and become numbers there."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
@@ -65,8 +67,17 @@ def examples_of(rows: DataFrame, sample: DataFrame) -> list[tuple[int, Counter,
 
     both = rows.join(F.broadcast(sample), "id")  # EXAMPLES rows at most
     one = both.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "label", F.col("t.text").alias("text"))
-    found = one.mapInArrow(split, f"id {rows.schema['id'].dataType.simpleString()}, label int, words array<string>, counts array<long>").collect()
-    return sorted(((r["id"], Counter(dict(zip(r["words"], r["counts"]))), r["label"]) for r in found), key=lambda e: e[0])
+    found = one.mapInArrow(split, f"id {rows.schema['id'].dataType.simpleString()}, label int, words array<string>, counts array<long>").toArrow().combine_chunks()
+    known = pa.array(sorted({w for c in found.column("words").chunks for w in pc.unique(c.flatten()).to_pylist()}), pa.string())
+    out = []
+    for batch in found.to_batches():
+        words = batch.column("words")
+        terms, counts = pc.index_in(words.flatten(), value_set=known).to_numpy(), batch.column("counts").flatten().to_numpy().astype(np.int32)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        for name, label, start, end in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            order = np.argsort(terms[start:end])
+            out.append((name, terms[start:end][order], counts[start:end][order], label))
+    return known.to_pylist(), sorted(out, key=lambda e: e[0])
 
 
 def document_frequencies(rows: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
@@ -84,13 +95,14 @@ def document_frequencies(rows: DataFrame, words: list[str]) -> tuple[int, np.nda
         yield pa.record_batch({"term": pa.array(np.append(terms, -1), pa.int32()), "n": pa.array(np.append(held[terms], total), pa.int64())})
 
     found = rows.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples
+    known.destroy()
     term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
     out = np.zeros(len(words), np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return int(n[term < 0].sum()), out
 
 
-def association(examples: list[tuple[int, list[int], list[int], int]], size: int) -> np.ndarray:
+def association(examples: list[tuple], size: int) -> np.ndarray:
     """By term, how much its examples go with label 1: the lower bound of the log odds ratio, or 0."""
     yes, no = np.zeros(size), np.zeros(size)
     for _, terms, _, label in examples:
@@ -111,11 +123,11 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """Groups of equal example vectors with postings in blocks and each block's highest weight, by term."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int = NEIGHBOURS, dense: float = 0.125):
+    def __init__(self, idf: np.ndarray, examples: list[tuple], k: int = NEIGHBOURS, dense: float = 0.125):
         self.idf, self.k = idf, k
         groups: dict[tuple, list[tuple[int, int]]] = {}
         for name, terms, counts, label in examples:
-            groups.setdefault((tuple(terms), tuple(counts)), []).append((label, name))
+            groups.setdefault((tuple(np.asarray(terms).tolist()), tuple(np.asarray(counts).tolist())), []).append((label, name))
         empty = groups.pop(((), ()), [])
         order = sorted(groups)
         self.groups = {key: g for g, key in enumerate(order)}
@@ -154,7 +166,7 @@ class Index:
         self.entries = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(self.idf) + 1))
 
     def weights(self, terms, counts) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[list(terms)]
+        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[np.asarray(terms, np.int64)]
         return w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
     def dense_sums(self, queries: list[tuple]) -> np.ndarray:
@@ -162,7 +174,7 @@ class Index:
         held = np.zeros((len(queries), len(self.rows)))
         for i, (terms, counts) in enumerate(queries):
             if len(terms):
-                row = self.row[list(terms)]
+                row = self.row[np.asarray(terms, np.int64)]
                 held[i, row[row >= 0]] = self.weights(terms, counts)[row >= 0]
         return held @ self.rows
 
@@ -242,15 +254,13 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     columns = keep or [id_col]
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), text)
-    known = examples_of(rows, checkpoint(sampled(labels, label_col, id_col, learn, examples)))
-    words = sorted({w for _, own, _ in known for w in own})
+    words, own = examples_of(rows, checkpoint(sampled(labels, label_col, id_col, learn, examples)))
     number, index = {w: i for i, w in enumerate(words)}, None
     if words:
         total, often = document_frequencies(rows, words)
-        own = [(name, *vector(counts, number), label) for name, counts, label in known]
         index = Index((np.log((1 + total) / (1 + often)) + 0.1) * (1 + association(own, len(words))), own)
         index.groups = {}
-    base = float(np.mean([label for *_, label in known])) if known else 0.0
+    base = float(np.mean([label for *_, label in own])) if own else 0.0
     shared = docs.sparkSession.sparkContext.broadcast((number, index))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
