@@ -326,15 +326,20 @@ def texts_of(rows: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def unit_sets(rows: DataFrame, units: DataFrame, width: int) -> DataFrame:
-    """unit, whole: the sorted set of shingles, as bytes, of each of the units' texts. Few units are broadcast once counted."""
+    """unit, whole: the sorted set of shingles, as bytes, of each of the units' texts. Few units are broadcast once counted.
+
+    Only a unit of several documents can have its first one twice; only those are grouped, by text and before sets are made.
+    """
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
             sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"unit": batch.column("unit"), "whole": pa.array(sets, pa.binary())})
 
-    found = texts_of(rows, if_small(checkpoint(units.select("unit", "first", "digest", "tag")), 40)).select("unit", "text")
-    return checkpoint(found.mapInArrow(shrink, "unit long, whole binary").groupBy("unit").agg(F.min("whole").alias("whole")))
+    found = texts_of(rows, if_small(checkpoint(units.select("unit", "first", "digest", "tag", "several")), 41))
+    once = found.filter("NOT several").select("unit", "text")
+    again = found.filter("several").groupBy("unit").agg(F.min("text").alias("text"))
+    return checkpoint(once.unionByName(again).mapInArrow(shrink, "unit long, whole binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -359,11 +364,12 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
     """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
 
-    rows (id, digest, tag, text); known (unit, first, digest, tag, class): the units' first documents. Two such texts have a shingle of their
+    rows (id, digest, tag, text); known (unit, first, digest, tag, class, and several, true if left out): the units' first documents. Two such texts have a shingle of their
     prefixes in common. Of `few` rows or less with an equal shingle, the pairs of different classes are listed, and
     compared on the whole sets if their places and their number of common prefix shingles allow it. Larger groups are
     compared on the whole sets in blocks of about `members`, and return verified links only.
     """
+    known = known if "several" in known.columns else known.withColumn("several", F.lit(True))
     kind = rows.schema["id"].dataType.simpleString()
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +512,7 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
             yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "tag": batch.column("tag"), "fp": pa.array(fps.view(np.int64))})
 
     prints = checkpoint(rows.mapInArrow(compute, f"id {kind}, digest long, tag int, fp long"))
-    units = checkpoint(prints.groupBy("digest", "tag").agg(F.min("fp").alias("fp"), F.min("id").alias("first")))
+    units = checkpoint(prints.groupBy("digest", "tag").agg(F.min("fp").alias("fp"), F.min("id").alias("first"), (F.count("*") > 1).alias("several")))
     # Numbers by place in a written table stay the same when a lost part is computed again.
     units = checkpoint(units.withColumn("unit", F.monotonically_increasing_id()))
     heads = checkpoint(units.groupBy("fp").agg(F.min("unit").alias("head")))
@@ -533,7 +539,7 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
         candidates = sized(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
         most *= 2
     with_class = lambda: units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("root", "unit")).drop("root")
-    more = exact_links(rows, checkpoint(with_class().select("unit", "first", "digest", "tag", "class")), least, width)
+    more = exact_links(rows, checkpoint(with_class().select("unit", "first", "digest", "tag", "several", "class")), least, width)
     if not more.isEmpty():
         roots = components(true.unionByName(more.toDF("a", "b")))
     whole = checkpoint(with_class().select("digest", "tag", "first", F.col("class").alias("component")))
