@@ -105,7 +105,7 @@ VENUE_DEFAULT_TIMES = {"Shelby's Beach Bar": "6:00 - 9:00 PM", "Papa Surf": "6:0
 MISSING_TIMES = ["", "UNKNOWN", "TBD", "N/A", "NONE"]
 
 # Trust in a source by name; by prefix; by default.
-SOURCE_TRUST = {"venue": 0.95, "sowal": 0.90, "aggregator": 0.90, "crawler": 0.90, "dashboard_legacy": 0.85, "seed": 0.60}
+SOURCE_TRUST = {"venue": 0.95, "sowal": 0.90, "crawler": 0.90, "dashboard_legacy": 0.85, "seed": 0.60}
 SOURCE_PREFIX_TRUST = [("image:", 0.8), ("ocr", 0.5), ("venue", 0.95)]
 DEFAULT_TRUST = 0.5
 

@@ -56,7 +56,7 @@ def band(c: Column | str) -> Column:
     return F.when(col(c).isNull(), "unknown").when(col(c) >= fixed.HIGH_BAND, "high").when(col(c) >= fixed.MEDIUM_BAND, "medium").otherwise("low")
 
 
-def score_reason(source: Column | str = "source", model: Column | str = "model_confidence") -> Column:
-    trust, extraction = source_trust(source), extraction_confidence(model)
+def score_reason(source: Column | str = "source", model: Column | str = "model_confidence", trust: dict[str, float] | None = None) -> Column:
+    trust, extraction = source_trust(source, trust), extraction_confidence(model)
     text = F.format_string("source=%s (trust %.2f); extraction %.2f", F.coalesce(F.nullif(col(source), F.lit("")), F.lit("unknown")), rounded(trust, 2), rounded(extraction, 2))
     return F.concat(text, F.when(col(model).isNotNull(), F.format_string("; model %.2f", rounded(col(model).cast("double"), 2))).otherwise(F.lit("")))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space of every kind, as Java's and RE2's patterns both write it.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ENDS = f"^{SPACE}+|{SPACE}+$"
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def col(c: Column | str) -> Column:
@@ -24,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end, of every kind."""
-    return F.regexp_replace(col(c), ENDS, "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def blank(c: Column | str) -> Column:

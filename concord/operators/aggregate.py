@@ -1,8 +1,6 @@
 """Observations to canonical events.
 
-The primary observation and the counts come from aggregates with partial sums on the map side; the primary is joined
-back so that conflicts are judged row by row. A hot identity is therefore combined before it is shuffled, and AQE can
-split the one join that it takes part in.
+What a hot identity has is combined on the map side before it is shuffled.
 """
 
 from __future__ import annotations
@@ -52,43 +50,49 @@ def marked(obs: DataFrame, key: str = "identity_key") -> DataFrame:
     return both.withColumn("conflicting", apart | ((stage != "") & (lead_stage != "") & (stage != lead_stage))).drop("p")
 
 
-def gap_filled(field: str) -> Column:
-    """The primary's value; where it has none, that of the best observation that has one."""
-    lead = F.max_by(F.col(field), rank_of())
-    other = F.max_by(F.when(or_empty(field) != "", F.col(field)), F.when(or_empty(field) != "", fill_rank()))
-    return F.coalesce(F.nullif(lead, F.lit("")), other)
+def canonical_events(obs: DataFrame, key: str = "identity_key", corroboration: float = fixed.CORROBORATION, penalty: float = fixed.CONFLICT_PENALTY, ceiling: float = fixed.CEILING) -> DataFrame:
+    """One row per identity: the primary's fields, gaps filled, confidence, counts, conflict and reason.
 
-
-def canonical_events(obs: DataFrame, key: str = "identity_key") -> DataFrame:
-    """One row per identity: the primary's fields, gaps filled, confidence, counts, conflict and reason."""
-    rows = marked(obs, key)
-    timed = F.struct(F.col("start_minutes").alias("m"), strip("time_start").alias("t"))
-    facts = rows.groupBy(key).agg(
-        *[F.max_by(F.col(c), rank_of()).alias(c) for c in ("name", "performer", "venue", "date", "source")],
-        *[gap_filled(c).alias(c) for c in FIELDS],
-        F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.count("*").alias("observation_count"),
-        F.max("conflicting").alias("conflict"),
-        F.array_sort(F.collect_set(F.when(F.col("start_minutes").isNotNull(), timed))).alias("times"),
-    )
-    best = rows.groupBy(key, F.coalesce("source", F.lit("unknown")).alias("s")).agg(
-        F.max(F.when(~F.col("conflicting"), F.coalesce("confidence", F.lit(0.0)))).alias("c")
+    obs is read once. Sightings that agree in source, start and stage are combined before they are shuffled; an identity
+    then holds one entry for each such combination, and conflicts are judged on these entries.
+    """
+    rows = obs.withColumn("_source", F.coalesce("source", F.lit("unknown"))).withColumn("_stage", F.lower(strip(or_empty("stage"))))
+    rows = rows.withColumn("_shown", F.when(F.col("start_minutes").isNotNull(), strip("time_start")))
+    lead = F.struct(rank_of().alias("rank"), "name", "performer", "venue", "date", "source", "start_minutes", F.col("_stage").alias("g"), *FIELDS)
+    fills = [F.max(F.when(or_empty(f) != "", F.struct(fill_rank().alias("rank"), F.col(f).alias("v")))).alias(f"_fill_{f}") for f in FIELDS]
+    parts = rows.groupBy(key, "_source", "start_minutes", "_stage", "_shown").agg(
+        F.max(lead).alias("p"), *fills, F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"), F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.count("*").alias("n")
     )
-    scores = best.groupBy(key).agg(
-        F.max("c").alias("best"), F.product(F.when(F.col("c").isNotNull(), 1 - fixed.CORROBORATION * F.col("c"))).alias("product"),
-        F.count("*").cast("int").alias("source_count"), F.count("c").cast("int").alias("verification_count"),
+    entry = F.struct(F.col("_source").alias("s"), "c", F.col("start_minutes").alias("m"), F.col("_stage").alias("g"), F.col("_shown").alias("t"))
+    whole = parts.groupBy(key).agg(
+        F.max("p").alias("p"), *[F.max(f"_fill_{f}").alias(f"_fill_{f}") for f in FIELDS], F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.sum("n").alias("observation_count"),
+        F.collect_list(entry).alias("seen"),
     )
-    both = facts.join(scores, key)
-    several = F.size("times") > 1
-    why = F.when(several, F.concat(F.lit("Time mismatch: "), F.array_join(F.transform("times", lambda t: t["t"]), " vs "))).otherwise("Source conflict")
-    why = F.when(F.col("conflict"), why)
+
+    def apart(e: Column) -> Column:
+        return F.coalesce(e["m"] != F.col("p.start_minutes"), F.lit(False)) | ((e["g"] != "") & (F.col("p.g") != "") & (e["g"] != F.col("p.g")))
+
+    agree = F.array_sort(F.transform(F.filter("seen", lambda e: ~apart(e)), lambda e: F.struct(e["s"].alias("s"), e["c"].alias("c"))))
+    whole = whole.withColumn("conflict", F.exists("seen", apart)).withColumn("_agree", agree)
+    # The last entry of each source in order of confidence is its best.
+    bests = F.filter("_agree", lambda e, i: ~F.coalesce(F.get(F.col("_agree"), i + 1)["s"] == e["s"], F.lit(False)))
+    whole = whole.withColumn("_bests", F.transform(bests, lambda e: e["c"]))
+    times = F.filter(F.transform("seen", lambda e: F.struct(e["m"].alias("m"), e["t"].alias("t"))), lambda e: e["m"].isNotNull())
+    whole = whole.withColumn("best", F.array_max("_bests")).withColumn("product", F.aggregate("_bests", F.lit(1.0), lambda all, c: all * (1 - corroboration * c)))
+    whole = whole.withColumn("times", F.array_sort(F.array_distinct(times))).withColumn("verification_count", F.size("_bests"))
+    whole = whole.withColumn("source_count", F.size(F.array_distinct(F.transform("seen", lambda e: e["s"]))))
+    why = F.when(F.size("times") > 1, F.concat(F.lit("Time mismatch: "), F.array_join(F.transform("times", lambda t: t["t"]), " vs "))).otherwise("Source conflict")
+    whole = whole.withColumn("conflict_reason", F.when(F.col("conflict"), why))
     reason = (
-        F.when(F.col("conflict"), F.concat(F.col("source_count").cast("string"), F.lit(" sources, conflict: "), why))
+        F.when(F.col("conflict"), F.concat(F.col("source_count").cast("string"), F.lit(" sources, conflict: "), "conflict_reason"))
         .when(F.col("verification_count") > 1, F.concat(F.col("verification_count").cast("string"), F.lit(" sources agree")))
-        .otherwise(F.concat(F.lit("single source ("), F.coalesce("source", F.lit("None")), F.lit(")")))
+        .otherwise(F.concat(F.lit("single source ("), F.coalesce("p.source", F.lit("None")), F.lit(")")))
     )
-    return both.select(
-        key, "id", "name", "performer", "venue", "date", *FIELDS, "source", combined_confidence(conflict=F.col("conflict")).alias("confidence"), reason.alias("confidence_reason"),
-        "source_count", "verification_count", F.col("conflict").cast("int").alias("conflict_flag"), why.alias("conflict_reason"), "observed_at", "observation_count",
+    filled = [F.coalesce(F.nullif(F.col(f"p.{f}"), F.lit("")), F.col(f"_fill_{f}.v")).alias(f) for f in FIELDS]
+    score = combined_confidence(conflict=F.col("conflict"), corroboration=corroboration, penalty=penalty, ceiling=ceiling)
+    return whole.select(
+        key, "id", "p.name", "p.performer", "p.venue", "p.date", *filled, "p.source", score.alias("confidence"), reason.alias("confidence_reason"),
+        "source_count", "verification_count", F.col("conflict").cast("int").alias("conflict_flag"), "conflict_reason", "observed_at", "observation_count",
     )
 
 
@@ -113,5 +117,3 @@ def best_url(events: DataFrame, obs: DataFrame, fallback: dict[str, str] | None
     for venue, url in (fallback or {}).items():
         own = F.when(F.lower(strip(or_empty("venue"))) == venue, F.lit(url)).otherwise(own)
     return events.join(urls, key, "left").withColumn("best_url", F.coalesce("observed_url", own)).drop("observed_url")
-
-

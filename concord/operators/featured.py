@@ -47,9 +47,10 @@ def roster_names(events: DataFrame, column: str) -> DataFrame:
 
 def by_venue(events: DataFrame) -> DataFrame:
     """Rows in order of venue and date with a flag on each venue's first; events without venue come last."""
-    order = [F.coalesce("venue", F.lit("zzz")), or_empty("date"), F.col("id")]
-    first = F.row_number().over(Window.partitionBy(F.coalesce("venue", F.lit("zzz"))).orderBy(*order)) == 1
-    return events.withColumn("group_start", first).withColumn("venue_title", F.coalesce("venue", F.lit("Unknown Venue"))).orderBy(*order)
+    venue, place = F.coalesce("venue", F.lit("zzz")), F.struct(or_empty("date").alias("date"), "id")
+    first = events.groupBy(venue.alias("_venue")).agg(F.min(place).alias("_first"))
+    rows = events.join(first, venue == F.col("_venue")).withColumn("group_start", place == F.col("_first")).drop("_venue", "_first")
+    return rows.withColumn("venue_title", F.coalesce("venue", F.lit("Unknown Venue"))).orderBy(venue, or_empty("date"), "id")
 
 
 def sheet(events: DataFrame, today: str) -> DataFrame:

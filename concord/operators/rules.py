@@ -53,6 +53,11 @@ def latest_in(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def first_of(rows: DataFrame, by: list[str], pick, order: Column) -> DataFrame:
+    """One row of each group, by an aggregate that combines a hot group before it is shuffled."""
+    return rows.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)]).agg(pick(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
 def latest_observed(events: DataFrame, obs: DataFrame, key: str) -> DataFrame:
     """Events that have observations, with the latest time of one."""
     return events.join(obs.groupBy(key).agg(F.max("observed_at").alias("latest_observed")), key)
@@ -72,12 +77,12 @@ def stale_image_relistings(events: DataFrame, obs: DataFrame, key: str = "identi
 
 
 def latest_per_identity(events: DataFrame, key: str = "identity_key") -> DataFrame:
-    return latest_in(events, [key], [F.desc("run_id"), F.desc("id")]).filter("rank = 1").drop("rank")
+    return first_of(events, [key], F.max_by, F.struct("run_id", "id"))
 
 
 def distinct_observations(obs: DataFrame, key: str = "identity_key") -> DataFrame:
     """The first of the observations with equal event, source and checksum; nulls are equal."""
-    return latest_in(obs, [key, "source", "checksum"], [F.asc("id")]).filter("rank = 1").drop("rank")
+    return first_of(obs, [key, "source", "checksum"], F.min_by, F.col("id"))
 
 
 #: What follows from an event's observations alone; the rest of an event is kept as it is stored.
@@ -167,12 +172,43 @@ def irregular_recurrences(events: DataFrame) -> DataFrame:
     return found.filter("weekly AND short").select("f.venue", "f.performer", "dates")
 
 
+def schedule_conflicts(events: DataFrame) -> DataFrame:
+    """kind, venue, date, performers, dates: shared slots of one night, and acts with an irregular rhythm."""
+    nights = same_night_collisions(events).select(F.lit("same_night").alias("kind"), "venue", "date", "performers", F.lit(None).cast("array<string>").alias("dates"))
+    rhythm = irregular_recurrences(events).select(F.lit("irregular_recurrence").alias("kind"), "venue", F.lit(None).cast("string").alias("date"), F.array("performer").alias("performers"), "dates")
+    return nights.unionByName(rhythm)
+
+
+def filtered(events: DataFrame, venues: list[str] | None = None, performers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Events of the chosen venues, performers and dates (inclusive, as text); what isn't chosen doesn't filter."""
+    for column, chosen in (("venue", venues), ("performer", performers)):
+        if chosen:
+            events = events.filter(F.col(column).isin(*chosen))
+    if start is not None:
+        events = events.filter(F.col("date") >= start)
+    return events if end is None else events.filter(F.col("date") <= end)
+
+
+def recanonicalized(events: DataFrame, obs: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
+    """(events, observations) with a field in canonical spelling. Events that now have one identity become the one with
+    the least id, which keeps what it has stored; its name is made anew if it or its spelling changed. All derived
+    columns are computed again from the observations that are left once repeated ones have gone."""
+    moved = checkpoint(renamed(events.withColumn("_old", F.col("identity_key")), field))
+    names = moved.select(F.col("_old"), F.col("identity_key").alias("_new"), F.col(field).alias("_value"))
+    obs = obs.join(names, obs["identity_key"] == names["_old"]).withColumn("identity_key", F.col("_new")).withColumn(field, F.col("_value")).drop("_old", "_new", "_value")
+    obs = checkpoint(distinct_observations(obs))
+    grown = moved.groupBy("identity_key").agg(F.max(F.col("renamed") | F.col("merged")).alias("_grown"))
+    kept = moved.filter(~F.col("merged")).join(grown, "identity_key")
+    named = F.concat("performer", F.lit(" at "), "venue")
+    kept = kept.withColumn("name", F.when(F.col("_grown") & (or_empty("performer") != ""), F.coalesce(named, "name")).otherwise(F.col("name")))
+    return checkpoint(recomputed(kept.select(events.columns), obs)), obs
+
+
 def finalize(events: DataFrame, obs: DataFrame, cutoff: str, aggregator: str = "aggregator") -> tuple[DataFrame, DataFrame]:
     """The whole chain in its order: conflicts, relistings, spellings, slots, times, non-music, dates.
 
     What a rule has left is written before the next reads it, so no rule's work is repeated in another's plan.
     """
-    from concord.operators.aggregate import canonical_events
 
     def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
         keys = checkpoint(gone.select("identity_key").distinct())
@@ -183,11 +219,8 @@ def finalize(events: DataFrame, obs: DataFrame, cutoff: str, aggregator: str = "
     events, obs = without(stale_url_relistings(checkpoint(events), obs))
     events, obs = without(stale_image_relistings(checkpoint(events), obs))
     for field in ("venue", "performer"):
-        moved = renamed(events.withColumn("_old", F.col("identity_key")), field)
-        names = moved.select(F.col("_old"), F.col("identity_key").alias("_new"), F.col("venue").alias("_venue"), F.col("performer").alias("_performer"))
-        obs = obs.join(names, obs["identity_key"] == names["_old"]).withColumn("identity_key", F.col("_new")).withColumn("venue", F.col("_venue")).withColumn("performer", F.col("_performer")).drop("_old", "_new", "_venue", "_performer")
-        obs = checkpoint(distinct_observations(obs))
-        events = checkpoint(canonical_events(obs))
+        events, obs = recanonicalized(events, obs, field)
     events = normalize_stored_times(backfill_default_times(events).drop("changed")).drop("changed")
     events = checkpoint(not_past(dated(only_music(events)), cutoff))
+    obs = normalize_stored_times(obs).drop("changed")
     return events, obs.join(events.select("identity_key"), "identity_key", "left_semi")

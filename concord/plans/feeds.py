@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators.store import Store
-from concord.plans.view import EVENTS, raw, table
+from concord.plans.view import EVENTS, TRUST, raw, table
+from concord.session import shared_dir
 from concord.sources import feeds, html
 from concord.streaming.accumulate import accumulate
 
@@ -103,12 +103,11 @@ def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first batch's identities keep all rows, later ones only distinct contents; neither count depends on that.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="concord-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     raw(spark, sf_dir).repartition(3, "id").write.parquet(f"{base}/in")
     source = spark.read.parquet(f"{base}/in").schema
     stream = spark.readStream.schema(source).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     store = Store(spark, f"{base}/store")
-    accumulate(stream, store, f"{base}/progress").awaitTermination()
+    accumulate(stream, store, f"{base}/progress", trust=TRUST).awaitTermination()
     found = store.read("events")
     return found.select("identity_key", "verification_count", "source_count")

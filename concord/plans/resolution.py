@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions.names import signature
-from concord.functions.scores import band, rounded, score_reason, sql_rounded
+from concord.functions.scores import band, score_reason, sql_rounded
+from concord.functions.text import sql_strip
 from concord.operators import changes, featured, rules, store
 from concord.operators.aggregate import best_url, canonical_events, health, marked, source_confidences, combined_confidence, with_observations
-from concord.plans.view import EVENTS, OBS, SEEN, observed, raw, sql_events, table
+from concord.plans.view import EVENTS, OBS, SEEN, TRUST, observed, raw, sql_events, table
+from concord.session import checkpoint
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,11 +27,20 @@ def query(sql: str | None = None):
     return register
 
 
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view, written once for queries that read it more than once."""
+    return checkpoint(observed(spark, sf_dir))
+
+
 def events_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    obs = observed(spark, sf_dir)
+    obs = written(spark, sf_dir)
     return canonical_events(obs), obs
 
 
+def events_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_events(observed(spark, sf_dir))
+
+
 @query(f"{SEEN} SELECT id, identity_key, source, observation_type, source_confidence, extraction_confidence, confidence, time_start, stage FROM obs")
 def observation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir).select("id", "identity_key", "source", "observation_type", "source_confidence", "extraction_confidence", "confidence", "time_start", "stage")
@@ -40,7 +51,7 @@ CANONICAL = "identity_key, id, name, performer, venue, date, time_start, time_en
 
 @query(f"{EVENTS} SELECT {CANONICAL} FROM ev")
 def canonical_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(spark, sf_dir)[0].select(*CANONICAL.split(", "))
+    return events_only(spark, sf_dir).select(*CANONICAL.split(", "))
 
 
 QUERIES["canonical_events"], ORACLES["canonical_events"] = QUERIES.pop("canonical_events_query"), ORACLES.pop("canonical_events_query")
@@ -54,7 +65,7 @@ def canonical_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EVENTS} SELECT identity_key, id, source, time_start, stage, conflicting FROM marked")
 def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(observed(spark, sf_dir)).select("identity_key", "id", "source", "time_start", "stage", "conflicting")
+    return marked(written(spark, sf_dir)).select("identity_key", "id", "source", "time_start", "stage", "conflicting")
 
 
 @query(f"{EVENTS} SELECT l.identity_key, coalesce(nullif(l.stage, ''), f_stage) AS stage, coalesce(nullif(l.url, ''), f_url) AS url, l.stage IS NULL AND f_stage IS NOT NULL AS stage_filled FROM lead l JOIN facts f USING (identity_key)")
@@ -102,13 +113,29 @@ def site_vs_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT venue, date, stage, time_start FROM p GROUP BY ALL HAVING count(*) > 1)
 SELECT venue, date, list_sort(list_distinct(list(performer))) AS performers FROM p JOIN s USING (venue, date, stage, time_start) GROUP BY ALL""")
 def same_night_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.same_night_collisions(events_of(spark, sf_dir)[0]).select("venue", "date", "performers")
+    return rules.same_night_collisions(events_only(spark, sf_dir)).select("venue", "date", "performers")
+
+
+IRREGULAR = """a AS (SELECT venue, performer || ' ' || time_start AS performer, date FROM ev), g AS (SELECT *, CAST(date AS DATE) - lag(CAST(date AS DATE)) OVER (PARTITION BY venue, performer ORDER BY date) AS gap FROM a),
+irregular AS (SELECT venue, performer, list(date ORDER BY date) AS dates FROM g GROUP BY ALL HAVING bool_or(gap BETWEEN 6 AND 8) AND bool_or(gap BETWEEN 1 AND 3))"""
 
 
-@query(f"""{EVENTS}, g AS (SELECT venue, performer, date, CAST(date AS DATE) - lag(CAST(date AS DATE)) OVER (PARTITION BY venue, performer ORDER BY date) AS gap FROM ev)
-SELECT venue, performer, list(date ORDER BY date) AS dates FROM g GROUP BY ALL HAVING bool_or(gap BETWEEN 6 AND 8) AND bool_or(gap BETWEEN 1 AND 3)""")
+def by_slot(events: DataFrame) -> DataFrame:
+    """Events whose performers are acts of one start time, so that not every act plays every day."""
+    return events.withColumn("performer", F.concat("performer", F.lit(" "), "time_start"))
+
+
+@query(f"{EVENTS}, {IRREGULAR} SELECT * FROM irregular")
 def irregular_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.irregular_recurrences(events_of(spark, sf_dir)[0]).select("venue", "performer", "dates")
+    return rules.irregular_recurrences(by_slot(events_only(spark, sf_dir))).select("venue", "performer", "dates")
+
+
+@query(f"""WITH {OBS}, {sql_events()}, {IRREGULAR}, q AS (SELECT DISTINCT e.venue, e.date, coalesce(lower(trim(e.stage)), '') AS stage, e.time_start, e.performer || ' ' || e.time_start AS performer FROM ev e),
+s AS (SELECT venue, date, stage, time_start FROM q GROUP BY ALL HAVING count(*) > 1)
+SELECT 'same_night' AS kind, venue, date, list_sort(list_distinct(list(performer))) AS performers, CAST(NULL AS VARCHAR[]) AS dates FROM q JOIN s USING (venue, date, stage, time_start) GROUP BY ALL
+UNION ALL SELECT 'irregular_recurrence', venue, NULL, [performer], dates FROM irregular""")
+def schedule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.schedule_conflicts(checkpoint(by_slot(events_only(spark, sf_dir))))
 
 
 @query(f"""{EVENTS}, kept AS (SELECT * FROM obs WHERE source <> 'aggregator'), {sql_events("kept", "k_")}
@@ -147,7 +174,7 @@ d AS (SELECT coalesce(a.identity_key, b.identity_key) AS identity_key, CASE WHEN
 
 
 def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observed(spark, sf_dir)
+    obs = written(spark, sf_dir)
     return changes.compare_runs(canonical_events(obs.filter("id % 10 >= 3")), canonical_events(obs.filter("id % 10 < 7")))
 
 
@@ -178,7 +205,7 @@ allo AS (SELECT s.* REPLACE (coalesce(a.seen, s.observed_at) AS observed_at) FRO
 
 
 def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    obs = observed(spark, sf_dir)
+    obs = written(spark, sf_dir)
     stored, incoming = obs.filter("id % 2 = 0"), obs.filter("id % 2 = 1")
     both = store.merge_observations(stored, incoming)
     return store.merge_events(canonical_events(stored), both, incoming.select("identity_key")), both
@@ -204,7 +231,7 @@ def kpi_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{EVENTS} SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS events FROM ev GROUP BY ALL""")
 def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(spark, sf_dir)[0].groupBy(band("confidence").alias("band")).agg(F.count("*").alias("events"))
+    return events_only(spark, sf_dir).groupBy(band("confidence").alias("band")).agg(F.count("*").alias("events"))
 
 
 @query(f"""{EVENTS}, u AS (SELECT identity_key, first(url ORDER BY confidence DESC, id) FILTER (WHERE url IS NOT NULL) AS u FROM obs GROUP BY ALL)
@@ -215,55 +242,57 @@ def best_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_url(events, obs, own).select("identity_key", "best_url")
 
 
-FAVORITES = """rv AS (SELECT 'venue ' || (n_nationkey % 20) AS v FROM nation WHERE n_nationkey % 5 = 2),
-rp AS (SELECT 'act ' || c_custkey AS p, arg_max(c_mktsegment <> 'BUILDING', c_custkey) AS fav, max(c_custkey) AS ord FROM customer WHERE c_custkey % 7 = 3 AND c_custkey < 150 GROUP BY ALL),
+FAVORITES = """rv AS (SELECT 'venue ' || (n_nationkey % 20) AS v FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'),
+rp AS (SELECT 'act ' || c_custkey AS p, arg_max(c_mktsegment <> 'BUILDING', c_custkey) AS fav, max(c_custkey) AS ord FROM customer GROUP BY ALL),
 tiers AS (SELECT e.*, coalesce(rp.ord, 1073741824) AS ord, coalesce(rp.fav, false) AS pf, rv.v IS NOT NULL AS vf,
   CASE WHEN coalesce(rp.fav, false) AND rv.v IS NOT NULL THEN 0 WHEN coalesce(rp.fav, false) THEN 1 WHEN rv.v IS NOT NULL THEN 2 ELSE 3 END AS tier
   FROM ev e LEFT JOIN rp ON lower(e.performer) = rp.p LEFT JOIN (SELECT DISTINCT v FROM rv) rv ON lower(e.venue) = rv.v WHERE date BETWEEN '2024-01-08' AND '2024-01-14')"""
 
 
 def rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    venues = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 2").select(F.concat(F.lit("Venue "), (F.col("n_nationkey") % 20).cast("string")).alias("venue"))
-    people = table(spark, sf_dir, "customer").filter("c_custkey % 7 = 3 AND c_custkey < 150")
+    """Favourite venues are those of one region's nations; the roster is all customers, its favourites by their segment."""
+    home = table(spark, sf_dir, "region").filter("r_name = 'ASIA'").select("r_regionkey")
+    venues = table(spark, sf_dir, "nation").join(home, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.concat(F.lit("Venue "), (F.col("n_nationkey") % 20).cast("string")).alias("venue"))
+    people = table(spark, sf_dir, "customer")
     return venues, people.select(F.concat(F.lit("Act "), F.col("c_custkey").cast("string")).alias("performer"), F.when(F.col("c_mktsegment") != "BUILDING", "Y").otherwise("N").alias("favorite"), F.col("c_custkey").alias("ord"))
 
 
 @query(f"{EVENTS}, {FAVORITES} SELECT identity_key, tier, 1 AS place FROM tiers WHERE tier < 3 ORDER BY tier, date, ord, confidence DESC, id LIMIT 1")
 def featured_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured.featured(events_of(spark, sf_dir)[0], *rosters(spark, sf_dir), "2024-01-08", "2024-01-14").select("identity_key", "tier", "place")
+    return featured.featured(events_only(spark, sf_dir), *rosters(spark, sf_dir), "2024-01-08", "2024-01-14").select("identity_key", "tier", "place")
 
 
 @query(f"{EVENTS}, {FAVORITES} SELECT identity_key, tier, CAST(row_number() OVER (ORDER BY date, tier, ord, confidence DESC, id) AS INTEGER) AS place FROM tiers WHERE pf")
 def featured_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured.featured(events_of(spark, sf_dir)[0], *rosters(spark, sf_dir), "2024-01-08", "2024-01-14", all_performers=True).select("identity_key", "tier", "place")
+    return featured.featured(events_only(spark, sf_dir), *rosters(spark, sf_dir), "2024-01-08", "2024-01-14", all_performers=True).select("identity_key", "tier", "place")
 
 
 @query(f"{EVENTS} SELECT identity_key, venue, date, row_number() OVER (PARTITION BY venue ORDER BY date, id) = 1 AS group_start FROM ev")
 def by_venue_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured.by_venue(events_of(spark, sf_dir)[0]).select("identity_key", "venue", "date", "group_start")
+    return featured.by_venue(events_only(spark, sf_dir)).select("identity_key", "venue", "date", "group_start")
 
 
 @query(f"""{EVENTS} SELECT id, strftime(CAST(date AS DATE), '%A') AS day, strftime(CAST(date AS DATE), '%b %d, %Y') AS date_shown, strftime(CAST(date AS DATE), '%a %b %d') AS short_date,
 performer, venue, time_start, printf('%.2f', {sql_rounded("confidence", 2)}) || CASE WHEN confidence >= 0.8 THEN ' (high)' WHEN confidence >= 0.5 THEN ' (medium)' ELSE ' (low)' END AS confidence_shown, date < '2024-01-15' AS is_past FROM ev""")
 def report_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featured.sheet(events_of(spark, sf_dir)[0], "2024-01-15")
+    return featured.sheet(events_only(spark, sf_dir), "2024-01-15")
 
 
 @query(f"{EVENTS} SELECT identity_key, date, time_start, venue FROM ev WHERE date >= '2024-01-20' ORDER BY date, time_start")
 def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.not_past(events_of(spark, sf_dir)[0], "2024-01-20").select("identity_key", "date", "time_start", "venue").orderBy("date", "time_start")
+    return rules.not_past(events_only(spark, sf_dir), "2024-01-20").select("identity_key", "date", "time_start", "venue").orderBy("date", "time_start")
 
 
 @query(f"{EVENTS} SELECT identity_key, venue, date FROM ev WHERE venue IN ('Venue 3', 'Venue 7') AND performer IN ('Act 3', 'Act 7', 'Act 27') AND date BETWEEN '2024-01-05' AND '2024-01-25'")
 def filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = events_of(spark, sf_dir)[0]
-    return events.filter(F.col("venue").isin("Venue 3", "Venue 7") & F.col("performer").isin("Act 3", "Act 7", "Act 27") & F.col("date").between("2024-01-05", "2024-01-25")).select("identity_key", "venue", "date")
+    found = rules.filtered(events_only(spark, sf_dir), ["Venue 3", "Venue 7"], ["Act 3", "Act 7", "Act 27"], "2024-01-05", "2024-01-25")
+    return found.select("identity_key", "venue", "date")
 
 
 @query(f"""{SEEN} SELECT id, 'source=' || source || ' (trust ' || printf('%.2f', {sql_rounded("source_confidence", 2)}) || '); extraction ' || printf('%.2f', {sql_rounded("extraction_confidence", 2)}) || '; model ' || printf('%.2f', {sql_rounded("m", 2)}) AS reason FROM obs""")
 def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir)
-    return rows.select("id", score_reason().alias("reason"))
+    return rows.select("id", score_reason(trust=TRUST).alias("reason"))
 
 
 @query(f"""{TWO_RUNS}, x AS (SELECT b.* FROM b_ev b JOIN d USING (identity_key) WHERE d.status = 'new')
@@ -272,13 +301,18 @@ def changelog_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.changelog(two_runs(spark, sf_dir)).filter("status = 'new'").select("line")
 
 
-@query()
+@query(f"""WITH {OBS}, {sql_events()}, who AS (SELECT identity_key, bool_and(source = 'aggregator') AS only_a, bool_or(source <> 'aggregator') AS other FROM obs GROUP BY ALL),
+slot AS (SELECT e.*, only_a AND bool_or(other) OVER (PARTITION BY lower(venue), date, time_start) AS gone FROM ev e JOIN who USING (identity_key)), f1 AS (SELECT * EXCLUDE (gone) FROM slot WHERE NOT gone),
+f2 AS (SELECT * EXCLUDE (r) FROM (SELECT *, CASE WHEN coalesce(url, '') <> '' THEN row_number() OVER (PARTITION BY source, url, date ORDER BY observed_at DESC, id) ELSE 1 END AS r FROM f1) WHERE r = 1),
+f3 AS (SELECT * EXCLUDE (r) FROM (SELECT *, CASE WHEN source ILIKE 'image:%' THEN row_number() OVER (PARTITION BY source ILIKE 'image:%', lower(venue), date, time_start, {sql_strip("lower(coalesce(stage, ''))")} ORDER BY observed_at DESC, id) ELSE 1 END AS r FROM f2) WHERE r = 1),
+left_obs AS (SELECT * EXCLUDE (r) FROM (SELECT o.*, row_number() OVER (PARTITION BY identity_key, source, checksum ORDER BY id) AS r FROM obs o WHERE identity_key IN (SELECT identity_key FROM f3)) WHERE r = 1),
+{sql_events("left_obs", "z_")} SELECT identity_key, f.id, f.name, f.date, z.time_start, f.venue, f.performer, f.url, z.confidence, z.source_count FROM f3 f JOIN z_ev z USING (identity_key) WHERE f.date >= '2024-01-10'""")
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole rule chain. Its parts have SQL of their own."""
+    """The whole rule chain."""
     events, _ = rules.finalize(*events_of(spark, sf_dir), "2024-01-10")
-    return events.select("identity_key", "name", "date", "time_start", "venue", "performer", "confidence", "source_count")
+    return events.select("identity_key", "id", "name", "date", "time_start", "venue", "performer", "url", "confidence", "source_count")
 
 
 @query(f"{EVENTS}, s AS (SELECT identity_key, {SIGN} AS signature FROM ev) SELECT * FROM s")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(spark, sf_dir)[0].select("identity_key", signature().alias("signature"))
+    return events_only(spark, sf_dir).select("identity_key", signature().alias("signature"))

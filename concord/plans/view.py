@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.functions import fixed_values as fixed
 from concord.functions.scores import sql_rounded
 from concord.functions.text import sql_strip
 from concord.operators.observe import observations
@@ -33,8 +34,12 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The view's own trust: the known sources, and its aggregator.
+TRUST = fixed.SOURCE_TRUST | {"aggregator": 0.90}
+
+
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(raw(spark, sf_dir))
+    return observations(raw(spark, sf_dir), TRUST)
 
 
 STAGE = f"lower({sql_strip('coalesce(stage, $$$$)')})".replace("$$$$", "''")

@@ -12,13 +12,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from concord.operators.observe import observations
 from concord.operators.store import Store
+from concord.session import checkpoint
 
 
-def accumulate(raw: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def accumulate(raw: DataFrame, store: Store, progress: str, available_now: bool = True, trust: dict[str, float] | None = None) -> StreamingQuery:
     def merge(batch: DataFrame, number: int) -> None:
-        rows = observations(batch)
+        # Written once: the merge reads a batch several times.
+        rows = checkpoint(observations(batch, trust))
         if not rows.isEmpty():
             store.upsert(rows, f"batch_{number:09d}")
 
-    writer = raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = raw.writeStream.foreachBatch(merge).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
