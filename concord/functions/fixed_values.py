@@ -212,3 +212,69 @@ READER_GARBAGE = "\u00ff\u00a5\u00a2%"
 
 # Promotions in the section feed that are not music.
 PROMOTIONS = r"\b(happy hour|golf tournament|meet ?up|fundraiser|wine tasting|beer tasting)\b"
+
+# Classes, short names, map searches and links of venues on the dashboard, by lower-case name.
+VENUE_CLASSES = {
+    "red fish taco": "vt-rft",
+    "papa surf": "vt-ps",
+    "papa surf burger bar": "vt-ps",
+    "shelby's beach bar and gill": "vt-sbb",
+    "shelby's beach bar": "vt-sbb",
+    "shelby's": "vt-sbb",
+    "north beach social": "vt-nbs",
+    "stinky's bait shack": "vt-sbs",
+    "stinky\u2019s bait shack": "vt-sbs",
+    "aj's grayton": "vt-aj",
+    "aj's grayton beach": "vt-aj",
+    "the pavilion at watersound town center": "vt-pav",
+    "chiringo": "vt-chi",
+    "30avenue": "vt-30a",
+    "mcguire's destin": "vt-mcg",
+    "mcguire\u2019s destin": "vt-mcg",
+    "crackings": "vt-crk",
+    "local catch bar & grill": "vt-lcb",
+    "seaside amphitheater": "vt-sea",
+    "shunk gulley": "vt-sgl",
+    "stinky's fish camp": "vt-sfc",
+    "stinky\u2019s fish camp": "vt-sfc",
+    "the bay": "vt-bay",
+    "the red bar": "vt-trb",
+    "watersound town center": "vt-wsc",
+    "rosemary beach": "vt-rsb",
+    "rosemary beach town hall": "vt-rsb",
+    "fish out of water": "vt-fow",
+    "old florida fish house": "vt-ofh",
+}
+DEFAULT_VENUE_CLASS = "vt-def"
+VENUE_FALLBACK_URLS = {
+    "papa surf": "https://instagram.com/papasurfburgerbar",
+    "papa surf burger bar": "https://instagram.com/papasurfburgerbar",
+    "shelby's beach bar": "https://instagram.com/shelbysbeachbar",
+    "shelby's beach bar and gill": "https://instagram.com/shelbysbeachbar",
+    "shelby's": "https://instagram.com/shelbysbeachbar",
+}
+VENUE_MAP_SEARCHES = {
+    "aj's grayton": "AJ's Grayton Beach, FL",
+    "aj's grayton beach": "AJ's Grayton Beach, FL",
+    "the pavilion at watersound town center": "The Pavilion at Watersound Town Center, FL",
+    "mcguire's destin": "McGuire's Irish Pub, Destin, FL",
+    "mcguire\u2019s destin": "McGuire's Irish Pub, Destin, FL",
+}
+VENUE_SHORT_NAMES = {"the pavilion at watersound town center": "The Pavilion at WTC"}
+MAP_EMBED = ("https://www.google.com/maps?q=", "&output=embed")
+MAP_SEARCH = "https://www.google.com/maps/search/?api=1&query="
+BAND_CLASSES = {"high": "cf-hi", "medium": "cf-md", "low": "cf-lo"}
+DEFAULT_BAND_CLASS = "cf-md"
+
+# Endings of image files; seed events without their date; a curated listing's source and body.
+IMAGE_ENDINGS = [".png", ".jpg", ".jpeg", ".webp", ".gif"]
+SEED_EVENTS = [
+    {"name": "Stevie Monce at Chiringo", "time_start": "6PM", "venue": "Chiringo", "performer": "Stevie Monce", "url": "https://instagram.com/steviemonce"},
+    {"name": "Casey Kearney at Shunk Gulley", "time_start": "7PM", "venue": "Shunk Gulley", "performer": "Casey Kearney", "url": "https://instagram.com/caseykearney"},
+]
+CURATED_SOURCE, CURATED_BODY = "dashboard_legacy", "tb"
+
+# The wording of a changelog in text.
+CHANGELOG_HEAD = ["Changelog: %s", "Recorded: %s", "+%d new  ~%d changed  -%d removed  %d unchanged"]
+CHANGELOG_TITLES = {"new": "New (%d):", "changed": "Changed (%d):", "removed": "Removed (%d):"}
+CHANGELOG_EVENT, CHANGELOG_FIELD = "  \u00b7 %s", "      %s: %s -> %s"

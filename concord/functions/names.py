@@ -54,6 +54,13 @@ def identity_key(performer: Column | str = "performer", venue: Column | str = "v
     return F.concat(F.lower(strip(or_empty(performer))), F.lit("|"), F.lower(strip(or_empty(venue))), F.lit("|"), strip(or_empty(date)))
 
 
+def ascii_identity_key(performer: Column | str = "performer", venue: Column | str = "venue", date: Column | str = "date") -> Column:
+    """identity_key as older stores made it in SQL: only A to Z go to lower case, and only spaces are stripped."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    part = lambda c: F.translate(F.trim(or_empty(c)), capitals, capitals.lower())
+    return F.concat(part(performer), F.lit("|"), part(venue), F.lit("|"), F.trim(or_empty(date)))
+
+
 def signature() -> Column:
     """What must differ for an event to count as changed."""
     fields = ["name", "date", "time_start", "time_end", "venue", "performer", "stage"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions import fixed_values as fixed
 from concord.functions.names import signature
 from concord.functions.text import or_empty
+from concord.session import checkpoint
 
 #: Fields whose differences a changelog lists.
 DIFF_FIELDS = ["name", "venue", "performer", "date", "time_start", "time_end", "stage", "url"]
@@ -42,42 +44,70 @@ def event_line(prefix: str = "") -> Column:
     return F.trim(F.concat(performer, F.lit(" @ "), c("venue", "?"), F.lit("  "), c("date", "?"), F.lit(" "), or_empty(prefix + "time_start")))
 
 
-def changelog(changes: DataFrame) -> DataFrame:
-    """status, line, diff: what a run's log lists, in its order."""
-    new, gone, changed = (changes.filter(F.col("status") == s) for s in ("new", "removed", "changed"))
+def changelog(changes: DataFrame, key: str = "identity_key") -> DataFrame:
+    """key, status, line, diff: what a run's log lists."""
+    rows = changes.filter("status != 'unchanged'")
+    line = F.when(F.col("status") == "removed", event_line("before.")).otherwise(event_line("after."))
     none = F.array().cast("array<struct<field:string,before:string,after:string>>")
-    rows = new.select("status", event_line("after.").alias("line"), none.alias("diff"))
-    rows = rows.unionByName(changed.select("status", event_line("after.").alias("line"), field_diff().alias("diff")))
-    return rows.unionByName(gone.select("status", event_line("before.").alias("line"), none.alias("diff")))
+    return rows.select(key, "status", line.alias("line"), F.when(F.col("status") == "changed", field_diff()).otherwise(none).alias("diff"))
 
 
-def render(run_id: str, recorded_at: str, summary: dict, rows: list) -> str:
-    """The text of one run's log from its (small) rows of `changelog`."""
-    lines = [f"Changelog: {run_id}", f"Recorded: {recorded_at}", f"+{summary['new']} new  ~{summary['changed']} changed  -{summary['removed']} removed  {summary['unchanged']} unchanged"]
-    for status in ("new", "changed", "removed"):
-        own = [r for r in rows if r["status"] == status]
-        if own:
-            lines += ["", f"{status.title()} ({len(own)}):"]
-            for r in own:
-                lines.append(f"  · {r['line']}")
-                lines += [f"      {d['field']}: {d['before']!r} -> {d['after']!r}" for d in r["diff"]]
-    return "\n".join([*lines, ""])
+def quoted(c: Column) -> Column:
+    """A value as logs show it: None, or in quotes that it doesn't hold itself."""
+    slashed = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    double = c.contains("'") & ~c.contains('"')
+    own = F.when(double, F.concat(F.lit('"'), slashed, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(slashed, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    return F.coalesce(own, F.lit("None"))
+
+
+def log_text(rows: DataFrame, summary: DataFrame, run_id: str, recorded_at: str, key: str = "identity_key") -> DataFrame:
+    """The lines of one run's log, place and line, from its `changelog` and one row of counts; place orders them.
+
+    A place is section, status, event and number within it, so lines of any number of events are sorted by Spark.
+    """
+    place = lambda section, at=0: F.struct(F.lit(section).alias("section"), F.lit("").alias("line"), F.lit("").alias("event"), F.lit(at).alias("at"))
+    counts = [F.col(c) for c in ("new", "changed", "removed", "unchanged")]
+    run, recorded, totals = fixed.CHANGELOG_HEAD
+    lines = [(place(-1, at=0), F.format_string(run, F.lit(run_id))), (place(-1, at=1), F.format_string(recorded, F.lit(recorded_at))), (place(-1, at=2), F.format_string(totals, *counts))]
+    for section, (status, title) in enumerate(fixed.CHANGELOG_TITLES.items()):
+        some = F.col(status) > 0
+        lines += [(place(2 * section), F.when(some, F.lit(""))), (place(2 * section, at=1), F.when(some, F.format_string(title, F.col(status))))]
+    head = summary.select(F.explode(F.array(*[F.struct(p.alias("place"), line.alias("line")) for p, line in lines])).alias("l")).select("l.*").filter("line IS NOT NULL")
+    section = sum((F.when(F.col("status") == s, 2 * i + 1).otherwise(0) for i, s in enumerate(fixed.CHANGELOG_TITLES)), F.lit(0))
+    fields = F.transform("diff", lambda d: F.format_string(fixed.CHANGELOG_FIELD, d["field"], quoted(d["before"]), quoted(d["after"])))
+    body = rows.select("status", key, F.col("line").alias("_line"), F.posexplode(F.concat(F.array(F.format_string(fixed.CHANGELOG_EVENT, "line")), fields)).alias("at", "line"))
+    body = body.select(F.struct(section.alias("section"), F.col("_line").alias("line"), F.col(key).alias("event"), "at").alias("place"), "line")
+    return head.unionByName(body)
 
 
 def write_changelog(changes: DataFrame, path: str, run_id: str, recorded_at: str) -> bool:
-    """Writes <path>/<run_id> as JSON rows and text, unless nothing was new, changed or removed. Returns whether it did."""
-    spark = changes.sparkSession
-    summary = change_summary(changes).first().asDict()
-    if not summary["total_delta"] and not summary["removed"]:
+    """Writes <path>/<run_id> as JSON rows and as text, unless nothing was new, changed or removed. Returns whether it did."""
+    summary = checkpoint(change_summary(changes))
+    counts = summary.first()
+    if not counts["total_delta"] and not counts["removed"]:
         return False
-    rows = changelog(changes)
+    rows = checkpoint(changelog(changes))
     rows.withColumn("run_id", F.lit(run_id)).withColumn("recorded_at", F.lit(recorded_at)).write.mode("overwrite").json(f"{path}/{run_id}.json")
-    text = render(run_id, recorded_at, summary, rows.orderBy("status", "line").collect())
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{run_id}.txt")
+    log_text(rows, summary, run_id, recorded_at).orderBy("place").select("line").write.mode("overwrite").text(f"{path}/{run_id}.txt")
     return True
 
 
+def logged(spark, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+
+
+def changelogs(spark, path: str) -> DataFrame:
+    """run_id, new, changed, removed of every log, in order of run_id."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return logged(spark, path).groupBy("run_id").agg(n("new"), n("changed"), n("removed")).orderBy("run_id")
+
+
+def changelog_of(spark, path: str, run_id: str) -> DataFrame:
+    """The rows of one run's log; none, if it has no log."""
+    return logged(spark, path).filter(F.col("run_id") == run_id)
+
+
 def latest_changelog(spark, path: str) -> DataFrame:
     """The rows of the run with the greatest id."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+    rows = logged(spark, path)
     return rows.join(F.broadcast(rows.agg(F.max("run_id").alias("run_id"))), "run_id")  # one row

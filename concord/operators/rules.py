@@ -89,11 +89,11 @@ def distinct_observations(obs: DataFrame, key: str = "identity_key") -> DataFram
 DERIVED = ["time_start", "time_end", "stage", "confidence", "confidence_reason", "source_count", "verification_count", "conflict_flag", "conflict_reason", "observation_count"]
 
 
-def recomputed(events: DataFrame, obs: DataFrame, key: str = "identity_key") -> DataFrame:
+def recomputed(events: DataFrame, obs: DataFrame, key: str = "identity_key", derived: list[str] = DERIVED) -> DataFrame:
     """events with their derived columns as their observations now give them; those without observations unchanged."""
     from concord.operators.aggregate import canonical_events
 
-    derived = [c for c in DERIVED if c in events.columns]
+    derived = [c for c in derived if c in events.columns]
     new = canonical_events(obs, key).select(F.col(key).alias("_key"), F.struct(*derived).alias("_new"))
     both = events.join(new, F.col(key) == F.col("_key"), "left")
     return both.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in derived else F.col(c) for c in events.columns])

@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.functions.names import signature
+from concord.functions.names import ascii_identity_key, signature
+from concord.functions.scores import source_trust
 from concord.functions.text import or_empty
+from concord.functions.times import start_minutes
 from concord.operators.aggregate import canonical_events
 from concord.operators.observe import OBSERVATION
+from concord.operators.rules import distinct_observations, first_of, not_past, recomputed
+from concord.session import checkpoint
 
 
 def merge_observations(stored: DataFrame, incoming: DataFrame, key: str = "identity_key") -> DataFrame:
@@ -29,7 +33,7 @@ def merge_observations(stored: DataFrame, incoming: DataFrame, key: str = "ident
     refreshed = stored.join(again, same, "left").withColumn("observed_at", F.coalesce("_seen", "observed_at")).drop("_k", "_s", "_c", "_seen")
     seen = stored.select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("checksum").alias("_c")).distinct()
     added = known.join(seen, same, "left_anti")
-    added = added.withColumn("_n", F.row_number().over(Window.partitionBy(key, "source", "checksum").orderBy("id"))).filter("_n = 1").drop("_n")
+    added = distinct_observations(added, key)
     return refreshed.select(OBSERVATION).unionByName(added.select(OBSERVATION)).unionByName(fresh.select(OBSERVATION))
 
 
@@ -52,8 +56,8 @@ def merge_events(previous: DataFrame, observations: DataFrame, touched: DataFram
 class Store:
     """Events and observations below a path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path, keep
         jvm = spark._jvm
         self.folder = jvm.org.apache.hadoop.fs.Path(path)
         self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -63,30 +67,62 @@ class Store:
 
     def version(self) -> int:
         """The current version, 0 before the first: the greatest number that has been committed."""
-        if not self.files.exists(self.hadoop("_versions")):
-            return 0
-        return max([int(s.getPath().getName()) for s in self.files.listStatus(self.hadoop("_versions"))], default=0)
+        return max(self.numbers("_versions"), default=0)
 
     def read(self, table: str) -> DataFrame | None:
         n = self.version()
         return self.spark.read.parquet(f"{self.path}/{table}/v={n}") if n else None
 
+    def numbers(self, folder: str) -> list[int]:
+        return [int(x.getPath().getName()) for x in self.files.listStatus(self.hadoop(folder))] if self.files.exists(self.hadoop(folder)) else []
+
     def commit(self, **tables: DataFrame) -> int:
-        """Writes the tables as the next version; the marker that makes it current is created last, in one step."""
+        """Writes the tables as the next version; the marker that makes it current is created last, in one step.
+
+        Versions before the `keep` newest are deleted then.
+        """
         n = self.version() + 1
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v={n}")
         self.files.create(self.hadoop(f"_versions/{n}"), False).close()
+        for old in self.numbers("_versions"):
+            if old <= n - self.keep:
+                for name in self.names(old):
+                    self.files.delete(self.hadoop(f"{name}/v={old}"), True)
+                self.files.delete(self.hadoop(f"_versions/{old}"), False)
         return n
 
-    def upsert(self, incoming: DataFrame, run_id: str) -> dict[str, int]:
-        """Merges observations of one run and returns the counts by status."""
+    def names(self, n: int) -> list[str]:
+        """The tables of a version."""
+        found = [x.getPath().getName() for x in self.files.listStatus(self.folder)] if n else []
+        return [t for t in found if self.files.exists(self.hadoop(f"{t}/v={n}"))]
+
+    def schema(self) -> int:
+        """The schema version of the stored tables."""
+        return max(self.numbers("_schema"), default=0)
+
+    def migrate(self) -> int:
+        """Brings the stored tables to the newest schema, keeps its number, and returns it."""
+        done = self.schema()
+        if done < len(MIGRATIONS):
+            n = self.version()
+            tables, done = migrate(self.spark, {t: self.read(t) for t in self.names(n)}, done)
+            self.commit(**tables)
+            self.files.create(self.hadoop(f"_schema/{done}"), True).close()
+        return done
+
+    def upsert(self, incoming: DataFrame, run_id: str, before: str | None = None) -> dict[str, int]:
+        """Merges observations of one run and returns the counts by status; events dated before `before` go, with theirs."""
         stored, previous = self.read("observations"), self.read("events")
         if stored is None:
             stored = incoming.limit(0)
             previous = canonical_events(stored).withColumn("run_id", F.lit(""))
+            self.files.create(self.hadoop(f"_schema/{len(MIGRATIONS)}"), True).close()
         observations = merge_observations(stored, incoming)
         events = merge_events(previous, observations, incoming.select("identity_key"))
+        if before is not None:
+            events = not_past(events, before)
+            observations = observations.join(events.select("identity_key"), "identity_key", "left_semi").select(OBSERVATION)
         run = F.when(F.col("status") == "kept", F.col("run_id")).otherwise(F.lit(run_id))
         n = self.commit(observations=observations, events=events.withColumn("run_id", run))
         counts = {r["status"]: r["count"] for r in self.spark.read.parquet(f"{self.path}/events/v={n}").groupBy("status").count().collect()}
@@ -112,31 +148,81 @@ def add_missing(rows: DataFrame, **columns: str) -> DataFrame:
     return rows
 
 
-def migrate_confidence(rows: DataFrame) -> DataFrame:
-    from concord.functions.scores import source_trust
+Tables = dict[str, DataFrame]
+RUN = {"id": "long", "run_id": "string", "started_at": "string", "events_saved": "int"}
+EVENT = {"id": "long", "name": "string", "date": "string", "time_start": "string", "time_end": "string", "venue": "string", "performer": "string", "url": "string", "stage": "string", "source": "string", "run_id": "string"}
+OBSERVED = {"id": "long", "event_id": "long", "source": "string", "url": "string", "confidence": "double", "checksum": "string", "observed_at": "string"}
+
+
+def empty(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns.items()))
+
+
+def migrate_base(spark: SparkSession, tables: Tables) -> Tables:
+    """The tables of events and runs, with every column that the first version has."""
+    events, runs = (tables[t] if t in tables else empty(spark, kinds) for t, kinds in (("events", EVENT), ("runs", RUN)))
+    return tables | {"events": add_missing(events, **EVENT), "runs": add_missing(runs, **RUN)}
+
+
+def migrate_confidence(spark: SparkSession, tables: Tables) -> Tables:
+    """Events get a confidence, from trust in their source where they have none."""
+    rows = add_missing(tables["events"], confidence="double", confidence_reason="string")
+    reason = F.when(F.col("confidence").isNull(), F.lit("backfilled from source trust")).otherwise(F.col("confidence_reason"))
+    rows = rows.withColumn("confidence_reason", reason).withColumn("confidence", F.coalesce("confidence", source_trust("source")))
+    return tables | {"events": rows.withColumn("run_id", F.when(or_empty("run_id") == "", F.lit("legacy")).otherwise(F.col("run_id")))}
+
+
+def migrate_provenance(spark: SparkSession, tables: Tables) -> Tables:
+    """Events get what is counted over their sources, and sources a table of their own."""
+    tables = tables | {"events": add_missing(tables["events"], source_count="int", verification_count="int", conflict_flag="int", conflict_reason="string")}
+    return tables if {"event_sources", "observations"} & set(tables) else tables | {"event_sources": empty(spark, OBSERVED)}
 
-    rows = add_missing(rows, confidence="double", confidence_reason="string", run_id="string")
-    unset = F.col("confidence").isNull()
-    rows = rows.withColumn("confidence_reason", F.when(unset, F.lit("backfilled from source trust")).otherwise(F.col("confidence_reason")))
-    return rows.withColumn("confidence", F.coalesce("confidence", source_trust("source"))).withColumn("run_id", F.when(or_empty("run_id") == "", F.lit("legacy")).otherwise(F.col("run_id")))
 
+def migrate_rename(spark: SparkSession, tables: Tables) -> Tables:
+    """event_sources becomes observations, unless there is such a table already."""
+    if "event_sources" not in tables or "observations" in tables:
+        return tables
+    return {t: rows for t, rows in tables.items() if t != "event_sources"} | {"observations": tables["event_sources"]}
 
-def migrate_counts(rows: DataFrame) -> DataFrame:
-    return add_missing(rows, source_count="int", verification_count="int", conflict_flag="int", conflict_reason="string")
 
+def migrate_types(spark: SparkSession, tables: Tables) -> Tables:
+    """Observations get the way in which they were made, by their source where they have none."""
+    rows = add_missing(tables["observations"], observation_type="string")
+    s = F.col("source")
+    kind = F.when(s.ilike("image:%"), "image").when(s.ilike("ocr%"), "ocr").when(s.isin("instagram", "facebook"), "social").when(s == "seed", "manual").otherwise("website")
+    return tables | {"observations": rows.withColumn("observation_type", F.coalesce("observation_type", kind))}
 
-def migrate_identity(rows: DataFrame) -> DataFrame:
-    from concord.functions.names import identity_key
 
-    return rows.withColumn("identity_key", identity_key()).withColumn("event_id", F.min("id").over(Window.partitionBy("identity_key")))
+def migrate_identity(spark: SparkSession, tables: Tables) -> Tables:
+    """One event per identity: that with the least id. Observations go over to it, repeated ones leave, and what follows
+    from them is computed again. Observations get the times and stage of their event where they have none."""
+    events = add_missing(tables["events"], identity_key="string")
+    events = events.withColumn("identity_key", F.coalesce("identity_key", ascii_identity_key()))
+    first = events.groupBy("identity_key").agg(F.min("id").alias("_first"))
+    events = checkpoint(events.join(first, "identity_key"))
+    said = ["time_start", "time_end", "stage"]
+    home = events.select(F.col("id").alias("event_id"), F.col("_first"), F.col("identity_key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in said])
+    obs = add_missing(tables["observations"], event_id="long", identity_key="string", **dict.fromkeys(said, "string"))
+    silent = F.coalesce(*said).isNull()
+    obs = obs.join(home, "event_id", "left").withColumn("_silent", silent).withColumn("event_id", F.coalesce("_first", "event_id")).withColumn("identity_key", F.coalesce("_key", "identity_key"))
+    for c in said:
+        obs = obs.withColumn(c, F.when(F.col("_silent"), F.col(f"_{c}")).otherwise(F.col(c)))
+    obs = checkpoint(first_of(obs.drop("_first", "_key", "_silent", *[f"_{c}" for c in said]), ["event_id", "source", "checksum"], F.min_by, F.col("id")))
+    obs = add_missing(obs, **OBSERVED, name="string", performer="string", venue="string", date="string", start_minutes="int", source_confidence="double", extraction_confidence="double")
+    obs = obs.withColumn("start_minutes", F.coalesce("start_minutes", start_minutes("time_start")))
+    kept = events.filter("id = _first").drop("_first")
+    derived = ["confidence", "confidence_reason", "source_count", "verification_count", "conflict_flag", "conflict_reason"]
+    return tables | {"events": recomputed(kept, obs, derived=derived), "observations": obs}
 
 
 #: In order; a version's number is its place. New ones are only ever added at the end.
-MIGRATIONS: list[tuple[str, Callable[[DataFrame], DataFrame]]] = [("confidence", migrate_confidence), ("counts", migrate_counts), ("identity", migrate_identity)]
+MIGRATIONS: list[tuple[str, Callable[[SparkSession, Tables], Tables]]] = [
+    ("base", migrate_base), ("confidence", migrate_confidence), ("provenance", migrate_provenance), ("rename", migrate_rename), ("types", migrate_types), ("identity", migrate_identity),
+]
 
 
-def migrate(rows: DataFrame, version: int = 0) -> tuple[DataFrame, int]:
-    """rows brought from a schema version to the newest; running it again changes nothing."""
+def migrate(spark: SparkSession, tables: Tables, version: int = 0) -> tuple[Tables, int]:
+    """tables brought from a schema version to the newest, and its number; running it again changes nothing."""
     for _, step in MIGRATIONS[version:]:
-        rows = step(rows)
-    return rows, len(MIGRATIONS)
+        tables = step(spark, tables)
+    return tables, len(MIGRATIONS)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.functions.names import ascii_identity_key
+from concord.operators import dashboard
 from concord.operators.store import Store
 from concord.plans.view import EVENTS, TRUST, raw, table
 from concord.session import shared_dir
@@ -97,6 +99,43 @@ def research_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("time_start").cast("int").alias("n_nationkey"), "performer", "date")
 
 
+@query("""SELECT o_orderkey, 0 AS ord, 'Act ' || o_custkey AS performer, 'Hall' AS venue, strftime(o_orderdate, '%Y-%m-%d') AS date, '6:00 PM' AS time_start, '/e/' || o_orderkey AS url,
+CASE WHEN o_orderkey % 2 = 0 THEN 'vt-hall' END AS venue_class, 'dashboard_legacy' AS source FROM orders""")
+def curated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated tables, one page for each order, read back; rows without a performer are none."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    row = F.concat(F.lit('<tr data-date="'), day, F.lit('" data-venue="Hall" data-performer="Act '), F.col("o_custkey").cast("string"), F.lit('"><td><b>x</b></td><td>d</td><td> 6:00 <i>PM</i></td><td><span class="vt '), F.when(k % 2 == 0, "vt-hall").otherwise("other"), F.lit('">Hall</span></td><td><a href="/e/'), k.cast("string"), F.lit('">e</a></td></tr>'))
+    row = F.replace(row, F.lit(" 6:00 <i>PM</i>"), F.lit(" 6:00 PM "))
+    page = F.concat(F.lit('<table><tbody id="other"><tr data-performer="no"><td>1</td></tr></tbody><tbody id="tb">'), row, F.lit('<tr data-date="2026-01-01"><td>nobody</td></tr></tbody></table>'))
+    found = html.curated_rows(table(spark, sf_dir, "orders").select(k, page.alias("html")), "o_orderkey")
+    return found.select("o_orderkey", "ord", "performer", "venue", "date", "time_start", "url", "venue_class", "source")
+
+
+@query("SELECT c_mktsegment AS venue, 'vt-' || arg_min(c_nationkey, c_custkey) AS venue_class FROM customer WHERE c_nationkey <> 3 AND c_mktsegment <> 'MACHINERY' GROUP BY ALL")
+def venue_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("c_nationkey") != 3, F.concat(F.lit("vt-"), F.col("c_nationkey").cast("string"))).otherwise("")
+    venue = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment"))
+    return dashboard.venue_classes(table(spark, sf_dir, "customer").select(venue.alias("venue"), own.alias("venue_class"), F.col("c_custkey").alias("ord")))
+
+
+@query("SELECT 'Title ' || o_custkey AS title, '/e/' || min(o_orderkey) AS url FROM orders GROUP BY ALL")
+def first_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("Title "), F.col("o_custkey").cast("string")).alias("title"), F.concat(F.lit("/e/"), k.cast("string")).alias("url"), k.alias("row"))
+    return html.first_urls(rows)
+
+
+@query(r"""SELECT c_custkey, translate(trim(' École ' || c_name || chr(9)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '|' || translate(trim(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '|2026-01-01' AS identity_key FROM customer""")
+def ascii_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" \u00c9cole "), "c_name", F.lit("\t")).alias("performer"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("venue"), F.lit(" 2026-01-01 ").alias("date"))
+    return rows.select("c_custkey", ascii_identity_key().alias("identity_key"))
+
+
+@query("SELECT * FROM (VALUES ('Stevie Monce', 'Chiringo', '2026-08-01', '6PM', 'seed'), ('Casey Kearney', 'Shunk Gulley', '2026-08-01', '7PM', 'seed')) AS t(performer, venue, date, time_start, source)")
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.seed_rows(spark, "2026-08-01").select("performer", "venue", "date", "time_start", "source")
+
+
 @query(f"{EVENTS} SELECT identity_key, verification_count, source_count FROM ev")
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream in micro-batches into a store; the stored events are those of one batch over all rows.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.names import signature
 from concord.functions.scores import band, score_reason, sql_rounded
 from concord.functions.text import sql_strip
-from concord.operators import changes, featured, rules, store
+from concord.operators import changes, dashboard, featured, rules, store
 from concord.operators.aggregate import best_url, canonical_events, health, marked, source_confidences, combined_confidence, with_observations
 from concord.plans.view import EVENTS, OBS, SEEN, TRUST, observed, raw, sql_events, table
 from concord.session import checkpoint
@@ -316,3 +316,33 @@ def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{EVENTS}, s AS (SELECT identity_key, {SIGN} AS signature FROM ev) SELECT * FROM s")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_only(spark, sf_dir).select("identity_key", signature().alias("signature"))
+
+
+@query(f"{TWO_RUNS}, x AS (SELECT b.* FROM b_ev b JOIN d USING (identity_key) WHERE d.status = 'new') SELECT identity_key, performer || ' @ ' || venue || '  ' || date || ' ' || coalesce(time_start, '') AS line FROM x ORDER BY id LIMIT 5")
+def first_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run's summary shows of its new events; the limit is the feature."""
+    return dashboard.first_new(two_runs(spark, sf_dir))
+
+
+@query(f"""{EVENTS}, {FAVORITES.split("tiers AS")[0].rstrip().rstrip(",")}, u AS (SELECT identity_key, first(url ORDER BY confidence DESC, id) FILTER (WHERE url IS NOT NULL) AS u FROM obs GROUP BY ALL),
+n AS (SELECT identity_key, list(source ORDER BY confidence DESC, id) AS said FROM obs GROUP BY ALL),
+q AS (SELECT *, CASE venue WHEN 'Venue 4' THEN 'Hall+%26+Barn%2C+FL' ELSE replace(venue, ' ', '+') END AS enc FROM ev)
+SELECT identity_key, q.id, performer, CASE venue WHEN 'Venue 5' THEN 'Five' ELSE venue END AS venue_shown, CASE venue WHEN 'Venue 3' THEN 'vt-3' ELSE 'vt-def' END AS venue_class,
+CASE WHEN rv.v IS NOT NULL THEN 'Y' ELSE 'N' END AS favorite, CASE WHEN coalesce(rp.fav, false) THEN 'Y' ELSE 'N' END AS performer_favorite, 'https://www.google.com/maps?q=' || enc || '&output=embed' AS embed,
+'https://www.google.com/maps/search/?api=1&query=' || enc AS external, coalesce(u.u, '') AS url, strftime(CAST(date AS DATE), '%a %b %d') AS date_shown, time_start AS time_shown,
+printf('%.2f', {sql_rounded("confidence", 2)}) AS confidence_shown, CASE WHEN confidence >= 0.8 THEN 'cf-hi' WHEN confidence >= 0.5 THEN 'cf-md' ELSE 'cf-lo' END AS band_class, CASE WHEN conflict_flag = 1 THEN conflict_reason END AS conflict, n.said
+FROM q JOIN u USING (identity_key) JOIN n USING (identity_key) LEFT JOIN rp ON lower(performer) = rp.p LEFT JOIN (SELECT DISTINCT v FROM rv) rv ON lower(venue) = rv.v""")
+def dashboard_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dashboard.dashboard_rows(*events_of(spark, sf_dir), *rosters(spark, sf_dir), classes={"venue 3": "vt-3"}, names={"venue 5": "Five"}, searches={"venue 4": "Hall & Barn, FL"}, fallback={})
+    return rows.drop("date", "venue").withColumn("said", F.transform("said", lambda o: o["source"]))
+
+
+@query(f"""WITH {OBS}, left_obs AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY identity_key, source, checksum ORDER BY id) AS r FROM obs) WHERE r = 1), {sql_events("left_obs", "z_")}
+SELECT identity_key, z.id, z.confidence, z.confidence_reason, z.source_count, z.verification_count, z.conflict_flag, z.conflict_reason FROM z_ev z""")
+def migrated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the oldest schema, one event per sighting, brought to the newest: one event per identity."""
+    obs = written(spark, sf_dir)
+    events = obs.select("id", "name", "performer", "venue", "date", "time_start", "time_end", "stage", "url", "source")
+    sources = obs.select("id", F.col("id").alias("event_id"), "source", "url", "confidence", "checksum", "observed_at")
+    tables, _ = store.migrate(spark, {"events": events, "event_sources": sources})
+    return tables["events"].select("identity_key", "id", "confidence", "confidence_reason", "source_count", "verification_count", "conflict_flag", "conflict_reason")

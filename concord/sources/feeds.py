@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from concord.functions.scores import clamped
 from concord.functions.text import blank, none_if_blank, or_empty, strip
 from concord.functions.times import anchored_date, clock, current_week_date, parse_utc, split_datetime
 from concord.functions.titles import json_feed_performer
+from concord.session import checkpoint, ship
 
 
 def ics_events(feeds: DataFrame, venue: str, source: str, zone: str = "America/Chicago", id_col: str = "feed_id", text_col: str = "text") -> DataFrame:
@@ -109,16 +111,70 @@ def roster(spark: SparkSession, path: str, column: str = "performer") -> DataFra
 
     The file is small and has one writer; it is read as one text so that places don't depend on splits.
     """
+    names = spark.read.option("header", "true").csv(path).columns
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))
-    head = lines.filter("ord = 0").select(F.split("line", ",").alias("names"))
-    rows = lines.filter("ord > 0").join(F.broadcast(head))  # one row
-    at = F.array_position("names", column).cast("int")
-    out = rows.select("ord", F.try_element_at(F.split("line", ","), at).alias(column), F.try_element_at(F.split("line", ","), F.array_position("names", "favorite").cast("int")).alias("favorite") if column == "performer" else F.lit("Y").alias("favorite"))
-    return out.filter(~blank(column))
+    parsed = F.from_csv("line", ", ".join(f"`{n}` string" for n in names))
+    favorite = F.col("r.favorite") if column == "performer" and "favorite" in names else F.lit("N" if column == "performer" else "Y")
+    rows = lines.filter("ord > 0").withColumn("r", parsed)
+    return rows.select("ord", F.col(f"r.`{column}`").alias(column), favorite.alias("favorite")).filter(~blank(column))
+
+
+def seed_rows(spark: SparkSession, today: str) -> DataFrame:
+    """The seed events, dated today."""
+    rows = [(e["name"], e["performer"], e["venue"], today, e["time_start"], e["url"], "seed") for e in fixed.SEED_EVENTS]
+    return spark.createDataFrame(rows, "name string, performer string, venue string, date string, time_start string, url string, source string")
+
+
+def inbox(spark: SparkSession, path: str) -> DataFrame:
+    """file, content: the images right below a folder, by their endings in any case."""
+    rows = spark.read.format("binaryFile").load(path).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    ending = F.lower(F.regexp_extract("file", r"\.[^.]*$", 0))
+    return rows.filter(ending.isin(fixed.IMAGE_ENDINGS)).select("file", "content")
+
+
+def read_images(images: DataFrame, read: Callable[[str, bytes], str]) -> DataFrame:
+    """file, response, error: what a reader (a model or recogniser that the caller brings) makes of each image.
+
+    One that fails has an error and no response, and doesn't end the run.
+    """
+    ship(images.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                try:
+                    response, error = read(file, content.as_py()), None
+                except Exception as failure:  # the reader's own, reported as a row
+                    response, error = None, f"{type(failure).__name__}: {failure}"
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (file, response, error)], ["file", "response", "error"])
+
+    return images.select("file", "content").mapInArrow(each, "file string, response string, error string")
+
+
+def settle(results: DataFrame, path: str, processed: str, failed: str) -> None:
+    """Moves the files of read images out of the inbox, to where read and failed ones go; results must be written already."""
+    spark = results.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for target in (processed, failed):
+        files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(target))
+    for row in results.select("file", F.col("error").isNull().alias("good")).toLocalIterator():
+        files.rename(spark._jvm.org.apache.hadoop.fs.Path(folder, row["file"]), spark._jvm.org.apache.hadoop.fs.Path(processed if row["good"] else failed, row["file"]))
+
+
+def importer(prefer: str | None, has_key: bool, has_reader: bool) -> str | None:
+    """Who reads the inbox: 'vision', 'ocr' or nobody. A model is preferred where there is a key for it."""
+    mode = (prefer or "auto").lower()
+    if mode == "vision" or (mode == "auto" and has_key):
+        return "vision"
+    return "ocr" if mode == "ocr" or (mode == "auto" and has_reader) else None
 
 
 class Registry:
-    """Named sources of raw rows. One that fails is reported and left out; the others' rows are joined by column name."""
+    """Named sources of raw rows. One that fails is reported and left out; the others' rows are joined by column name.
+
+    Sources are lazy, so each one's rows are read and written here: a source that fails while it is read fails alone.
+    """
 
     def __init__(self):
         self.sources: dict[str, Callable[[SparkSession], DataFrame]] = {}
@@ -130,7 +186,7 @@ class Registry:
         found = []
         for name, fetch in self.sources.items():
             try:
-                found.append(fetch(spark))
+                found.append(checkpoint(fetch(spark)))
             except Exception as error:  # a source's failure must not end the run
                 report(name, error)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None

@@ -99,8 +99,9 @@ def test_run_differences(spark):
     found = changes.compare_runs(new, old)
     assert {r.identity_key.split("|")[0]: r.status for r in found.collect()} == {"a": "changed", "b": "unchanged", "c": "removed", "d": "new"}
     assert changes.change_summary(found).first().asDict() == {"new": 1, "changed": 1, "removed": 1, "unchanged": 1, "total_delta": 2}
-    rows = changes.changelog(found).orderBy("status").collect()
-    text = changes.render("r1", "now", changes.change_summary(found).first().asDict(), rows)
+    lines = changes.log_text(changes.changelog(found), changes.change_summary(found), "r1", "now").orderBy("place").collect()
+    text = "\n".join(r.line for r in lines)
+    assert [r.line for r in lines if r.line.endswith(":")] == ["New (1):", "Changed (1):", "Removed (1):"] and text.startswith("Changelog: r1\nRecorded: now\n+")
     assert "+1 new  ~1 changed  -1 removed  1 unchanged" in text and "      time_start: '6:00 PM' -> '7:00 PM'" in text and "  · D @ Hall  2026-08-08" in text
 
 
@@ -111,6 +112,10 @@ def test_changelog_files(spark, tmp_path):
     for run in ("r1", "r2"):
         assert changes.write_changelog(some, str(tmp_path), run, "now")
     assert {r.run_id for r in changes.latest_changelog(spark, str(tmp_path)).collect()} == {"r2"}
+    assert [tuple(r) for r in changes.changelogs(spark, str(tmp_path)).collect()] == [("r1", 1, 0, 1), ("r2", 1, 0, 1)]
+    assert changes.changelog_of(spark, str(tmp_path), "r1").count() == 2 and changes.changelog_of(spark, str(tmp_path), "r9").count() == 0
+    shown = spark.createDataFrame([("a'b",), ("a'b\"c",), (None,), ("x",)], "v string").select(changes.quoted(F.col("v")).alias("q"))
+    assert [r.q for r in shown.collect()] == [repr(v) for v in ("a'b", "a'b\"c", None, "x")]
 
 
 def test_store_accumulates(spark, tmp_path):
@@ -132,11 +137,29 @@ def test_runs_and_migrations(spark):
     again = store.record_run(runs, "a", "t2", 9)
     assert sorted(tuple(r) for r in again.collect()) == [(2, "b", "t", 6), (3, "a", "t2", 9)]
     assert store.previous_run(again).first().run_id == "b" and store.previous_run(again.limit(1)).count() == 0
-    rows = spark.createDataFrame([(1, "A", "Hall", "2026-01-01", "seed"), (2, "a ", "hall", "2026-01-01", "image:x")], "id long, performer string, venue string, date string, source string")
-    new, version = store.migrate(rows)
-    got = new.orderBy("id").collect()
-    assert version == 3 and [r.confidence for r in got] == [0.6, 0.8] and {r.event_id for r in got} == {1} and got[0].run_id == "legacy"
-    assert sorted(map(str, store.migrate(new, version)[0].collect())) == sorted(map(str, got))
+    events = spark.createDataFrame([(1, "A", "Hall", "2026-01-01", "6:00 PM", "seed"), (2, "a ", "hall", "2026-01-01", "7:00 PM", "image:x"), (3, "B", "Hall", "2026-01-01", None, "crawler")], "id long, performer string, venue string, date string, time_start string, source string")
+    seen = spark.createDataFrame([(1, 1, "seed", 0.6, "c1", "2026"), (2, 2, "image:x", 0.8, "c2", "2026"), (3, 2, "image:x", 0.8, "c2", "2026")], "id long, event_id long, source string, confidence double, checksum string, observed_at string")
+    new, version = store.migrate(spark, {"events": events, "event_sources": seen})
+    got = {r.id: r for r in new["events"].collect()}
+    assert version == 6 and set(got) == {1, 3} and set(new) == {"events", "runs", "observations"}
+    assert (got[1].source_count, got[1].conflict_flag, got[1].confidence_reason) == (2, 1, "2 sources, conflict: Time mismatch: 6:00 PM vs 7:00 PM")
+    assert (got[3].confidence, got[3].confidence_reason, got[3].run_id, got[3].identity_key) == (0.9, "backfilled from source trust", "legacy", "b|hall|2026-01-01")
+    assert sorted((r.id, r.event_id, r.time_start, r.observation_type) for r in new["observations"].collect()) == [(1, 1, "6:00 PM", "manual"), (2, 1, "7:00 PM", "image")]
+    again, _ = store.migrate(spark, new)
+    assert all(sorted(map(str, again[t].select(new[t].columns).collect())) == sorted(map(str, new[t].collect())) for t in new)
+
+
+def test_store_keeps_its_schema_version_and_few_old_versions(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), keep=2)
+    s.commit(events=spark.createDataFrame([(1, "A", "Hall", "2026-01-01", "seed")], "id long, performer string, venue string, date string, source string"))
+    assert s.schema() == 0 and s.migrate() == 6 and s.schema() == 6 and s.read("observations").count() == 0
+    version = s.version()
+    assert s.migrate() == 6 and s.version() == version
+    t = store.Store(spark, str(tmp_path / "t"), keep=2)
+    for i in range(4):
+        t.upsert(observations(raw(spark, {"id": i, "performer": f"P{i}", "date": f"2026-01-0{i + 1}"})), f"r{i}", before="2026-01-02")
+    assert t.schema() == 6 and sorted(t.numbers("_versions")) == [3, 4] and t.names(1) == []
+    assert sorted(r.performer for r in t.read("events").collect()) == ["P1", "P2", "P3"] and t.read("observations").count() == 3
 
 
 def test_featured(spark):

@@ -67,13 +67,16 @@ def test_json_pages(spark):
 def test_rosters_and_registry(spark, tmp_path):
     (tmp_path / "a.csv").write_text("performer,favorite\nZoe,Y\n,N\nMax,N\n")
     assert [(r.ord, r.performer, r.favorite) for r in feeds.roster(spark, str(tmp_path / "a.csv")).orderBy("ord").collect()] == [(1, "Zoe", "Y"), (3, "Max", "N")]
+    (tmp_path / "b.csv").write_text('performer,favorite\n"Zoe, Max",Y\n')
+    assert [(r.ord, r.performer, r.favorite) for r in feeds.roster(spark, str(tmp_path / "b.csv")).collect()] == [(1, "Zoe, Max", "Y")]
     registry, failed = feeds.Registry(), []
+    registry.add("late", lambda s: s.createDataFrame([("x",)], "performer string").withColumn("ord", F.raise_error(F.lit("late")).cast("int")))
     registry.add("one", lambda s: s.createDataFrame([("Zoe", 1)], "performer string, ord int"))
     registry.add("bad", lambda s: 1 / 0)
     registry.add("two", lambda s: s.createDataFrame([("Max", "u")], "performer string, url string"))
     rows = registry.fetch_all(spark, lambda name, error: failed.append(name))
     assert sorted(((r.performer, r.url) for r in rows.collect())) == [("Max", "u"), ("Zoe", None)]
-    assert failed == ["bad"] and feeds.Registry().fetch_all(spark) is None
+    assert failed == ["late", "bad"] and feeds.Registry().fetch_all(spark) is None
     assert feeds.limited(rows, 1).count() == 1 and feeds.limited(rows, None).count() == 2
 
 
