@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,11 @@ def word_counts(text: str) -> Counter:
     return Counter(LETTERS.findall(text.lower()))
 
 
-def vector(words: Counter, number: dict[str, int]) -> tuple[list[int], list[int]]:
-    """The numbers of the known words, ascending, and their counts."""
-    found = sorted((number[w], n) for w, n in words.items() if w in number)
-    return [t for t, _ in found], [n for _, n in found]
+def vector(text: str, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the text's known words, ascending, and their counts."""
+    words = LETTERS.findall(text.lower())
+    found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+    return np.unique(found[found >= 0], return_counts=True)
 
 
 def sampled(labels: DataFrame, label_col: str, id_col: str, learn: Column, most: int) -> DataFrame:
@@ -114,10 +116,9 @@ def association(examples: list[tuple], size: int) -> np.ndarray:
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges, one after the other, and the range that each is from."""
+    """The numbers of all ranges, one after the other, and each range's size."""
     size = ends - starts
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + starts[which], which
+    return np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size), size
 
 
 class Index:
@@ -170,30 +171,32 @@ class Index:
         return w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
     def dense_sums(self, queries: list[tuple]) -> np.ndarray:
-        """What the dense rows add to all groups, by query (terms, counts): one product for all queries."""
+        """What the dense rows add to all groups, by query (terms, weights): one product for all queries."""
         held = np.zeros((len(queries), len(self.rows)))
-        for i, (terms, counts) in enumerate(queries):
-            if len(terms):
-                row = self.row[np.asarray(terms, np.int64)]
-                held[i, row[row >= 0]] = self.weights(terms, counts)[row >= 0]
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            held[i, row[row >= 0]] = weights[row >= 0]
         return held @ self.rows
 
-    def nearest(self, terms, counts, without: int = -1, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms, counts, without: int = -1, q: np.ndarray | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest groups and their cosines, in order; all that have a term in common, if fewer."""
         if not self.blocks or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        sums = self.dense_sums([(terms, counts)])[0] if sums is None else sums.copy()
-        q, t = self.weights(terms, counts), np.array(terms)
-        often = self.row[t] >= 0
-        entry, which = ranges(self.entries[t[~often]], self.entries[t[~often] + 1])
-        rare = q[~often][which]
+        t = np.asarray(terms, np.int64)
+        q = self.weights(t, counts) if q is None else q
+        sums = self.dense_sums([(t, q)])[0] if sums is None else sums.copy()
+        rarely = self.row[t] < 0
+        entry, size = ranges(self.entries[t[rarely]], self.entries[t[rarely] + 1])
+        rare = np.repeat(q[rarely], size)
         bound = sums.reshape(self.blocks, BLOCK).max(1) + np.bincount(self.block[entry], rare * self.highest[entry], self.blocks)
         # One place more, for the group that is left out.
         least = float(np.partition(sums, len(sums) - self.k - 1)[len(sums) - self.k - 1]) if len(sums) > self.k + 1 else 0.0
         alive = (bound >= least - 1e-12) & (bound > 0)
-        entry, rare = entry[alive[self.block[entry]]], rare[alive[self.block[entry]]]
-        post, which = ranges(self.start[entry], self.end[entry])
-        sums += np.bincount(self.group[post], rare[which] * self.weight[post], len(sums))
+        if not alive.all():
+            kept = alive[self.block[entry]]
+            entry, rare = entry[kept], rare[kept]
+        post, size = ranges(self.start[entry], self.end[entry])
+        sums += np.bincount(self.group[post], np.repeat(rare, size) * self.weight[post], len(sums))
         sums *= np.repeat(alive, BLOCK)
         if without >= 0:
             sums[without] = 0
@@ -221,12 +224,14 @@ class Index:
     def scores(self, queries: list[tuple], step: int = 128) -> Iterator[tuple[float, list[int]]]:
         for i in range(0, len(queries), step):
             part = queries[i : i + step]
-            yield from (self.score(*q, sums) for q, sums in zip(part, self.dense_sums(part)))
+            weights = [self.weights(*q) for q in part]
+            sums = self.dense_sums([(terms, w) for (terms, _), w in zip(part, weights)])
+            yield from (self.score(*q, w, s) for q, w, s in zip(part, weights, sums))
 
-    def score(self, terms: list, counts: list, sums: np.ndarray) -> tuple[float, list[int]]:
-        if not terms:
+    def score(self, terms: np.ndarray, counts: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> tuple[float, list[int]]:
+        if not len(terms):
             return self.silent, []
-        ids, cosines = self.nearest(terms, counts, sums=sums)
+        ids, cosines = self.nearest(terms, counts, q=weights, sums=sums)
         value = self.shares(ids, cosines, self.total[ids], self.positive[ids])
         if self.curve is not None:
             value = float(np.interp(value, *self.curve))
@@ -268,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
         number, index = shared.value
         for batch in byte_batches(batches, "text"):
             texts = batch.column("text").to_pylist()
-            out = list(index.scores([vector(word_counts(t), number) for t in texts])) if index is not None else [(base, [])] * len(texts)
+            out = list(index.scores([vector(t, number) for t in texts])) if index is not None else [(base, [])] * len(texts)
             yield pa.record_batch({"row": batch.column("row"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], pa.list_(pa.int64()))})
 
     kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

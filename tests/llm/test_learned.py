@@ -120,16 +120,17 @@ def test_toxicity_of_a_query_against_brute_force(spark):
     got = toxicity.score(docs, labels, ~toxicity.held_out()).collect()
     assert len(got) == 202
     learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
-    counts = [toxicity.word_counts(t or "") for t in [*texts, "rotten filth", texts[8]]]
+    every = [t or "" for t in [*texts, "rotten filth", texts[8]]]
+    counts = [toxicity.word_counts(t) for t in every]
     words = sorted({w for i in learned for w in counts[i]})
     number = {w: i for i, w in enumerate(words)}
-    examples = [(i, *toxicity.vector(counts[i], number), int(i % 4 == 0)) for i in learned]
+    examples = [(i, *toxicity.vector(every[i], number), int(i % 4 == 0)) for i in learned]
     idf = np.array([math.log((1 + 202) / (1 + sum(w in c for c in counts))) + 0.1 for w in words])
     index = toxicity.Index(idf * (1 + toxicity.association(examples, len(words))), examples)
     groups, by_id = sorted(index.groups), {x.doc_id: x for x in got}
     for i in [0, 1, 5, 7, 8, 40, 41]:
-        query = toxicity.vector(counts[i], number)
-        near = brute_nearest(index, groups, query, 16) if query[0] else []
+        query = toxicity.vector(every[i], number)
+        near = brute_nearest(index, groups, query, 16) if len(query[0]) else []
         if near:
             w = [1 / (0.05 + max(0, 1 + c)) for c, _ in near]
             value = (sum(x * index.positive[g] for x, (_, g) in zip(w, near)) + index.base) / (sum(x * index.total[g] for x, (_, g) in zip(w, near)) + 1)
