@@ -5,6 +5,7 @@ from __future__ import annotations
 from concord.llm.fingerprints import op2_fingerprints
 from concord.llm.html_text import op6_html_text
 from concord.llm.mixing import op10_mixing
+from concord.llm.negatives import OP12_SQL, op12_negatives
 from concord.llm.packing import op3_packing
 from concord.llm.quality import op1_quality
 from concord.llm.simhash import op7_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op12_negatives": op12_negatives,
 }
 
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op12_negatives": OP12_SQL}
