@@ -8,6 +8,7 @@ from concord.llm.mixing import op10_mixing
 from concord.llm.negatives import OP12_SQL, op12_negatives
 from concord.llm.packing import op3_packing
 from concord.llm.quality import op1_quality
+from concord.llm.signature_tree import OP13_SQL, op13_jaccard
 from concord.llm.simhash import op7_simhash
 from concord.llm.token_counts import op4_token_counts
 from concord.llm.topk import OP5_SQL, op5_topk
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
     "op12_negatives": op12_negatives,
+    "op13_jaccard": op13_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op12_negatives": OP12_SQL}
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op12_negatives": OP12_SQL, "op13_jaccard": OP13_SQL}
