@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concord.llm.collocations import OP11_SQL, op11_collocations
 from concord.llm.fingerprints import op2_fingerprints
 from concord.llm.html_text import op6_html_text
 from concord.llm.mixing import op10_mixing
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
     "op12_negatives": op12_negatives,
     "op13_jaccard": op13_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op12_negatives": OP12_SQL, "op13_jaccard": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_topk": OP5_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL, "op12_negatives": OP12_SQL, "op13_jaccard": OP13_SQL}
