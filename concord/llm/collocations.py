@@ -2,13 +2,14 @@
 
 Three passes over the texts, in Arrow batches that are split into words once each:
 
-1. Phrases of 2 to 3 words are counted by hash bucket, about one bucket for every eight bytes of text, in numpy arrays that are
-   summed by blocks. A phrase that occurs `least` times lies in a bucket of at least that count.
+1. Phrases of 2 to 3 words are counted by hash bucket, in sorted numpy arrays that are summed by blocks. A phrase that
+   occurs `least` times lies in a bucket of at least that sum.
 2. Candidates are phrases in such buckets of which every shorter phrase inside lies in one too (so no phrase that is frequent
-   is lost), and the words of these phrases. Each task names its different ones; equal ones meet by their keys.
+   is lost), and the words of these phrases. Of the tasks that have a bucket, one names its phrases.
 3. Candidates are cut by key into shards. A shard's minimal perfect hash (bit arrays by level, slots by rank) stores its
    keys in slot order. Mappers look up what they read, verify the stored key, and add np.bincount of the slots; the
-   arrays are summed in a tree, first within groups of tasks, then between them.
+   arrays are summed in a tree, first within groups of tasks, then between them. If a bucket's sum exceeds its named
+   phrases' counts by `least`, it may hold a phrase that its task hasn't: then all tasks name it, and counting is repeated.
 
 The counts of a candidate's parts are then read by their slots, for each cut. A key is two 64-bit hashes of the language and
 the words; that different candidates have different keys is verified when the hash is made. Buckets and shards are taken in
@@ -33,9 +34,11 @@ from concord.llm.common import HELD as HELD_VALUES
 from concord.llm.common import byte_batches, checkpoint, held, if_small, release, table
 
 #: Buckets or slots of a run; candidates of a shard; entries that a mapper holds before it writes; bytes split at once.
-SLOTS, SHARD, HELD, WINDOW = 1 << 21, 1 << 15, 1 << 22, 4 << 20
+SLOTS, SHARD, HELD, WINDOW = 1 << 22, 1 << 15, 1 << 22, 4 << 20
 #: Bits of the block number of a bucket, of a slot within a block, and of the table that is looked at first.
 BLOCK_BITS, SLOT_BITS, FIRST_BITS = 11, 14, 24
+#: Buckets are this power of two more than the texts' bytes; bits of a task's number.
+SPARE_BITS, PART_BITS = 11, 24
 #: Slots salted before a language's best phrases meet.
 SALTS = 64
 LONGEST, LEVELS = 3, 64
@@ -83,18 +86,26 @@ class Phrases:
         word = ~(self.ids == place.get(b".", -1))
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
         start = np.frombuffer(xxhash.xxh3_128_digest(lang.encode()), "<u8")
+        self.start, self.second = start[1], np.ascontiguousarray(digests[:, 1])
         self.n = int(np.count_nonzero(word[:own]))
-        self.at, self.key1, self.key2 = {}, {}, {}
-        first, second = digests[self.ids, 0], digests[self.ids, 1]
+        self.at, self.key1 = {}, {}
+        first = digests[self.ids, 0]
         at = np.flatnonzero(word[:own])
-        one, two = np.broadcast_to(start[0], at.shape), np.broadcast_to(start[1], at.shape)
+        key = np.broadcast_to(start[0], at.shape)
         for k in range(1, LONGEST + 1):
             if k > 1:
                 keep = at + k - 1 < len(words)
                 keep[keep] = word[at[keep] + k - 1]
-                at, one, two = at[keep], one[keep], two[keep]
-            one, two = one * P1 + first[at + k - 1], two * P2 + second[at + k - 1]
-            self.at[k], self.key1[k], self.key2[k] = at, stirred(one), stirred(two)
+                at, key = at[keep], key[keep]
+            key = key * P1 + first[at + k - 1]
+            self.at[k], self.key1[k] = at, stirred(key)
+
+    def key2(self, k: int, places: np.ndarray) -> np.ndarray:
+        """Second keys of the phrases of k words at these places of at[k]."""
+        at, key = self.at[k][places], np.broadcast_to(self.start, places.shape)
+        for i in range(k):
+            key = key * P2 + self.second[self.ids[at + i]]
+        return stirred(key)
 
     def text(self, at: int, k: int) -> str:
         return b" ".join(self.words[i] for i in self.ids[at : at + k]).decode()
@@ -124,105 +135,148 @@ def runs(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 
 
 def bucket_rows(bits: int):
-    """mapInArrow function: block, gaps between the block's buckets, counts up to 255."""
+    """mapInArrow function: part, block, gaps between the block's buckets, counts; a count over 255 is several entries."""
     low = bits - BLOCK_BITS
 
-    def flushed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flushed(part: int, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         buckets, counts = np.unique(np.concatenate(found), return_counts=True)
-        counts = np.minimum(counts, 255).astype(np.uint8)
+        if counts.max() > 255:
+            times = -(-counts // 255)
+            last = np.cumsum(times) - 1
+            buckets, rest = np.repeat(buckets, times), counts - 255 * (times - 1)
+            counts = np.full(len(buckets), 255)
+            counts[last] = rest
+        counts = counts.astype(np.uint8)
         cuts = np.flatnonzero(np.diff(buckets >> np.uint64(low))) + 1
         starts, ends = np.append(0, cuts).tolist(), np.append(cuts, len(buckets)).tolist()
-        blocks = (buckets[np.append(0, cuts)] >> np.uint64(low)).astype(np.int64)
-        gaps = np.diff(buckets & np.uint64((1 << low) - 1), prepend=np.uint64(0))
-        gaps[np.append(0, cuts)] = buckets[np.append(0, cuts)] & np.uint64((1 << low) - 1)
-        small = [gaps[a:b].astype("<u2" if gaps[a:b].max() < 1 << 16 else "<u8").tobytes() for a, b in zip(starts, ends)]
-        yield pa.record_batch({"block": blocks, "gaps": pa.array(small, pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
+        gaps = np.diff(buckets, prepend=np.uint64(0))
+        gaps[starts] = buckets[starts] & np.uint64((1 << low) - 1)
+        gaps = gaps.astype("<u4" if low <= 32 else "<u8")
+        yield pa.record_batch({"part": pa.array([part] * len(starts), pa.int32()), "block": (buckets[starts] >> np.uint64(low)).astype(np.int64), "gaps": pa.array([gaps[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         release()
-        found, size = [], 0
+        part, found, size = TaskContext.get().partitionId(), [], 0
         for _, phrases in read(batches):
             found += [phrases.key1[k] >> np.uint64(64 - bits) for k in range(2, LONGEST + 1)]
             size += len(found[-1]) + len(found[-2])
             if size >= HELD:
-                yield from flushed(found)
+                yield from flushed(part, found)
                 found, size = [], 0
         if size:
-            yield from flushed(found)
+            yield from flushed(part, found)
 
     return count
 
 
 def frequent_buckets(bits: int, least: int):
-    """mapInArrow function: block, buckets of the block whose counts sum to `least`, how many."""
-    low = bits - BLOCK_BITS
+    """mapInArrow function: of a block the buckets whose counts sum to `least`, the sums, and of each one task that has it."""
+    low, numbered = bits - BLOCK_BITS, np.uint64((1 << PART_BITS) - 1)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        blocks: dict[int, list[tuple]] = {}
         for batch in batches:
-            for block, gaps, counts in zip(*[batch.column(c).to_pylist() for c in ("block", "gaps", "counts")]):
-                counts = np.frombuffer(counts, np.uint8)
-                buckets = np.cumsum(np.frombuffer(gaps, "<u2" if len(gaps) == 2 * len(counts) else "<u8"), dtype=np.int64)
-                now = sums.setdefault(block, np.zeros(1 << low, np.uint8))
-                now[buckets] = np.minimum(now[buckets].astype(np.int64) + counts, 255)
-        for block, now in sums.items():
-            chosen = np.flatnonzero(now >= least).astype(np.uint64) + np.uint64(block << low)
-            yield pa.record_batch({"block": pa.array([block]), "buckets": pa.array([chosen.tobytes()], pa.binary()), "many": pa.array([len(chosen)])})
+            for part, block, gaps, counts in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "gaps", "counts")]):
+                blocks.setdefault(block, []).append((part, gaps, counts))
+        for block in sorted(blocks):
+            rows = blocks.pop(block)
+            buckets = np.concatenate([np.cumsum(np.frombuffer(gaps, "<u4" if low <= 32 else "<u8"), dtype=np.uint64) for _, gaps, _ in rows]) + np.uint64(block << low)
+            counts = np.concatenate([np.frombuffer(c, np.uint8) for _, _, c in rows])
+            parts = np.repeat(np.array([p for p, _, _ in rows], np.uint64), [len(c) for _, _, c in rows])
+            # Tasks in an order of the bucket's own, so that they name about as many each.
+            turn = stirred(buckets * P1 + parts * P2) & ~numbered | parts & numbered
+            order = np.argsort(buckets, kind="stable")
+            buckets, counts, turn = buckets[order], counts[order].astype(np.int64), turn[order]
+            starts = np.append(0, np.flatnonzero(np.diff(buckets)) + 1)
+            sums, turn = np.add.reduceat(counts, starts), np.minimum.reduceat(turn, starts)
+            keep = sums >= least
+            raw = lambda x: pa.array([x[keep].tobytes()], pa.binary())
+            yield pa.record_batch({"block": pa.array([block]), "buckets": raw(buckets[starts]), "sums": raw(sums), "parts": raw((turn & numbered).astype(np.int32)), "many": pa.array([int(keep.sum())])})
 
     return add
 
 
+def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of frequent buckets as rows bucket, total."""
+    for batch in batches:
+        for buckets, sums in zip(batch.column("buckets").to_pylist(), batch.column("sums").to_pylist()):
+            yield pa.record_batch({"bucket": np.frombuffer(buckets, np.int64), "total": np.frombuffer(sums, np.int64)})
+
+
+def table_of(values: np.ndarray) -> np.ndarray:
+    """True at the low bits of the values: rules most other numbers out at one look."""
+    first = np.zeros(1 << FIRST_BITS, bool)
+    first[low_bits(values)] = True
+    return first
+
+
+def low_bits(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)
+
+
 class Members:
-    """Sorted numbers that many others are looked up in: a small table by the low bits rules most of them out first."""
+    """Sorted numbers that many others are looked up in."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
-        self.first = np.zeros(1 << FIRST_BITS, bool)
-        self.first[(values & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)] = True
+        self.values, self.first = values, table_of(values)
 
-    def may(self, x: np.ndarray) -> np.ndarray:
-        return self.first[(x & np.uint64((1 << FIRST_BITS) - 1)).astype(np.int64)]
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        out = self.may(x)
-        at = np.flatnonzero(out)
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Where each x is, or -1."""
+        out = np.full(len(x), -1, np.int64)
+        at = np.flatnonzero(self.first[low_bits(x)])
         spot = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
-        out[at] = self.values[spot] == x[at]
+        out[at] = np.where(self.values[spot] == x[at], spot, -1)
         return out
 
 
-def candidate_rows(bits: int, buckets, first: int, last: int):
-    """mapInArrow function: k1, k2, size, lang, phrase of a task's different candidates in the run of blocks, and of their words."""
+def candidate_rows(bits: int, sent, first: int, last: int, totals: bool):
+    """mapInArrow function: k1, k2, size, lang, phrase of the candidates in the run of blocks that the task is to name, and of their words.
+
+    sent: the run's buckets, and of each the task that names its phrases, below 0 for all tasks. With `totals`, also a row
+    of size 0 a language: its words in this task (k2).
+    """
     low, token = bits - BLOCK_BITS, uuid4().hex
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept(token, lambda: Members(np.frombuffer(buckets.value, np.uint64)))
-        seen = np.zeros(0, np.uint64)
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        known, namers = kept(token, lambda: (Members(np.frombuffer(sent.value[0], np.uint64)), np.frombuffer(sent.value[1], np.int32)))
+        number, words = part & ((1 << PART_BITS) - 1), {}
         for lang, phrases in read(batches):
-            bucket = {k: phrases.key1[k] >> np.uint64(64 - bits) for k in range(2, LONGEST + 1)}
-            here = {k: (b >> np.uint64(low) >= first) & (b >> np.uint64(low) <= last) for k, b in bucket.items()}
-            frequent = {k: known.has(b) for k, b in bucket.items()}
-            # Apriori: neither part of a longer phrase lies in a rare bucket. Other runs' blocks are not known here.
+            words[lang] = words.get(lang, 0) + phrases.n
+            buckets = {k: phrases.key1[k] >> np.uint64(64 - bits) for k in range(2, LONGEST + 1)}
+            spots = {k: known.places(b) for k, b in buckets.items()}
+            own = {k: (p >= 0) & ((namers[p] == number) | (namers[p] < 0)) for k, p in spots.items()}
+            # Apriori: no part of a longer phrase lies in a rare bucket. Other runs' blocks are not known here.
             rare = np.zeros(len(phrases.ids) + 1, bool)
-            rare[phrases.at[2]] = here[2] & ~frequent[2]
-            chosen = {2: np.flatnonzero(frequent[2]), 3: np.flatnonzero(frequent[3] & ~rare[phrases.at[3]] & ~rare[phrases.at[3] + 1])}
+            block = buckets[2] >> np.uint64(low)
+            rare[phrases.at[2]] = (spots[2] < 0) & (block >= first) & (block <= last) & (namers[:1] >= 0).all()
+            chosen = {2: np.flatnonzero(own[2]), 3: np.flatnonzero(own[3] & ~rare[phrases.at[3]] & ~rare[phrases.at[3] + 1])}
             starts = np.unique(np.concatenate([phrases.at[k][c] + i for k, c in chosen.items() for i in range(k)]))
-            chosen[1] = np.searchsorted(phrases.at[1], starts[starts <= phrases.at[1][-1]]) if len(phrases.at[1]) else starts[:0]
-            out = {"k1": [], "k2": [], "size": [], "lang": [], "phrase": []}
+            # Words beyond the window's end start phrases of the next one; there they are named if they start one, else here.
+            inside = starts[starts <= phrases.at[1][-1]] if len(phrases.at[1]) else starts[:0]
+            chosen[1] = np.searchsorted(phrases.at[1], inside)
+            out = {"k1": [], "k2": [], "size": [], "phrase": []}
             for k, c in chosen.items():
                 keys, at = np.unique(phrases.key1[k][c], return_index=True)
-                fresh = ~np.isin(keys, seen, assume_unique=True)
-                keys, at = keys[fresh], c[at[fresh]]
-                seen = np.concatenate([seen, keys])
                 out["k1"].append(keys)
-                out["k2"].append(phrases.key2[k][at])
+                out["k2"].append(phrases.key2(k, c[at]))
                 out["size"] += [k] * len(at)
-                out["phrase"] += [phrases.text(i, k) for i in phrases.at[k][at].tolist()]
-            if len(seen) > HELD:
-                seen = seen[:0]  # some are named again
+                out["phrase"] += [phrases.text(i, k) for i in phrases.at[k][c[at]].tolist()]
+            for beyond in starts[len(inside) :].tolist():
+                only = Phrases([phrases.words[phrases.ids[beyond]]], 1, lang)
+                out["k1"].append(only.key1[1])
+                out["k2"].append(only.key2(1, np.zeros(1, np.int64)))
+                out["size"].append(1)
+                out["phrase"].append(only.text(0, 1))
             if out["size"]:
                 whole = lambda c: np.concatenate(out[c]).view(np.int64)
-                yield pa.record_batch({"k1": whole("k1"), "k2": whole("k2"), "size": pa.array(out["size"], pa.int32()), "lang": pa.array([lang] * len(out["size"])), "phrase": pa.array(out["phrase"], pa.string())})
+                yield pa.record_batch({"k1": whole("k1"), "k2": whole("k2"), "size": pa.array(out["size"], pa.int32()), "lang": pa.array([lang] * len(out["size"]), pa.string()), "phrase": pa.array(out["phrase"], pa.string())})
+        if totals and words:
+            yield pa.record_batch({"k1": pa.array([part] * len(words), pa.int64()), "k2": pa.array(list(words.values()), pa.int64()), "size": pa.array([0] * len(words), pa.int32()), "lang": pa.array(list(words), pa.string()), "phrase": pa.array([""] * len(words), pa.string())})
 
     return name
 
@@ -252,71 +306,84 @@ def perfect_hash(key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, list[i
 class Index:
     """The minimal perfect hashes of a run of shards as one: a key's slot, verified by the stored key."""
 
-    def __init__(self, bits: int, first: int, shards: list[tuple[int, bytes, list[int], bytes]]):
+    def __init__(self, bits: int, first: int, shards: list[tuple[int, bytes, list[int], bytes, bytes]]):
+        joined = lambda i: np.frombuffer(b"".join(s[i] for s in shards), np.uint64)
         self.bits, self.first = bits, first
-        self.words = np.frombuffer(b"".join(s[1] for s in shards), np.uint64)
-        keys = np.frombuffer(b"".join(s[3] for s in shards), np.uint64).reshape(-1, 2)
-        self.key1, self.key2 = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
+        self.words, self.key1, self.key2 = joined(1), joined(3), joined(4)
         many = shards[-1][0] - first + 1
         self.size, self.base = np.ones((LEVELS, many), np.uint64), np.full((LEVELS, many), -1, np.int64)
         at = 0
-        for shard, words, sizes, _ in shards:
+        for shard, _, sizes, _, _ in shards:
             for level, size in enumerate(sizes):
                 self.size[level, shard - first], self.base[level, shard - first] = size, at
                 at += size
+
+    def ready(self) -> Index:
+        """With what lookups need besides; not sent."""
         self.rank = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64))
-        self.members = Members(np.sort(self.key1))
+        self.table = table_of(self.key1)
+        return self
 
-    def slots(self, key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the arrays given, slots) of the keys that are stored."""
-        left = np.flatnonzero(self.members.may(key1))
+    def slots(self, key1: np.ndarray, key2) -> tuple[np.ndarray, np.ndarray]:
+        """(places in key1, slots) of the keys that are stored; key2 gives the second keys of places."""
+        left = np.flatnonzero(self.table[low_bits(key1)])
         shard = (key1[left] >> np.uint64(64 - self.bits)).astype(np.int64) - self.first if self.bits else np.zeros(len(left), np.int64)
         inside = (shard >= 0) & (shard < self.size.shape[1])
         left, shard = left[inside], shard[inside]
+        one, two = key1[left], key2(left)
         places, found = [], []
         for level in range(LEVELS):
             base = self.base[level, shard]
-            left, shard, base = left[base >= 0], shard[base >= 0], base[base >= 0]
+            if (base < 0).any():
+                left, shard, one, two, base = (x[base >= 0] for x in (left, shard, one, two, base))
             if not len(left):
                 break
-            bit = base + (level_hash(key1[left], key2[left], level) % self.size[level, shard]).astype(np.int64)
+            bit = base + (level_hash(one, two, level) % self.size[level, shard]).astype(np.int64)
             word, rest = self.words[bit >> 6], (bit & 63).astype(np.uint64)
             hit = (word >> rest & np.uint64(1)) == 1
             slot = self.rank[bit[hit] >> 6] + np.bitwise_count(word[hit] & ((np.uint64(1) << rest[hit]) - np.uint64(1)))
-            true = (self.key1[slot] == key1[left[hit]]) & (self.key2[slot] == key2[left[hit]])
+            true = (self.key1[slot] == one[hit]) & (self.key2[slot] == two[hit])
             places.append(left[hit][true])
             found.append(slot[true])
-            left, shard = left[~hit], shard[~hit]
+            left, shard, one, two = (x[~hit] for x in (left, shard, one, two))
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *places]), np.concatenate([none, *found])
 
 
-SLOT_ROWS = "part int, block int, slots binary, counts binary, lang string, n long"
+SLOT_ROWS = "part int, block int, slots binary, counts binary"
+
+
+def slot_batch(part: int, blocks: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts of blocks of slots without zeros; small ones and large ones in rows of their own."""
+    rows = []
+    for block, now in blocks:
+        for chosen, kind in ((np.flatnonzero((now > 0) & (now < 256)), "u1"), (np.flatnonzero(now >= 256), "<i8")):
+            if len(chosen):
+                rows.append((block, chosen.astype("<u2").tobytes(), now[chosen].astype(kind).tobytes()))
+    if rows:
+        block, slots, counts = zip(*rows)
+        yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int32()), "block": pa.array(block, pa.int32()), "slots": pa.array(slots, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+def counts_of(slots: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(slots, "<u2").astype(np.int64)
+    return at, np.frombuffer(counts, "u1" if len(counts) == len(at) else "<i8")
 
 
-def slot_rows(token: str, shards, bits: int, first: int):
-    """mapInArrow function: a task's counts of stored keys by blocks of slots, and of all words by language."""
+def slot_rows(token: str, sent):
+    """mapInArrow function: a task's counts of stored keys by blocks of slots."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, totals = kept(token, lambda: Index(bits, first, shards.value)), {}
+        index = kept(token, lambda: sent.value.ready())
         counts = np.zeros(len(index.key1), np.int64)
-        for lang, phrases in read(batches):
-            totals[lang] = totals.get(lang, 0) + phrases.n
+        for _, phrases in read(batches):
             for k in range(1, LONGEST + 1):
-                counts += np.bincount(index.slots(phrases.key1[k], phrases.key2[k])[1], minlength=len(counts))
-        part = TaskContext.get().partitionId()
-        rows = []
-        for start in range(0, len(counts), 1 << SLOT_BITS):
-            now = counts[start : start + (1 << SLOT_BITS)]
-            at = np.flatnonzero(now)
-            if len(at):
-                rows.append({"part": part, "block": start >> SLOT_BITS, "slots": at.astype("<u2").tobytes(), "counts": now[at].tobytes()})
-        rows += [{"part": part, "lang": lang, "n": n} for lang, n in totals.items()]
-        kinds = [("part", pa.int32()), ("block", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64())]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+                found = index.slots(phrases.key1[k], lambda places: phrases.key2(k, places))[1]
+                counts += np.bincount(found, minlength=len(counts))
+        blocks = range(0, len(counts), 1 << SLOT_BITS)
+        yield from slot_batch(TaskContext.get().partitionId(), ((b >> SLOT_BITS, counts[b : b + (1 << SLOT_BITS)]) for b in blocks))
 
     return count
 
@@ -326,33 +393,31 @@ def add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for part, block, slots, counts in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "slots", "counts")]):
-            now = sums.setdefault((part, block), np.zeros(1 << SLOT_BITS, np.int64))
-            now[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, np.int64)
-    for (part, block), now in sums.items():
-        at = np.flatnonzero(now)
-        yield pa.record_batch({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "slots": pa.array([at.astype("<u2").tobytes()], pa.binary()), "counts": pa.array([now[at].tobytes()], pa.binary())})
+            at, values = counts_of(slots, counts)
+            sums.setdefault((part, block), np.zeros(1 << SLOT_BITS, np.int64))[at] += values
+    for part, block in list(sums):
+        yield from slot_batch(part, [(block, sums.pop((part, block)))])
 
 
 def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
     """One row a block: about the square root of the tasks' rows are summed together, then their sums."""
-    ddl = "part int, block int, slots binary, counts binary"
-    rows = rows.select(F.pmod("part", F.lit(max(1, round(parts**0.5)))).cast("int").alias("part"), "block", "slots", "counts")
-    rows = rows.repartition("part", "block").mapInArrow(add_slots, ddl).withColumn("part", F.lit(0))
-    return rows.repartition("block").mapInArrow(add_slots, ddl)
+    rows = rows.withColumn("part", F.pmod("part", F.lit(max(1, round(parts**0.5)))).cast("int"))
+    rows = rows.repartition("part", "block").mapInArrow(add_slots, SLOT_ROWS).withColumn("part", F.lit(0))
+    return rows.repartition("block").mapInArrow(add_slots, SLOT_ROWS)
 
 
 PARTS = {2: [(1, 0, 1), (1, 1, 2)], 3: [(1, 0, 1), (1, 1, 3), (2, 0, 2), (2, 2, 3)]}
 
 
-def read_cuts(token: str, shards, bits: int, first: int, counted):
+def read_cuts(token: str, sent, counted):
     """mapInArrow function: adds to a, l1, r1, l2, r2 what this run's slots hold of the phrase and of its parts by cut."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts = kept(token, lambda: Index(bits, first, shards.value)), counted.value
+        index, counts = kept(token, lambda: sent.value.ready()), counted.value
         for batch in batches:
             columns = {c: batch.column(c).to_numpy().copy() for c in ("a", "l1", "r1", "l2", "r2")}
             key = lambda c: batch.column(c).to_numpy().view(np.uint64)
-            at, slot = index.slots(key("k1"), key("k2"))
+            at, slot = index.slots(key("k1"), lambda places: key("k2")[places])
             columns["a"][at] += counts[slot]
             langs = batch.column("lang").to_pylist()
             phrases = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
@@ -370,7 +435,7 @@ def read_cuts(token: str, shards, bits: int, first: int, counted):
                     for name, (cut, a, b) in zip(("l1", "r1", "l2", "r2"), cuts):
                         mine = rows[size == k]
                         spot = np.searchsorted(whole.at[b - a], starts[size == k] + a)
-                        at, slot = index.slots(whole.key1[b - a][spot], whole.key2[b - a][spot])
+                        at, slot = index.slots(whole.key1[b - a][spot], lambda places: whole.key2(b - a, spot[places]))
                         columns[name][mine[at]] += counts[slot]
             yield pa.record_batch({c: batch.column(c) for c in ("k1", "k2", "lang", "phrase")} | columns)
 
@@ -398,57 +463,76 @@ def judged(least: int, covered: int):
     return judge
 
 
-def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int = 2000, slots: int = SLOTS, shard: int = SHARD, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to 3 words that occur `least` times or more."""
-    if not 1 <= least <= 255:
-        raise ValueError("least must be from 1 to 255")
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(BLOCK_BITS + 9, int(size).bit_length() - 3)
-    buckets = rows.mapInArrow(bucket_rows(bits), "block long, gaps binary, counts binary")
-    buckets = checkpoint(buckets.repartition("block").mapInArrow(frequent_buckets(bits, least), "block long, buckets binary, many long"))
-    found = [(r["block"], r["many"]) for r in buckets.select("block", "many").collect()]  # 2 ** BLOCK_BITS rows at most
-
-    named = None
-    for first, last in runs(found, slots):
-        of = buckets.filter(F.col("block").between(first, last)).orderBy("block").toArrow().column("buckets").to_pylist()
-        if not any(of):
-            continue
-        sent = spark.sparkContext.broadcast(b"".join(of))
-        part = rows.mapInArrow(candidate_rows(bits, sent, first, last), "k1 long, k2 long, size int, lang string, phrase string")
-        named = part if named is None else named.unionByName(part)
-    empty = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
-    if named is None:
-        return spark.createDataFrame([], empty)
-    named = checkpoint(named.distinct())
-    total = named.count()
-    shard_bits = max(0, (-(-total // shard) - 1).bit_length())
-    number = F.shiftrightunsigned("k1", 64 - shard_bits) if shard_bits else F.lit(0).cast("long")
+def counted_cuts(rows: DataFrame, named: DataFrame, slots: int, shard: int) -> DataFrame:
+    """The named phrases (k1, k2, lang, phrase) with their counts a and those of their parts by cut: l1, r1, l2, r2."""
+    spark, total = rows.sparkSession, named.count()
+    bits = max(0, (-(-total // shard) - 1).bit_length())
+    number = F.shiftrightunsigned("k1", 64 - bits) if bits else F.lit(0).cast("long")
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         key1, key2 = (t.column(c).to_numpy().view(np.uint64) for c in ("k1", "k2"))
         words, sizes, order = perfect_hash(key1, key2)
-        keys = np.stack([key1[order], key2[order]], 1)
-        yield pa.record_batch({"shard": pa.array([key[0].as_py()]), "words": pa.array([words.tobytes()], pa.binary()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "keys": pa.array([keys.tobytes()], pa.binary()), "many": pa.array([len(key1)])})
+        raw = lambda x: pa.array([x.tobytes()], pa.binary())
+        yield pa.record_batch({"shard": pa.array([key[0].as_py()]), "words": raw(words), "sizes": pa.array([sizes], pa.list_(pa.int64())), "keys1": raw(key1[order]), "keys2": raw(key2[order]), "many": pa.array([len(key1)])})
 
-    shards = checkpoint(named.select(number.alias("shard"), "k1", "k2").groupBy("shard").applyInArrow(build, "shard long, words binary, sizes array<long>, keys binary, many long"))
+    shards = checkpoint(named.select(number.alias("shard"), "k1", "k2").groupBy("shard").applyInArrow(build, "shard long, words binary, sizes array<long>, keys1 binary, keys2 binary, many long"))
     zero = F.lit(0).cast("long")
     cuts = named.filter("size > 1").select("k1", "k2", "lang", "phrase", *[zero.alias(c) for c in ("a", "l1", "r1", "l2", "r2")])
-    totals = None
     # Shards are numbered by leading bits of their keys: about total / shard of them.
     for first, last in runs([(r["shard"], r["many"]) for r in shards.select("shard", "many").collect()], slots):
         of = shards.filter(F.col("shard").between(first, last)).orderBy("shard").toArrow()
-        sent = spark.sparkContext.broadcast(list(zip(*[of.column(c).to_pylist() for c in ("shard", "words", "sizes", "keys")])))
-        many, token = sum(of.column("many").to_pylist()), uuid4().hex
-        counted = checkpoint(rows.mapInArrow(slot_rows(token, sent, shard_bits, first), SLOT_ROWS))
-        totals = totals or counted.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-        sums = tree_sum(counted.filter("block IS NOT NULL"), counted.rdd.getNumPartitions()).toArrow()
-        counts = np.zeros(many, np.int64)
-        for block, at, values in zip(*[sums.column(c).to_pylist() for c in ("block", "slots", "counts")]):
-            counts[(block << SLOT_BITS) + np.frombuffer(at, "<u2").astype(np.int64)] = np.frombuffer(values, np.int64)
-        cuts = checkpoint(cuts.mapInArrow(read_cuts(token, sent, shard_bits, first, spark.sparkContext.broadcast(counts)), "k1 long, k2 long, lang string, phrase string, a long, l1 long, r1 long, l2 long, r2 long"))
+        index, token = Index(bits, first, list(zip(*[of.column(c).to_pylist() for c in ("shard", "words", "sizes", "keys1", "keys2")]))), uuid4().hex
+        sent = spark.sparkContext.broadcast(index)
+        mapped = rows.mapInArrow(slot_rows(token, sent), SLOT_ROWS)
+        sums = tree_sum(mapped, rows.rdd.getNumPartitions()).toArrow()
+        counts = np.zeros(len(index.key1), np.int64)
+        for block, slot, values in zip(*[sums.column(c).to_pylist() for c in ("block", "slots", "counts")]):
+            at, values = counts_of(slot, values)
+            counts[(block << SLOT_BITS) + at] = values
+        cuts = checkpoint(cuts.mapInArrow(read_cuts(token, sent, spark.sparkContext.broadcast(counts)), "k1 long, k2 long, lang string, phrase string, a long, l1 long, r1 long, l2 long, r2 long"))
+    return cuts
+
+
+def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int = 2000, slots: int = SLOTS, shard: int = SHARD, bits: int | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to 3 words that occur `least` times or more."""
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(63, max(BLOCK_BITS + 9, int(size).bit_length() + SPARE_BITS)) if bits is None else bits
+    buckets = rows.mapInArrow(bucket_rows(bits), "part int, block long, gaps binary, counts binary")
+    buckets = checkpoint(buckets.repartition("block").mapInArrow(frequent_buckets(bits, least), "block long, buckets binary, sums binary, parts binary, many long"))
+    blocks = [(r["block"], r["many"]) for r in buckets.select("block", "many").collect() if r["many"]]  # 2 ** BLOCK_BITS rows at most
+    if not blocks:
+        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+    kinds = "k1 long, k2 long, size int, lang string, phrase string"
+    named = None
+    for i, (first, last) in enumerate(runs(blocks, slots)):
+        of = buckets.filter(F.col("block").between(first, last)).select("block", "buckets", "parts").orderBy("block").toArrow()
+        sent = spark.sparkContext.broadcast(tuple(b"".join(of.column(c).to_pylist()) for c in ("buckets", "parts")))
+        part = rows.mapInArrow(candidate_rows(bits, sent, first, last, totals=i == 0), kinds)
+        named = part if named is None else named.unionByName(part)
+    named = checkpoint(named.distinct())
+    totals = named.filter("size = 0").groupBy("lang").agg(F.sum("k2").alias("n"))
+    named = named.filter("size > 0")
+    sums = buckets.filter("many > 0").select("buckets", "sums").mapInArrow(bucket_sums, "bucket long, total long")
+    while True:
+        cuts = counted_cuts(rows, named, slots, shard)
+        # What the named phrases of a bucket leave of its sum is too little for another frequent one; else all tasks name it.
+        mass = cuts.groupBy(F.shiftrightunsigned("k1", 64 - bits).alias("_bucket")).agg(F.sum("a").alias("mass"))
+        short = sums.join(mass, F.col("bucket") == F.col("_bucket"), "left").filter(F.col("total") - F.coalesce("mass", F.lit(0)) >= least)
+        short = checkpoint(short.select("bucket", F.shiftrightunsigned("bucket", bits - BLOCK_BITS).alias("block")))
+        more = None
+        for first, last in runs([(r["block"], r["count"]) for r in short.groupBy("block").count().collect()], slots):
+            some = np.sort(short.filter(F.col("block").between(first, last)).select("bucket").toArrow().column("bucket").to_numpy())
+            sent = spark.sparkContext.broadcast((some.tobytes(), np.full(len(some), -1, np.int32).tobytes()))
+            part = rows.mapInArrow(candidate_rows(bits, sent, first, last, totals=False), kinds)
+            more = part if more is None else more.unionByName(part)
+        if more is None:
+            break
+        before, named = named.count(), checkpoint(named.unionByName(more).distinct())
+        if named.count() == before:
+            break
     frequent = checkpoint(cuts.mapInArrow(judged(least, covered), "lang string, phrase string, a long, l long, r long, score long, covers array<string>"))
     covers = frequent.select(F.col("lang").alias("_lang"), F.explode("covers").alias("_phrase")).distinct()
     left = frequent.drop("covers").join(covers, (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase")), "left_anti")
