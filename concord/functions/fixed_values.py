@@ -272,6 +272,7 @@ SEED_EVENTS = [
     {"name": "Stevie Monce at Chiringo", "time_start": "6PM", "venue": "Chiringo", "performer": "Stevie Monce", "url": "https://instagram.com/steviemonce"},
     {"name": "Casey Kearney at Shunk Gulley", "time_start": "7PM", "venue": "Shunk Gulley", "performer": "Casey Kearney", "url": "https://instagram.com/caseykearney"},
 ]
+FLYER_CLASS = "image-_bohr-body-image-full-width"
 CURATED_SOURCE, CURATED_BODY = "dashboard_legacy", "tb"
 
 # The wording of a changelog in text.

@@ -11,7 +11,7 @@ from concord.functions.names import ascii_identity_key
 from concord.operators import dashboard
 from concord.operators.store import Store
 from concord.plans.view import EVENTS, TRUST, raw, table
-from concord.session import shared_dir
+from concord.session import checkpoint, shared_dir
 from concord.sources import feeds, html
 from concord.streaming.accumulate import accumulate
 
@@ -58,6 +58,50 @@ def ics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_nationkey", "performer", "date", "time_start", "time_end")
 
 
+PAGE_SQL = """
+WITH o AS (
+  SELECT o_orderkey AS k, o_custkey::VARCHAR AS c, o_orderkey % 5 AS kind, o_orderdate::DATE AS d, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m FROM orders
+), own AS (
+  SELECT k, 0 AS place, 'Act ' || c AS performer, 'Hall' AS venue, y || '-' || m || '-01' AS date, '7:00 pm' AS time_start, 'lineup' AS extraction_method FROM o WHERE kind = 0
+  UNION ALL SELECT k, 1, 'Max Gray', 'Hall', (y::INT + 1) || '-' || m || '-02', NULL, 'lineup' FROM o WHERE kind = 0
+  UNION ALL SELECT k, 2, NULL, 'Hall', NULL, '9:00 pm', 'unresolved' FROM o WHERE kind = 0
+  UNION ALL SELECT k, 0, 'Act ' || c, 'Green', y || '-06-03', '6:00 pm', 'prose_lineup' FROM o WHERE kind = 1
+  UNION ALL SELECT k, 1, 'Killer Robot Army', 'Green', y || '-08-05', '6:00 pm', 'prose_lineup' FROM o WHERE kind = 1
+  UNION ALL SELECT k, 0, 'Act ' || c, 'Barn ' || c, strftime(d, '%Y-%m-%d'), '5:00 pm', 'title' FROM o WHERE kind = 2
+  UNION ALL SELECT k, 0, NULL, 'Barn', strftime(d, '%Y-%m-%d'), '5:00 pm', 'unresolved' FROM o WHERE kind = 4 AND k % 2 = 0
+  UNION ALL SELECT k, 0, 'Fly ' || c, 'Barn', strftime(d + 1, '%Y-%m-%d'), '5:00 pm', 'flyer_image' FROM o WHERE kind = 4 AND k % 2 = 1
+  UNION ALL SELECT k, 1, 'Bee ' || c, 'Barn', strftime(d + 2, '%Y-%m-%d'), '8:00 pm', 'flyer_image' FROM o WHERE kind = 4 AND k % 2 = 1
+), last AS (SELECT o.k, any_value(c) AS c, any_value(kind) AS kind, any_value(d) AS d, count(own.k) AS n FROM o LEFT JOIN own ON o.k = own.k GROUP BY o.k)
+SELECT k AS o_orderkey, place AS "at", performer, venue, date, time_start, extraction_method, performer IS NOT NULL AS resolved FROM own
+UNION ALL SELECT k, n, 'Solo ' || c, 'Club ' || c, strftime(d + 7, '%Y-%m-%d'), '1:00 pm', 'title', TRUE FROM last
+UNION ALL SELECT k, n + 1, NULL, CASE kind WHEN 0 THEN 'Hall' WHEN 1 THEN 'Green' WHEN 2 THEN 'Barn ' || c WHEN 4 THEN 'Barn' END, strftime(d + 8, '%Y-%m-%d'), '2:00 pm', 'category', FALSE FROM last
+"""
+
+
+@query(PAGE_SQL)
+def page_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail pages, one for each order: a lineup, prose, a title, no heading, or a flyer, each of its own year, and all with the calendar widget."""
+    orders = table(spark, sf_dir, "orders")
+    k, who, day, t = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date"), F.lit
+    long = lambda d: F.date_format(d, "EEEE, MMMM d, yyyy")
+    month, year = F.date_format(day, "MMMM"), F.year(day).cast("string")
+    when = lambda venue, time: F.concat(t("<div>When: "), long(day), t(f"<br>Time: {time}<br>"), *([t("Where: "), t(venue), t("<br>")] if venue else []), t("</div>"))
+    lineup = F.concat(t("<h1>Concerts</h1>"), when("Hall", "4:00 pm"), t("<table><tr><td>"), month, t(" 1</td><td>7:00 pm</td><td>Act "), who, t("</td></tr><tr><td>featuring Max Gray</td><td>"), month, t(" 2, "), (F.year(day) + 1).cast("string"), t("</td></tr><tr><td>soon</td><td>9:00 pm</td></tr></table>"))
+    prose = F.concat(t("<h1>Here Comes the Sun</h1>"), when("Green", "6:00 pm"), t("<p>June 3: Act "), who, t(" August 5: Killer Robot Army</p>"))
+    title = F.concat(t("<h1>Act "), who, t(" @ Barn "), who, t("</h1>"), when(None, "5:00 pm"))
+    flyer = F.concat(t("<h1>Live Music</h1>"), when("Barn", "5:00 pm"), F.when(k % 2 == 1, F.concat(t('<img class="x image-_bohr-body-image-full-width" src="/f/'), k.cast("string"), t('.jpg">'))).otherwise(""))
+    body = F.when(k % 5 == 0, lineup).when(k % 5 == 1, prose).when(k % 5 == 2, title).when(k % 5 == 3, when("", "3:00 pm")).otherwise(flyer)
+    row = lambda d, time, name: F.concat(t('<table class="views-table"><caption>'), long(d), t(f"</caption><tr><td>{time}</td><td><a href='/w'>"), name, t("</a></td></tr></table>"))
+    rows = [row(day, "8:00 am", t("Own Day @ Hall")), row(F.date_add(day, 7), "1:00 pm", F.concat(t("Solo "), who, t(" @ Club "), who)), row(F.date_add(day, 8), "2:00 pm", t("Karaoke Night")), row(F.date_add(day, 9), "3:00 pm", t("Boardwalk Concert Series"))]
+    widget = F.concat(t('<div class="view-date-calendar-lists">'), *rows, t("</div>"))
+    pages = checkpoint(html.page_parts(orders.select("o_orderkey", F.concat(body, widget).alias("html")), "o_orderkey"))  # read twice
+    # What a reader saw on the flyers: the second row first, and one without a time.
+    read = lambda n, name, time: F.struct(F.lit(n).alias("ord"), F.concat(t(name), who).alias("performer"), t("elsewhere").alias("venue"), F.date_format(F.date_add(day, n), "yyyy-MM-dd").alias("date"), t(time).alias("time_start"), t("").alias("time_end"))
+    seen = orders.select(k, F.explode(F.array(read(2, "Bee ", "8:00 pm"), read(1, "Fly ", ""))).alias("r")).select(k.alias("_k"), "r.*")
+    flyers = html.flyer_images(pages, "https://example.org", "o_orderkey").join(seen, F.col("o_orderkey") == F.col("_k")).drop("_k")
+    return html.page_observations(pages, "https://example.org", flyers, "o_orderkey").select("o_orderkey", "at", "performer", "venue", "date", "time_start", "extraction_method", "resolved")
+
+
 @query("""SELECT n_nationkey, 'Act ' || upper(n_name[1:1]) || lower(n_name[2:]) AS performer, '2026-07-19' AS date, '4:00 pm' AS time_start FROM nation""")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Act "), F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 100)))

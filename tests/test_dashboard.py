@@ -58,7 +58,7 @@ def test_pages_with_several_observations(spark):
     prose = "<h1>Summer Sounds</h1><p>When: July 1, 2026</p><p>Time: 6:00 pm to 9:00 pm</p><p>July 1: Zoe Blue July 8: TBA</p>"
     plain = "<h1>Zoe Blue at The Hall</h1><p>When: July 1, 2026</p>"
     pages = spark.createDataFrame([(1, lineup), (2, prose), (3, plain), (4, ""), (5, None)], "page_id long, html string")
-    found = html.page_observations(html.parts(pages), 2026).cache()
+    found = html.page_observations(html.page_parts(pages), "https://h.example").cache()
     got = {i: [(r.date, r.performer) for r in sorted(found.filter(F.col("page_id") == i).collect(), key=lambda r: r.at)] for i in range(1, 6)}
     assert got[1] == [("2026-07-08", "Zoe Blue"), ("2026-07-15", "Max Red")]
     assert got[2] == [("2026-07-01", "Zoe Blue"), ("2026-07-08", None)]

@@ -35,6 +35,20 @@ def test_lineup_and_detail(spark):
     assert page.performer == "Zoe Blue" and page.extraction_method == "description"
 
 
+def test_a_page_gives_its_year_and_its_widget(spark):
+    page = """<h1>Old House Nights</h1><p>When: Wednesday, July 15, 2026</p><p>Where: Old House</p><table><tr><td>July 22</td><td>Zoe Blue</td></tr><tr><td>July 29</td><td>Max Red</td></tr></table>
+<div class="view-date-calendar-lists"><table class="views-table"><caption>August 5, 2026</caption><tr><td>6:00 pm</td><td><a href="/8">Jake &amp; Aimee @ Old House</a></td></tr></table>
+<table class="views-table"><caption>July 15, 2026</caption><tr><td>6:00 pm</td><td><a href="/7">Own @ Old House</a></td></tr></table>
+<table class="views-table"><caption>August 6, 2026</caption><tr><td>6:00 pm</td><td><a href="/9">Old House Nights</a></td></tr></table></div>"""
+    other = page.replace("2026", "2025").replace("<h1>Old House Nights</h1>", "")
+    pages = spark.createDataFrame([(1, page), (2, other), (3, None)], "page_id long, html string")
+    found = html.page_observations(html.page_parts(pages), "https://h.example").orderBy("page_id", "at").collect()
+    assert [(r.page_id, r.performer, r.venue, r.date, r.url) for r in found] == [
+        (i, *row) for i, y in ((1, 2026), (2, 2025))
+        for row in (("Zoe Blue", "Old House", f"{y}-07-22", None), ("Max Red", "Old House", f"{y}-07-29", None), ("Jake & Aimee", "Old House", f"{y}-08-05", "https://h.example/8"))
+    ]
+
+
 def test_sections(spark):
     got = html.section_events(html.parts(pages(spark)), "The Deck", "https://d.example", "deck").collect()
     assert [(r.performer, r.date, r.time_start, r.time_end, r.url) for r in got] == [("Zoe Blue", "2026-07-19", "5:00 pm", "8:30 pm", "https://d.example#s1")]
