@@ -272,6 +272,9 @@ SEED_EVENTS = [
     {"name": "Stevie Monce at Chiringo", "time_start": "6PM", "venue": "Chiringo", "performer": "Stevie Monce", "url": "https://instagram.com/steviemonce"},
     {"name": "Casey Kearney at Shunk Gulley", "time_start": "7PM", "venue": "Shunk Gulley", "performer": "Casey Kearney", "url": "https://instagram.com/caseykearney"},
 ]
+#: Confidence that events of old stores get by their source, the first that matches.
+BACKFILL_TRUST = {"image:%": 0.8, "ocr%": 0.5, "sowal": 0.9, "crawler": 0.9, "seed": 0.6}
+BACKFILL_TRUST_OTHER, BACKFILL_REASON = 0.5, "backfilled at v2 migration from source trust"
 FLYER_CLASS = "image-_bohr-body-image-full-width"
 CURATED_SOURCE, CURATED_BODY = "dashboard_legacy", "tb"
 

@@ -10,6 +10,7 @@ from concord.functions.scores import band, rounded
 from concord.functions.text import col, or_empty, strip
 from concord.functions.times import short_date
 from concord.operators.aggregate import best_url, with_observations
+from concord.operators.featured import is_favorite
 from concord.operators.changes import change_summary, event_line
 from concord.operators.featured import by_venue, sheet
 
@@ -56,7 +57,7 @@ def favorite_flags(events: DataFrame, venues: DataFrame, performers: DataFrame)
     """events with favorite and performer_favorite, Y or N; names match without case and edge space, later roster rows win."""
     name = lambda c: F.lower(strip(or_empty(c)))
     liked = venues.select(name("venue").alias("_v")).filter("_v != ''").distinct().withColumn("_vf", F.lit("Y"))
-    roster = performers.groupBy(name("performer").alias("_p")).agg(F.max_by(F.when(F.col("favorite") == "Y", "Y").otherwise("N"), "ord").alias("_pf"))
+    roster = performers.groupBy(name("performer").alias("_p")).agg(F.max_by(F.when(is_favorite(), "Y").otherwise("N"), "ord").alias("_pf"))
     rows = events.withColumn("_v", name("venue")).withColumn("_p", name(F.coalesce(F.nullif("performer", F.lit("")), F.col("name"))))
     rows = rows.join(liked, "_v", "left").join(roster, "_p", "left")
     return rows.withColumn("favorite", F.coalesce("_vf", F.lit("N"))).withColumn("performer_favorite", F.coalesce("_pf", F.lit("N"))).drop("_v", "_p", "_vf", "_pf")

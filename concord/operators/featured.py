@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.scores import band, rounded
@@ -12,6 +12,11 @@ from concord.functions.times import short_date
 UNLISTED = 1 << 30
 
 
+def is_favorite(c: str = "favorite") -> Column:
+    """Whether a roster's mark says yes, in either case."""
+    return F.upper(strip(or_empty(c))) == "Y"
+
+
 def featured(events: DataFrame, venues: DataFrame, performers: DataFrame, start: str, end: str, all_ties: bool = False, all_performers: bool = False) -> DataFrame:
     """The favourites between two dates, inclusive, best first, as `place` 1, 2, ...
 
@@ -23,7 +28,7 @@ def featured(events: DataFrame, venues: DataFrame, performers: DataFrame, start:
     lowered = lambda c: F.lower(strip(or_empty(c)))
     own = events.filter(F.coalesce("date", F.lit("")).between(start, end)).withColumn("_p", lowered(F.coalesce(F.nullif("performer", F.lit("")), F.col("name")))).withColumn("_v", lowered("venue"))
     liked = venues.select(lowered("venue").alias("_v")).distinct().withColumn("venue_favorite", F.lit(True))
-    roster = performers.groupBy(lowered("performer").alias("_p")).agg(F.max_by(F.col("favorite") == "Y", "ord").alias("performer_favorite"), F.max("ord").alias("_order"))
+    roster = performers.groupBy(lowered("performer").alias("_p")).agg(F.max_by(is_favorite(), "ord").alias("performer_favorite"), F.max("ord").alias("_order"))
     rows = own.join(liked, "_v", "left").join(roster, "_p", "left").fillna(False, ["venue_favorite", "performer_favorite"]).fillna(UNLISTED, ["_order"])
     tier = F.when(F.col("performer_favorite") & F.col("venue_favorite"), 0).when(F.col("performer_favorite"), 1).when(F.col("venue_favorite"), 2).otherwise(3)
     rows = rows.withColumn("tier", tier).filter("tier < 3")

@@ -1,18 +1,29 @@
-"""Accumulated events: versioned tables, a merge by identity, and schema migrations.
+"""Accumulated events: versioned tables in parts, a merge by identity, and schema migrations.
 
-A version is written whole beside the one that is read, and a pointer file is swapped last, so readers see either.
+A table with an identity_key is cut into parts: the month of the identity's date, and a hash bucket within it. A version
+is a manifest that names the folder of each part. A merge reads and writes the parts of its own identities, and names the
+other folders again, so its cost follows the batch and not what is stored. Expired months leave the manifest unread.
+
+A manifest is written aside and renamed to its number last, which fails if that number exists. So readers see a whole
+version or the one before, and of two writers one begins again from the other's version. A lease keeps such work rare.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from concord.functions.names import ascii_identity_key, signature
-from concord.functions.scores import source_trust
-from concord.functions.text import or_empty
+from concord.functions.fixed_values import BACKFILL_REASON, BACKFILL_TRUST, BACKFILL_TRUST_OTHER
+from concord.functions.text import group, or_empty
 from concord.functions.times import start_minutes
 from concord.operators.aggregate import canonical_events
 from concord.operators.observe import OBSERVATION
@@ -53,49 +64,163 @@ def merge_events(previous: DataFrame, observations: DataFrame, touched: DataFram
     return merged.unionByName(kept, allowMissingColumns=True)
 
 
+class Conflict(Exception):
+    """Another writer has committed a version since this one's was read."""
+
+
+class Busy(Exception):
+    """Another owner holds the lease."""
+
+
+NO_MONTH = "none"
+PART = ["part_month", "part_bucket"]
+
+
+def month_of(key: Column | str = "identity_key") -> Column:
+    """The month at the end of an identity, or `none`."""
+    return F.coalesce(group(key, r"\|(\d{4}-\d{2})-\d{2}$"), F.lit(NO_MONTH))
+
+
 class Store:
-    """Events and observations below a path."""
+    """Events, observations and other tables below a path, in versions of which the `keep` newest stay.
+
+    buckets: parts that a month is cut into; a store keeps the number that it was made with.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3, buckets: int = 8):
         self.spark, self.path, self.keep = spark, path, keep
-        jvm = spark._jvm
-        self.folder = jvm.org.apache.hadoop.fs.Path(path)
-        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm = spark._jvm
+        self.folder = self.jvm.org.apache.hadoop.fs.Path(path)
+        conf = spark._jsc.hadoopConfiguration()
+        self.files = self.folder.getFileSystem(conf)
+        self.renamer = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.files.getUri(), conf)
+        self.buckets = self.manifest(self.version()).get("buckets", buckets)
 
     def hadoop(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def numbers(self, folder: str) -> list[int]:
+        return [int(x.getPath().getName()) for x in self.files.listStatus(self.hadoop(folder))] if self.files.exists(self.hadoop(folder)) else []
+
+    def text(self, name: str) -> str:
+        stream = self.files.open(self.hadoop(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> bool:
+        """Makes a file appear whole; False if there is one already."""
+        aside = self.hadoop(f"_aside/{uuid.uuid4().hex}")
+        out = self.files.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.files.mkdirs(self.hadoop(name).getParent())
+        gateway = self.spark.sparkContext._gateway
+        try:
+            self.renamer.rename(self.files.makeQualified(aside), self.files.makeQualified(self.hadoop(name)), gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as error:
+            self.files.delete(aside, False)
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+
+    @contextmanager
+    def lease(self, owner: str, seconds: float = 3600) -> Iterator[None]:
+        """Holds the store for one owner, until the block ends or the time is over. Busy, if another one holds it.
+
+        It saves work that would be thrown away; what keeps versions right is that each number can be made once.
+        """
+        mine = json.dumps({"owner": owner, "until": time.time() + seconds})
+        if not self.publish("_lease", mine):
+            held = json.loads(self.text("_lease"))
+            if held["until"] > time.time() and held["owner"] != owner:
+                raise Busy(held["owner"])
+            self.files.delete(self.hadoop("_lease"), False)
+            if not self.publish("_lease", mine):
+                raise Busy("a new owner")
+        try:
+            yield
+        finally:
+            if self.files.exists(self.hadoop("_lease")) and self.text("_lease") == mine:
+                self.files.delete(self.hadoop("_lease"), False)
 
     def version(self) -> int:
         """The current version, 0 before the first: the greatest number that has been committed."""
         return max(self.numbers("_versions"), default=0)
 
-    def read(self, table: str) -> DataFrame | None:
-        n = self.version()
-        return self.spark.read.parquet(f"{self.path}/{table}/v={n}") if n else None
-
-    def numbers(self, folder: str) -> list[int]:
-        return [int(x.getPath().getName()) for x in self.files.listStatus(self.hadoop(folder))] if self.files.exists(self.hadoop(folder)) else []
+    def manifest(self, n: int) -> dict:
+        """buckets, and of each table its schema and the folders of its parts."""
+        return json.loads(self.text(f"_versions/{n}")) if n and self.files.exists(self.hadoop(f"_versions/{n}")) else {"tables": {}}
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes the tables as the next version; the marker that makes it current is created last, in one step.
-
-        Versions before the `keep` newest are deleted then.
+    def names(self, n: int) -> list[str]:
+        """The tables of a version."""
+        return list(self.manifest(n)["tables"])
+
+    def read(self, table: str, parts: set[str] | None = None, version: int | None = None) -> DataFrame | None:
+        """A table of the current or given version, whole or of some parts; None if there is no such table."""
+        known = self.manifest(self.version() if version is None else version)["tables"].get(table)
+        if known is None:
+            return None
+        schema = StructType.fromJson(known["schema"])
+        paths = [f"{self.path}/{table}/{folder}/{part}" for part, folder in sorted(known["parts"].items()) if parts is None or part in parts]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def load_events(self, run_id: str | None = None) -> DataFrame | None:
+        """Events in order of date and start, all or those that a run wrote last."""
+        events = self.read("events")
+        return events if events is None else (events if run_id is None else events.filter(F.col("run_id") == run_id)).orderBy("date", "time_start")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows with the columns PART."""
+        return rows.withColumns({"part_month": month_of(), "part_bucket": F.pmod(F.xxhash64("identity_key"), F.lit(self.buckets)).cast("int")})
+
+    def parts_of(self, rows: DataFrame) -> set[str]:
+        """The parts of the rows' identities: at most `buckets` a month."""
+        return {f"part_month={m}/part_bucket={b}" for m, b in self.placed(rows).select(*PART).distinct().collect()}
+
+    def write(self, table: str, folder: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows below a new folder; its parts."""
+        path = f"{table}/{folder}"
+        if "identity_key" not in rows.columns:
+            rows.write.parquet(f"{self.path}/{path}/all")
+            return {"all": folder}
+        self.placed(rows).repartition(*PART).write.partitionBy(*PART).parquet(f"{self.path}/{path}")
+        below = lambda name: [x.getPath().getName() for x in self.files.listStatus(self.hadoop(name)) if x.isDirectory()]
+        return {f"{month}/{bucket}": folder for month in below(path) for bucket in below(f"{path}/{month}")}
+
+    def commit(self, replaced: set[str] | None = None, base: int | None = None, **tables: DataFrame) -> int:
+        """Writes the tables as the next version of `base` (the current one).
+
+        replaced: parts that the rows given stand for; the others stay as they are, and so do tables that aren't given.
+        Without it the new version has the given tables alone. Versions before the `keep` newest are deleted then.
         """
-        n = self.version() + 1
+        n = (self.version() if base is None else base) + 1
+        before = self.manifest(n - 1)
+        folder = f"v{n:06d}-{uuid.uuid4().hex[:8]}"
+        now = dict(before["tables"]) if replaced is not None else {}
         for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v={n}")
-        self.files.create(self.hadoop(f"_versions/{n}"), False).close()
-        for old in self.numbers("_versions"):
-            if old <= n - self.keep:
-                for name in self.names(old):
-                    self.files.delete(self.hadoop(f"{name}/v={old}"), True)
-                self.files.delete(self.hadoop(f"_versions/{old}"), False)
+            stay = {} if replaced is None or name not in before["tables"] else {p: f for p, f in before["tables"][name]["parts"].items() if p not in replaced}
+            now[name] = {"schema": json.loads(rows.schema.json()), "parts": stay | self.write(name, folder, rows)}
+        if not self.publish(f"_versions/{n}", json.dumps({"buckets": self.buckets, "tables": now})):
+            for name in tables:
+                self.files.delete(self.hadoop(f"{name}/{folder}"), True)
+            raise Conflict(f"version {n} is there already")
+        self.forget(n)
         return n
 
-    def names(self, n: int) -> list[str]:
-        """The tables of a version."""
-        found = [x.getPath().getName() for x in self.files.listStatus(self.folder)] if n else []
-        return [t for t in found if self.files.exists(self.hadoop(f"{t}/v={n}"))]
+    def forget(self, n: int) -> None:
+        """Deletes versions that are not kept, and the parts that only they name."""
+        named = lambda v: {(t, p, f) for t, x in self.manifest(v)["tables"].items() for p, f in x["parts"].items()}
+        old = [v for v in self.numbers("_versions") if v <= n - self.keep]
+        if not old:
+            return
+        kept = set().union(*(named(v) for v in self.numbers("_versions") if v not in old))
+        for v in old:
+            for table, part, folder in named(v) - kept:
+                self.files.delete(self.hadoop(f"{table}/{folder}/{part}"), True)
+            self.files.delete(self.hadoop(f"_versions/{v}"), False)
 
     def schema(self) -> int:
         """The schema version of the stored tables."""
@@ -107,25 +232,47 @@ class Store:
         if done < len(MIGRATIONS):
             n = self.version()
             tables, done = migrate(self.spark, {t: self.read(t) for t in self.names(n)}, done)
-            self.commit(**tables)
+            self.commit(base=n, **tables)
             self.files.create(self.hadoop(f"_schema/{done}"), True).close()
         return done
 
-    def upsert(self, incoming: DataFrame, run_id: str, before: str | None = None) -> dict[str, int]:
-        """Merges observations of one run and returns the counts by status; events dated before `before` go, with theirs."""
-        stored, previous = self.read("observations"), self.read("events")
+    def upsert(self, incoming: DataFrame, run_id: str, before: str | None = None, tries: int = 5) -> dict[str, int]:
+        """Merges observations of one run and returns the counts by status; events dated before `before` go, with theirs.
+
+        `status` and `run_id` of an event are those of the last run that had its identity. If another writer commits
+        first, the merge begins again from its version.
+        """
+        incoming = checkpoint(incoming if before is None else not_past(incoming, before))
+        touched = self.parts_of(incoming)
+        for left in reversed(range(tries)):
+            try:
+                return self.merge(self.version(), incoming, touched, run_id, before)
+            except Conflict:
+                if not left:
+                    raise
+
+    def merge(self, n: int, incoming: DataFrame, touched: set[str], run_id: str, before: str | None) -> dict[str, int]:
+        known = {p for t in ("events", "observations") for p in self.manifest(n)["tables"].get(t, {"parts": ()})["parts"]}
+        expired = set()
+        if before is not None:
+            month = lambda part: part.split("/")[0].partition("=")[2]
+            expired = {p for p in known - touched if month(p) != NO_MONTH and month(p) < before[:7]}
+            touched = touched | {p for p in known if month(p) == before[:7]}
+        stored, previous = self.read("observations", touched, n), self.read("events", touched, n)
         if stored is None:
             stored = incoming.limit(0)
             previous = canonical_events(stored).withColumn("run_id", F.lit(""))
-            self.files.create(self.hadoop(f"_schema/{len(MIGRATIONS)}"), True).close()
-        observations = merge_observations(stored, incoming)
+            if not self.schema():
+                self.files.create(self.hadoop(f"_schema/{len(MIGRATIONS)}"), True).close()
+        observations = checkpoint(merge_observations(stored, incoming))
         events = merge_events(previous, observations, incoming.select("identity_key"))
+        run = F.when(F.col("status") == "kept", F.col("run_id")).otherwise(F.lit(run_id))
+        events = events.withColumn("run_id", run)
         if before is not None:
-            events = not_past(events, before)
+            events = checkpoint(not_past(events, before))
             observations = observations.join(events.select("identity_key"), "identity_key", "left_semi").select(OBSERVATION)
-        run = F.when(F.col("status") == "kept", F.col("run_id")).otherwise(F.lit(run_id))
-        n = self.commit(observations=observations, events=events.withColumn("run_id", run))
-        counts = {r["status"]: r["count"] for r in self.spark.read.parquet(f"{self.path}/events/v={n}").groupBy("status").count().collect()}
+        n = self.commit(touched | expired, n, observations=observations, events=events)
+        counts = {r["status"]: r["count"] for r in self.read("events", touched, n).groupBy("status").count().collect()}
         return {s: counts.get(s, 0) for s in ("new", "changed", "unchanged")}
 
 
@@ -165,10 +312,13 @@ def migrate_base(spark: SparkSession, tables: Tables) -> Tables:
 
 
 def migrate_confidence(spark: SparkSession, tables: Tables) -> Tables:
-    """Events get a confidence, from trust in their source where they have none."""
+    """Events get a confidence where they have none: a fixed one by their source, whatever trust is set now."""
     rows = add_missing(tables["events"], confidence="double", confidence_reason="string")
-    reason = F.when(F.col("confidence").isNull(), F.lit("backfilled from source trust")).otherwise(F.col("confidence_reason"))
-    rows = rows.withColumn("confidence_reason", reason).withColumn("confidence", F.coalesce("confidence", source_trust("source")))
+    trust = F.lit(BACKFILL_TRUST_OTHER)
+    for pattern, value in reversed(BACKFILL_TRUST.items()):
+        trust = F.when(or_empty("source").ilike(pattern) if "%" in pattern else F.col("source") == pattern, F.lit(value)).otherwise(trust)
+    reason = F.when(F.col("confidence").isNull(), F.lit(BACKFILL_REASON)).otherwise(F.col("confidence_reason"))
+    rows = rows.withColumn("confidence_reason", reason).withColumn("confidence", F.coalesce("confidence", trust))
     return tables | {"events": rows.withColumn("run_id", F.when(or_empty("run_id") == "", F.lit("legacy")).otherwise(F.col("run_id")))}
 
 

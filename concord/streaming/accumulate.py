@@ -1,12 +1,14 @@
 """Micro-batches of raw rows merged into the store: the same merge as in batch, in foreachBatch.
 
-State lives in the store's tables, not in the stream, so nothing is ever too late and a restart goes on from the last
-committed version. A batch that is delivered again changes nothing but times of observation, because a stored source
+State lives in the store's tables, not in the stream, so a restart goes on from the last committed version. Nothing is
+too late but what is dated before `before`, which each batch lets expire. A batch that is delivered again changes nothing but times of observation, because a stored source
 and checksum is only refreshed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,12 +17,14 @@ from concord.operators.store import Store
 from concord.session import checkpoint
 
 
-def accumulate(raw: DataFrame, store: Store, progress: str, available_now: bool = True, trust: dict[str, float] | None = None) -> StreamingQuery:
+def accumulate(raw: DataFrame, store: Store, progress: str, available_now: bool = True, trust: dict[str, float] | None = None, before: Callable[[], str] | str | None = None) -> StreamingQuery:
+    """before: the date before which events expire with each batch, or what gives it then."""
+
     def merge(batch: DataFrame, number: int) -> None:
         # Written once: the merge reads a batch several times.
         rows = checkpoint(observations(batch, trust))
         if not rows.isEmpty():
-            store.upsert(rows, f"batch_{number:09d}")
+            store.upsert(rows, f"batch_{number:09d}", before() if callable(before) else before)
 
     writer = raw.writeStream.foreachBatch(merge).option("checkpointLocation", progress)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()

@@ -143,7 +143,7 @@ def test_runs_and_migrations(spark):
     got = {r.id: r for r in new["events"].collect()}
     assert version == 6 and set(got) == {1, 3} and set(new) == {"events", "runs", "observations"}
     assert (got[1].source_count, got[1].conflict_flag, got[1].confidence_reason) == (2, 1, "2 sources, conflict: Time mismatch: 6:00 PM vs 7:00 PM")
-    assert (got[3].confidence, got[3].confidence_reason, got[3].run_id, got[3].identity_key) == (0.9, "backfilled from source trust", "legacy", "b|hall|2026-01-01")
+    assert (got[3].confidence, got[3].confidence_reason, got[3].run_id, got[3].identity_key) == (0.9, "backfilled at v2 migration from source trust", "legacy", "b|hall|2026-01-01")
     assert sorted((r.id, r.event_id, r.time_start, r.observation_type) for r in new["observations"].collect()) == [(1, 1, "6:00 PM", "manual"), (2, 1, "7:00 PM", "image")]
     again, _ = store.migrate(spark, new)
     assert all(sorted(map(str, again[t].select(new[t].columns).collect())) == sorted(map(str, new[t].collect())) for t in new)
@@ -162,6 +162,80 @@ def test_store_keeps_its_schema_version_and_few_old_versions(spark, tmp_path):
     assert sorted(r.performer for r in t.read("events").collect()) == ["P1", "P2", "P3"] and t.read("observations").count() == 3
 
 
+def test_an_upsert_writes_the_parts_of_its_identities_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), keep=5, buckets=4)
+    batch = lambda *rows: observations(raw(spark, *rows))
+    s.upsert(batch(*[{"id": i, "performer": f"P{i}", "date": f"2026-0{1 + i % 3}-05"} for i in range(60)]), "r1")
+    first = s.manifest(1)["tables"]["events"]["parts"]
+    assert len(first) == 12
+    assert s.upsert(batch({"id": 100, "performer": "P0", "date": "2026-01-05", "source": "venue"}), "r2") == {"new": 0, "changed": 0, "unchanged": 1}
+    second = s.manifest(2)["tables"]["events"]["parts"]
+    assert set(second) == set(first) and sum(second[p] != first[p] for p in first) == 1
+    assert s.read("events").count() == 60 and s.read("events").filter("run_id = 'r2'").count() == 1 and s.load_events("r2").first().source_count == 2
+    assert [r.date for r in s.load_events().collect()] == sorted(f"2026-0{1 + i % 3}-05" for i in range(60))
+    assert s.read("events", version=1).filter("source_count = 2").count() == 0
+
+
+def test_expiry_drops_months_unread_and_splits_the_last(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), keep=1, buckets=2)
+    batch = lambda *rows: observations(raw(spark, *rows))
+    s.upsert(batch(*[{"id": i, "performer": f"P{i}", "date": f"2026-0{1 + i % 3}-{5 + i // 3:02d}"} for i in range(30)]), "r1")
+    old = {p: f for p, f in s.manifest(1)["tables"]["events"]["parts"].items() if "2026-01" in p}
+    for part, folder in old.items():  # what expires is not read: it may even be damaged
+        for file in (tmp_path / "s" / "events" / folder / part).glob("*.parquet"):
+            file.write_bytes(b"damaged")
+    s.upsert(batch({"id": 200, "performer": "New", "date": "2026-03-09"}, {"id": 201, "performer": "Late", "date": "2026-01-31"}), "r2", before="2026-02-08")
+    found = s.read("events")
+    assert found.agg(F.min("date")).first()[0] == "2026-02-08" and found.count() == 10 + 7 + 1
+    assert s.read("observations").count() == 18 and s.read("observations").join(found, "identity_key", "left_anti").count() == 0
+    assert all("2026-01" not in p for t in s.manifest(2)["tables"].values() for p in t["parts"])
+    assert not [f for f in (tmp_path / "s" / "events").rglob("*.parquet") if "2026-01" in str(f)]
+
+
+def test_of_two_writers_one_begins_again(spark, tmp_path):
+    one, two = (store.Store(spark, str(tmp_path / "s"), buckets=2) for _ in range(2))
+    batch = lambda *rows: observations(raw(spark, *rows))
+    one.upsert(batch({"id": 1, "performer": "A"}), "r1")
+    merge, calls = two.merge, []
+
+    def late(n, *rest):
+        if not calls:
+            calls.append(n)
+            one.upsert(batch({"id": 2, "performer": "B"}), "r2")  # commits while the other one is at work
+        return merge(n, *rest)
+
+    two.merge = late
+    assert two.upsert(batch({"id": 3, "performer": "C"}), "r3")["new"] == 1
+    assert sorted(r.performer for r in two.read("events").collect()) == ["A", "B", "C"] and two.version() == 3
+    with pytest.raises(store.Conflict):
+        one.commit(set(), 1, events=one.read("events"))
+    assert sorted(f.name[:7] for f in (tmp_path / "s" / "events").iterdir()) == ["v000001", "v000002", "v000003"]
+
+
+def test_lease(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    with s.lease("a"):
+        with pytest.raises(store.Busy), store.Store(spark, str(tmp_path / "s")).lease("b"):
+            pass
+    with s.lease("b", seconds=-1), s.lease("c"):  # one that is over doesn't count
+        pass
+    with s.lease("d"):
+        pass
+
+
+def test_old_events_get_a_fixed_confidence(spark):
+    rows = [(i, f"P{i}", "2026-01-01", s) for i, s in enumerate(["venue_site", "image:x", "OCR local", "crawler", "seed", None])]
+    found, _ = store.migrate_confidence(spark, {"events": spark.createDataFrame(rows, "id long, performer string, date string, source string").withColumn("run_id", F.lit("r"))}), None
+    assert [r.confidence for r in found["events"].orderBy("id").collect()] == [0.5, 0.8, 0.5, 0.9, 0.6, 0.5]
+
+
+def test_favourite_marks(spark):
+    events = spark.createDataFrame([(1, None, "Zoe", "Hall", "2026-01-01", 0.5)], "id long, name string, performer string, venue string, date string, confidence double")
+    for mark, n in (("y", 1), (" Y ", 1), ("Yes", 0), (None, 0)):
+        people = spark.createDataFrame([("Zoe", mark, 1)], "performer string, favorite string, ord int")
+        assert featured.featured(events, spark.createDataFrame([], "venue string"), people, "2026-01-01", "2026-01-02").count() == n
+
+
 def test_featured(spark):
     events = spark.createDataFrame([(1, "Zoe", "Hall", "2026-08-08", 0.9), (2, "Max", "Hall", "2026-08-07", 0.9), (3, "Zoe", "Barn", "2026-08-06", 0.5), (4, "Ann", "Hall", "2026-08-09", 0.7), (5, "Zoe", "Hall", "2027-01-01", 0.9), (6, "Ann", "Barn", "2026-08-08", None)], "id long, performer string, venue string, date string, confidence double").withColumn("name", F.lit(None).cast("string"))
     venues = spark.createDataFrame([("hall ",)], "venue string")
