@@ -55,6 +55,8 @@ def changelog(changes: DataFrame, key: str = "identity_key") -> DataFrame:
 def quoted(c: Column) -> Column:
     """A value as logs show it: None, or in quotes that it doesn't hold itself."""
     slashed = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        slashed = F.replace(slashed, F.lit(raw), F.lit(shown))
     double = c.contains("'") & ~c.contains('"')
     own = F.when(double, F.concat(F.lit('"'), slashed, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(slashed, F.lit("'"), F.lit("\\'")), F.lit("'")))
     return F.coalesce(own, F.lit("None"))
@@ -80,34 +82,74 @@ def log_text(rows: DataFrame, summary: DataFrame, run_id: str, recorded_at: str,
     return head.unionByName(body)
 
 
+COUNTS = ["new", "changed", "removed", "unchanged"]
+LOG = f"identity_key string, status string, line string, diff array<struct<field:string,before:string,after:string>>, {', '.join(f'`{c}` long' for c in COUNTS)}, run_id string, recorded_at string"
+
+
 def write_changelog(changes: DataFrame, path: str, run_id: str, recorded_at: str) -> bool:
-    """Writes <path>/<run_id> as JSON rows and as text, unless nothing was new, changed or removed. Returns whether it did."""
+    """Writes <path>/<run_id>.json (JSON rows, one of them with the counts), <run_id>.txt and latest.txt, unless nothing
+    was new, changed or removed. Returns whether it did."""
     summary = checkpoint(change_summary(changes))
     counts = summary.first()
     if not counts["total_delta"] and not counts["removed"]:
         return False
     rows = checkpoint(changelog(changes))
-    rows.withColumn("run_id", F.lit(run_id)).withColumn("recorded_at", F.lit(recorded_at)).write.mode("overwrite").json(f"{path}/{run_id}.json")
-    log_text(rows, summary, run_id, recorded_at).orderBy("place").select("line").write.mode("overwrite").text(f"{path}/{run_id}.txt")
+    whole = rows.unionByName(summary.select(F.lit("summary").alias("status"), *COUNTS), allowMissingColumns=True)
+    whole.withColumn("run_id", F.lit(run_id)).withColumn("recorded_at", F.lit(recorded_at)).write.mode("overwrite").json(f"{path}/{run_id}.json")
+    lines = checkpoint(log_text(rows, summary, run_id, recorded_at).orderBy("place").select("line"))
+    for name in (run_id, "latest"):
+        lines.write.mode("overwrite").text(f"{path}/{name}.txt")
     return True
 
 
-def logged(spark, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+def logged_runs(spark, path: str) -> list[str]:
+    """Ids of the runs that have a log, in order: names of folders, none of which is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(hadoop.Path(path))] if files.exists(hadoop.Path(path)) else []
+    return sorted(n.removesuffix(".json") for n in found if n.endswith(".json"))
+
+
+def logged(spark, path: str, runs: list[str]) -> DataFrame:
+    """The rows of some runs' logs; only their folders are read."""
+    names = [f"{path}/{run}.json" for run in runs]
+    return spark.read.schema(LOG).json(names) if names else spark.createDataFrame([], LOG)
 
 
 def changelogs(spark, path: str) -> DataFrame:
     """run_id, new, changed, removed of every log, in order of run_id."""
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return logged(spark, path).groupBy("run_id").agg(n("new"), n("changed"), n("removed")).orderBy("run_id")
+    return logged(spark, path, logged_runs(spark, path)).filter("status = 'summary'").select("run_id", "new", "changed", "removed").orderBy("run_id")
 
 
 def changelog_of(spark, path: str, run_id: str) -> DataFrame:
     """The rows of one run's log; none, if it has no log."""
-    return logged(spark, path).filter(F.col("run_id") == run_id)
+    return logged(spark, path, [r for r in logged_runs(spark, path) if r == run_id]).filter("status != 'summary'").drop(*COUNTS)
 
 
 def latest_changelog(spark, path: str) -> DataFrame:
     """The rows of the run with the greatest id."""
-    rows = logged(spark, path)
-    return rows.join(F.broadcast(rows.agg(F.max("run_id").alias("run_id"))), "run_id")  # one row
+    return logged(spark, path, logged_runs(spark, path)[-1:]).filter("status != 'summary'").drop(*COUNTS)
+
+
+def shown_changelog(spark, path: str, run_id: str) -> DataFrame:
+    """The text of a stored log, line by line, its counts as they were recorded."""
+    rows = logged(spark, path, [r for r in logged_runs(spark, path) if r == run_id])
+    head = rows.filter("status = 'summary'")
+    recorded = head.select("recorded_at").first()
+    text = log_text(rows.filter("status != 'summary'"), head, run_id, recorded[0] if recorded else "")
+    return text.orderBy("place").select("line")
+
+
+BRIEF = "performer: string, venue: string, date: string, time_start: string, time_end: string, stage: string"
+DOCUMENT = f"run_id string, recorded_at string, summary struct<{', '.join(f'{c}: long' for c in COUNTS)}>, new array<struct<{BRIEF}>>, changed array<struct<{BRIEF}, diff: map<string, struct<before: string, after: string>>>>, removed array<struct<{BRIEF}>>"
+
+
+def changelog_documents(spark, path: str, names: str = "*.json") -> DataFrame:
+    """Logs of the exchange layout, one JSON text a run over any number of lines, as rows: run_id, recorded_at, status, at
+    (place in its list), the event's fields, and diff. A text that is no such log has no rows."""
+    logs = spark.read.schema(DOCUMENT).option("multiLine", "true").option("pathGlobFilter", names).option("recursiveFileLookup", "true").json(path)
+    fields = ["performer", "venue", "date", "time_start", "time_end", "stage"]
+    none = F.lit(None).cast("map<string, struct<before: string, after: string>>")
+    row = lambda status, diff: lambda e, i: F.struct(F.lit(status).alias("status"), i.alias("at"), *[e[f].alias(f) for f in fields], (e["diff"] if diff else none).alias("diff"))
+    lists = [F.transform(F.coalesce(F.col(s), F.array()), row(s, s == "changed")) for s in ("new", "changed", "removed")]
+    return logs.filter("run_id IS NOT NULL").select("run_id", "recorded_at", F.inline(F.concat(*lists)))

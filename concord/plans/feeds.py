@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.functions.names import ascii_identity_key
-from concord.operators import dashboard
-from concord.operators.store import Store
+from concord.operators import changes, dashboard
+from concord.operators.store import Store, migrate_confidence
 from concord.plans.view import EVENTS, TRUST, raw, table
 from concord.session import checkpoint, shared_dir
 from concord.sources import feeds, html
@@ -194,3 +194,37 @@ def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     accumulate(stream, store, f"{base}/progress", trust=TRUST).awaitTermination()
     found = store.read("events")
     return found.select("identity_key", "verification_count", "source_count")
+
+
+@query(f"{EVENTS} SELECT identity_key, verification_count, source_count FROM ev WHERE date >= '2024-01-20'")
+def store_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stream_accumulate, and each batch lets expire what is dated before a day."""
+    base = f"{shared_dir(spark)}/expiry-{uuid.uuid4().hex}"
+    raw(spark, sf_dir).repartition(3, "id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    accumulate(stream, store, f"{base}/progress", trust=TRUST, before="2024-01-20").awaitTermination()
+    return store.read("events").select("identity_key", "verification_count", "source_count")
+
+
+@query("""SELECT event_id AS id, CASE event_type WHEN 'click' THEN 0.9 WHEN 'purchase' THEN 0.8 WHEN 'signup' THEN 0.6 WHEN 'error' THEN 0.5 ELSE 0.5 END::DOUBLE AS confidence,
+'backfilled at v2 migration from source trust' AS confidence_reason FROM events""")
+def backfilled_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the oldest schema, without observations, get a fixed confidence by their source."""
+    rows = raw(spark, sf_dir).select("id", "performer", "venue", "date", F.when(F.col("source") == "aggregator", "crawler").otherwise(F.col("source")).alias("source"), F.lit("").alias("run_id"))
+    return migrate_confidence(spark, {"events": rows})["events"].select("id", "confidence", "confidence_reason")
+
+
+@query("""SELECT 'run_' || lpad(c_nationkey::VARCHAR, 2, '0') AS run_id, CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'removed' END AS status, 'Act ' || c_custkey AS performer, c_mktsegment AS venue,
+CASE WHEN c_custkey % 3 = 1 THEN '6:00 PM' END AS time_before, CASE WHEN c_custkey % 3 = 1 THEN c_name END AS time_after FROM customer""")
+def changelog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of many lines for each nation, written as its own file and read back as rows."""
+    base, k = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}", F.col("c_custkey")
+    brief = [F.concat(F.lit("Act "), k.cast("string")).alias("performer"), F.col("c_mktsegment").alias("venue")]
+    diff = F.create_map(F.lit("time_start"), F.struct(F.lit("6:00 PM").alias("before"), F.col("c_name").alias("after")))
+    listed = lambda n, *more: F.collect_list(F.when(k % 3 == n, F.struct(*brief, *more)))
+    logs = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(listed(0).alias("new"), listed(1, diff.alias("diff")).alias("changed"), listed(2).alias("removed"))
+    text = F.to_json(F.struct(F.concat(F.lit("run_"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("run_id"), "new", "changed", "removed"), {"pretty": "true"})
+    logs.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(f"{base}/text")
+    found = changes.changelog_documents(spark, f"{base}/text", "*.txt")
+    return found.select("run_id", "status", "performer", "venue", F.col("diff")["time_start"]["before"].alias("time_before"), F.col("diff")["time_start"]["after"].alias("time_after"))

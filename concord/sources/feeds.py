@@ -125,13 +125,18 @@ def seed_rows(spark: SparkSession, today: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, performer string, venue string, date string, time_start string, url string, source string")
 
 
-def inbox(spark: SparkSession, path: str) -> DataFrame:
-    """file, content: the images right below a folder, by their endings in any case."""
-    rows = spark.read.format("binaryFile").load(path).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+def images(files: DataFrame) -> DataFrame:
+    """file, content: those of the files (path, content) that are images, by their endings in any case."""
+    rows = files.withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
     ending = F.lower(F.regexp_extract("file", r"\.[^.]*$", 0))
     return rows.filter(ending.isin(fixed.IMAGE_ENDINGS)).select("file", "content")
 
 
+def inbox(spark: SparkSession, path: str) -> DataFrame:
+    """The images right below a folder."""
+    return images(spark.read.format("binaryFile").load(path))
+
+
 def read_images(images: DataFrame, read: Callable[[str, bytes], str]) -> DataFrame:
     """file, response, error: what a reader (a model or recogniser that the caller brings) makes of each image.
 

@@ -114,6 +114,12 @@ def test_changelog_files(spark, tmp_path):
     assert {r.run_id for r in changes.latest_changelog(spark, str(tmp_path)).collect()} == {"r2"}
     assert [tuple(r) for r in changes.changelogs(spark, str(tmp_path)).collect()] == [("r1", 1, 0, 1), ("r2", 1, 0, 1)]
     assert changes.changelog_of(spark, str(tmp_path), "r1").count() == 2 and changes.changelog_of(spark, str(tmp_path), "r9").count() == 0
+    text = [r.line for r in changes.shown_changelog(spark, str(tmp_path), "r2").collect()]
+    assert text == spark.read.text(str(tmp_path / "latest.txt")).toPandas()["value"].tolist() and any("+1 new" in x for x in text)
+    (tmp_path / "r1.json").rename(tmp_path / "r1.gone")
+    assert {r.run_id for r in changes.latest_changelog(spark, str(tmp_path)).collect()} == {"r2"}  # other runs are not read
+    lines = spark.createDataFrame([("a\nb\r\t\\",)], "v string").select(changes.quoted(F.col("v")).alias("q"))
+    assert [r.q for r in lines.collect()] == [repr("a\nb\r\t\\")]
     shown = spark.createDataFrame([("a'b",), ("a'b\"c",), (None,), ("x",)], "v string").select(changes.quoted(F.col("v")).alias("q"))
     assert [r.q for r in shown.collect()] == [repr(v) for v in ("a'b", "a'b\"c", None, "x")]
 

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from concord.operators.store import Store
-from concord.sources import feeds, html
+from concord.sources import feeds, html, paged
 from concord.streaming.accumulate import accumulate
+from concord.streaming.inbox import watch
 
 LISTING = """<table class="x views-table"><caption>Saturday, August 8, 2026</caption>
 <tr><td>6:00 pm to 9:00 pm</td><td><a href="/e/1">Zoe @ Hall</a></td></tr><tr><td>7:00 pm</td><td>no link</td></tr>
@@ -112,3 +113,39 @@ def test_stream_restarts(spark, tmp_path):
     rows.limit(1).withColumn("performer", F.lit("New")).write.mode("append").parquet(str(tmp_path / "in"))
     accumulate(stream(), store, str(tmp_path / "p")).awaitTermination()
     assert store.read("events").count() == 4
+
+
+def test_paged_feeds(spark):
+    def fetch(url):
+        name, _, n = url.partition("/")
+        if name == "bad" and n == "2":
+            raise OSError("gone")
+        if name == "odd":
+            return ["no page"]
+        return {"events": [{"summary": f"Act {name}{n}", "timezoneStart": "2026-07-19T16:00:00"}], "pages": {"nextPage": f"{name}/{int(n) + 1}" if name != "one" else None}}
+
+    pages = paged.paged(spark, {"one": "one/0", "many": "many/0", "bad": "bad/0", "odd": "odd/0"}, fetch)
+    assert pages.rdd.getNumPartitions() == 4
+    found = feeds.json_events(pages, "Bay", "bay", id_col="feed").groupBy("feed").count().collect()
+    assert {r.feed: r["count"] for r in found} == {"one": 1, "many": paged.MOST_PAGES, "bad": 2}
+
+
+def test_inbox_is_watched_by_one_run(spark, tmp_path):
+    box = tmp_path / "in"
+    box.mkdir()
+    for name in ("a.png", "b.jpg", "c.txt"):
+        (box / name).write_bytes(name.encode())
+
+    def read(file, content):
+        if file == "b.jpg":
+            raise ValueError("dark")
+        return '[{"artist": "Zoe %s", "venue": "Hall", "date": "2026-08-08", "confidence": 0.9}]' % file[0]
+
+    store = Store(spark, str(tmp_path / "s"))
+    run = lambda owner: watch(spark, str(box), read, store, str(tmp_path / "p"), "2026-08-01", str(tmp_path / "done"), str(tmp_path / "bad"), owner)
+    with store.lease("other"):
+        assert run("me") is None and (box / "a.png").exists()
+    assert run("me") == 2 and run("me") == 0
+    (box / "d.png").write_bytes(b"d")
+    assert run("me") == 1 and sorted(r.performer for r in store.read("events").collect()) == ["Zoe a", "Zoe d"]
+    assert sorted(x.name for x in (tmp_path / "done").iterdir() if not x.name.startswith(".")) == ["a.png", "d.png"] and (tmp_path / "bad" / "b.jpg").exists() and (box / "c.txt").exists()
