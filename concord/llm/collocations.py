@@ -37,8 +37,8 @@ from concord.llm.common import byte_batches, checkpoint, held, if_small, release
 SLOTS, SHARD, HELD, WINDOW = 1 << 22, 1 << 15, 1 << 22, 4 << 20
 #: Bits of the block number of a bucket, of a slot within a block, and of the table that is looked at first.
 BLOCK_BITS, SLOT_BITS, FIRST_BITS = 11, 14, 24
-#: Buckets are this power of two more than the texts' bytes; bits of a task's number.
-SPARE_BITS, PART_BITS = 11, 24
+#: Buckets are this power of two more than the texts' bytes, so that phrases hardly ever share one; bits of a task's number.
+SPARE_BITS, PART_BITS = 19, 24
 #: Slots salted before a language's best phrases meet.
 SALTS = 64
 LONGEST, LEVELS = 3, 64
@@ -151,7 +151,7 @@ def bucket_rows(bits: int):
         starts, ends = np.append(0, cuts).tolist(), np.append(cuts, len(buckets)).tolist()
         gaps = np.diff(buckets, prepend=np.uint64(0))
         gaps[starts] = buckets[starts] & np.uint64((1 << low) - 1)
-        gaps = gaps.astype("<u4" if low <= 32 else "<u8")
+        gaps = gaps.astype("<u4" if gaps.max() < 1 << 32 else "<u8")
         yield pa.record_batch({"part": pa.array([part] * len(starts), pa.int32()), "block": (buckets[starts] >> np.uint64(low)).astype(np.int64), "gaps": pa.array([gaps[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def frequent_buckets(bits: int, least: int):
                 blocks.setdefault(block, []).append((part, gaps, counts))
         for block in sorted(blocks):
             rows = blocks.pop(block)
-            buckets = np.concatenate([np.cumsum(np.frombuffer(gaps, "<u4" if low <= 32 else "<u8"), dtype=np.uint64) for _, gaps, _ in rows]) + np.uint64(block << low)
+            buckets = np.concatenate([np.cumsum(np.frombuffer(gaps, "<u4" if len(gaps) == 4 * len(counts) else "<u8"), dtype=np.uint64) for _, gaps, counts in rows]) + np.uint64(block << low)
             counts = np.concatenate([np.frombuffer(c, np.uint8) for _, _, c in rows])
             parts = np.repeat(np.array([p for p, _, _ in rows], np.uint64), [len(c) for _, _, c in rows])
             # Tasks in an order of the bucket's own, so that they name about as many each.
