@@ -55,11 +55,11 @@ def merge_events(previous: DataFrame, observations: DataFrame, touched: DataFram
     with status 'kept'. A url that no observation has any more stays.
     """
     now = canonical_events(observations.join(touched.select(key).distinct(), key, "left_semi"))
-    old = previous.select(key, F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("url").alias("_url"), signature().alias("_was"))
+    old = previous.select(key, F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("url").alias("_url"), signature().alias("_was"), F.lit(True).alias("_known"))
     both = now.join(old, key, "left")
     both = both.withColumn("id", F.coalesce("_id", "id")).withColumn("name", F.coalesce("_name", "name")).withColumn("url", F.coalesce(F.nullif("url", F.lit("")), "_url"))
-    status = F.when(F.col("_id").isNull(), "new").when(F.col("_was") == signature(), "unchanged").otherwise("changed")
-    merged = both.withColumn("status", status).drop("_id", "_name", "_url", "_was")
+    status = F.when(F.col("_known").isNull(), "new").when(F.col("_was") == signature(), "unchanged").otherwise("changed")
+    merged = both.withColumn("status", status).drop("_id", "_name", "_url", "_was", "_known")
     kept = previous.join(touched.select(key).distinct(), key, "left_anti").withColumn("status", F.lit("kept"))
     return merged.unionByName(kept, allowMissingColumns=True)
 
@@ -251,6 +251,18 @@ class Store:
                 if not left:
                     raise
 
+    def record(self, run_id: str, started_at: str, saved: int, tries: int = 5) -> int:
+        """Notes a run in the table of runs; the new version. A run_id that is there already is noted anew."""
+        for left in reversed(range(tries)):
+            n = self.version()
+            runs = self.read("runs", version=n)
+            runs = empty(self.spark, {c: RUN[c] for c in ("id", "run_id", "started_at", "events_saved")}) if runs is None else runs
+            try:
+                return self.commit({"all"}, n, runs=record_run(runs, run_id, started_at, saved).coalesce(1))
+            except Conflict:
+                if not left:
+                    raise
+
     def merge(self, n: int, incoming: DataFrame, touched: set[str], run_id: str, before: str | None) -> dict[str, int]:
         known = {p for t in ("events", "observations") for p in self.manifest(n)["tables"].get(t, {"parts": ()})["parts"]}
         expired = set()

@@ -12,7 +12,7 @@ from concord.operators import changes, dashboard
 from concord.operators.store import Store, migrate_confidence
 from concord.plans.view import EVENTS, TRUST, raw, table
 from concord.session import checkpoint, shared_dir
-from concord.sources import feeds, html
+from concord.sources import feeds, html, legacy
 from concord.streaming.accumulate import accumulate
 
 QUERIES: dict = {}
@@ -228,3 +228,15 @@ def changelog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(f"{base}/text")
     found = changes.changelog_documents(spark, f"{base}/text", "*.txt")
     return found.select("run_id", "status", "performer", "venue", F.col("diff")["time_start"]["before"].alias("time_before"), F.col("diff")["time_start"]["after"].alias("time_after"))
+
+
+@query("""SELECT 'act ' || o_custkey || '|hall|' || strftime(o_orderdate, '%Y-%m-%d') AS identity_key, 'dashboard_legacy' AS source, 1 AS source_count, CAST(count(*) AS BIGINT) AS said, 'legacy_1' AS run_id FROM orders GROUP BY ALL""")
+def legacy_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated pages, one for each order, in a store as a run of their own."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    row = F.concat(F.lit('<table><tbody id="tb"><tr data-date="'), day, F.lit('" data-venue="Hall" data-performer="Act '), F.col("o_custkey").cast("string"), F.lit('"><td><b>x</b></td><td>d</td><td>6:00 PM</td><td>Hall</td></tr></tbody></table>'))
+    store = Store(spark, f"{shared_dir(spark)}/legacy-{uuid.uuid4().hex}", buckets=1)
+    legacy.import_curated(store, table(spark, sf_dir, "orders").select(k, row.alias("html")), "1", "now", "o_orderkey")
+    said = store.read("observations").groupBy(F.col("identity_key").alias("_key")).agg(F.count("*").alias("said"))
+    found = store.read("events").join(said, F.col("identity_key") == F.col("_key"))
+    return found.select("identity_key", "source", "source_count", "said", "run_id")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from concord.operators import changes, featured, rules, store
 from concord.operators.aggregate import canonical_events, health, with_observations
 from concord.operators.observe import RAW, observations
+from concord.sources import legacy
 
 SCHEMA = "id long, performer string, venue string, date string, time_start string, stage string, url string, source string, model_confidence double, observed_at string"
 
@@ -218,6 +219,15 @@ def test_of_two_writers_one_begins_again(spark, tmp_path):
     assert sorted(f.name[:7] for f in (tmp_path / "s" / "events").iterdir()) == ["v000001", "v000002", "v000003"]
 
 
+def test_legacy_import_is_a_run_that_can_be_repeated(spark, tmp_path):
+    rows = "".join(f'<tr data-date="2026-08-0{i}" data-venue="Hall" data-performer="P{i}"><td></td><td></td><td>6:00 PM</td><td></td></tr>' for i in range(1, 4))
+    pages = spark.createDataFrame([(1, f'<tbody id="tb">{rows}<tr data-date="soon" data-performer="Q"></tr></tbody>'), (2, None)], "page_id long, html string")
+    s = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    assert legacy.import_curated(s, pages, "a", "t1") == {"run_id": "legacy_a", "rows_parsed": 4, "new": 3, "changed": 0, "unchanged": 0}
+    assert legacy.import_curated(s, pages, "a", "t2") == {"run_id": "legacy_a", "rows_parsed": 4, "new": 0, "changed": 0, "unchanged": 3}
+    assert [tuple(r) for r in s.read("runs").collect()] == [(2, "legacy_a", "t2", 3)] and s.read("observations").count() == 3
+
+
 def test_lease(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"))
     with s.lease("a"):
