@@ -68,6 +68,34 @@ def test_mix_returns_rows_as_often(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equal_rows_have_places_of_their_own(spark, monkeypatch, parts):
+    monkeypatch.setattr(mixing, "COPY_BLOCK_BITS", 3)  # many blocks of copies
+    ten = " ".join(["w"] * 10)
+    rows = [(1, ten, "a", "x", 1.0)] * 100 + [(2, ten, "b", "x", 1.0)] * 150 + [(3, None, None, None, None)] * 30 + [(4, ten, None, "x", 1.0)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, times double").repartition(parts)
+    got = mixing.mixture(docs).collect()
+    sizes = {"a": 1000, "b": 1500, None: 90}
+    want = filled(sizes, mixing.WEIGHTS, mixing.MOST_EPOCHS)
+    name = {1: "a", 2: "b", 3: None, 4: None}
+    assert len(got) == len(rows)
+    for s, target in want.items():
+        mine = [r.taken for r in got if name[r.doc_id] == s]
+        assert abs(sum(mine) - target) <= 5, s  # half a document
+        assert max(mine) <= 30
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    times = {k: sum(1 for r in out.collect() if r.doc_id == k) for k in (1, 2, 4)}
+    assert times == {k: sum(r.taken for r in got if r.doc_id == k) // 10 for k in (1, 2, 4)}
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 2_000_000, "a"), *[(k, "x y z", "b") for k in range(2, 40)]], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mixture(docs).collect()}
+    assert got[1]["size"] == 2_000_000 and got[1].taken in (0, 2_000_000, 4_000_000, 6_000_000)
+    assert sum(got[k].taken for k in range(2, 40)) == 3 * 3 * 38
+
+
 def test_degenerate_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mixture(empty).collect() == [] and mixing.mix(empty).collect() == []
