@@ -252,8 +252,9 @@ def similarity(a: str, b: str, width: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Texts whose shingles are counted to tell common ones; members of a shingle's group that are paired at once, or compared.
-COUNTED, FEW, MEMBERS = 20_000, 32, 4096
+#: Texts whose shingles are counted to tell common ones, and how many of these the driver keeps; members of a shingle's
+#: group that are paired at once, or compared; bytes of the sets that a block of such members holds.
+COUNTED, COMMON, FEW, MEMBERS, BLOCK_BYTES = 20_000, 2_000_000, 32, 4096, 64 << 20
 
 
 def ordered_prefix(found: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -361,13 +362,32 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return sized(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
 
 
-def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS) -> DataFrame:
+def common_shingles(rows: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that more than one row has and their counts: the commonest, whole counts at a time, `most` at most.
+
+    They only order shingles, so that any bound is right. There are as many different counts as rows of one shingle at
+    most, and what goes to the driver is bounded whatever the texts' length.
+    """
+    counted = checkpoint(rows.groupBy("shingle").count().filter("count > 1"))
+    least, held = 2, 0
+    for row in counted.groupBy(F.col("count").alias("times")).count().orderBy(F.desc("times")).collect():
+        held += row["count"]
+        if held > most:
+            least = row["times"] + 1
+            break
+    found = counted.filter(F.col("count") >= least).toArrow()
+    values, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
 
     rows (id, digest, tag, text); known (unit, first, digest, tag, class, and several, true if left out): the units' first documents. Two such texts have a shingle of their
     prefixes in common. Of `few` rows or less with an equal shingle, the pairs of different classes are listed, and
     compared on the whole sets if their places and their number of common prefix shingles allow it. Larger groups are
-    compared on the whole sets in blocks of about `members`, and return verified links only.
+    compared on the whole sets in blocks of about `members` or `block_bytes` of sets, and return verified links only.
     """
     known = known if "several" in known.columns else known.withColumn("several", F.lit(True))
     kind = rows.schema["id"].dataType.simpleString()
@@ -379,11 +399,7 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
 
     chance = F.shiftrightunsigned(F.xxhash64("digest", F.lit(5)), 12) / float(1 << 52)
     sampled = rows.filter(chance * F.lit(max(1, known.count())) < COUNTED).select("text")
-    # At most half as many numbers as the counted texts have shingles.
-    counted = sampled.mapInArrow(all_shingles, "shingle long").groupBy("shingle").count().filter("count > 1").toArrow()
-    tokens, counts = counted.column("shingle").to_numpy().view(np.uint64), counted.column("count").to_numpy()
-    order = np.argsort(tokens)
-    tokens, counts = tokens[order], counts[order]
+    tokens, counts = common_shingles(sampled.mapInArrow(all_shingles, "shingle long"))
 
     def sorted_set(t: str) -> np.ndarray:
         return np.sort(np.fromiter(shingles(t, width), np.uint64))
@@ -398,8 +414,8 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
     # Repeated rows of a unit's first document give the same prefix again.
     prefixes = prefixes.groupBy("unit").agg(F.min("class").alias("class"), F.min("n").alias("n"), F.min("kept").alias("kept"))
     prefixes = prefixes.select("unit", "class", "n", F.posexplode("kept").alias("at", "shingle"))
-    kinds = {"shingle": pa.int64(), "unit": pa.int64(), "class": pa.int64(), "n": pa.int32(), "reach": pa.float64(), "shortest": pa.int32(), "rows": pa.int64(), "u": pa.int64(), "v": pa.int64(), "nu": pa.int32(), "nv": pa.int32(), "ok": pa.bool_()}
-    ddl = "shingle long, unit long, class long, n int, reach double, shortest int, rows long, u long, v long, nu int, nv int, ok boolean"
+    kinds = {"shingle": pa.int64(), "unit": pa.int64(), "class": pa.int64(), "n": pa.int32(), "reach": pa.float64(), "shortest": pa.int32(), "blocks": pa.int32(), "u": pa.int64(), "v": pa.int64(), "nu": pa.int32(), "nv": pa.int32(), "ok": pa.bool_()}
+    ddl = "shingle long, unit long, class long, n int, reach double, shortest int, blocks int, u long, v long, nu int, nv int, ok boolean"
 
     def given(columns: dict) -> pa.RecordBatch:
         rows = len(next(iter(columns.values())))
@@ -425,8 +441,9 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
                         found, count = [], 0
                 else:
                     # The largest text that can still share enough with one of n shingles, the first `at` of which it hasn't.
+                    blocks = max(-(-(j - i) // members), -(-8 * int(n[i:j].sum(dtype=np.int64)) // block_bytes))
                     reach = (n[i:j] - at[i:j]) * ((1 + least) / least) - n[i:j] + 1e-6
-                    yield given({"shingle": shingle[i:j], "unit": unit[i:j], "class": label[i:j], "n": n[i:j], "reach": reach, "shortest": np.full(j - i, n[i:j].min()), "rows": np.full(j - i, j - i)})
+                    yield given({"shingle": shingle[i:j], "unit": unit[i:j], "class": label[i:j], "n": n[i:j], "reach": reach, "shortest": np.full(j - i, n[i:j].min()), "blocks": np.full(j - i, blocks)})
             if found:
                 a, b, ok = map(np.concatenate, zip(*found))
                 yield given({"u": unit[a], "v": unit[b], "nu": n[a], "nv": n[b], "ok": ok})
@@ -446,14 +463,14 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
     grouped = prefixes.repartition("shingle").sortWithinPartitions("shingle").select("shingle", "unit", "class", "n", "at")
     grouped = checkpoint(grouped.mapInArrow(gather, ddl))
 
-    many = grouped.filter("rows IS NOT NULL")
+    many = grouped.filter("blocks IS NOT NULL")
     hot = many.groupBy(F.col("unit").alias("u")).agg(F.count("*").alias("hot"))
     rest = lambda n: F.greatest(F.ceil(F.col(n) * least - 1e-9) - 1, F.lit(0))
     pairs = grouped.filter("u IS NOT NULL").groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("both"), F.max("ok").alias("ok")).filter("ok").join(hot, "u", "left")
     # What prefixes share, and at most the rest of one of both texts: of that whose prefix ends first.
     pairs = pairs.filter(F.col("both") + F.coalesce("hot", F.lit(0)) + F.greatest(rest("nu"), rest("nv")) >= least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6)
     pairs = sized(pairs.select("u", "v").distinct())
-    many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", F.ceil(F.col("rows") / members).cast("int").alias("blocks")))
+    many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", "blocks"))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).unionByName(many.select("unit")).distinct()
     sets = unit_sets(rows, known.join(needed, "unit", "left_semi"), width)
     true = verified(pairs, sets, least)

@@ -56,4 +56,4 @@ def test_empty_tables_long_texts_and_other_columns(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["quality", "toxicity", "near_duplicates", "mixing", "packing"]
-    assert {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 14))

@@ -187,17 +187,25 @@ def test_edited_passages_beyond_the_radius(spark):
     assert got == roots(range(400), linked)
 
 
-@pytest.mark.parametrize("few, members", [(1, 3), (1, 1000), (2, 4), (32, 1000)])
-def test_exact_links_alone(docs, few, members):
+@pytest.mark.parametrize("few, members, block_bytes", [(1, 3, 1 << 20), (1, 1000, 200), (1, 1000, 1 << 20), (2, 4, 1 << 20), (32, 1000, 1 << 20)])
+def test_exact_links_alone(docs, few, members, block_bytes):
     rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
     texts = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id AS id", "coalesce(text, '') AS text").selectExpr("id", "xxhash64(text) AS digest", "hash(text) AS tag", "text")
     known = texts.selectExpr("id AS unit", "id AS first", "digest", "tag", "id AS class").distinct()
-    found = [(x.u, x.v) for x in simhash.exact_links(texts, known, 0.8, 5, few=few, members=members).collect()]
+    found = [(x.u, x.v) for x in simhash.exact_links(texts, known, 0.8, 5, few=few, members=members, block_bytes=block_bytes).collect()]
     assert all(simhash.similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
     linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
     assert roots(rows, found) == roots(rows, linked)
 
 
+def test_common_shingles_are_the_commonest(spark):
+    rows = spark.createDataFrame([(x,) for x, n in ((5, 1), (9, 2), (-3, 2), (7, 4), (1, 3)) for _ in range(n)], "shingle long")
+    of = lambda most: {int(np.uint64(x).view(np.int64)): int(c) for x, c in zip(*simhash.common_shingles(rows, most))}
+    assert of(10) == {9: 2, -3: 2, 7: 4, 1: 3} and of(3) == of(2) == {7: 4, 1: 3} and of(0) == {}
+    values, _ = simhash.common_shingles(rows)
+    assert list(values) == sorted(values)
+
+
 def test_bands_of_population_counts():
     assert simhash.bands({30: 5, 31: 4, 32: 25, 33: 1, 40: 9}, 10) == [(30, 31, 1), (32, 32, 3), (33, 40, 1)]
     assert simhash.bands({}, 10) == []
