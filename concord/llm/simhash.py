@@ -261,12 +261,13 @@ def ordered_prefix(found: np.ndarray, least: float, common: np.ndarray, counts:
     """The first of a text's shingles, rare ones first: texts of Jaccard similarity `least` have one of these in common.
 
     A text shares least * n of its n shingles with any such text, so it can't be without all but these. Any one order of
-    shingles is right; `common` (sorted) and `counts` only keep the groups of equal shingles small.
+    shingles is right; `common` (sorted high halves) and `counts` only keep the groups of equal shingles small.
     """
     times = np.zeros(len(found), np.int64)
     if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        times = np.where(common[at] == found, counts[at], 0)
+        half = (found >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(common, half), len(common) - 1)
+        times = np.where(common[at] == half, counts[at], 0)
     keep = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
     return found[np.lexsort((found, times))[:keep]] if len(found) else np.zeros(1, np.uint64)
 
@@ -363,22 +364,24 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def common_shingles(rows: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that more than one row has and their counts: the commonest, whole counts at a time, `most` at most.
+    """High halves of shingles, sorted, that several rows have, and their counts: the commonest, whole counts at a time,
+    `most` at most.
 
-    They only order shingles, so that any bound is right. There are as many different counts as rows of one shingle at
-    most, and what goes to the driver is bounded whatever the texts' length.
+    They only order shingles, so that halves do and any bound is right: six bytes each on the driver, whatever the
+    texts' length. There are as many different counts as rows of one half at most.
     """
-    counted = checkpoint(rows.groupBy("shingle").count().filter("count > 1"))
-    least, held = 2, 0
-    for row in counted.groupBy(F.col("count").alias("times")).count().orderBy(F.desc("times")).collect():
-        held += row["count"]
-        if held > most:
+    counted = rows.groupBy(F.shiftright("shingle", 32).cast("int").alias("half")).agg(F.least(F.count("*"), F.lit(32767)).cast("short").alias("times"))
+    counted = checkpoint(counted.filter("times > 1"))
+    least, kept = 2, 0
+    for row in counted.groupBy("times").count().orderBy(F.desc("times")).collect():
+        kept += row["count"]
+        if kept > most:
             least = row["times"] + 1
             break
-    found = counted.filter(F.col("count") >= least).toArrow()
-    values, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    found = counted.filter(F.col("times") >= least).toArrow()
+    values, times = found.column("half").to_numpy().view(np.uint32), found.column("times").to_numpy()
     order = np.argsort(values)
-    return values[order], counts[order]
+    return values[order], times[order]
 
 
 def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
