@@ -31,12 +31,17 @@ from concord.operators.rules import distinct_observations, first_of, not_past, r
 from concord.session import checkpoint
 
 
-def merge_observations(stored: DataFrame, incoming: DataFrame, key: str = "identity_key") -> DataFrame:
+def merge_observations(stored: DataFrame, incoming: DataFrame, key: str = "identity_key", by_id: bool = False) -> DataFrame:
     """stored and incoming observations (columns OBSERVATION) as one set.
 
     Identities that are not stored keep all their rows. Of stored ones, a row with a stored source and checksum only
     refreshes that row's observed_at; others are added, the first of equal ones. Nulls are equal.
+
+    by_id: rows are told apart by id instead, so equal contents of different confidence all stay, and the result is the
+    same however the rows are cut into batches. A row whose id is stored is the same row again and is left out.
     """
+    if by_id:
+        return stored.select(OBSERVATION).unionByName(incoming.join(stored.select(key, "id"), [key, "id"], "left_anti").select(OBSERVATION))
     known = incoming.join(stored.select(key).distinct(), key, "left_semi")
     fresh = incoming.join(stored.select(key).distinct(), key, "left_anti")
     again = known.groupBy(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("checksum").alias("_c")).agg(F.max("observed_at").alias("_seen"))
@@ -236,8 +241,9 @@ class Store:
             self.files.create(self.hadoop(f"_schema/{done}"), True).close()
         return done
 
-    def upsert(self, incoming: DataFrame, run_id: str, before: str | None = None, tries: int = 5) -> dict[str, int]:
+    def upsert(self, incoming: DataFrame, run_id: str, before: str | None = None, tries: int = 5, by_id: bool = False) -> dict[str, int]:
         """Merges observations of one run and returns the counts by status; events dated before `before` go, with theirs.
+        by_id is that of merge_observations.
 
         `status` and `run_id` of an event are those of the last run that had its identity. If another writer commits
         first, the merge begins again from its version.
@@ -246,7 +252,7 @@ class Store:
         touched = self.parts_of(incoming)
         for left in reversed(range(tries)):
             try:
-                return self.merge(self.version(), incoming, touched, run_id, before)
+                return self.merge(self.version(), incoming, touched, run_id, before, by_id)
             except Conflict:
                 if not left:
                     raise
@@ -263,7 +269,7 @@ class Store:
                 if not left:
                     raise
 
-    def merge(self, n: int, incoming: DataFrame, touched: set[str], run_id: str, before: str | None) -> dict[str, int]:
+    def merge(self, n: int, incoming: DataFrame, touched: set[str], run_id: str, before: str | None, by_id: bool = False) -> dict[str, int]:
         known = {p for t in ("events", "observations") for p in self.manifest(n)["tables"].get(t, {"parts": ()})["parts"]}
         expired = set()
         if before is not None:
@@ -276,7 +282,7 @@ class Store:
             previous = canonical_events(stored).withColumn("run_id", F.lit(""))
             if not self.schema():
                 self.files.create(self.hadoop(f"_schema/{len(MIGRATIONS)}"), True).close()
-        observations = checkpoint(merge_observations(stored, incoming))
+        observations = checkpoint(merge_observations(stored, incoming, by_id=by_id))
         events = merge_events(previous, observations, incoming.select("identity_key"))
         run = F.when(F.col("status") == "kept", F.col("run_id")).otherwise(F.lit(run_id))
         events = events.withColumn("run_id", run)

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from concord.operators.aggregate import canonical_events
+from concord.operators.observe import observations
 from concord.operators.store import Store
 from concord.sources import feeds, html, paged
 from concord.streaming.accumulate import accumulate
@@ -115,6 +117,18 @@ def test_stream_restarts(spark, tmp_path):
     assert store.read("events").count() == 4
 
 
+def test_stream_by_id_gives_the_events_of_one_batch(spark, tmp_path):
+    says = [(1, "6 pm", "venue", 0.1), (2, "7 pm", "seed", 1.0), (3, "6 pm", "venue", 1.0), (4, "7 pm", "venue", 0.1), (5, "7 pm", "seed", 0.9)]
+    rows = spark.createDataFrame([(i, "Zoe", "Hall", "2026-08-08", t, s, c) for i, t, s, c in says], "id long, performer string, venue string, date string, time_start string, source string, model_confidence double")
+    store = Store(spark, str(tmp_path / "store"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for ids in ("id <= 2", "id = 3", "id > 3", "id = 3"):
+        rows.filter(ids).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        accumulate(stream(), store, str(tmp_path / "p"), by_id=True).awaitTermination()
+    shown = ["id", "source", "time_start", "confidence", "verification_count", "source_count", "observation_count"]
+    assert store.read("events").select(shown).collect() == canonical_events(observations(rows)).select(shown).collect()
+
+
 def test_paged_feeds(spark):
     def fetch(url):
         name, _, n = url.partition("/")
