@@ -20,7 +20,11 @@ def sql_rounded(x: str, digits: int = 3) -> str:
 
 
 def source_trust(source: Column | str, trust: dict[str, float] | None = None) -> Column:
-    s = F.lower(strip(or_empty(source)))
+    return trust_of(F.lower(or_empty(strip(source))), trust)
+
+
+def trust_of(s: Column, trust: dict[str, float] | None = None) -> Column:
+    """source_trust of a stripped source in lower case."""
     out = F.lit(fixed.DEFAULT_TRUST)
     for name, value in (fixed.SOURCE_TRUST if trust is None else trust).items():
         out = F.when(s == name, F.lit(value)).otherwise(out)

@@ -45,7 +45,7 @@ def marked(obs: DataFrame, key: str = "identity_key") -> DataFrame:
     """obs with `conflicting`: start minutes or stage differ from those of its event's primary observation."""
     lead = obs.groupBy(key).agg(F.max_by(F.struct("start_minutes", "stage"), rank_of()).alias("p"))
     both = obs.join(lead, key)
-    stage, lead_stage = F.lower(strip(or_empty("stage"))), F.lower(strip(or_empty("p.stage")))
+    stage, lead_stage = F.lower(or_empty(strip("stage"))), F.lower(strip(or_empty("p.stage")))
     apart = F.coalesce(F.col("start_minutes") != F.col("p.start_minutes"), F.lit(False))
     return both.withColumn("conflicting", apart | ((stage != "") & (lead_stage != "") & (stage != lead_stage))).drop("p")
 
@@ -56,7 +56,7 @@ def canonical_events(obs: DataFrame, key: str = "identity_key", corroboration: f
     obs is read once. Sightings that agree in source, start and stage are combined before they are shuffled; an identity
     then holds one entry for each such combination, and conflicts are judged on these entries.
     """
-    rows = obs.withColumn("_source", F.coalesce("source", F.lit("unknown"))).withColumn("_stage", F.lower(strip(or_empty("stage"))))
+    rows = obs.withColumn("_source", F.coalesce("source", F.lit("unknown"))).withColumn("_stage", F.lower(or_empty(strip("stage"))))
     rows = rows.withColumn("_shown", F.when(F.col("start_minutes").isNotNull(), strip("time_start")))
     lead = F.struct(rank_of().alias("rank"), "name", "performer", "venue", "date", "source", "start_minutes", F.col("_stage").alias("g"), *FIELDS)
     fills = [F.max(F.when(or_empty(f) != "", F.struct(fill_rank().alias("rank"), F.col(f).alias("v")))).alias(f"_fill_{f}") for f in FIELDS]
@@ -115,5 +115,5 @@ def best_url(events: DataFrame, obs: DataFrame, fallback: dict[str, str] | None
     urls = obs.filter(F.col("url").isNotNull()).groupBy(key).agg(F.max_by("url", fill_rank()).alias("observed_url"))
     own = F.lit(None).cast("string")
     for venue, url in (fallback or {}).items():
-        own = F.when(F.lower(strip(or_empty("venue"))) == venue, F.lit(url)).otherwise(own)
+        own = F.when(F.lower(or_empty(strip("venue"))) == venue, F.lit(url)).otherwise(own)
     return events.join(urls, key, "left").withColumn("best_url", F.coalesce("observed_url", own)).drop("observed_url")

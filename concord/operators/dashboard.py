@@ -20,7 +20,7 @@ def looked_up(c: Column | str, values: dict[str, str], default: Column) -> Colum
     if not values:
         return default
     pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.try_element_at(pairs, F.lower(strip(or_empty(c)))), default)
+    return F.coalesce(F.try_element_at(pairs, F.lower(or_empty(strip(c)))), default)
 
 
 def venue_class(c: Column | str, classes: dict[str, str] | None = None) -> Column:
@@ -28,7 +28,7 @@ def venue_class(c: Column | str, classes: dict[str, str] | None = None) -> Colum
 
 
 def venue_shown(c: Column | str, names: dict[str, str] | None = None) -> Column:
-    return looked_up(c, fixed.VENUE_SHORT_NAMES if names is None else names, strip(or_empty(c)))
+    return looked_up(c, fixed.VENUE_SHORT_NAMES if names is None else names, or_empty(strip(c)))
 
 
 def band_class(c: Column | str) -> Column:
@@ -42,8 +42,8 @@ def form_encoded(c: Column) -> Column:
 
 def map_links(c: Column | str, searches: dict[str, str] | None = None) -> Column:
     """struct(embed, external): links to a map of the venue; nulls without a venue."""
-    there = strip(or_empty(c)) != ""
-    query = form_encoded(looked_up(c, fixed.VENUE_MAP_SEARCHES if searches is None else searches, strip(or_empty(c))))
+    there = or_empty(strip(c)) != ""
+    query = form_encoded(looked_up(c, fixed.VENUE_MAP_SEARCHES if searches is None else searches, or_empty(strip(c))))
     before, after = fixed.MAP_EMBED
     embed = F.concat(F.lit(before), query, F.lit(after))
     return F.struct(F.when(there, embed).alias("embed"), F.when(there, F.concat(F.lit(fixed.MAP_SEARCH), query)).alias("external"))
@@ -55,7 +55,7 @@ def time_shown(start: Column | str = "time_start", end: Column | str = "time_end
 
 def favorite_flags(events: DataFrame, venues: DataFrame, performers: DataFrame) -> DataFrame:
     """events with favorite and performer_favorite, Y or N; names match without case and edge space, later roster rows win."""
-    name = lambda c: F.lower(strip(or_empty(c)))
+    name = lambda c: F.lower(or_empty(strip(c)))
     liked = venues.select(name("venue").alias("_v")).filter("_v != ''").distinct().withColumn("_vf", F.lit("Y"))
     roster = performers.groupBy(name("performer").alias("_p")).agg(F.max_by(F.when(is_favorite(), "Y").otherwise("N"), "ord").alias("_pf"))
     rows = events.withColumn("_v", name("venue")).withColumn("_p", name(F.coalesce(F.nullif("performer", F.lit("")), F.col("name"))))

@@ -14,7 +14,7 @@ UNLISTED = 1 << 30
 
 def is_favorite(c: str = "favorite") -> Column:
     """Whether a roster's mark says yes, in either case."""
-    return F.upper(strip(or_empty(c))) == "Y"
+    return F.upper(or_empty(strip(c))) == "Y"
 
 
 def featured(events: DataFrame, venues: DataFrame, performers: DataFrame, start: str, end: str, all_ties: bool = False, all_performers: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def featured(events: DataFrame, venues: DataFrame, performers: DataFrame, start:
     is 0 (then all of it), or all_performers and there is a favourite performer (then all of those, by date first).
     The rosters are small and written by hand; Spark broadcasts them if it finds them so.
     """
-    lowered = lambda c: F.lower(strip(or_empty(c)))
+    lowered = lambda c: F.lower(or_empty(strip(c)))
     own = events.filter(F.coalesce("date", F.lit("")).between(start, end)).withColumn("_p", lowered(F.coalesce(F.nullif("performer", F.lit("")), F.col("name")))).withColumn("_v", lowered("venue"))
     liked = venues.select(lowered("venue").alias("_v")).distinct().withColumn("venue_favorite", F.lit(True))
     roster = performers.groupBy(lowered("performer").alias("_p")).agg(F.max_by(is_favorite(), "ord").alias("performer_favorite"), F.max("ord").alias("_order"))

@@ -72,7 +72,7 @@ def stale_url_relistings(events: DataFrame, obs: DataFrame, key: str = "identity
 def stale_image_relistings(events: DataFrame, obs: DataFrame, key: str = "identity_key") -> DataFrame:
     """The same for events read off images, by venue, date, start and stage."""
     rows = latest_observed(events.filter(F.col("source").ilike("image:%")), obs, key)
-    rows = rows.withColumn("_v", F.lower(strip(or_empty("venue")))).withColumn("_s", F.lower(strip(or_empty("stage"))))
+    rows = rows.withColumn("_v", F.lower(or_empty(strip("venue")))).withColumn("_s", F.lower(or_empty(strip("stage"))))
     return latest_in(rows, ["_v", "date", "time_start", "_s"], [F.desc("latest_observed"), F.asc("id")]).filter("rank > 1").drop("rank", "_v", "_s")
 
 
@@ -150,7 +150,7 @@ def backfill_default_times(rows: DataFrame) -> DataFrame:
 def same_night_collisions(events: DataFrame) -> DataFrame:
     """Per venue and date with two performers or more: those that share a slot (stage and start)."""
     rows = events.filter("date IS NOT NULL AND venue IS NOT NULL AND performer IS NOT NULL")
-    rows = rows.select(F.lower(strip("venue")).alias("venue_key"), "date", F.nullif(F.lower(strip(or_empty("stage"))), F.lit("")).alias("stage"), F.nullif("time_start", F.lit("")).alias("time_start"), "performer", F.struct("id", "venue").alias("v"))
+    rows = rows.select(F.lower(strip("venue")).alias("venue_key"), "date", F.nullif(F.lower(or_empty(strip("stage"))), F.lit("")).alias("stage"), F.nullif("time_start", F.lit("")).alias("time_start"), "performer", F.struct("id", "venue").alias("v"))
     slots = rows.groupBy("venue_key", "date", "stage", "time_start").agg(F.collect_set("performer").alias("performers"), F.min("v").alias("v"))
     both = slots.groupBy("venue_key", "date").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("performers") > 1, F.col("performers")))))).alias("performers"), F.min("v").alias("v")

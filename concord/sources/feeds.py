@@ -61,7 +61,7 @@ VISION_ROWS = "array<struct<artist:string,venue:string,date:string,day_of_week:s
 
 def vision_events(responses: DataFrame, today: str, file_col: str = "file", text_col: str = "response") -> DataFrame:
     """Rows that a vision model read off images: fences off, weekdays resolved against the image's week or today's."""
-    raw = strip(or_empty(text_col))
+    raw = or_empty(strip(text_col))
     body = F.when(raw.startswith("```"), F.regexp_extract(raw, r"(?s)^```(?:json)?(.*?)(?:```|$)", 1)).otherwise(raw)
     rows = responses.select(file_col, F.from_json(strip(body), VISION_ROWS).alias("all"))
     weeks = F.filter(F.transform("all", lambda e: F.try_to_date(F.concat(F.lit(today[:4] + "/"), F.regexp_extract(or_empty(e["week_of"]), r"^\s*(\d{1,2}/\d{1,2})", 1)), "yyyy/M/d")), lambda d: d.isNotNull())
@@ -78,7 +78,7 @@ def two_column_events(items: DataFrame, year: int, file_col: str = "file", artis
 
     items: file, artist, x, y, text and ord for ties. A file's rows are one page's.
     """
-    text = strip(or_empty("text"))
+    text = or_empty(strip("text"))
     upper = F.upper(text)
     rows = items.select(file_col, artist_col, (F.col("x") >= 0.45).cast("int").alias("side"), "y", "ord", upper.alias("u"), text.alias("t"))
     rows = rows.filter((F.length("t") >= 3) & ~F.col("t").rlike(f"[{fixed.READER_GARBAGE}]"))
@@ -99,7 +99,7 @@ def two_column_events(items: DataFrame, year: int, file_col: str = "file", artis
 
 def research_events(findings: DataFrame, favorite_col: str = "favorite", text_col: str = "response") -> DataFrame:
     """Findings of a web search with a date and a real link; the favourite's name where no performer is given."""
-    raw = strip(or_empty(text_col))
+    raw = or_empty(strip(text_col))
     body = F.when(raw.startswith("```"), F.regexp_extract(raw, r"(?s)^```(?:json)?(.*?)(?:```|$)", 1)).otherwise(raw)
     rows = findings.select(favorite_col, F.from_json(strip(body), "found boolean, performer string, venue string, date string, time string, source_url string").alias("r"))
     rows = rows.filter(F.coalesce("r.found", F.lit(False)) & ~blank("r.date") & F.coalesce(F.col("r.source_url").rlike("^https?://"), F.lit(False)))

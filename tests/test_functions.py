@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions import names, scores, times, titles
+from concord.functions import names, scores, text, times, titles
 from concord.functions.text import let
 
 
@@ -137,3 +137,14 @@ def test_combined_confidence(spark, confidences, conflict, want):
 
     rows = spark.createDataFrame([("k", f"s{i}", c) for i, c in enumerate(confidences)] + [("k", "s0", 0.01)], "k string, source string, confidence double")
     assert source_confidences(rows, ["k"]).select(combined_confidence(conflict=F.lit(bool(conflict))).alias("v")).first().v == want
+
+
+def test_strip_by_name_is_strip(spark):
+    ends = ["", " ", "\t", " ", "　", "​", "\x7f", "\x00", "!", "~", "é", "日"]
+    rows = [a + "b c" + b for a in ends for b in ends] + [*ends, None]
+    assert values(spark, rows, text.strip("c0")) == values(spark, rows, text.strip(F.col("c0")))
+
+
+def test_plain_times_have_the_minutes_of_others(spark):
+    rows = [f"{h}:{m} {x}" for h in range(1, 13) for m in ("00", "05", "59") for x in ("AM", "PM")]
+    assert values(spark, rows, times.start_minutes("c0"), "string") == values(spark, [r.lower() for r in rows], times.start_minutes("c0"), "string")

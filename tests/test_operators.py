@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from concord.operators import changes, featured, rules, store
 from concord.operators.aggregate import canonical_events, health, with_observations
 from concord.operators.observe import RAW, observations
+from concord.plans.view import observed
 from concord.sources import legacy
 
 SCHEMA = "id long, performer string, venue string, date string, time_start string, stage string, url string, source string, model_confidence double, observed_at string"
@@ -30,6 +31,12 @@ def test_observation_rules(spark):
     assert set(RAW) >= {"name", "time_end"}
 
 
+def test_no_spelling_is_made_twice(spark):
+    plan = observed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Spellings fold capitals word by word, by a lambda; the filter at the bottom is none of their readers.
+    assert "Filter" in plan and "lambda" not in plan[plan.index("Filter") :] and plan.count("get_json_object") == 1
+
+
 def test_agreement_and_conflict(spark):
     one = canonical(spark, {"time_start": "6 pm"}, {"time_start": "6:00 - 9:00 PM", "source": "venue"}).first()
     assert (one.source_count, one.verification_count, one.conflict_flag, one.confidence_reason, one.source) == (2, 2, 0, "2 sources agree", "venue")
