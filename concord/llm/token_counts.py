@@ -54,19 +54,15 @@ class PieceCache:
         self.make, self.room, self.longest, self.held = make, room, longest, {}
 
     def all(self, pieces: list[str]) -> list:
-        new = set(pieces).difference(self.held)  # a plain dict: only the pieces are looked up
+        found = list(map(self.held.get, pieces))
+        if None not in found:
+            return found
+        new = list({p for p, v in zip(pieces, found) if v is None})
         if len(self.held) + len(new) > self.room:
             self.held.clear()
-            new = set(pieces)
-        if not new:
-            return list(map(self.held.__getitem__, pieces))
-        new = list(new)
         got = dict(zip(new, self.make(new)))
-        short = {p: v for p, v in got.items() if len(p) <= self.longest}
-        self.held.update(short)
-        if len(short) == len(got):
-            return list(map(self.held.__getitem__, pieces))
-        return [got[p] if p in got else self.held[p] for p in pieces]
+        self.held.update((p, v) for p, v in got.items() if len(p) <= self.longest)
+        return [got[p] if v is None else v for p, v in zip(pieces, found)]
 
 
 class Counter:

@@ -111,3 +111,11 @@ def test_repeated_and_long_rows_are_spread(spark):
     assert len(blocks) > 5 and max(blocks.values()) < len(got) / 4
     assert sum(r.length for r in got if r.doc_id == 2) == next(r.doc_tokens for r in got if r.doc_id == 2)
     assert sum(r.start == 0 for r in got) == 301
+
+
+def test_an_emptied_cache_makes_only_new_pieces():
+    made = []
+    cache = token_counts.PieceCache(lambda pieces: [made.append(p) or len(p) for p in pieces], room=3)
+    assert cache.all(["a", "bb", "a"]) == [1, 2, 1]
+    assert cache.all(["bb", "ccc", "a", "dddd", "ccc"]) == [2, 3, 1, 4, 3] and sorted(made) == ["a", "bb", "ccc", "dddd"]
+    assert cache.all(["e" * 60, "ccc"]) == [60, 3] and cache.all(["e" * 60]) == [60] and made.count("e" * 60) == 2
