@@ -322,9 +322,11 @@ def few_pairs(start: int, unit: np.ndarray, label: np.ndarray, n: np.ndarray, at
 
 
 def texts_of(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """rows (id, digest, tag, ...) of the units' first documents, with unit; units (unit, first, digest, tag, ...)."""
-    named = units.select(F.col("digest").alias("_d"), F.col("tag").alias("_t"), "first", *[c for c in units.columns if c not in ("digest", "tag", "first")])
-    return rows.join(named, (F.col("digest") == F.col("_d")) & (F.col("tag") == F.col("_t")) & F.col("id").eqNullSafe(F.col("first"))).drop("_d", "_t", "first")
+    """rows (id, digest, tag, ...) of the units' first documents, with unit and _id, a key of the id; units (unit, first, digest, tag, ...)."""
+    key = lambda c: F.xxhash64(F.col(c).isNull(), c)
+    named = units.select(F.col("digest").alias("_d"), F.col("tag").alias("_t"), key("first").alias("_f"), "first", *[c for c in units.columns if c not in ("digest", "tag", "first")])
+    same = F.coalesce(F.col("id") == F.col("first"), F.col("id").isNull() & F.col("first").isNull())
+    return rows.withColumn("_id", key("id")).join(named, (F.col("digest") == F.col("_d")) & (F.col("tag") == F.col("_t")) & (F.col("_id") == F.col("_f")) & same).drop("_d", "_t", "_f", "first")
 
 
 def unit_sets(rows: DataFrame, units: DataFrame, width: int) -> DataFrame:
@@ -414,8 +416,8 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
             yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "tag": batch.column("tag"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
 
     prefixes = texts_of(rows.mapInArrow(first, f"id {kind}, digest long, tag int, n int, kept array<long>"), known)
-    # Repeated rows of a unit's first document give the same prefix again.
-    prefixes = prefixes.groupBy("unit").agg(F.min("class").alias("class"), F.min("n").alias("n"), F.min("kept").alias("kept"))
+    # Repeated rows of a unit's first document give the same prefix again. They lie together by the join's keys.
+    prefixes = prefixes.groupBy("digest", "tag", "_id").agg(*[F.min(c).alias(c) for c in ("unit", "class", "n", "kept")])
     prefixes = prefixes.select("unit", "class", "n", F.posexplode("kept").alias("at", "shingle"))
     kinds = {"shingle": pa.int64(), "unit": pa.int64(), "class": pa.int64(), "n": pa.int32(), "reach": pa.float64(), "shortest": pa.int32(), "blocks": pa.int32(), "u": pa.int64(), "v": pa.int64(), "nu": pa.int32(), "nv": pa.int32(), "ok": pa.bool_()}
     ddl = "shingle long, unit long, class long, n int, reach double, shortest int, blocks int, u long, v long, nu int, nv int, ok boolean"
@@ -554,8 +556,8 @@ def near_duplicates(docs: DataFrame, radius: int = 11, least: float = 0.8, width
         if not good.isEmpty():
             true = sized(true.unionByName(good.toDF("a", "b")))
             roots = components(true)
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        left = candidates.join(tried, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        of = lambda c: if_small(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), 24)
+        left = candidates.join(if_small(tried, 24), ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
         candidates = sized(left.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"))
         most *= 2
     with_class = lambda: units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("root", "unit")).drop("root")
@@ -575,9 +577,10 @@ EDGES_A_TASK = 200_000
 def components(edges: DataFrame, rounds: int = 100, a_task: int = EDGES_A_TASK) -> DataFrame:
     """edges (a, b) as node, root: the least node of each component.
 
-    Each round contracts the edges of every task to stars by union-find, `a_task` edges to a task. Then, by a large star,
-    each node's larger neighbours move to its least neighbour, and by a small star so do its smaller ones. All three keep
-    the components, and when nothing changes every node hangs from its root. It is an error if that takes over `rounds`.
+    Each round contracts the edges of every task to stars by union-find, `a_task` edges to a task. Once one task holds all
+    edges, its stars are the result. Else, by a large star, each node's larger neighbours move to its least neighbour, and
+    by a small star so do its smaller ones. All three keep the components, and when nothing changes every node hangs from
+    its root. It is an error if that takes over `rounds`.
     """
     # Repeated edges are dropped by the first contraction.
     now = checkpoint(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -604,23 +607,26 @@ def components(edges: DataFrame, rounds: int = 100, a_task: int = EDGES_A_TASK)
     state = None
     pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     for _ in range(rounds):
-        # As many tasks as the edges call for; one task holds all of few edges, so no star of theirs is shuffled.
+        # As many tasks as the edges call for.
         parts = max(1, -(-now.count() // a_task))
-        placed = lambda edges: edges.coalesce(1) if parts == 1 else edges
-        now = placed(checkpoint((placed(now) if parts == 1 else now.repartition(parts)).mapInArrow(contract, f"a {kind}, b {kind}")))
+        now = checkpoint((now.coalesce(1) if parts == 1 else now.repartition(parts)).mapInArrow(contract, f"a {kind}, b {kind}"))
+        if parts == 1:
+            break  # the stars of one task that held all edges are whole: a further round would find the same
         both = now.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("e")).select("e.*")
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b").filter("a != b").distinct()
-        large = placed(checkpoint(large))
+        large = checkpoint(large)
         smallest = large.groupBy(F.col("b").alias("w")).agg(F.min("a").alias("m"))
         moved = large.join(smallest, F.col("b") == F.col("w"))
         small = moved.select(F.explode(F.array(pair("m", "b"), F.when(F.col("a") != F.col("m"), pair("m", "a")))).alias("e")).filter("e IS NOT NULL").select("e.*")
-        now = placed(checkpoint(small.distinct()))
+        now = checkpoint(small.distinct())
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == seen:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            break
         state = seen
-    raise RuntimeError(f"components that {rounds} rounds don't join")
+    else:
+        raise RuntimeError(f"components that {rounds} rounds don't join")
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def classes(prints: DataFrame, radius: int) -> DataFrame:

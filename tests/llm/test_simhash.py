@@ -209,3 +209,21 @@ def test_common_shingles_are_the_commonest(spark):
 def test_bands_of_population_counts():
     assert simhash.bands({30: 5, 31: 4, 32: 25, 33: 1, 40: 9}, 10) == [(30, 31, 1), (32, 32, 3), (33, 40, 1)]
     assert simhash.bands({}, 10) == []
+
+
+def test_components_of_edges_that_one_task_holds_make_no_stars(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(simhash, "checkpoint", lambda df, keep=simhash.checkpoint: written.append(keep(df)) or written[-1])
+    edges = spark.createDataFrame([(3, 2), (2, 1), (9, 8), (8, 8)], "a long, b long")
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {2: 1, 3: 1, 9: 8}
+    assert len(written) == 2
+
+
+def test_texts_lie_by_their_keys_once_joined(spark):
+    rows = spark.createDataFrame([(1, 5, 6, "a"), (1, 5, 6, "a"), (None, 7, 8, "b"), (2, 7, 8, "b")], "id long, digest long, tag int, text string")
+    units = spark.createDataFrame([(10, 1, 5, 6), (11, None, 7, 8)], "unit long, first long, digest long, tag int")
+    found = simhash.texts_of(rows.hint("shuffle_merge"), units)
+    assert sorted((r.unit, r.id) for r in found.collect()) == [(10, 1), (10, 1), (11, None)]
+    again = found.groupBy("digest", "tag", "_id").agg({"text": "min"})
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert again.count() == 2
