@@ -53,21 +53,17 @@ def marked(obs: DataFrame, key: str = "identity_key") -> DataFrame:
 def canonical_events(obs: DataFrame, key: str = "identity_key", corroboration: float = fixed.CORROBORATION, penalty: float = fixed.CONFLICT_PENALTY, ceiling: float = fixed.CEILING) -> DataFrame:
     """One row per identity: the primary's fields, gaps filled, confidence, counts, conflict and reason.
 
-    obs is read once. Sightings that agree in source, start and stage are combined before they are shuffled; an identity
-    then holds one entry for each such combination, and conflicts are judged on these entries.
+    obs is read once and shuffled once, by identity. Its sightings are combined before: an identity then holds one entry
+    for each combination of source, confidence, start and stage, and conflicts are judged on these entries.
     """
     rows = obs.withColumn("_source", F.coalesce("source", F.lit("unknown"))).withColumn("_stage", F.lower(or_empty(strip("stage"))))
     rows = rows.withColumn("_shown", F.when(F.col("start_minutes").isNotNull(), strip("time_start")))
     lead = F.struct(rank_of().alias("rank"), "name", "performer", "venue", "date", "source", "start_minutes", F.col("_stage").alias("g"), *FIELDS)
     fills = [F.max(F.when(or_empty(f) != "", F.struct(fill_rank().alias("rank"), F.col(f).alias("v")))).alias(f"_fill_{f}") for f in FIELDS]
-    parts = rows.groupBy(key, "_source", "start_minutes", "_stage", "_shown").agg(
-        F.max(lead).alias("p"), *fills, F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"), F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.count("*").alias("n")
+    entry = F.struct(F.col("_source").alias("s"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.col("start_minutes").alias("m"), F.col("_stage").alias("g"), F.col("_shown").alias("t"))
+    whole = rows.groupBy(key).agg(
+        F.max(lead).alias("p"), *fills, F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.count("*").alias("observation_count"), F.collect_set(entry).alias("seen")
     )
-    entry = F.struct(F.col("_source").alias("s"), "c", F.col("start_minutes").alias("m"), F.col("_stage").alias("g"), F.col("_shown").alias("t"))
-    whole = parts.groupBy(key).agg(
-        F.max("p").alias("p"), *[F.max(f"_fill_{f}").alias(f"_fill_{f}") for f in FIELDS], F.min("id").alias("id"), F.max("observed_at").alias("observed_at"), F.sum("n").alias("observation_count"),
-        F.collect_list(entry).alias("seen"),
-    )
 
     def apart(e: Column) -> Column:
         return F.coalesce(e["m"] != F.col("p.start_minutes"), F.lit(False)) | ((e["g"] != "") & (F.col("p.g") != "") & (e["g"] != F.col("p.g")))

@@ -306,3 +306,8 @@ def test_strip_takes_every_white_space(spark):
     frame = spark.createDataFrame(rows, "x string")
     for r in frame.select("x", strip("x").alias("y")).collect():
         assert r.y == (r.x.strip() if r.x is not None else None), repr(r.x)
+
+
+def test_canonical_events_shuffle_observations_once(spark):
+    plan = canonical_events(observed(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
