@@ -207,12 +207,13 @@ def recanonicalized(events: DataFrame, obs: DataFrame, field: str) -> tuple[Data
 def finalize(events: DataFrame, obs: DataFrame, cutoff: str, aggregator: str = "aggregator") -> tuple[DataFrame, DataFrame]:
     """The whole chain in its order: conflicts, relistings, spellings, slots, times, non-music, dates.
 
-    What a rule has left is written before the next reads it, so no rule's work is repeated in another's plan.
+    The events that a rule has left are written before the next reads them, so no rule's work is repeated in another's
+    plan. Observations are not: rules read few of their columns, and what goes is left out by joins on one key.
     """
 
     def without(gone: DataFrame) -> tuple[DataFrame, DataFrame]:
         keys = checkpoint(gone.select("identity_key").distinct())
-        return events.join(keys, "identity_key", "left_anti"), checkpoint(obs.join(keys, "identity_key", "left_anti"))
+        return events.join(keys, "identity_key", "left_anti"), obs.join(keys, "identity_key", "left_anti")
 
     obs = checkpoint(obs)
     events, obs = without(site_over_aggregator(checkpoint(events), obs, aggregator).filter("drop"))

@@ -27,13 +27,19 @@ def query(sql: str | None = None):
     return register
 
 
-def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The observation view, written once for queries that read it more than once."""
-    return checkpoint(observed(spark, sf_dir))
+#: What events are made of; the view has more columns, which need not be computed and written for events alone.
+OF_EVENTS = ["id", "identity_key", "name", "performer", "venue", "date", "time_start", "time_end", "stage", "url", "source", "confidence", "observed_at", "start_minutes"]
+OF_CONFLICTS = ["id", "identity_key", "time_start", "stage", "source", "confidence", "observed_at", "start_minutes"]
 
 
-def events_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    obs = written(spark, sf_dir)
+def written(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The observation view or some columns of it, written once for queries that read it more than once."""
+    rows = observed(spark, sf_dir)
+    return checkpoint(rows.select(columns) if columns else rows)
+
+
+def events_of(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    obs = written(spark, sf_dir, columns)
     return canonical_events(obs), obs
 
 
@@ -65,7 +71,7 @@ def canonical_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EVENTS} SELECT identity_key, id, source, time_start, stage, conflicting FROM marked")
 def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked(written(spark, sf_dir)).select("identity_key", "id", "source", "time_start", "stage", "conflicting")
+    return marked(written(spark, sf_dir, OF_CONFLICTS)).select("identity_key", "id", "source", "time_start", "stage", "conflicting")
 
 
 @query(f"{EVENTS} SELECT l.identity_key, coalesce(nullif(l.stage, ''), f_stage) AS stage, coalesce(nullif(l.url, ''), f_url) AS url, l.stage IS NULL AND f_stage IS NOT NULL AS stage_filled FROM lead l JOIN facts f USING (identity_key)")
@@ -93,20 +99,20 @@ def latest_per_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{EVENTS} SELECT identity_key, source, url, date FROM (
   SELECT *, row_number() OVER (PARTITION BY source, url, date ORDER BY observed_at DESC, id) AS r FROM ev WHERE coalesce(url, '') <> '' AND source IS NOT NULL) WHERE r > 1""")
 def stale_url_relisting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.stale_url_relistings(*events_of(spark, sf_dir)).select("identity_key", "source", "url", "date")
+    return rules.stale_url_relistings(*events_of(spark, sf_dir, OF_EVENTS)).select("identity_key", "source", "url", "date")
 
 
 @query(f"""{EVENTS} SELECT identity_key, venue, date, time_start FROM (
   SELECT *, row_number() OVER (PARTITION BY lower(venue), date, time_start, lower(trim(coalesce(stage, ''))) ORDER BY observed_at DESC, id) AS r FROM ev WHERE source ILIKE 'image:%') WHERE r > 1""")
 def stale_image_relisting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.stale_image_relistings(*events_of(spark, sf_dir)).select("identity_key", "venue", "date", "time_start")
+    return rules.stale_image_relistings(*events_of(spark, sf_dir, OF_EVENTS)).select("identity_key", "venue", "date", "time_start")
 
 
 @query(f"""{EVENTS}, s AS (SELECT identity_key, bool_and(source = 'aggregator') AS only_a, bool_or(source <> 'aggregator') AS other FROM obs GROUP BY ALL),
 slot AS (SELECT e.identity_key, e.venue, e.date, e.time_start, only_a, bool_or(other) OVER (PARTITION BY lower(e.venue), e.date, e.time_start) AS site FROM ev e JOIN s USING (identity_key))
 SELECT identity_key, venue, date, time_start, only_a AND site AS "drop" FROM slot""")
 def site_vs_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.site_over_aggregator(*events_of(spark, sf_dir)).select("identity_key", "venue", "date", "time_start", "drop")
+    return rules.site_over_aggregator(*events_of(spark, sf_dir, OF_EVENTS)).select("identity_key", "venue", "date", "time_start", "drop")
 
 
 @query(f"""{EVENTS}, p AS (SELECT DISTINCT venue, date, coalesce(lower(trim(stage)), '') AS stage, time_start, performer FROM ev),
@@ -309,7 +315,7 @@ left_obs AS (SELECT * EXCLUDE (r) FROM (SELECT o.*, row_number() OVER (PARTITION
 {sql_events("left_obs", "z_")} SELECT identity_key, f.id, f.name, f.date, z.time_start, f.venue, f.performer, f.url, z.confidence, z.source_count FROM f3 f JOIN z_ev z USING (identity_key) WHERE f.date >= '2024-01-10'""")
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole rule chain."""
-    events, _ = rules.finalize(*events_of(spark, sf_dir), "2024-01-10")
+    events, _ = rules.finalize(*events_of(spark, sf_dir, [*OF_EVENTS, "checksum"]), "2024-01-10")
     return events.select("identity_key", "id", "name", "date", "time_start", "venue", "performer", "url", "confidence", "source_count")
 
 
