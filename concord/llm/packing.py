@@ -31,7 +31,7 @@ from concord.llm.token_counts import PieceCache, by_letters, load_tokenizer, seg
 class Encoder:
     """Token ids, as little-endian bytes, for tokenizers that drop white space and encode words apart; others encode whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 1_000_000):
         import json
 
         tok = load_tokenizer(path)
@@ -53,7 +53,7 @@ class Encoder:
             data, ends = ids.astype(self.type).tobytes(), (ends * self.type.itemsize).tolist()
             return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-        self.cache = PieceCache(lambda pieces: by_letters(pieces, False, self.bytes, joined))
+        self.cache = PieceCache(lambda pieces: by_letters(pieces, False, self.bytes, joined), room)
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
@@ -61,8 +61,8 @@ class Encoder:
         return b"".join(b"".join(self.cache.all(words(part))) for part in segments(text))
 
 
-def encoder(path: str) -> Encoder:
-    return held("packing", path, lambda: Encoder(path))
+def encoder(path: str, room: int) -> Encoder:
+    return held("packing", (path, room), lambda: Encoder(path, room))
 
 
 def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -92,8 +92,11 @@ def pack_block(lengths: np.ndarray, capacity: int, linear: float, quadratic: flo
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: the id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 1024, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", room: int = 1_000_000) -> DataFrame:
+    """One row per piece: the id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    room: distinct words whose ids a worker keeps, about 280 bytes each.
+    """
     path = tokenizer_file(tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -104,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     rows = rows.withColumn("key", row_key("id", "text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, room)
         end = np.array([end_id], own.type).tobytes()
         seen: Counter = Counter()
         for batch in byte_batches(batches, "text"):

@@ -6,6 +6,8 @@ returns the packed pieces. The stages' models learn from the labels of the docum
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ from concord.llm import mixing, packing, quality, simhash, toxicity
 from concord.llm.common import checkpoint, if_small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of an Arrow batch while a stage runs: several copies of a batch of texts lie in an executor for each of its tasks.
+BATCH_ROWS = 2000
+#: Distinct words whose ids a packing worker keeps, about 80 MB: its executor still holds what earlier stages made it take.
+PACKED_WORDS = 300_000
+
+
+def bounded(stage):
+    """The stage, in a session whose Arrow batches hold BATCH_ROWS rows at most."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(spark.conf.get(name, "10000"))
+        spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +74,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packing.digests(packing.pack(docs))
+    return packing.digests(packing.pack(docs, room=PACKED_WORDS))
 
 
-STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", distinct_documents), ("mixing", mixed_sources), ("packing", packed_sequences)]
+STAGES = [(name, bounded(stage)) for name, stage in [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", distinct_documents), ("mixing", mixed_sources), ("packing", packed_sequences)]]
 ORACLE_SQL = None
 
 

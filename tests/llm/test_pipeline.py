@@ -57,3 +57,16 @@ def test_empty_tables_long_texts_and_other_columns(spark, tmp_path):
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["quality", "toxicity", "near_duplicates", "mixing", "packing"]
     assert {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 14))
+
+
+def test_stages_bound_what_workers_hold(spark, monkeypatch):
+    name, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    monkeypatch.setattr(cp.packing, "pack", lambda docs, **given: asked.update(given, rows=int(spark.conf.get(name))) or docs)
+    monkeypatch.setattr(cp.packing, "digests", lambda packed: packed)
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        cp.STAGES[-1][1](spark, spark.range(1), "")
+    finally:
+        spark.conf.set(name, before)
+    assert asked["room"] <= 300_000 and asked["rows"] <= 2000
