@@ -10,9 +10,9 @@ have in common plus the shingles that share a bit, is less than a link needs. Pa
 bound; those that pass are compared on their whole sets.
 
 Equal sets are one unit. First each pair of tiles gives a spanning forest of the pairs that pass, which is verified. Then
-the trees are traversed again, and every document that still has a partner that passes in another class is compared
-with such partners, in blocks of bounded size that return links only. So no link between classes is missed, and a dense
-group costs about a pair a document.
+trees of the documents in these forests alone, less those whose pairs are all within one class by now, are traversed, and
+every document that still has a partner that passes in another class is compared with such partners, in blocks of bounded
+size that return links only. So no link between classes is missed, and a dense group costs about a pair a document.
 
 Nulls are empty texts; a text without words has size 0 and is linked with nothing, not even with another such; one with
 fewer words than a shingle is one shingle. A null id is a document like any other, and a class's id only if all of its
@@ -140,6 +140,33 @@ def node_pairs(left: Tree, right: Tree, same: bool, percent: int, most: int = 1
         stack.append((k - 1, u[real], v[real]))
 
 
+def leaf_pairs(left: Tree, right: Tree, first: int, part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in the leaf that begins at `first` and in `part`, of documents whose bitmaps and sizes allow a link.
+
+    Most pairs are ruled out by their first words: what the others can share is at most the bits that either has in them.
+    """
+    rows, chosen = left.bits[first : first + LEAF], right.columns[:, part]
+    words = rows.shape[1]
+    n, m = left.n[first : first + LEAF], right.n[part]
+    # Shared shingles that a link needs, less those that share a bit: (100 + percent) * both >= percent * (n + m).
+    need = -(-percent * (n[:, None] + m) // (100 + percent)) - np.minimum(left.slack[first : first + LEAF, None], right.slack[part])
+    near = 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
+    need, both = need.astype(np.int32), np.zeros((len(rows), len(part)), np.int32)
+    seen, cut = 0, max(1, words // 4)
+    while seen < words:
+        until = min(words, seen + cut)
+        for k in range(seen, until):
+            both += np.bitwise_count(rows[:, k, None] & chosen[k])
+        seen = until
+        rest = np.minimum(np.bitwise_count(rows[:, seen:]).sum(1, dtype=np.int32)[:, None], np.bitwise_count(chosen[seen:]).sum(0, dtype=np.int32))
+        a, b = np.nonzero(near & (both + rest >= need))
+        if seen < words and 16 * len(a) <= both.size:  # few are left: the rest of their words, pair by pair
+            found = both[a, b] + np.bitwise_count(rows[a, seen:] & chosen[seen:, b].T).sum(1, dtype=np.int32)
+            keep = found >= need[a, b]
+            return a[keep], b[keep]
+    return a, b
+
+
 def tree_pairs(left: Tree, right: Tree, same: bool, percent: int, step: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of documents whose bitmaps and sizes allow a link; of one tree with itself, each pair once."""
     for i, j in node_pairs(left, right, same, percent):
@@ -148,18 +175,11 @@ def tree_pairs(left: Tree, right: Tree, same: bool, percent: int, step: int = 81
         cuts = np.flatnonzero(np.diff(i)) + 1
         for node, others in zip(i[np.append(0, cuts)].tolist(), np.split(j, cuts)):
             first = node * LEAF
-            rows = left.bits[first : first + LEAF]
             every = (others[:, None] * LEAF + np.arange(LEAF)).ravel()
             every = every[every < len(right.n)]
             for at in range(0, len(every), step):
                 part = every[at : at + step]
-                chosen = right.columns[:, part]
-                both = np.zeros((len(rows), len(part)), np.int32)
-                for k in range(rows.shape[1]):
-                    both += np.bitwise_count(rows[:, k, None] & chosen[k])
-                n, m = left.n[first : first + LEAF, None], right.n[None, part]
-                both = both + np.minimum(left.slack[first : first + LEAF, None], right.slack[None, part])
-                a, b = np.nonzero(enough(both, n + m, percent) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                a, b = leaf_pairs(left, right, first, part, percent)
                 a, b = a + first, part[b]
                 if same:
                     a, b = a[a < b], b[a < b]
@@ -399,10 +419,17 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, id_col:
         pairs = sized(forest.distinct())
         links = verified(pairs, sets_of(pairs.select(F.explode(F.array("u", "v")).alias("unit")).distinct()), percent).toDF("a", "b")
         roots = components(links)
-        known = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", F.coalesce("root", "unit").alias("class"), "n", "sig")
-        apart = checkpoint(traversed(checkpoint(known), percent, apart_of(percent), "tile long, other long, i long, j long, side int, unit long, class long"))
-        more = verified_blocks(apart, sets_of(apart.select("unit").distinct()), percent)
-        roots = components(links.unionByName(more.toDF("a", "b")))
+        # A document with a partner that passes is in the forest of their tiles; where a whole class of the forests ended
+        # up in one class of links, none of its pairs joins two.
+        tried = components(pairs.toDF("a", "b")).select(F.explode(F.array("node", "root")).alias("unit"), F.col("root").alias("tried")).distinct()
+        known = units.join(tried, "unit").join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "tried", F.coalesce("root", "unit").alias("class"), "n", "sig")
+        mixed = known.groupBy("tried").agg((F.min("class") < F.max("class")).alias("mixed")).filter("mixed").select("tried")
+        known = known.join(mixed, "tried", "left_semi").select("unit", "class", "n", "sig")
+        apart = traversed(checkpoint(known), percent, apart_of(percent), "tile long, other long, i long, j long, side int, unit long, class long")
+        if apart is not None:
+            apart = checkpoint(apart)
+            more = verified_blocks(apart, sets_of(apart.select("unit").distinct()), percent)
+            roots = components(links.unionByName(more.toDF("a", "b")))
     whole = units.select("unit", "d1", "d2", "first").join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
     named = whole.join(least, "root").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "component_id")

@@ -1,5 +1,7 @@
 """Jaccard join over signature trees against all pairs."""
 
+import random
+
 import numpy as np
 
 from concord.llm import signature_tree as S
@@ -97,3 +99,33 @@ def test_traversal_leaves_every_link():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 assert (j, i) in found
+
+
+def test_only_documents_of_unsettled_groups_are_traversed_again(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") + r.choice("klmnopqr") + r.choice("stuvwxyz") for _ in range(120)) for _ in range(60)]
+    texts += [t + " one more end" for t in texts[:10]]
+    seen, traversed = [], S.traversed
+    monkeypatch.setattr(S, "traversed", lambda units, *a: seen.append(units.count()) or traversed(units, *a))
+    out = {x.doc_id: x.component_id for x in S.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {i: i - 60 if i >= 60 else i for i in range(70)}
+    assert seen[0] == 70 and sum(seen[1:]) <= 20
+
+
+def test_leaf_pairs_are_those_of_the_whole_bound():
+    r = np.random.default_rng(5)
+    sets = []
+    for i in range(300):
+        own = np.unique(r.integers(0, 1 << 63, r.integers(300, 500)).astype(np.uint64))
+        sets.append(np.unique(np.concatenate([sets[-1][: len(sets[-1]) * 95 // 100], own[:12]])) if i % 3 == 2 else own)
+    sets.sort(key=len)
+    bits = np.array([np.frombuffer(S.signature(s), np.uint64) for s in sets])
+    tree = S.Tree(np.arange(300), np.array([len(s) for s in sets]), bits)
+    for first in range(0, 300, S.LEAF):
+        found = set(zip(*[x.tolist() for x in S.leaf_pairs(tree, tree, first, np.arange(300), 90)]))
+        want = set()
+        for a in range(first, min(300, first + S.LEAF)):
+            shared = np.bitwise_count(bits[a] & bits).sum(1, dtype=np.int64) + np.minimum(tree.slack[a], tree.slack)
+            ok = (190 * shared >= 90 * (tree.n[a] + tree.n)) & (100 * np.minimum(tree.n[a], tree.n) >= 90 * np.maximum(tree.n[a], tree.n))
+            want |= {(a - first, b) for b in np.flatnonzero(ok).tolist()}
+        assert found == want
