@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from concord.operators.aggregate import canonical_events
@@ -163,3 +164,22 @@ def test_inbox_is_watched_by_one_run(spark, tmp_path):
     (box / "d.png").write_bytes(b"d")
     assert run("me") == 1 and sorted(r.performer for r in store.read("events").collect()) == ["Zoe a", "Zoe d"]
     assert sorted(x.name for x in (tmp_path / "done").iterdir() if not x.name.startswith(".")) == ["a.png", "d.png"] and (tmp_path / "bad" / "b.jpg").exists() and (box / "c.txt").exists()
+
+
+def test_small_curated_pages_are_handed_back_together(spark, monkeypatch):
+    made = {}
+    frame = type(spark.range(1))
+    kept = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, ddl, *a: made.update(f=f) or kept(self, f, ddl, *a))
+    page = '<table><tbody id="tb"><tr data-date="2026-01-01" data-venue="Hall" data-performer="A"><td>x</td></tr></tbody></table>'
+    html.curated_rows(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    batch = pa.record_batch({"id": pa.array(range(50), pa.int64()), "html": pa.array([page, None, ""] * 16 + [page] * 2)})
+    out = list(made["f"](iter([batch])))
+    assert len(out) == 1 and out[0].column("id").to_pylist() == [i for i in range(50) if i % 3 == 0 or i >= 48]
+
+
+def test_non_music_filter_reads_its_table_once(spark):
+    from concord.plans import catalogue
+
+    plan = catalogue.QUERIES["non_music_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
