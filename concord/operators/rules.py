@@ -22,8 +22,12 @@ def dated(events: DataFrame) -> DataFrame:
     return events.filter(F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}"), F.lit(False)))
 
 
+def is_music(performer: Column | str = "performer") -> Column:
+    return detect_non_music(performer).isNull()
+
+
 def only_music(events: DataFrame) -> DataFrame:
-    return events.filter(detect_non_music("performer").isNull())
+    return events.filter(is_music())
 
 
 def with_sources(events: DataFrame, obs: DataFrame, key: str) -> DataFrame:

@@ -270,9 +270,7 @@ def classify_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TITLED}, {SQL_SPLIT} SELECT CASE WHEN {sql_first("performer", fixed.NON_MUSIC_PATTERNS)} IS NOT NULL THEN 'removed' ELSE 'kept' END AS fate, count(*) AS n FROM p GROUP BY ALL""")
 def non_music_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = titled(spark, sf_dir).withColumn("performer", titles.split_title("title")["performer"])
-    kept = rules.only_music(rows).agg(F.count("*").alias("n")).select(F.lit("kept").alias("fate"), "n")
-    gone = rows.filter(titles.detect_non_music("performer").isNotNull()).agg(F.count("*").alias("n")).select(F.lit("removed").alias("fate"), "n")
-    return kept.unionByName(gone).filter("n > 0")
+    return rows.groupBy(F.when(rules.is_music(), "kept").otherwise("removed").alias("fate")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TITLED}, {SQL_SPLIT}, {SQL_WHO}, c AS (SELECT c_custkey, CASE WHEN starts_with(performer, '{fixed.SERIES_PREFIXES[0]}') THEN trim(substring(performer, {len(fixed.SERIES_PREFIXES[0]) + 1})) ELSE performer END AS part, who FROM n)
