@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.common import byte_batches, held, row_key, table, tokenizer_file
-from concord.llm.token_counts import PieceCache, by_letters, load_tokenizer, segments, words
+from concord.llm.token_counts import LETTERS, PieceCache, load_tokenizer, segments, words
+
+#: Runs of punctuation whose ids a worker keeps.
+TAILS = 10_000
 
 
 class Encoder:
@@ -46,14 +49,44 @@ class Encoder:
         last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
         def joined(cores: list[str]) -> list[bytes] | None:
-            ids = np.array(tok.encode(" ".join(cores), add_special_tokens=False).ids)
+            ids = np.array(tok.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) != len(cores):
                 return None
             data, ends = ids.astype(self.type).tobytes(), (ends * self.type.itemsize).tolist()
             return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-        self.cache = PieceCache(lambda pieces: by_letters(pieces, False, self.bytes, joined), room)
+        self.joined, self.tails = joined, {}
+        self.cache = PieceCache(self.made, room)
+
+    def made(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces. Letters and the punctuation after them are separate pre-tokens, so either may be known."""
+        known, parted, cores, others = self.cache.held, {}, {}, []
+        for p in pieces:
+            if p.isalpha():
+                cores[p] = None
+            elif not (m := LETTERS.fullmatch(p)):
+                others.append(p)
+            elif m[2]:
+                parted[p] = core, tail = m.groups()
+                if core not in cores:
+                    cores[core] = known.get(core)
+                if tail not in self.tails:
+                    others.append(tail)
+            else:
+                cores[p] = None
+        new = [c for c, ids in cores.items() if ids is None]
+        got = self.joined(new) if new else []
+        if got is None:
+            return self.bytes(pieces)
+        cores.update(zip(new, got))
+        made = dict(zip(others, self.bytes(others))) if others else {}
+        if len(self.tails) > TAILS:
+            made |= self.tails
+            self.tails = {}
+        tails = made | {t: self.tails[t] for _, t in parted.values() if t in self.tails}
+        self.tails |= {t: tails[t] for _, t in parted.values()}
+        return [cores[p] if p in cores else cores[parted[p][0]] + tails[parted[p][1]] if p in parted else made[p] for p in pieces]
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:

@@ -119,3 +119,14 @@ def test_an_emptied_cache_makes_only_new_pieces():
     assert cache.all(["a", "bb", "a"]) == [1, 2, 1]
     assert cache.all(["bb", "ccc", "a", "dddd", "ccc"]) == [2, 3, 1, 4, 3] and sorted(made) == ["a", "bb", "ccc", "dddd"]
     assert cache.all(["e" * 60, "ccc"]) == [60, 3] and cache.all(["e" * 60]) == [60] and made.count("e" * 60) == 2
+
+
+def test_known_letters_before_new_punctuation_are_not_encoded_again():
+    path = tokenizer_file("word_bpe_49k.json")
+    own, plain = packing.Encoder(path), tokens("word_bpe_49k.json")
+    seen, joined = [], own.joined
+    own.joined = lambda cores: seen.append(sorted(cores)) or joined(cores)
+    texts = ["Straße quorl", "quorl, Straße!? zanfet,", "x² ' don't, 中文, a_b quorl...", "", "zanfet quorl,"]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.type).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert seen[0] == ["Straße", "quorl"] and seen[1] == ["zanfet"] and not any("quorl" in cores for cores in seen[1:])
