@@ -183,3 +183,38 @@ def test_non_music_filter_reads_its_table_once(spark):
 
     plan = catalogue.QUERIES["non_music_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1
+
+
+PLAIN_PAGES = [
+    "", "text only &amp; more", "a &lt b", "<h1>A &#233; B</h1><p>x<br>y<br/>z</p>", "<DIV Class='view-date-calendar-lists' hidden><table class=\"views-table\"><tr><td>1</td><td><a href='/w'>n</a></td></tr></table></DIV>",
+    "<td></td></p><tr><td>x", '<img class="a b" src="/f/1.jpg"><section id="s"><var class="atc_event">1</var></section>',
+]
+ODD_PAGES = ["a < b <p>c</p>", "<script>if (a<b) {}</script><p>x</p>", "<title>a<b>c</title>", '<a href="?a=1&amp;b=2">x</a>', "<!-- c --><p>x</p>", "<p a=b>x</p>", '<p a="1"b="2">x</p>', "</p x>y", "x\r\ny\0", "<p", "<!doctype html><p>x", "x <", "&amp", "<br / >"]
+
+
+def test_plain_pages_give_what_the_parser_gives():
+    def fed(page):
+        parser = html.Parts()
+        parser.feed(page)
+        parser.close()
+        parser.end_row()
+        return parser.rows, parser.everything
+
+    for page in PLAIN_PAGES + ODD_PAGES:
+        parser = html.Parts()
+        plain = html.plainly(parser, page)
+        assert plain == (page in PLAIN_PAGES or page == "&amp"), page
+        if plain:
+            parser.end_row()
+            assert (parser.rows, parser.everything) == fed(page), page
+        assert html.parts_of(page)[:-1] == fed(page)[0]
+
+
+def test_pages_made_of_one_split_are_parsed_by_many_tasks(spark, tmp_path):
+    import datetime
+
+    from concord.plans import catalogue
+
+    spark.createDataFrame([(i, i % 7, datetime.date(1996, 1, 1 + i % 28)) for i in range(200)], "o_orderkey long, o_custkey long, o_orderdate date").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("html_rows", "curated_listing"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
