@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_batches, checkpoint, if_small, release, table
+from concord.llm.common import BROADCAST_BYTES, byte_batches, checkpoint, if_small, release, table
 
 QUARTERS, MOST = 4, 16
 TILE = 4096
@@ -193,11 +193,12 @@ def bands(counts: dict[int, int], size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64) -> DataFrame:
+def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 32) -> DataFrame:
     """As `links`, for radii at which almost all tiles are near each other: pairs (a, b).
 
     Tiles hold neighbouring population counts, so a pair of tiles is skipped or compared as a whole. Tiles grow with the
-    input so that each is read by about `across` others at most. A pair of tiles returns a spanning forest.
+    input so that each is read by about `across` others at most, and are shuffled once, to their pairs. A pair of tiles
+    returns a spanning forest.
     """
     own = checkpoint(fps.select("fp", F.bit_count("fp").alias("pop")))
     counts = {r["pop"]: r["count"] for r in own.groupBy("pop").count().collect()}  # 65 population counts at most
@@ -212,25 +213,30 @@ def wide_links(fps: DataFrame, radius: int, tile: int = 16384, across: int = 64)
         yield pa.record_batch({"tile": pa.array([key[0].as_py()]), "band": pa.array([key[1].as_py()], pa.int32()), "fps": pa.array([held.astype("<i8").tobytes()], pa.binary())})
 
     tiles = checkpoint(rows.select("tile", "band", "fp").groupBy("tile", "band").applyInArrow(pack, "tile long, band int, fps binary"))
-    reached = [[j for j, (low, _, _) in enumerate(found) if j >= i and low - high <= radius] for i, (_, high, _) in enumerate(found)]
-    near = tiles.select("tile", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in reached]), F.col("band") + 1)).alias("other_band"))
-    near = near.withColumn("split", F.explode(F.sequence(F.lit(0), F.element_at(splits, F.col("other_band") + 1) - 1)))
-    near = near.withColumn("other", number("other_band", F.col("split"))).filter("other >= tile").select("tile", "other")
-    count = near.count()
-    both = near.join(tiles.select("tile", F.col("fps").alias("left")), "tile").join(tiles.select(F.col("tile").alias("other"), F.col("fps").alias("right")), "other")
+    near = [[j for j, (low, high, _) in enumerate(found) if low - found[i][1] <= radius and found[i][0] - high <= radius] for i in range(len(found))]
+    sent = tiles.select("*", F.explode(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in near]), F.col("band") + 1)).alias("other_band"))
+    sent = sent.withColumn("split", F.explode(F.sequence(F.lit(0), F.element_at(splits, F.col("other_band") + 1) - 1))).withColumn("with", number("other_band", F.col("split")))
+    sent = sent.select(F.least("tile", "with").alias("tile"), F.greatest("tile", "with").alias("other"), (F.col("with") < F.col("tile")).alias("second"), "fps")
+    total = sum(n for _, _, n in found)
+    pairs = sum(found[i][2] * found[j][2] for i, r in enumerate(near) for j in r)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        waiting: dict[tuple[int, int], tuple[bool, bytes]] = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                left, right = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("left", "right"))
-                same = batch.column("tile")[i].as_py() == batch.column("other")[i].as_py()
+            for tile, other, second, fps in zip(*[batch.column(c).to_pylist() for c in ("tile", "other", "second", "fps")]):
+                same = tile == other
+                if not same and (tile, other) not in waiting:
+                    waiting[tile, other] = (second, fps)
+                    continue
+                sides = {second: fps} if same else dict([waiting.pop((tile, other)), (second, fps)])
+                left, right = (np.frombuffer(sides.get(side, fps), "<u8") for side in (False, True))
                 found = linked(left, right, radius, same)
                 if found.edges:
                     every, ends = (left if same else np.concatenate([left, right])).view(np.int64), np.array(found.edges)
                     yield pa.record_batch({"a": every[ends[:, 0]], "b": every[ends[:, 1]]})
 
-    return both.repartition(max(1, count), "tile", "other").mapInArrow(compare, "a long, b long")
+    return sent.repartition(max(1, (pairs + total) // 2), "tile", "other").mapInArrow(compare, "a long, b long")
 
 
 def sized(rows: DataFrame) -> DataFrame:
@@ -253,8 +259,9 @@ def similarity(a: str, b: str, width: int = 5) -> float:
 
 
 #: Texts whose shingles are counted to tell common ones, and how many of these the driver keeps; members of a shingle's
-#: group that are paired at once, or compared; bytes of the sets that a block of such members holds.
-COUNTED, COMMON, FEW, MEMBERS, BLOCK_BYTES = 20_000, 2_000_000, 32, 4096, 64 << 20
+#: group that are paired at once, or compared; bytes of the sets that a block of such members holds; pairs of a member
+#: that are listed rather than their block compared on the whole sets.
+COUNTED, COMMON, FEW, MEMBERS, BLOCK_BYTES, LOOSE = 20_000, 2_000_000, 32, 4096, 64 << 20, 4
 
 
 def ordered_prefix(found: np.ndarray, least: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -329,21 +336,109 @@ def texts_of(rows: DataFrame, units: DataFrame) -> DataFrame:
     return rows.withColumn("_id", key("id")).join(named, (F.col("digest") == F.col("_d")) & (F.col("tag") == F.col("_t")) & (F.col("_id") == F.col("_f")) & same).drop("_d", "_t", "_f", "first")
 
 
-def unit_sets(rows: DataFrame, units: DataFrame, width: int) -> DataFrame:
-    """unit, whole: the sorted set of shingles, as bytes, of each of the units' texts. Few units are broadcast once counted.
+def whole_set(text: str, width: int) -> np.ndarray:
+    return np.sort(np.fromiter(shingles(text, width), np.uint64))
+
+
+def marks_of(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by their low bits, in two to four bits a shingle."""
+    size = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(marks: np.ndarray, words: int) -> np.ndarray:
+    """Marks (in rows) as those of the same sets with `words` words, a smaller power of two."""
+    while marks.shape[-1] > words:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
 
-    Only a unit of several documents can have its first one twice; only those are grouped, by text and before sets are made.
+def may_link(n, m, differing, least: float):
+    """Whether sets of n and m may have the Jaccard similarity: each differing parity is a shingle that one of them lacks."""
+    return (1 + least) * (n + m - differing) >= 2 * least * (n + m) - 1e-6
+
+
+def chosen_bits(units: DataFrame, many: int) -> tuple[int, np.ndarray]:
+    """A bitmap of about 16 bits a unit, with the bit of each one's digest, and its size: rules most other texts out."""
+    size = 1 << max(15, (16 * many - 1).bit_length())
+    at = F.col("digest").bitwiseAND(F.lit(size - 1))
+    found = units.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).toArrow()
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return size, out.reshape(-1)
+
+
+def unit_sets(rows: DataFrame, units: DataFrame, width: int, made=None) -> DataFrame:
+    """unit, whole: the sorted set of shingles, as bytes, of each of the units' texts (or what `made` makes of it), and n, its size.
+
+    Few units are broadcast once counted. Else sets are made where the texts lie, if a bitmap of the units' digests has
+    theirs, and only these are shuffled, never the texts. Only a unit of several documents can have its first one twice.
     """
+    wanted = checkpoint(units.select("unit", "first", "digest", "tag", "several"))
+    many = wanted.count()
+    few = many * 41 <= BROADCAST_BYTES
+    size, bits = (0, None) if few else chosen_bits(wanted, many)
+    known = rows.sparkSession.sparkContext.broadcast(bits)
+    names = ["unit"] if few else ["id", "digest", "tag"]
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
-            sets = [np.sort(np.fromiter(shingles(t, width), np.uint64)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"unit": batch.column("unit"), "whole": pa.array(sets, pa.binary())})
+            if size:
+                at = batch.column("digest").to_numpy().view(np.uint64) & np.uint64(size - 1)
+                batch = batch.filter(pa.array((known.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
+            sets = [whole_set(t, width) for t in batch.column("text").to_pylist()]
+            whole = [(x if made is None else made(x)).tobytes() for x in sets]
+            yield pa.record_batch({c: batch.column(c) for c in names} | {"n": pa.array([len(x) for x in sets], pa.int32()), "whole": pa.array(whole, pa.binary())})
+
+    if few:
+        found = texts_of(rows, F.broadcast(wanted))
+        again = found.filter("several").groupBy("unit").agg(F.min("text").alias("text"))
+        return checkpoint(found.filter("NOT several").select("unit", "text").unionByName(again).mapInArrow(shrink, "unit long, n int, whole binary"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = texts_of(rows.mapInArrow(shrink, f"id {kind}, digest long, tag int, n int, whole binary"), wanted)
+    # Repeated rows of a first document lie together by the join's keys.
+    return checkpoint(found.groupBy("digest", "tag", "_id").agg(F.min("unit").alias("unit"), F.min(F.struct("n", "whole")).alias("r")).select("unit", "r.*"))
 
-    found = texts_of(rows, if_small(checkpoint(units.select("unit", "first", "digest", "tag", "several")), 41))
-    once = found.filter("NOT several").select("unit", "text")
-    again = found.filter("several").groupBy("unit").agg(F.min("text").alias("text"))
-    return checkpoint(once.unionByName(again).mapInArrow(shrink, "unit long, whole binary"))
+
+def marked(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) that their marks (unit, n, whole) don't rule out."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("n", "m", "x", "y")]):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                words = min(len(x), len(y))
+                keep.append(may_link(n, m, int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()), least))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    both = pairs.join(marks.select(F.col("unit").alias("u"), "n", F.col("whole").alias("x")), "u").join(marks.select(F.col("unit").alias("v"), F.col("n").alias("m"), F.col("whole").alias("y")), "v")
+    return both.select("u", "v", "n", "m", "x", "y").mapInArrow(judge, "u long, v long")
+
+
+def marked_pairs(marks: list[np.ndarray], n: np.ndarray, label: np.ndarray, side: np.ndarray, least: float, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of different classes (across the sides, if there are two) that their marks don't rule out."""
+    words = np.array([len(x) for x in marks])
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        own = own[np.argsort(n[own], kind="stable")]
+        # Sets whose sizes allow a link have as many words, or one of them twice as many.
+        large = np.flatnonzero(words == 2 * w)
+        every = np.concatenate([own, large[np.argsort(n[large], kind="stable")]])
+        table = np.stack([folded(marks[x], w) for x in every.tolist()])
+        rows = max(1, step // (len(every) * w))
+        for i in range(0, len(own), rows):
+            a = np.arange(i, min(i + rows, len(own)))
+            differing = np.bitwise_count(table[a, None] ^ table[None, i:]).sum(-1, dtype=np.int64)
+            x, y = np.nonzero(may_link(n[every[a], None], n[every[None, i:]], differing, least) & (label[every[a], None] != label[every[None, i:]]))
+            x, y = x + i, y + i
+            x, y = every[x[y > x]], every[y[y > x]]
+            across = side[x] != side[y] if side.any() else np.ones(len(x), bool)
+            if across.any():
+                yield x[across], y[across]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -386,13 +481,15 @@ def common_shingles(rows: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np
     return values[order], times[order]
 
 
-def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few: int = FEW, members: int = MEMBERS, block_bytes: int = BLOCK_BYTES, loose: int = LOOSE) -> DataFrame:
     """Pairs (u, v) of units that, with the known classes, join the same units as all pairs of similarity `least` do.
 
     rows (id, digest, tag, text); known (unit, first, digest, tag, class, and several, true if left out): the units' first documents. Two such texts have a shingle of their
     prefixes in common. Of `few` rows or less with an equal shingle, the pairs of different classes are listed, and
-    compared on the whole sets if their places and their number of common prefix shingles allow it. Larger groups are
-    compared on the whole sets in blocks of about `members` or `block_bytes` of sets, and return verified links only.
+    compared if their places and their number of common prefix shingles allow it. Larger groups are compared in blocks of
+    about `members` or `block_bytes` of sets. Both are first compared by marks, a thirtieth of the sets: these rule
+    out pairs that can't be links. The pairs left are compared on the whole sets; of blocks with more than `loose` of them
+    a row, the whole block is, and returns verified links only.
     """
     known = known if "several" in known.columns else known.withColumn("several", F.lit(True))
     kind = rows.schema["id"].dataType.simpleString()
@@ -406,12 +503,9 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
     sampled = rows.filter(chance * F.lit(max(1, known.count())) < COUNTED).select("text")
     tokens, counts = common_shingles(sampled.mapInArrow(all_shingles, "shingle long"))
 
-    def sorted_set(t: str) -> np.ndarray:
-        return np.sort(np.fromiter(shingles(t, width), np.uint64))
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches, "text"):
-            sets = [sorted_set(t) for t in batch.column("text").to_pylist()]
+            sets = [whole_set(t, width) for t in batch.column("text").to_pylist()]
             kept = [ordered_prefix(x, least, tokens, counts).view(np.int64) for x in sets]
             yield pa.record_batch({"id": batch.column("id"), "digest": batch.column("digest"), "tag": batch.column("tag"), "n": pa.array([len(x) for x in sets], pa.int32()), "kept": pa.array(kept, pa.list_(pa.int64()))})
 
@@ -476,37 +570,61 @@ def exact_links(rows: DataFrame, known: DataFrame, least: float, width: int, few
     pairs = pairs.filter(F.col("both") + F.coalesce("hot", F.lit(0)) + F.greatest(rest("nu"), rest("nv")) >= least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6)
     pairs = sized(pairs.select("u", "v").distinct())
     many = checkpoint(many.filter((F.col("reach") >= F.col("shortest"))).select("unit", "class", "shingle", "blocks"))
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("unit")).unionByName(many.select("unit")).distinct()
-    sets = unit_sets(rows, known.join(needed, "unit", "left_semi"), width)
-    true = verified(pairs, sets, least)
+    ends = lambda rows: rows.select(F.explode(F.array("u", "v")).alias("unit"))
+    needed = ends(pairs).unionByName(many.select("unit")).distinct()
+    marks = unit_sets(rows, known.join(needed, "unit", "left_semi"), width, marks_of)
 
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
     blocked = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("unit", "class", "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    blocked = blocked.join(sets, "unit").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    names = ["shingle", "i", "j", "unit", "class", "side"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_block(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
         now, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len({c for _, c, _, _ in held}) > 1:
-                names, known_classes, sides, found = zip(*held)
-                pairs = list(group_links(list(found), list(known_classes), list(sides), least))
-                if pairs:
-                    yield pa.record_batch({"u": pa.array([names[a] for a, _ in pairs], unit_type), "v": pa.array([names[b] for _, b in pairs], unit_type)})
-
         for batch in batches:
-            unit_type = batch.schema.field("unit").type
-            columns = [batch.column(c).to_pylist() for c in ("shingle", "i", "j", "unit", "class", "side")]
-            stored = batch.column("whole")
-            for row, (shingle, i, j, unit, known_class, side) in enumerate(zip(*columns)):
-                if (shingle, i, j) != now:
-                    yield from done()
-                    now, held = (shingle, i, j), []
-                held.append((unit, known_class, side, np.frombuffer(stored[row].as_py(), np.uint64)))
-        yield from done()
-
-    return checkpoint(blocked.select("shingle", "i", "j", "unit", "class", "side", "whole").mapInArrow(compare, "u long, v long")).unionByName(true).distinct()
+            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+                if row[:3] != now:
+                    if held:
+                        yield held
+                    now, held = row[:3], []
+                held.append(row)
+        if held:
+            yield held
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"u": pa.int64(), "v": pa.int64(), "shingle": pa.int64(), "i": pa.int32(), "j": pa.int32(), "unit": pa.int64(), "class": pa.int64(), "side": pa.int32()}
+        given = lambda columns, rows: pa.record_batch({k: pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()})
+        for held in by_block(batches, [*names, "n", "whole"]):
+            n, label, side = (np.array([r[k] for r in held], np.int64) for k in (6, 4, 5))
+            unit, found, count = np.array([r[3] for r in held], np.int64), [], 0
+            for a, b in marked_pairs([np.frombuffer(r[7], "<u8") for r in held], n, label, side, least):
+                found.append((a, b))
+                count += len(a)
+                if count > loose * len(held):
+                    break
+            if count > loose * len(held):
+                yield given({c: [r[k] for r in held] for k, c in enumerate(names)}, len(held))
+            elif count:
+                a, b = map(np.concatenate, zip(*found))
+                yield given({"u": unit[np.where(unit[a] < unit[b], a, b)], "v": unit[np.where(unit[a] < unit[b], b, a)]}, len(a))
+
+    in_blocks = lambda rows: rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    sifted = checkpoint(in_blocks(blocked.join(marks, "unit").select(*names, "n", "whole")).mapInArrow(sift, "u long, v long, shingle long, i int, j int, unit long, class long, side int"))
+    heavy = sifted.filter("unit IS NOT NULL").select(*names)
+    pairs = sized(marked(pairs, marks, least).unionByName(sifted.filter("u IS NOT NULL").select("u", "v")).distinct())
+    sets = unit_sets(rows, known.join(ends(pairs).unionByName(heavy.select("unit")).distinct(), "unit", "left_semi"), width)
+    true = verified(pairs, sets, least)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_block(batches, [*names, "whole"]):
+            if len({r[4] for r in held}) > 1:
+                _, _, _, units, classes_known, sides, found = zip(*held)
+                links_found = list(group_links([np.frombuffer(x, np.uint64) for x in found], list(classes_known), list(sides), least))
+                if links_found:
+                    yield pa.record_batch({"u": pa.array([units[a] for a, _ in links_found], pa.int64()), "v": pa.array([units[b] for _, b in links_found], pa.int64())})
+
+    whole = in_blocks(heavy.join(sets.select("unit", "whole"), "unit").select(*names, "whole"))
+    return checkpoint(whole.mapInArrow(compare, "u long, v long")).unionByName(true).distinct()
 
 
 #: Candidates of a text that a round tries, before all are.

@@ -227,3 +227,45 @@ def test_texts_lie_by_their_keys_once_joined(spark):
     again = found.groupBy("digest", "tag", "_id").agg({"text": "min"})
     assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     assert again.count() == 2
+
+
+@pytest.mark.parametrize("loose, most", [(4, 4 << 20), (4, 0), (0, 0)])
+def test_marks_and_shuffled_sets_lose_no_link(docs, loose, most, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
+    rows = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
+    texts = docs.filter("doc_id IS NOT NULL").selectExpr("doc_id AS id", "coalesce(text, '') AS text").selectExpr("id", "xxhash64(text) AS digest", "hash(text) AS tag", "text")
+    known = texts.selectExpr("id AS unit", "id AS first", "digest", "tag", "id AS class").distinct()
+    found = [(x.u, x.v) for x in simhash.exact_links(texts, known, 0.8, 5, few=3, members=20, loose=loose).collect()]
+    assert all(simhash.similarity(rows[a], rows[b]) >= 0.8 for a, b in found)
+    linked = [(a, b) for a, b in itertools.combinations(rows, 2) if simhash.similarity(rows[a], rows[b]) >= 0.8]
+    assert roots(rows, found) == roots(rows, linked)
+
+
+def test_sets_of_many_units_are_made_where_the_texts_lie(spark, monkeypatch):
+    texts = ["a b c d e f", "a b c d e f", "", "x y", "g h i j k l m"]
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "id long, text string").selectExpr("id", "xxhash64(text) AS digest", "hash(text) AS tag", "text")
+    rows = rows.unionByName(rows)
+    units = rows.groupBy("digest", "tag").agg({"id": "min"}).withColumnRenamed("min(id)", "first").selectExpr("monotonically_increasing_id() AS unit", "first", "digest", "tag", "true AS several")
+    units = simhash.checkpoint(units)
+    sets = lambda: sorted((r.unit, r.n, bytes(r.whole)) for r in simhash.unit_sets(rows, units, 5).collect())
+    want = sets()
+    assert len(want) == 4
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    assert sets() == want
+    some = units.limit(1)
+    assert [r.unit for r in simhash.unit_sets(rows, some, 5).collect()] == [r.unit for r in some.collect()]
+
+
+def test_marks_bound_the_intersection():
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (0, 0, 1, 2, 31, 33, 40, 200, 256, 257, 300, 2000):
+        own = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(own), np.unique(np.concatenate([own[: int(n * 0.92)], r.integers(0, 1 << 63, n // 12, dtype=np.uint64)]))]
+    n, zero = np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64)
+    same = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if same(a, b)}
+    for side in (zero, zero + (np.arange(len(sets)) % 2)):
+        found = {tuple(sorted(p)) for a, b in simhash.marked_pairs([simhash.marks_of(x) for x in sets], n, np.arange(len(sets)), side, 0.8, step=64) for p in zip(a.tolist(), b.tolist())}
+        want = {(a, b) for a, b in linked if not side.any() or side[a] != side[b]}
+        assert want <= found and len(found) <= len(want) + 12
