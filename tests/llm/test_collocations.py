@@ -95,3 +95,28 @@ def test_perfect_hash_is_minimal_and_verifies_keys():
 
 def test_empty_and_without_frequent_phrases(spark):
     assert mined(spark, [], 1) == [] and mined(spark, [("a b c", "en")]) == []
+
+
+def test_texts_are_read_twice_for_more_candidates_than_a_shard(spark, monkeypatch):
+    # Counting had a pass over the texts for each run of candidates, and naming another.
+    made = []
+    monkeypatch.setattr(C, "candidate_rows", lambda *a, keep=C.candidate_rows, **k: made.append(k["words"]) or keep(*a, **k))
+    rows = sentences(1)
+    assert mined(spark, rows, least=3, shard=4) == brute(rows, 3)
+    assert made == [True]
+
+
+def test_filters_hold_what_was_put_in():
+    rng = np.random.default_rng(6)
+    keys = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 500, 0, 9000)]
+    found = C.Filters([(3, C.filter_of(keys[0]).tobytes()), (4, C.filter_of(keys[1]).tobytes()), (6, C.filter_of(keys[3]).tobytes())])
+    for block, own in zip((3, 4, 5, 6), keys):
+        assert len(found.places(np.full(len(own), block), own)) == len(own)
+        assert len(found.places(np.full(10000, block), rng.integers(0, 2**63, 10000, dtype=np.uint64))) < 300
+    assert not len(found.places(np.array([2, 5, 7]), np.array([1, 2, 3], np.uint64)))
+
+
+def test_equal_first_keys_are_summed_apart():
+    one, two, n = C.summed(np.array([5, 5, 1, 5], np.uint64), np.array([2, 1, 9, 2], np.uint64))
+    assert (one.tolist(), two.tolist(), n.tolist()) == ([1, 5, 5], [9, 1, 2], [1, 1, 2])
+    assert C.summed(one, two, np.array([4, 5, 6]))[2].tolist() == [4, 5, 6]
