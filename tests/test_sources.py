@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from concord.operators.aggregate import canonical_events
 from concord.operators.observe import observations
 from concord.operators.store import Store
+from concord.plans import feeds as feeds_plans
 from concord.sources import feeds, html, paged
 from concord.streaming.accumulate import accumulate
 from concord.streaming.inbox import watch
@@ -218,3 +219,13 @@ def test_pages_made_of_one_split_are_parsed_by_many_tasks(spark, tmp_path):
     spark.createDataFrame([(i, i % 7, datetime.date(1996, 1, 1 + i % 28)) for i in range(200)], "o_orderkey long, o_custkey long, o_orderdate date").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     for name in ("html_rows", "curated_listing"):
         assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_only_pages_that_show_a_flyer_meet_what_was_read(spark, monkeypatch):
+    # The join with a reader's rows shuffled every page with all its parts once these were too many to broadcast.
+    given = []
+    monkeypatch.setattr(html, "page_observations", lambda pages, host, flyers=None, *a, keep=html.page_observations, **k: given.append((pages, flyers)) or keep(pages, host, flyers, *a, **k))
+    feeds_plans.page_observations(spark, "/root/testdata/sf0.001")
+    images = {r.o_orderkey for pages, flyers in given if flyers is not None for r in pages.select("o_orderkey").collect()}
+    others = {r.o_orderkey for pages, flyers in given if flyers is None for r in pages.select("o_orderkey").collect()}
+    assert images and others and all(k % 10 == 9 for k in images) and not any(k % 10 == 9 for k in others)
